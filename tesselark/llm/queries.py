@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tesselark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tesselark.llm.packing import op1_packing
+from tesselark.llm.quality_rules import op9_quality_rules
 from tesselark.llm.sharding import op3_sharding
 
-QUERIES = {"op1_packing": op1_packing, "op3_sharding": op3_sharding}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op3_sharding": op3_sharding, "op6_line_dedup": op6_line_dedup, "op9_quality_rules": op9_quality_rules}
+SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tesselark.llm.common import documents, text_of, written
 
-N_SHARDS, SEED, ROWS_PER_BUCKET = 8, 20240611, 100_000
+N_SHARDS, SEED, ROWS_PER_BUCKET, MAX_BUCKETS = 8, 20240611, 2048, 1 << 16
 
 
 def _placed(rows: DataFrame, keys: list[str], within: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
@@ -50,7 +50,7 @@ def stratified_shards(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEE
     )
     slim = written(slim)
     n = slim.count()
-    buckets = 1 << max(0, (n // ROWS_PER_BUCKET)).bit_length()
+    buckets = min(MAX_BUCKETS, 1 << (n // ROWS_PER_BUCKET).bit_length())
     ranked = _placed(
         slim.withColumn("_bucket", F.pmod("_h", F.lit(buckets))), ["_stratum", "_bucket"], ["_stratum"], "_bucket", ["_h", "doc_id", "text_crc32", "size"], "_rank"
     )
