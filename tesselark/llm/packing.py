@@ -36,7 +36,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 @lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str):
-    """A function from text to an array of unsigned 32-bit ids."""
+    """Functions from text to an array of unsigned 32-bit ids, and from a list of ids to bytes."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ def encoder(json_path: str, ranks_path: str):
             return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
-    return encode
+    return encode, fast.decode_bytes
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json_path: str | None = None, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     paths = json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*paths)
+        encode, _ = encoder(*paths)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from tesselark.llm.chat import OP10_SQL, op10_chat_formatting
 from tesselark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tesselark.llm.packing import op1_packing
 from tesselark.llm.quality_rules import op9_quality_rules
 from tesselark.llm.sharding import op3_sharding
+from tesselark.llm.token_counts import op7_token_counts
 
-QUERIES = {"op1_packing": op1_packing, "op3_sharding": op3_sharding, "op6_line_dedup": op6_line_dedup, "op9_quality_rules": op9_quality_rules}
-SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_sharding": op3_sharding,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_chat_formatting": op10_chat_formatting,
+}
+SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_chat_formatting": OP10_SQL}
