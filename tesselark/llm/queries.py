@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from tesselark.llm.chat import OP10_SQL, op10_chat_formatting
+from tesselark.llm.cotraining import op2_quality_classifier
 from tesselark.llm.decontaminate import OP4_SQL, op4_decontamination
 from tesselark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tesselark.llm.ngram_join import OP5_SQL, op5_ngram_join
 from tesselark.llm.packing import op1_packing
+from tesselark.llm.pii import op8_pii
 from tesselark.llm.quality_rules import op9_quality_rules
 from tesselark.llm.sharding import op3_sharding
 from tesselark.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_ngram_join": op5_ngram_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
