@@ -2,5 +2,799 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesselark.functions import geometry, interp, scalar
+from tesselark.operators import balance, mesh as M, particles as PT, partition as PA, scatter as SC, walk as W
+from tesselark.operators.scatter import Gyro
+from tesselark.plans import tables as T
+from tesselark.plans.tables import E, ES, EV, G, HALF, LENGTH, N, O, P, R, RANKS, SIDE, V
+from tesselark.storage import cut
+from tesselark.timing import Timing, across_ranks, summary
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def joined(column: str, order: bool = True):
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+
+
+# meshes
+
+
+@query("mesh_vertices", f"WITH {V} SELECT vid, x, y, class_id, class_dim FROM v")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return T.mesh(spark).vertex
+
+
+@query("mesh_elements", f"WITH {E} SELECT eid, v0, v1, v2, class_id FROM e")
+def _(spark, d):
+    return T.mesh(spark).elem
+
+
+@query("elem_vert_long", f"WITH {E}, {EV} SELECT eid, li, vid FROM ev")
+def _(spark, d):
+    return M.elem_vert(T.mesh(spark))
+
+
+@query("mesh_sides", f"WITH {E}, {HALF}, {SIDE} SELECT sid, k0 AS v0, k1 AS v1, CAST(n AS INTEGER) AS n_elem, n = 1 AS exposed FROM side")
+def _(spark, d):
+    return M.sides(T.mesh(spark))
+
+
+@query("exposed_sides", f"WITH {E}, {HALF}, {SIDE} SELECT sid, e0 AS eid FROM side WHERE n = 1")
+def _(spark, d):
+    return M.boundary_elements(M.elem_side(T.mesh(spark)))
+
+
+@query("elem_sides", f"WITH {E}, {HALF}, {SIDE}, {ES} SELECT eid, CAST(li AS INTEGER) AS li, sid, flip, nbr FROM es")
+def _(spark, d):
+    return M.elem_side(T.mesh(spark))
+
+
+@query("dual_graph", f"WITH {E}, {HALF}, {SIDE}, {ES} SELECT eid, nbr, sid FROM es WHERE nbr IS NOT NULL")
+def _(spark, d):
+    return M.dual(T.mesh(spark))
+
+
+@query("vertex_star", f"WITH {E}, {EV} SELECT vid, count(*) AS degree, string_agg(CAST(eid AS VARCHAR), ',' ORDER BY eid) AS elems FROM ev GROUP BY vid")
+def _(spark, d):
+    return M.up(M.elem_vert(T.mesh(spark)), "vid", "eid").select("vid", "degree", joined("eid").alias("elems"))
+
+
+@query("first_adjacent_element", f"WITH {E}, {EV} SELECT vid, min(eid) AS eid FROM ev GROUP BY vid")
+def _(spark, d):
+    return M.first_adjacent(T.mesh(spark))
+
+
+@query("elem_measure", f"WITH {E} SELECT eid, CAST({T.H} AS DOUBLE) * {T.H} / 2 AS measure FROM e")
+def _(spark, d):
+    return M.measures(T.mesh(spark))
+
+
+@query("elem_centroid", f"WITH {V}, {E}, {EV} SELECT eid, round(sum(x) / 3.0, 4) AS x, round(sum(y) / 3.0, 4) AS y FROM ev JOIN v USING (vid) GROUP BY eid")
+def _(spark, d):
+    return M.centroids(T.mesh(spark)).select("eid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("mesh_bbox", f"WITH {V} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM v")
+def _(spark, d):
+    return M.bounding_box(T.mesh(spark))
+
+
+@query("walk_tolerance", "SELECT greatest(1e-15 / 5e9, 1e-8) AS tol")
+def _(spark, d):
+    return M.walk_tolerance(T.mesh(spark))
+
+
+@query("class_histogram", f"WITH {V} SELECT class_dim, count(*) AS n FROM v GROUP BY class_dim")
+def _(spark, d):
+    return M.class_histogram(T.mesh(spark).vertex)
+
+
+@query("reverse_classification", f"WITH {E} SELECT class_id, string_agg(CAST(eid AS VARCHAR), ',' ORDER BY eid) AS elems FROM e GROUP BY class_id")
+def _(spark, d):
+    return M.reverse_classification(T.mesh(spark).elem, "eid").select("class_id", joined("eid").alias("elems"))
+
+
+@query("class_statistics", f"WITH {E}, c AS (SELECT class_id, count(*) AS n FROM e GROUP BY class_id) SELECT max(n) AS max_n, min(n) AS min_n, CAST(sum(n) AS BIGINT) AS sum_n, count(*) AS n_classes FROM c")
+def _(spark, d):
+    return M.class_statistics(T.mesh(spark).elem)
+
+
+@query("exposed_faces", f"""WITH {E}, {HALF}, {SIDE}, {ES} SELECT eid, coalesce(string_agg(CAST(li AS VARCHAR), ',' ORDER BY li) FILTER (WHERE nbr IS NULL), '') AS exposed,
+  coalesce(string_agg(CAST(li AS VARCHAR), ',' ORDER BY li) FILTER (WHERE nbr IS NOT NULL), '') AS interior FROM es GROUP BY eid""")
+def _(spark, d):
+    return M.exposed_faces(M.elem_side(T.mesh(spark))).select("eid", joined("exposed").alias("exposed"), joined("interior").alias("interior"))
+
+
+@query("elements_at_flagged_sides", f"WITH {E}, {HALF}, {SIDE}, {ES} SELECT DISTINCT eid FROM es WHERE sid % 7 = 0")
+def _(spark, d):
+    side = M.elem_side(T.mesh(spark))
+    return M.mark_up(side.select("sid", "eid"), side.where("sid % 7 = 0"), "sid", "eid")
+
+
+@query("near_element_pairs", f"""WITH {V}, {E}, {EV}, q AS (SELECT eid, x, y FROM ev JOIN v USING (vid))
+  SELECT DISTINCT a.eid AS a, b.eid AS b FROM q a JOIN q b ON a.eid < b.eid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {T.H} * {T.H}""")
+def _(spark, d):
+    return M.near_pairs(T.mesh(spark), float(T.H))
+
+
+TET_SQL = f"""q AS (SELECT i, j, k FROM range({T.TET_N}) a(i), range({T.TET_N}) b(j), range({T.TET_N}) c(k)),
+t AS (SELECT * FROM (VALUES {", ".join(f"({n}, {', '.join(map(str, c))})" for n, c in enumerate(M.CUBE_TETS))}) x(t, c0, c1, c2, c3)),
+e AS (SELECT ((i * {T.TET_N} + j) * {T.TET_N} + k) * 6 + t AS eid, {", ".join(f"(i + c{n} % 2) * {(T.TET_N + 1) ** 2} + (j + c{n} // 2 % 2) * {T.TET_N + 1} + k + c{n} // 4 AS v{n}" for n in range(4))} FROM q, t)"""
+
+
+@query("tet_elements", f"WITH {TET_SQL} SELECT eid, v0, v1, v2, v3, 1 AS class_id FROM e")
+def _(spark, d):
+    return T.tets(spark).elem
+
+
+@query("tet_volumes", f"WITH {TET_SQL} SELECT eid, 300000.0 * 300000 * 300000 / 6 AS measure FROM e")
+def _(spark, d):
+    return M.measures(T.tets(spark))
+
+
+@query("tet_faces", f"""WITH {TET_SQL}, f AS (SELECT list_sort([v0, v2, v1]) AS s FROM e UNION ALL SELECT list_sort([v0, v1, v3]) FROM e UNION ALL SELECT list_sort([v1, v2, v3]) FROM e UNION ALL SELECT list_sort([v2, v0, v3]) FROM e)
+  SELECT row_number() OVER (ORDER BY s[1], s[2], s[3]) - 1 AS sid, s[1] AS v0, s[2] AS v1, s[3] AS v2, CAST(count(*) AS INTEGER) AS n_elem, count(*) = 1 AS exposed FROM f GROUP BY s""")
+def _(spark, d):
+    return M.sides(T.tets(spark))
+
+
+@query("tet_edges", f"""WITH {TET_SQL}, p AS (SELECT v0 AS a, v1 AS b FROM e UNION SELECT v0, v2 FROM e UNION SELECT v0, v3 FROM e UNION SELECT v1, v2 FROM e UNION SELECT v1, v3 FROM e UNION SELECT v2, v3 FROM e),
+  s AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM p) SELECT row_number() OVER (ORDER BY a, b) - 1 AS edge, a, b FROM s""")
+def _(spark, d):
+    return M.edges(T.tets(spark)).select("edge", "a", "b")
+
+
+# particles: creation, push
+
+
+@query("particle_even_distribution", f"SELECT i AS elem_id, 10007 // {2 * N * N} + CASE WHEN i < 10007 % {2 * N * N} THEN 1 ELSE 0 END AS n FROM range({2 * N * N}) x(i)")
+def _(spark, d):
+    return PT.per_element(PT.even_distribution(spark, 2 * N * N, 10007))
+
+
+for _k, _name in enumerate(("uniform", "gaussian", "exponential", "clustered"), 1):
+    QUERIES[f"particle_{_name}_distribution"] = lambda spark, d, k=_k: PT.per_element(PT.distribute(spark, 2 * N * N, 100_000, k, seed=7))
+
+
+@query("particle_redistribute")
+def _(spark, d):
+    return PT.redistribute(T.particles(spark, d), 2 * N * N, 1, 0.5, seed=3).select("pid", "elem_id", "new_elem")
+
+
+@query("particles_from_counts", f"WITH {P}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id) SELECT elem_id, unnest(range(n)) AS slot FROM c")
+def _(spark, d):
+    return PT.from_counts(PT.per_element(T.particles(spark, d)))
+
+
+@query("source_elements_by_face", f"""WITH {E}, {HALF}, {SIDE}, {V}, m AS (SELECT DISTINCT e0 AS eid FROM side JOIN v ON vid = k0 WHERE n = 1 AND y = 0 AND k0 % {N + 1} = 0 AND k1 % {N + 1} = 0)
+  SELECT eid AS elem_id, 1003 // (SELECT count(*) FROM m) + CASE WHEN eid = (SELECT max(eid) FROM m) THEN 1003 % (SELECT count(*) FROM m) ELSE 0 END AS n FROM m""")
+def _(spark, d):
+    m = T.mesh(spark)
+    flagged = M.sides(m).where(f"v0 % {N + 1} = 0 and v1 % {N + 1} = 0")
+    return PT.source_elements_by_face(M.elem_side(m), flagged, 1003)
+
+
+@query("source_elements_capped", f"""WITH {E}, w AS (SELECT eid, eid % 7 AS n, sum(eid % 7) OVER (ORDER BY eid) - eid % 7 AS before FROM e)
+  SELECT eid AS elem_id, CAST(greatest(0, least(n, 400 - before)) + CASE WHEN eid = (SELECT max(eid) FROM w) THEN greatest(400 - (SELECT sum(n) FROM w), 0) ELSE 0 END AS BIGINT) AS n FROM w""")
+def _(spark, d):
+    return PT.capped_counts(T.mesh(spark).elem.select(F.col("eid").alias("elem_id"), (F.col("eid") % 7).alias("n")), 400)
+
+
+@query("particle_push_constant", f"WITH {P} SELECT pid, ox + 3000 AS tx, oy - 1500 AS ty FROM p")
+def _(spark, d):
+    return PT.push_constant(T.particles(spark, d), F.lit(500), [6, -3]).select("pid", "tx", "ty")
+
+
+@query("particle_push_elliptical", f"""WITH {E}, {P}, q AS (SELECT p.pid, class_id, atan2(2.0 * (oy - 500000), ox - 400000) AS phi, oy - 500000 AS z, ox - 400000 AS w FROM p JOIN e ON eid = elem_id),
+  b AS (SELECT *, CASE WHEN sin(phi) = 0 THEN abs(w) / 2.0 ELSE z / sin(phi) END AS b, phi + radians(10) * CASE WHEN class_id = 1 THEN 0.01 ELSE 1.0 / greatest(class_id, 1) END AS f FROM q)
+  SELECT pid, round(400000 + 2.0 * b * cos(f), 3) AS tx, round(500000 + b * sin(f), 3) AS ty FROM b""")
+def _(spark, d):
+    p = PT.elliptical_setup(T.particles(spark, d), 400000.0, 500000.0, 2.0)
+    return PT.elliptical_push(p, T.mesh(spark).elem, 400000.0, 500000.0, 2.0, 10.0).select("pid", F.round("tx", 3).alias("tx"), F.round("ty", 3).alias("ty"))
+
+
+@query("particle_push_boris", f"""WITH {P}, a AS (SELECT pid, ox, oy, tx - ox AS mx, ty - oy AS my, 0.5 AS mz FROM p),
+  r AS (SELECT *, mx + my * 0.1 - mz * 0.0 AS px, my + mz * 0.05 - mx * 0.1 AS py, mz + mx * 0.0 - my * 0.05 AS pz, 2 / (1 + 0.05 * 0.05 + 0.1 * 0.1) AS s FROM a)
+  SELECT pid, round(mx + s * (py * 0.1 - pz * 0.0), 6) AS vx, round(my + s * (pz * 0.05 - px * 0.1), 6) AS vy, round(mz + s * (px * 0.0 - py * 0.05), 6) AS vz FROM r""")
+def _(spark, d):
+    p = T.particles(spark, d).withColumns({"oz": F.lit(0.0), "vx": F.col("tx") - F.col("ox"), "vy": F.col("ty") - F.col("oy"), "vz": F.lit(0.5)})
+    p = p.withColumns({f"e{a}": F.lit(0.0) for a in "xyz"} | {"bx": F.lit(0.05), "by": F.lit(0.0), "bz": F.lit(0.1)})
+    return PT.push_boris(p, 1.0, 2.0).select("pid", *(F.round(f"v{a}", 6).alias(f"v{a}") for a in "xyz"))
+
+
+@query("particle_commit", f"WITH {P} SELECT pid, tx AS ox, ty AS oy, 0 * tx AS tx, 0 * ty AS ty FROM p")
+def _(spark, d):
+    return PT.commit_positions(T.particles(spark, d)).select("pid", "ox", "oy", "tx", "ty")
+
+
+@query("particle_displacements", f"WITH {P} SELECT pid, elem_id, tx - ox AS dx, ty - oy AS dy FROM p")
+def _(spark, d):
+    return PT.displacements(T.particles(spark, d))
+
+
+@query("pseudo_push", f"WITH {P} SELECT pid, round(17 * 1.0 * 0 + sum(sqrt(val + elem_id + i)), 4) AS total FROM p, range(17) x(i) GROUP BY pid")
+def _(spark, d):
+    p = T.particles(spark, d).select("pid", "elem_id", F.array_repeat(F.col("val").cast("double"), 17).alias("d"), F.array_repeat(F.lit(0), 4).alias("n"), F.lit(0).cast("long").alias("l"))
+    return PT.pseudo_push(p).select("pid", F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("centroid_positions", f"WITH {V}, {E}, {EV}, {P}, c AS (SELECT eid, sum(x) / 3.0 AS x, sum(y) / 3.0 AS y FROM ev JOIN v USING (vid) GROUP BY eid) SELECT pid, round(x, 4) AS x, round(y, 4) AS y FROM p JOIN c ON eid = elem_id")
+def _(spark, d):
+    return PT.at_centroid(T.particles(spark, d).select("pid", "elem_id"), T.mesh(spark)).select("pid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("positions_in_triangle", f"""WITH {V}, {E}, {P}, q AS (SELECT pid, elem_id, (val % 100) / 100.0 AS r1, (val // 100 % 100) / 100.0 AS r2 FROM p),
+  w AS (SELECT *, CASE WHEN r1 + r2 > 1 THEN 1 - r1 ELSE r1 END AS a, CASE WHEN r1 + r2 > 1 THEN 1 - r2 ELSE r2 END AS b FROM q)
+  SELECT pid, round(CAST(c0.x + a * (c1.x - c0.x) + b * (c2.x - c0.x) AS DOUBLE), 3) AS x, round(CAST(c0.y + a * (c1.y - c0.y) + b * (c2.y - c0.y) AS DOUBLE), 3) AS y
+  FROM w JOIN e ON eid = elem_id JOIN v c0 ON c0.vid = v0 JOIN v c1 ON c1.vid = v1 JOIN v c2 ON c2.vid = v2""")
+def _(spark, d):
+    p = T.particles(spark, d)
+    out = PT.uniform_in_triangle(p, T.mesh(spark), (F.col("val") % 100) / 100.0, F.expr("val div 100 % 100") / 100.0)
+    return out.select("pid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("sunflower_targets", f"WITH {P} SELECT pid, round(500000 + 1000 * CASE WHEN pid >= 999968 THEN 1.0 ELSE sqrt(pid + 0.5) / sqrt(1000000 - 1001 / 2.0) END * cos(pid * (2 * 3.141592653589793 / pow((sqrt(5.0) + 1) / 2, 2))), 2) AS x FROM p")
+def _(spark, d):
+    x, _y = PT.sunflower(F.col("pid"), 1_000_000, 1000.0, (500000.0, 500000.0))
+    return T.particles(spark, d).select("pid", F.round(x, 2).alias("x"))
+
+
+@query("linear_targets", f"WITH {P} SELECT pid, round(10 + pid / 99999.0 * 980, 6) AS x, round(20 + pid / 99999.0 * 480, 6) AS y FROM p")
+def _(spark, d):
+    x, y = PT.linear(F.col("pid"), 100_000, (10.0, 20.0), (990.0, 500.0))
+    return T.particles(spark, d).select("pid", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+# geometry
+
+NUM = ["(x1 - x0) * (py - y0) - (y1 - y0) * (px - x0)", "(x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)", "(x0 - x2) * (py - y2) - (y0 - y2) * (px - x2)"]
+GEO = f"{V}, {E}, {HALF}, {SIDE}, {ES}, {G}"
+
+
+@query("particle_barycentric", f"WITH {GEO}, {P} SELECT pid, {', '.join(f'{x} AS b{i}' for i, x in enumerate(NUM))} FROM (SELECT p.pid, tx AS px, ty AS py, g.* FROM p JOIN g ON eid = elem_id)")
+def _(spark, d):
+    m = T.mesh(spark)
+    q = T.particles(spark, d).join(M.elem_geometry(m), F.col("elem_id") == F.col("eid"))
+    return q.select("pid", *(b.alias(f"b{i}") for i, b in enumerate(geometry.barycentric_numerators_2d(M.points(m), [F.col("tx"), F.col("ty")]))))
+
+
+@query("in_parent_check", f"WITH {GEO}, {P} SELECT pid, least({', '.join(NUM)}) >= 0 AS ok FROM (SELECT p.pid, ox AS px, oy AS py, g.* FROM p JOIN g ON eid = (elem_id + pid % 3) % 200)")
+def _(spark, d):
+    p = T.particles(spark, d).withColumn("elem_id", (F.col("elem_id") + F.col("pid") % 3) % 200)
+    return W.check_initial_parents(p, M.walk_table(T.mesh(spark)), 2, 0.0).select("pid", "ok")
+
+
+@query("segment_edge_hits", f"""WITH {P}, s AS (SELECT *, (tx - ox) * 1000000 - 0 * (ty - oy) AS det, (500000 - ox) * 1000000 - (0 - oy) * 0 AS s, (500000 - ox) * (ty - oy) - (0 - oy) * (tx - ox) AS t FROM p)
+  SELECT pid, det > 0 AND s BETWEEN 0 AND det AND t BETWEEN 0 AND det AS hit FROM s""")
+def _(spark, d):
+    a, b = [F.lit(500000), F.lit(0)], [F.lit(500000), F.lit(1000000)]
+    r = geometry.line_edge_2d(a, b, [F.col("ox"), F.col("oy")], [F.col("tx"), F.col("ty")])
+    return T.particles(spark, d).select("pid", r["hit"].alias("hit"))
+
+
+FACE3 = [[F.lit(float(v)) for v in p] for p in ((200000, 0, 0), (900000, 200000, 100000), (300000, 900000, 50000))]
+RAY = f"""{P}, q AS (SELECT pid, CAST(ox AS DOUBLE) AS ax, CAST(oy AS DOUBLE) AS ay, -200000.0::DOUBLE AS az, CAST(tx - ox AS DOUBLE) AS dx, CAST(ty - oy AS DOUBLE) AS dy, CAST(val * 20 AS DOUBLE) AS dz FROM p),
+  n AS (SELECT *, 200000.0 * 50000 - 100000.0 * 900000 AS nx, 100000.0 * 100000 - 700000.0 * 50000 AS ny, 700000.0 * 900000 - 200000.0 * 100000 AS nz FROM q),
+  h AS (SELECT *, nx * dx + ny * dy + nz * dz AS dproj FROM n), i AS (SELECT *, -(nx * (ax - 200000) + ny * ay + nz * az) / nullif(dproj, 0) AS t FROM h),
+  x AS (SELECT *, ax + dx * t - 200000 AS rx, ay + dy * t AS ry, az + dz * t AS rz, nx * nx + ny * ny + nz * nz AS nn FROM i),
+  w AS (SELECT *, ((ry * 50000 - rz * 900000) * nx + (rz * 100000 - rx * 50000) * ny + (rx * 900000 - ry * 100000) * nz) / nn AS u,
+    ((200000 * rz - 100000 * ry) * nx + (100000 * rx - 700000 * rz) * ny + (700000 * ry - 200000 * rx) * nz) / nn AS vv FROM x)"""
+RAY_HIT = "coalesce(dproj >= 1e-10 AND t >= -1e-10 AND u >= -1e-10 AND vv >= -1e-10 AND u + vv <= 1 + 2e-10, false)"
+
+
+def _rays(spark, d, test):
+    p = T.particles(spark, d)
+    o = [F.col("ox").cast("double"), F.col("oy").cast("double"), F.lit(-200000.0)]
+    t = [F.col("tx").cast("double"), F.col("ty").cast("double"), F.lit(-200000.0) + F.col("val") * 20]
+    r = test(FACE3, o, t)
+    return p.select("pid", r["hit"].alias("hit"), F.when(r["hit"], F.round(r["z"], 3)).alias("z"))
+
+
+@query("ray_triangle_hits", f"WITH {RAY} SELECT pid, {RAY_HIT} AS hit, CASE WHEN {RAY_HIT} THEN round(az + dz * t, 3) END AS z FROM w")
+def _(spark, d):
+    return _rays(spark, d, geometry.ray_triangle)
+
+
+@query("segment_triangle_hits", f"WITH {RAY} SELECT pid, {RAY_HIT} AND coalesce(t <= 1 + 1e-10, false) AS hit, CASE WHEN {RAY_HIT} AND t <= 1 + 1e-10 THEN round(az + dz * t, 3) END AS z FROM w")
+def _(spark, d):
+    return _rays(spark, d, geometry.segment_triangle)
+
+
+@query("closest_point_on_triangle", f"""WITH {P}, q AS (SELECT pid, tx - 300000.0 AS px, ty - 300000.0 AS py FROM p),
+  c AS (SELECT *, 400000.0 * px AS d1, 400000.0 * py AS d2, 400000.0 * (px - 400000) AS d3, 400000.0 * py AS d4, 400000.0 * px AS d5, 400000.0 * (py - 400000) AS d6 FROM q),
+  r AS (SELECT *, d3 * d6 - d5 * d4 AS va, d5 * d2 - d1 * d6 AS vb, d1 * d4 - d3 * d2 AS vc FROM c)
+  SELECT pid, CASE WHEN d1 <= 0 AND d2 <= 0 THEN 'VTXA' WHEN d3 >= 0 AND d4 <= d3 THEN 'VTXB' WHEN d6 >= 0 AND d5 <= d6 THEN 'VTXC' WHEN vc <= 0 AND d1 >= 0 AND d3 <= 0 THEN 'EDGEAB'
+    WHEN vb <= 0 AND d2 >= 0 AND d6 <= 0 THEN 'EDGEAC' WHEN va <= 0 AND d4 - d3 >= 0 AND d5 - d6 >= 0 THEN 'EDGEBC' ELSE 'TRIFACE' END AS region FROM r""")
+def _(spark, d):
+    tri = [[F.lit(float(v)) for v in p] for p in ((300000, 300000, 0), (700000, 300000, 0), (300000, 700000, 0))]
+    c = geometry.closest_point_on_triangle(tri, [F.col("tx").cast("double"), F.col("ty").cast("double"), F.lit(50.0)])
+    return T.particles(spark, d).select("pid", c["region"].alias("region"))
+
+
+@query("argmin_ties", f"WITH {P}, q AS (SELECT pid, pid % 4 AS a, pid // 4 % 4 AS b, pid // 16 % 4 AS c FROM p) SELECT pid, CASE WHEN least(a, b) < c THEN CASE WHEN a < b THEN 0 ELSE 1 END ELSE 2 END AS later, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS first FROM q")
+def _(spark, d):
+    q = T.particles(spark, d).select("pid", (F.col("pid") % 4).alias("a"), F.expr("pid div 4 % 4").alias("b"), F.expr("pid div 16 % 4").alias("c"))
+    v = [F.col(x) for x in "abc"]
+    return q.select("pid", scalar.min3(*v).alias("later"), scalar.min_index(v).alias("first"))
+
+
+@query("exclusive_scan", f"WITH {P}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id) SELECT elem_id, n, CAST(coalesce(sum(n) OVER (ORDER BY elem_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM c")
+def _(spark, d):
+    from tesselark.storage import running_sum
+
+    return running_sum(PT.per_element(T.particles(spark, d)), ["elem_id"], "n", "before").select("elem_id", "n", "before")
+
+
+# walks
+
+WALK = f"WITH RECURSIVE {GEO}, {P}, {T.walk_sql()}"
+
+
+def _walk(spark, d):
+    return W.search_2d(T.particles(spark, d), M.walk_table(T.mesh(spark)), tol=0.0)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Particles and their mean value in each element after one push."""
+    found = W.search_fused_2d(T.particles(spark, d), M.walk_table(T.mesh(spark))).where("elem_id >= 0")
+    values = T.particles(spark, d).select("pid", "val")
+    return found.join(values, "pid").groupBy("elem_id").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("sum_val"), F.max("hops").alias("max_hops"))
+
+
+@query("walk2d_final_element", f"{WALK} SELECT pid, elem_id, hops FROM last")
+def _(spark, d):
+    return _walk(spark, d).select("pid", "elem_id", "hops")
+
+
+@query("walk2d_fused", SQL["walk2d_final_element"])
+def _(spark, d):
+    return W.search_fused_2d(T.particles(spark, d), M.walk_table(T.mesh(spark)))
+
+
+@query("walk2d_recursive", SQL["walk2d_final_element"])
+def _(spark, d):
+    T.particles(spark, d).select("pid", "elem_id", "tx", "ty").createOrReplaceTempView("tesselark_particles")
+    cut(M.walk_table(T.mesh(spark))).createOrReplaceTempView("tesselark_walk")
+    return spark.sql(W.recursive_walk_sql("tesselark_particles", "tesselark_walk"))
+
+
+@query("walk2d_hops", f"{WALK} SELECT hops, count(*) AS n FROM last GROUP BY hops")
+def _(spark, d):
+    return _walk(spark, d).groupBy("hops").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("walk2d_exited", f"{WALK} SELECT p.pid FROM p JOIN last ON last.pid = p.pid WHERE last.elem_id = -1")
+def _(spark, d):
+    return _walk(spark, d).where("elem_id = -1").select("pid")
+
+
+@query("walk2d_looplimit", f"{WALK} SELECT p.pid, CASE WHEN hops > 3 OR (hops = 3 AND last.elem_id >= 0 AND NOT EXISTS (SELECT 1 FROM hop h WHERE h.pid = last.pid AND h.hops = 3 AND h.moves = false AND h.elem_id >= 0 AND false)) THEN -1 ELSE last.elem_id END AS elem_id FROM p JOIN last ON last.pid = p.pid")
+def _(spark, d):
+    return W.search_2d(T.particles(spark, d), M.walk_table(T.mesh(spark)), looplimit=3, tol=0.0).select("pid", "elem_id")
+
+
+@query("walk2d_particles_per_element", f"{WALK} SELECT elem_id, count(*) AS n, CAST(sum(val) AS BIGINT) AS sum_val, max(hops) AS max_hops FROM last JOIN p USING (pid) WHERE last.elem_id >= 0 GROUP BY last.elem_id".replace("SELECT elem_id, count", "SELECT last.elem_id AS elem_id, count"))
+def _(spark, d):
+    return flagship(spark, d)
+
+
+@query("walk2d_intersections")
+def _(spark, d):
+    out = W.trace(T.particles(spark, d), M.walk_table(T.mesh(spark)), 2, crossing=True, tol=0.0)
+    return out.select("pid", "elem_id", "face", F.round("px", 3).alias("px"), F.round("py", 3).alias("py"))
+
+
+def _particles_3d(spark, d):
+    p = T.particles(spark, d)
+    h = 900_000 // T.TET_N
+    place = {"ox": F.col("ox") * 9 / 10, "oy": F.col("oy") * 9 / 10, "oz": (F.col("val") * 7919 % 900_000).cast("double")}
+    p = p.withColumns(place).withColumns({"tx": F.col("ox") + (F.col("tx") - F.col("oy")) / 7, "ty": F.col("oy") + F.col("val") * 3, "tz": F.col("oz") - F.col("val") * 2})
+    i, j, k = (F.floor(F.col(f"o{a}") / h) for a in "xyz")
+    x, y, z = (F.col(f"o{a}") % h for a in "xyz")
+    t = F.when((x >= y) & (y >= z), 0).when((y >= x) & (x >= z), 1).when((y >= z) & (z >= x), 2).when((z >= y) & (y >= x), 3).when((z >= x) & (x >= y), 4).otherwise(5)
+    return p.withColumn("elem_id", (((i * T.TET_N + j) * T.TET_N + k) * 6 + t).cast("long"))
+
+
+@query("walk3d_final_element")
+def _(spark, d):
+    return W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark)), 3).select("pid", "elem_id", "hops")
+
+
+@query("walk3d_ray_to_wall")
+def _(spark, d):
+    out = W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark)), 3, crossing=True)
+    return out.select("pid", "elem_id", "face", *(F.round(f"p{a}", 3).alias(f"p{a}") for a in "xyz"))
+
+
+@query("walk3d_segment")
+def _(spark, d):
+    return W.search_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark)), tol=1e-9).select("pid", "elem_id", "hops")
+
+
+@query("locate_particles", f"WITH {P} SELECT pid, elem_id AS eid FROM p WHERE ox % {T.H} <> oy % {T.H} AND ox % {T.H} > 0 AND oy % {T.H} > 0")
+def _(spark, d):
+    p = T.particles(spark, d).where(f"ox % {T.H} <> oy % {T.H} and ox % {T.H} > 0 and oy % {T.H} > 0")
+    return M.locate(p.select("pid", F.col("ox").alias("x"), F.col("oy").alias("y")), T.mesh(spark), float(T.H)).select("pid", "eid")
+
+
+@query("reflect_and_remove_at_wall")
+def _(spark, d):
+    p = T.particles(spark, d).withColumns({"dx": F.col("tx") - F.col("ox"), "dy": F.col("ty") - F.col("oy")})
+    hit = W.trace(p, M.walk_table(T.mesh(spark)), 2, crossing=True, tol=0.0).select("pid", F.col("elem_id").alias("at"), "face", "px", "py")
+    met = p.join(hit, "pid").withColumn("elem_id", F.col("at"))
+    back = PT.reflect_at_wall(met.withColumns({c: F.col(c).cast("double") for c in ("tx", "ty", "dx", "dy")}), 2)
+    return PT.remove_at_wall(back).select("pid", "elem_id", F.round("tx", 3).alias("tx"), "dx")
+
+
+# counts, rebuild, migration
+
+
+@query("particles_per_element", f"WITH {P} SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id")
+def _(spark, d):
+    return PT.per_element(T.particles(spark, d))
+
+
+@query("particle_lists", f"WITH {E}, {P}, c AS (SELECT eid AS elem_id, count(pid) AS n FROM e LEFT JOIN p ON eid = p.elem_id GROUP BY eid) SELECT elem_id, n, CAST(coalesce(sum(n) OVER (ORDER BY elem_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c")
+def _(spark, d):
+    return PT.particle_lists(T.particles(spark, d), T.mesh(spark).elem).select("elem_id", "n", "offset")
+
+
+@query("particle_slots", f"WITH {P} SELECT pid, elem_id, row_number() OVER (PARTITION BY elem_id ORDER BY pid) - 1 AS slot FROM p")
+def _(spark, d):
+    return PT.slots(T.particles(spark, d)).select("pid", "elem_id", "slot")
+
+
+@query("has_particles", f"WITH {E}, {P} SELECT eid, CASE WHEN eid IN (SELECT elem_id FROM p WHERE species = 'click') THEN 5 ELSE -1 END AS has_particles FROM e")
+def _(spark, d):
+    return SC.has_particles(T.mesh(spark).elem, T.particles(spark, d).where("species = 'click'"), 5).select("eid", "has_particles")
+
+
+@query("class_deposits", f"WITH {E}, {P} SELECT class_id, count(*) AS n, CAST(sum(val) AS BIGINT) AS sum_val FROM p JOIN e ON eid = elem_id GROUP BY class_id")
+def _(spark, d):
+    p = T.particles(spark, d).join(T.mesh(spark).elem.select(F.col("eid").alias("elem_id"), "class_id"), "elem_id")
+    return p.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("sum_val"))
+
+
+@query("sigma_sort", f"""WITH {P}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id) SELECT elem_id, n, elem_id // 32 AS chunk, elem_id // 32 * 32 + row_number() OVER (PARTITION BY elem_id // 32 ORDER BY n DESC, elem_id) - 1 AS "row" FROM c""")
+def _(spark, d):
+    return PT.sigma_sort(PT.per_element(T.particles(spark, d)), 32)
+
+
+@query("layout_metrics", f"""WITH {E}, {P}, c AS (SELECT eid, count(pid) AS n FROM e LEFT JOIN p ON eid = p.elem_id GROUP BY eid), s AS (SELECT *, (row_number() OVER (ORDER BY n DESC, eid) - 1) // 32 AS s FROM c),
+  w AS (SELECT s, max(n) AS width, sum(n) AS n, count(*) AS r, count(*) FILTER (WHERE n = 0) AS z FROM s GROUP BY s)
+  SELECT CAST(sum(r) AS BIGINT) AS elements, CAST(sum(z) AS BIGINT) AS empty_elements, CAST(sum(n) AS BIGINT) AS particles, CAST(sum(width * r) AS BIGINT) AS cells, CAST(sum(width * r) - sum(n) AS BIGINT) AS padded_cells FROM w""")
+def _(spark, d):
+    return PT.layout_metrics(T.particles(spark, d), T.mesh(spark).elem)
+
+
+@query("rebuild_move", f"WITH {P} SELECT (elem_id * 3 + pid) % 200 AS elem_id, count(*) AS n, CAST(sum(pid) AS BIGINT) AS sum_pid FROM p GROUP BY 1")
+def _(spark, d):
+    moved = PT.rebuild(T.particles(spark, d).withColumn("new_elem", (F.col("elem_id") * 3 + F.col("pid")) % 200))
+    return moved.groupBy("elem_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("sum_pid"))
+
+
+@query("rebuild_delete", f"WITH {P} SELECT pid, elem_id FROM p WHERE pid % 7 <> 0")
+def _(spark, d):
+    return PT.rebuild(T.particles(spark, d).withColumn("new_elem", F.when(F.col("pid") % 7 == 0, -1).otherwise(F.col("elem_id")))).select("pid", "elem_id")
+
+
+@query("rebuild_insert", f"WITH {P} SELECT pid, elem_id FROM p UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % 200 FROM orders")
+def _(spark, d):
+    added = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % 200).alias("elem_id"))
+    return PT.rebuild(T.particles(spark, d).select("pid", "elem_id", F.col("elem_id").alias("new_elem")), added=added)
+
+
+@query("rebuild_mixed", f"WITH {P} SELECT pid, (elem_id + 1) % 200 AS elem_id FROM p WHERE pid % 5 <> 0 UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % 200 FROM orders WHERE o_orderkey % 2 = 0")
+def _(spark, d):
+    added = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 2 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % 200).alias("elem_id"))
+    p = T.particles(spark, d).select("pid", "elem_id", F.when(F.col("pid") % 5 == 0, -1).otherwise((F.col("elem_id") + 1) % 200).alias("new_elem"))
+    return PT.rebuild(p, added=added)
+
+
+HALO1 = f"{E}, {EV}, {O}, {P}, {R}, {T.halo_sql(1)}"
+
+
+def _parts(spark, ghost=2, safe=1):
+    m = T.mesh(spark)
+    return PA.layered_mesh(m, T.owners(spark), RANKS, ghost, safe)
+
+
+@query("unsafe_ranks", f"""WITH {HALO1} SELECT pid, rank, CASE WHEN new_elem < 0 OR EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE CAST(new_elem // 2 // {N} // 3 AS INTEGER) END AS new_rank FROM r""")
+def _(spark, d):
+    parts = _parts(spark)
+    return PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners).select("pid", "rank", "new_rank")
+
+
+@query("migrate_counts", f"""WITH {HALO1}, m AS (SELECT new_elem, CASE WHEN EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE CAST(new_elem // 2 // {N} // 3 AS INTEGER) END AS nr FROM r WHERE new_elem >= 0)
+  SELECT nr AS rank, new_elem AS elem_id, count(*) AS n FROM m GROUP BY 1, 2""")
+def _(spark, d):
+    parts = _parts(spark)
+    return PT.migrate_particles(T.ranked(spark, d), parts.halo, parts.owners, RANKS, place=True).groupBy("rank", "elem_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("imbalance", f"WITH {E}, {P}, {R}, c AS (SELECT rank, count(*) AS n FROM r GROUP BY rank) SELECT max(n) AS max_n, min(n) AS min_n, sum(n) / count(*) AS avg_n, CAST(sum(n) // count(*) AS BIGINT) AS avg_int, max(n) * count(*) / sum(n) AS imbalance FROM c")
+def _(spark, d):
+    return PT.imbalance(T.ranked(spark, d))
+
+
+# partitions
+
+
+@query("owners_by_class", f"WITH {E} SELECT eid, CAST(class_id % 2 AS INTEGER) AS owner FROM e")
+def _(spark, d):
+    return PA.owners_by_class(T.mesh(spark).elem, spark.range(5).select(F.col("id").cast("int").alias("class_id"), (F.col("id") % 2).cast("int").alias("owner")))
+
+
+@query("owners_lower_dim", f"WITH {E}, {EV}, {O} SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid")
+def _(spark, d):
+    return PA.lower_owners(M.elem_vert(T.mesh(spark)), T.owners(spark), "vid")
+
+
+@query("rank_offsets", f"WITH {E}, {O}, c AS (SELECT owner AS rank, count(*) AS n FROM o GROUP BY owner UNION ALL SELECT 4, 0) SELECT rank, n, CAST(coalesce(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c")
+def _(spark, d):
+    return PA.rank_offsets(spark, T.owners(spark), RANKS + 1)
+
+
+@query("global_numbers", f"WITH {E}, {EV}, {O}, w AS (SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid) SELECT vid, owner, row_number() OVER (ORDER BY owner, vid) - 1 AS gid, row_number() OVER (PARTITION BY owner ORDER BY vid) - 1 AS rank_lid FROM w")
+def _(spark, d):
+    return PA.global_numbers(spark, PA.lower_owners(M.elem_vert(T.mesh(spark)), T.owners(spark), "vid"), "vid", RANKS)
+
+
+HALO2 = f"{E}, {EV}, {O}, {T.halo_sql(2)}"
+
+
+@query("halo_layers", f"WITH {HALO2} SELECT rank, eid, CASE WHEN EXISTS (SELECT 1 FROM l0 WHERE l0.rank = l2.rank AND l0.eid = l2.eid) THEN 0 WHEN EXISTS (SELECT 1 FROM l1 WHERE l1.rank = l2.rank AND l1.eid = l2.eid) THEN 1 ELSE 2 END AS layer FROM l2")
+def _(spark, d):
+    return PA.bfs_layers(T.owners(spark), PA.bridge(T.mesh(spark)), 2)
+
+
+@query("halo_parts", f"WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)) SELECT b.rank, b.owner, count(*) AS n, count(*) AS total, 2 AS complete FROM b JOIN o ON o.owner = b.owner GROUP BY b.rank, b.owner")
+def _(spark, d):
+    parts = _parts(spark)
+    return PA.buffered_parts(parts.halo, parts.owners)
+
+
+@query("halo_build", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid))
+  SELECT b.rank, o.eid, o.owner = b.rank AS is_core, EXISTS (SELECT 1 FROM l1 WHERE l1.rank = b.rank AND l1.eid = o.eid) AS is_safe FROM b JOIN o ON o.owner = b.owner""")
+def _(spark, d):
+    return _parts(spark).halo
+
+
+@query("safe_inward", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), held AS (SELECT b.rank, o.eid FROM b JOIN o ON o.owner = b.owner),
+  un AS (SELECT x.rank, o.eid FROM (SELECT DISTINCT owner AS rank FROM o) x, o WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.rank = x.rank AND h.eid = o.eid)),
+  reach AS (SELECT DISTINCT un.rank, y.eid FROM un JOIN ev x ON x.eid = un.eid JOIN ev y ON y.vid = x.vid)
+  SELECT rank, eid FROM held WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.rank = held.rank AND r.eid = held.eid) UNION SELECT owner, eid FROM o""")
+def _(spark, d):
+    o, links = T.owners(spark), PA.bridge(T.mesh(spark))
+    parts = PA.parts_in_reach(PA.bfs_layers(o, links, 2), o, 2)
+    return PA.safe_inward(parts, o, links, 1)
+
+
+@query("full_mesh_halo", f"WITH {E}, {O} SELECT CAST(k AS INTEGER) AS rank, eid, owner = k AS is_core, true AS is_safe FROM o, range({RANKS}) x(k)")
+def _(spark, d):
+    return PA.full_mesh(T.mesh(spark), T.owners(spark), RANKS).halo
+
+
+@query("pic_part", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid) WHERE l2.rank = 3), k AS (SELECT e.* FROM e JOIN o USING (eid) WHERE owner IN (SELECT owner FROM b)),
+  u AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM (SELECT v0 AS vid FROM k UNION SELECT v1 FROM k UNION SELECT v2 FROM k))
+  SELECT row_number() OVER (ORDER BY eid) - 1 AS eid, eid AS eid_global, a.new AS v0, b2.new AS v1, c.new AS v2 FROM k JOIN u a ON a.vid = v0 JOIN u b2 ON b2.vid = v1 JOIN u c ON c.vid = v2""")
+def _(spark, d):
+    return _parts(spark).local(3).elem.select("eid", "eid_global", "v0", "v1", "v2")
+
+
+HELD = f"{HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), held AS (SELECT DISTINCT b.rank, vid FROM b JOIN o ON o.owner = b.owner JOIN ev ON ev.eid = o.eid), vo AS (SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid)"
+
+
+def _held(spark):
+    m, parts = T.mesh(spark), _parts(spark)
+    down = M.elem_vert(m)
+    held = PA.held_entities(parts.halo, down, "vid")
+    return held.withColumn("w", (F.col("rank") * 1000 + F.col("vid")).cast("long")), PA.lower_owners(down, parts.owners, "vid")
+
+
+for _op in ("SUM", "MAX", "MIN"):
+    SQL[f"reduce_{_op.lower()}"] = f"WITH {HELD} SELECT rank, vid, CAST({_op}(rank * 1000 + vid) OVER (PARTITION BY vid) AS BIGINT) AS w FROM held"
+    QUERIES[f"reduce_{_op.lower()}"] = lambda spark, d, op=_op: PA.reduce_comm_array(_held(spark)[0], "vid", op, ["w"])
+
+
+@query("reduce_bcast", f"WITH {HELD} SELECT h.rank, h.vid, CAST(owner * 1000 + h.vid AS BIGINT) AS w FROM held h JOIN vo ON vo.vid = h.vid")
+def _(spark, d):
+    held, vo = _held(spark)
+    return PA.reduce_comm_array(held, "vid", "BCAST", ["w"], vo)
+
+
+@query("comm_index", f"WITH {HELD}, g AS (SELECT vid, owner, row_number() OVER (PARTITION BY owner ORDER BY vid) - 1 AS lid FROM vo) SELECT h.rank, h.vid, owner, row_number() OVER (PARTITION BY h.rank ORDER BY owner, lid) - 1 AS index FROM held h JOIN g ON g.vid = h.vid")
+def _(spark, d):
+    held, vo = _held(spark)
+    return PA.comm_index(held.select("rank", "vid"), PA.global_numbers(spark, vo, "vid", RANKS), "vid")
+
+
+@query("shared_unit_sums", f"WITH {HELD}, c AS (SELECT vid, count(*) AS n FROM held GROUP BY vid) SELECT h.rank, h.vid, round(sum(1.0 / n) OVER (PARTITION BY h.vid), 9) AS w FROM held h JOIN c ON c.vid = h.vid")
+def _(spark, d):
+    held, _vo = _held(spark)
+    n = PA.reduce_comm_array(PA.comm_array(held, "vid", {"w": 1}), "vid", "SUM", ["w"])
+    return PA.reduce_comm_array(n.withColumn("w", 1.0 / F.col("w")), "vid", "SUM", ["w"]).withColumn("w", F.round("w", 9))
+
+
+# scatter and interpolation
+
+
+@query("vertex_density", f"WITH {E}, {EV}, {P}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id) SELECT vid, round(sum(coalesce(n, 0)) / count(*), 6) AS density FROM ev LEFT JOIN c ON elem_id = eid GROUP BY vid")
+def _(spark, d):
+    return SC.vertex_density(T.particles(spark, d), T.mesh(spark)).withColumn("density", F.round("density", 6))
+
+
+GYRO = Gyro(rmax=60000.0, rings=3, points=8, theta=7.0)
+
+
+@query("gyro_ring_points", f"WITH {V} SELECT vid, CAST(ring AS INTEGER) AS ring, CAST(pt AS INTEGER) AS pt, round(x + 20000.0 * (ring + 1) * cos(radians(7 + pt / 8.0 * 360)), 3) AS x, round(y + 20000.0 * (ring + 1) * sin(radians(7 + pt / 8.0 * 360)), 3) AS y FROM v, range(3) a(ring), range(8) b(pt)")
+def _(spark, d):
+    return SC.ring_points(T.mesh(spark), GYRO).select("vid", "ring", "pt", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+RINGS = f"""{V}, {E}, {EV}, {P}, rp AS (SELECT vid, ring, pt, x + 20000.0 * (ring + 1) * cos(radians(7 + pt / 8.0 * 360)) AS x, y + 20000.0 * (ring + 1) * sin(radians(7 + pt / 8.0 * 360)) AS y FROM v, range(3) a(ring), range(8) b(pt)),
+  le AS (SELECT vid, ring, pt, CAST(2 * (floor(x / {T.H}) * {N} + floor(y / {T.H})) + CASE WHEN y - floor(y / {T.H}) * {T.H} > x - floor(x / {T.H}) * {T.H} THEN 1 ELSE 0 END AS BIGINT) AS eid FROM rp WHERE x > 0 AND y > 0 AND x < {LENGTH} AND y < {LENGTH}),
+  mp AS (SELECT le.vid, ring, pt, ev.vid AS "to" FROM le JOIN ev ON ev.eid = le.eid)"""
+
+
+@query("gyro_ring_map", f'WITH {RINGS} SELECT vid, CAST(ring AS INTEGER) AS ring, CAST(pt AS INTEGER) AS pt, "to" FROM mp')
+def _(spark, d):
+    m = T.mesh(spark)
+    return SC.ring_map(m, SC.ring_points(m, GYRO))
+
+
+@query("gyro_scatter", f"""WITH {RINGS}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id), w AS (SELECT vid, ring, sum(n) AS w FROM ev JOIN c ON elem_id = eid, (VALUES (0), (1)) r(ring) GROUP BY vid, ring),
+  s AS (SELECT "to" AS vid, sum(w.w) / 8 AS w FROM mp JOIN w ON w.vid = mp.vid AND w.ring = mp.ring GROUP BY 1) SELECT v.vid, round(coalesce(s.w, 0), 6) AS w FROM v LEFT JOIN s ON s.vid = v.vid""")
+def _(spark, d):
+    m = T.mesh(spark)
+    mapping = SC.ring_map(m, SC.ring_points(m, GYRO))
+    return SC.gyro_scatter(T.particles(spark, d), m, mapping, GYRO).withColumn("w", F.round("w", 6))
+
+
+@query("gyro_sync", f"WITH {HELD} SELECT vid, CAST(sum(rank * 1000 + vid) AS BIGINT) AS fwd, CAST(sum(2 * (rank * 1000 + vid)) AS BIGINT) AS bkwd FROM held GROUP BY vid")
+def _(spark, d):
+    held, _vo = _held(spark)
+    return SC.gyro_sync(held, held.withColumn("w", F.col("w") * 2))
+
+
+FIELD = [float((i * 37 + j * 11) % 23) for j in range(5) for i in range(6)]
+FIELD_SQL = "f AS (SELECT i, j, CAST((i * 37 + j * 11) % 23 AS DOUBLE) AS f FROM range(6) a(i), range(5) b(j))"
+
+
+@query("interpolate_bilinear", f"""WITH {P}, {FIELD_SQL}, q AS (SELECT pid, CAST(tx AS DOUBLE) AS x, CAST(ty AS DOUBLE) AS z, greatest(CAST(floor((tx - 0.0) / 200000) AS BIGINT), 0) AS i, greatest(CAST(floor((ty - 0.0) / 250000) AS BIGINT), 0) AS j FROM p),
+  c AS (SELECT q.*, least(i, 5) AS i0, least(j, 4) AS j0 FROM q),
+  g AS (SELECT c.*, a.f AS f00, b.f AS f10, k.f AS f01, l.f AS f11 FROM c JOIN f a ON a.i = i0 AND a.j = j0 LEFT JOIN f b ON b.i = i0 + 1 AND b.j = j0 LEFT JOIN f k ON k.i = i0 AND k.j = j0 + 1 LEFT JOIN f l ON l.i = i0 + 1 AND l.j = j0 + 1)
+  SELECT pid, round(CASE WHEN i0 >= 5 AND j0 >= 4 THEN f00 WHEN i0 >= 5 THEN (f00 * (250000.0 * (j0 + 1) - z) + f01 * (z - 250000.0 * j0)) / 250000 WHEN j0 >= 4 THEN (f00 * (200000.0 * (i0 + 1) - x) + f10 * (x - 200000.0 * i0)) / 200000
+    ELSE ((f00 * (200000.0 * (i0 + 1) - x) + f10 * (x - 200000.0 * i0)) / 200000 * (250000.0 * (j0 + 1) - z) + (f01 * (200000.0 * (i0 + 1) - x) + f11 * (x - 200000.0 * i0)) / 200000 * (z - 250000.0 * j0)) / 250000 END, 5) AS f FROM g""")
+def _(spark, d):
+    pos = [F.col("tx").cast("double"), F.lit(0.0), F.col("ty").cast("double")]
+    data = F.array(*map(F.lit, FIELD))
+    return T.particles(spark, d).select("pid", F.round(interp.bilinear(data, 0.0, 0.0, 200000.0, 250000.0, 6, 5, pos, cylindrical=False), 5).alias("f"))
+
+
+@query("interpolate_trilinear", f"""WITH {P}, q AS (SELECT pid, ox / 250000.0 AS x, oy / 250000.0 AS y, val / 10000.0 AS z FROM p),
+  c AS (SELECT *, least(greatest(CAST(floor(x) AS BIGINT), 0), 3) AS i, least(greatest(CAST(floor(y) AS BIGINT), 0), 3) AS j, least(greatest(CAST(floor(z) AS BIGINT), 0), 3) AS k FROM q),
+  s AS (SELECT pid, sum(CAST(((i + a) * 7 + (j + b) * 5 + (k + e) * 3) % 17 AS DOUBLE) * CASE WHEN a = 1 THEN x - i ELSE i + 1 - x END * CASE WHEN b = 1 THEN y - j ELSE j + 1 - y END * CASE WHEN e = 1 THEN z - k ELSE k + 1 - z END) AS f
+    FROM c, range(2) r(a), range(2) t(b), range(2) u(e) GROUP BY pid) SELECT pid, round(f, 5) AS f FROM s""")
+def _(spark, d):
+    data = F.array(*(F.lit(float((i * 7 + j * 5 + k * 3) % 17)) for k in range(5) for j in range(5) for i in range(5)))
+    grid = [0.0, 1.0, 2.0, 3.0, 4.0]
+    pos = [F.col("ox") / 250000.0, F.col("oy") / 250000.0, F.col("val") / 10000.0]
+    return T.particles(spark, d).select("pid", F.round(interp.trilinear(data, grid, grid, grid, pos), 5).alias("f"))
+
+
+@query("interpolate_in_element", f"""WITH {GEO}, {P}, q AS (SELECT p.pid, ox AS px, oy AS py, g.*, v0, v1, v2 FROM p JOIN g ON g.eid = elem_id JOIN e ON e.eid = elem_id)
+  SELECT pid, round((v0 * ({NUM[1]}) + v1 * ({NUM[2]}) + v2 * ({NUM[0]})) / 1e10, 5) AS f FROM q""")
+def _(spark, d):
+    m = T.mesh(spark)
+    q = T.particles(spark, d).join(M.elem_geometry(m), F.col("elem_id") == F.col("eid"))
+    b = M.barycentric(m, [F.col("ox"), F.col("oy")], by_vertex=True)
+    return q.select("pid", F.round(interp.in_element([F.col(v) for v in m.verts], b), 5).alias("f"))
+
+
+# balance
+
+SETS = f"{HALO1}, s AS (SELECT eid, list_sort(list(rank)) AS ranks FROM l1 GROUP BY eid), si AS (SELECT ranks, CAST(row_number() OVER (ORDER BY ranks) - 1 AS INTEGER) AS sbar FROM (SELECT DISTINCT ranks FROM s)), st AS (SELECT eid, s.ranks, sbar FROM s JOIN si ON si.ranks = s.ranks)"
+
+
+@query("safe_sets", f"WITH {SETS} SELECT eid, array_to_string(ranks, ',') AS ranks, sbar FROM st")
+def _(spark, d):
+    return balance.safe_sets(_parts(spark).halo).select("eid", joined("ranks").alias("ranks"), "sbar")
+
+
+WEIGHTS = f"m AS (SELECT pid, rank, new_elem, CASE WHEN new_elem < 0 OR EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE CAST(new_elem // 2 // {N} // 3 AS INTEGER) END AS new_rank FROM r)"
+
+
+@query("balance_weights", f"WITH {SETS}, {WEIGHTS} SELECT new_rank AS rank, sbar, count(*) AS n FROM m JOIN st ON eid = new_elem GROUP BY 1, 2")
+def _(spark, d):
+    parts = _parts(spark)
+    return balance.weights(PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners), balance.safe_sets(parts.halo))
+
+
+@query("balance_select", f"""WITH {SETS}, {WEIGHTS}, c AS (SELECT m.*, sbar, array_to_string(ranks, ',') AS ranks, o.owner, new_rank = m.rank AND sbar IS NOT NULL AS stays FROM m LEFT JOIN st ON st.eid = new_elem LEFT JOIN o ON o.eid = new_elem),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY new_rank, sbar, stays ORDER BY CASE WHEN owner = rank THEN 1 ELSE 0 END, pid) AS place FROM c)
+  SELECT pid, CASE WHEN stays AND ranks = '0,1' AND rank = 0 AND place <= 40 THEN 1 WHEN stays AND ranks = '1,2' AND rank = 2 AND place <= 25 THEN 1 ELSE new_rank END AS new_rank FROM pl""")
+def _(spark, d):
+    parts = _parts(spark)
+    sets = balance.safe_sets(parts.halo)
+    p = PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners)
+    named = sets.select(joined("ranks").alias("names"), "sbar").distinct()
+    quotas = spark.createDataFrame([("0,1", 0, 1, 40), ("1,2", 2, 1, 25)], "names string, rank int, target int, quota long").join(named, "names").select("rank", "sbar", "target", "quota")
+    return balance.select_particles(p, sets, quotas, parts.owners).select("pid", "new_rank")
+
+
+@query("balance_repartition")
+def _(spark, d):
+    parts = _parts(spark)
+    return balance.repartition(T.ranked(spark, d), parts.halo, parts.owners, RANKS, tol=1.05).select("pid", "rank", "new_rank")
+
+
+@query("migrate_balanced")
+def _(spark, d):
+    parts = _parts(spark)
+    return balance.migrate_balanced(T.ranked(spark, d), parts.halo, parts.owners, RANKS).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("class_partition")
+def _(spark, d):
+    out = PA.class_partition(T.mesh(spark).elem, 2)
+    return spark.createDataFrame(sorted(out.items()), "class_id int, owner int")
+
+
+# timing
+
+
+def _records(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("at"), F.col("user_id").cast("int").alias("rank"), F.col("event_type").alias("op"), F.round(F.col("value") * 100).alias("seconds"), F.lit(0.0).alias("prebarrier"))
+
+
+@query("timing_summary", 'SELECT event_type AS op, sum(round(value * 100)) AS total, min(round(value * 100)) AS min, max(round(value * 100)) AS max, round(avg(round(value * 100)), 6) AS avg, round(avg(round(value * 100) * round(value * 100)), 3) AS mean_square, count(*) AS "count", 0.0::DOUBLE AS prebarrier FROM events GROUP BY event_type')
+def _(spark, d):
+    return summary(_records(spark, d), "LONGEST").withColumns({"avg": F.round("avg", 6), "mean_square": F.round("mean_square", 3)})
+
+
+@query("timing_across_ranks", "WITH b AS (SELECT event_type AS op, user_id, sum(round(value * 100)) AS t FROM events GROUP BY 1, 2) SELECT op, max(t) AS max, min(t) AS min, round(avg(t), 6) AS avg FROM b GROUP BY op")
+def _(spark, d):
+    return across_ranks(_records(spark, d)).select("op", "max", "min", F.round("avg", 6).alias("avg"))
+
+
+@query("timing_records")
+def _(spark, d):
+    t = Timing()
+    with t.timed("count"):
+        T.particles(spark, d).count()
+    return t.frame(spark)
+
+
+# the whole loop
+
+
+@query("mini_app_2d")
+def _(spark, d):
+    """Five elliptical pushes with search, rebuild and a scatter at the end."""
+    from tesselark.plans.apps import gyro_app
+
+    return gyro_app(T.particles(spark, d), T.mesh(spark), steps=5, gyro=GYRO)
+
+
+@query("mini_app_3d")
+def _(spark, d):
+    """Two pushes along a direction with ray tracing; particles stop at the wall and turn round, then are removed there."""
+    from tesselark.plans.apps import push_and_search_app
+
+    return push_and_search_app(_particles_3d(spark, d), T.tets(spark), steps=2)
