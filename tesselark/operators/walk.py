@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselark.functions.geometry import TET_FACES, TRIANGLE_EDGES, barycentric_numerators_2d, barycentric_numerators_3d, line_edge_2d, ray_triangle, segment_triangle, tet_volume6, triangle_area2
-from tesselark.functions.scalar import dot, min3, min_index, minus
+from tesselark.functions.geometry import TET_FACES, TRIANGLE_EDGES, barycentric_numerators_2d, barycentric_numerators_3d, line_edge_2d, tet_volume6, triangle_area2
+from tesselark.functions.scalar import cross, dot, min3, min_index, minus, plus
 from tesselark.storage import cut, small
 
 AXES = ("x", "y", "z")
@@ -52,38 +52,69 @@ def inside(dim: int, p: list[Column], tol: float) -> Column:
     return F.least(*b) >= (0 if tol == 0 else -tol * whole)
 
 
-def _exit_by_coordinates(dim: int, tol: float) -> Column:
+def _by_coordinates(rows: DataFrame, dim: int, tol: float) -> DataFrame:
+    """rows with way (li; no crossing): the side with the least coordinate of the target, null if the target is inside."""
     v, t = _vertices(dim), _point("t", dim)
     b = barycentric_numerators_2d(v, t) if dim == 2 else barycentric_numerators_3d(v, t)
-    out = min3(*b) if dim == 2 else min_index(b)
-    return F.struct(F.when(~inside(dim, t, tol), out).alias("li"), *(F.lit(None).cast("double").alias(a) for a in AXES[:dim]))
-
-
-def _exit_by_crossing(dim: int, tol: float, bounded: bool) -> Column:
-    """The last local side that the way crosses, the side it came through left out. In space, if none is crossed, the
-    one ahead that it misses by least."""
-    v, o, t = _vertices(dim), _point("o", dim), _point("t", dim)
-    local = TRIANGLE_EDGES if dim == 2 else TET_FACES
-    out, nearest = F.lit(None), None
-    for li, side in enumerate(local):
-        corners = [v[i] for i in side]
-        r = line_edge_2d(*corners, o, t, tol) if dim == 2 else (segment_triangle if bounded else ray_triangle)(corners, o, t, tol)
+    rows = rows.withColumns({f"_b{i}": x for i, x in enumerate(b)} | {"_whole": triangle_area2(*v) if dim == 2 else tet_volume6(v)})
+    b = [F.col(f"_b{i}") for i in range(dim + 1)]
+    ok = F.least(*b) >= (F.lit(0) if tol == 0 else -tol * F.col("_whole"))
+    li = F.when(~ok, min3(*b) if dim == 2 else min_index(b))
+    return rows.withColumn("way", F.struct(li.alias("li"), *(F.lit(None).cast("double").alias(a) for a in AXES[:dim])))
+
+
+def _by_crossing_2d(rows: DataFrame, tol: float) -> DataFrame:
+    """rows with way (li, x, y): the last side that the segment crosses, the side it came through left out."""
+    v, o, t = _vertices(2), _point("o", 2), _point("t", 2)
+    for li, side in enumerate(TRIANGLE_EDGES):
+        rows = rows.withColumn(f"_r{li}", line_edge_2d(*(v[i] for i in side), o, t, tol))
+    way = F.lit(None)
+    for li in range(3):
         fresh = ~F.col(f"s{li}").eqNullSafe(F.col("last"))
-        place = F.struct(F.lit(li).alias("li"), *(r[a].cast("double").alias(a) for a in AXES[:dim]))
-        out = F.when(fresh & r["hit"], place).otherwise(out)
-        if dim == 3 and not bounded:
-            miss = F.when(fresh & (r["dproj"] > -tol), F.struct(r["closeness"].alias("c"), *(place[k].alias(k) for k in ("li", *AXES))))
-            nearest = miss if nearest is None else F.least(nearest, miss)
-    if nearest is not None:
-        out = F.coalesce(out, F.when(nearest.isNotNull(), F.struct(*(nearest[k].alias(k) for k in ("li", *AXES)))))
-    return out
+        way = F.when(fresh & F.col(f"_r{li}.hit"), F.struct(F.lit(li).alias("li"), *(F.col(f"_r{li}.{a}").cast("double").alias(a) for a in AXES[:2]))).otherwise(way)
+    return rows.withColumn("way", way)
+
+
+def _by_crossing_3d(rows: DataFrame, tol: float, bounded: bool) -> DataFrame:
+    """rows with way (li, x, y, z): the last side crossed; if the way has no end and crosses none, the one ahead that it misses by least.
+
+    As ray_triangle() and segment_triangle(), in steps: what several later steps read is a column of its own, so that no
+    expression is written out once for each of its uses."""
+    real = lambda p: [c.cast("double") for c in p]  # noqa: E731  products of four whole coordinates would overflow
+    v, faces = list(map(real, _vertices(3))), range(4)
+    vec = lambda name, li="": [F.col(f"_{name}{li}{a}") for a in AXES]
+    put = lambda name, li, xs: {f"_{name}{li}{a}": x for a, x in zip(AXES, xs, strict=True)}
+    corner = lambda li, k: v[TET_FACES[li][k]]
+    cols: dict[str, Column] = put("d", "", minus(real(_point("t", 3)), real(_point("o", 3))))
+    for li in faces:
+        cols |= put("e", li, minus(corner(li, 1), corner(li, 0))) | put("f", li, minus(corner(li, 2), corner(li, 0))) | put("g", li, minus(real(_point("o", 3)), corner(li, 0)))
+    rows = rows.withColumns(cols)
+    rows = rows.withColumns({k: c for li in faces for k, c in put("n", li, cross(vec("e", li), vec("f", li))).items()})
+    rows = rows.withColumns({f"_dproj{li}": dot(vec("n", li), vec("d")) for li in faces} | {f"_nn{li}": F.nullif(dot(vec("n", li), vec("n", li)), F.lit(0.0)) for li in faces})
+    rows = rows.withColumns({f"_t{li}": -dot(vec("n", li), vec("g", li)) / F.nullif(F.col(f"_dproj{li}"), F.lit(0.0)) for li in faces})
+    rows = rows.withColumns({k: c for li in faces for k, c in put("a", li, plus(vec("g", li), vec("d"), F.col(f"_t{li}"))).items()})
+    u = {f"_u{li}": dot(cross(vec("a", li), vec("f", li)), vec("n", li)) / F.col(f"_nn{li}") for li in faces}
+    rows = rows.withColumns(u | {f"_v{li}": dot(cross(vec("e", li), vec("a", li)), vec("n", li)) / F.col(f"_nn{li}") for li in faces})
+    way, misses = F.lit(None), []
+    for li in faces:
+        dproj, at, uu, vv = (F.col(f"_{k}{li}") for k in ("dproj", "t", "u", "v"))
+        hit = (dproj >= tol) & (at >= -tol) & (uu >= -tol) & (vv >= -tol) & (uu + vv <= 1 + 2 * tol)
+        hit = F.coalesce(hit & (at <= 1 + tol) if bounded else hit, F.lit(False))
+        fresh = ~F.col(f"s{li}").eqNullSafe(F.col("last"))
+        place = [F.lit(li).alias("li"), *(x.cast("double").alias(a) for a, x in zip(AXES, plus(corner(li, 0), vec("a", li), F.lit(1.0)), strict=True))]
+        way = F.when(fresh & hit, F.struct(*place)).otherwise(way)
+        misses.append(F.when(fresh & (dproj > -tol), F.struct(F.greatest(F.lit(0.0), -uu, -vv, uu + vv - 1).alias("c"), *place)))
+    if bounded:
+        return rows.withColumn("way", way)
+    rows = rows.withColumns({"_hit": way, "_miss": F.least(*misses)})
+    return rows.withColumn("way", F.coalesce("_hit", F.when(F.col("_miss").isNotNull(), F.struct(*(F.col(f"_miss.{k}").alias(k) for k in ("li", *AXES))))))
 
 
 def _hop(state: DataFrame, walk: DataFrame, dim: int, crossing: bool, tol: float, bounded: bool, handler: Handler) -> DataFrame:
     keep = state.columns
     joined = state.join(walk, F.when(~F.col("done"), F.col("elem")) == F.col("eid"), "left")
-    way = _exit_by_crossing(dim, tol, bounded) if crossing else _exit_by_coordinates(dim, tol)
-    joined = joined.withColumn("way", F.when(~F.col("done"), way)).withColumn("li", F.col("way.li"))
+    joined = (_by_crossing_2d(joined, tol) if dim == 2 else _by_crossing_3d(joined, tol, bounded)) if crossing else _by_coordinates(joined, dim, tol)
+    joined = joined.withColumn("way", F.when(~F.col("done"), F.col("way"))).withColumn("li", F.col("way.li"))
     moves = ~F.col("done") & F.col("li").isNotNull()
     pick = lambda c: reduce(lambda rest, i: F.when(F.col("li") == i, F.col(f"{c}{i}")).otherwise(rest), range(dim - 1, -1, -1), F.col(f"{c}{dim}"))
     joined = joined.withColumns({"exit_sid": F.when(moves, pick("s")), "next": F.when(moves, pick("n"))})
@@ -103,11 +134,12 @@ def check_initial_parents(particles: DataFrame, walk: DataFrame, dim: int, tol:
 
 def trace(
     particles: DataFrame, walk: DataFrame, dim: int, *, crossing: bool = False, bounded: bool = False, tol: float = 1e-10, still: float = 0.0,
-    handler: Handler | None = None, looplimit: int = 0, remove_at_limit: bool = True, strict: bool = False, check_parents: bool = True, hops_at_once: int = 4,
+    handler: Handler | None = None, looplimit: int = 0, remove_at_limit: bool = True, strict: bool = False, check_parents: bool = True, hops_at_once: int | None = None,
 ) -> DataFrame:
     """The walk. crossing: find exits by intersecting the way (a bounded segment in the plane; in space a ray without
     an end, or a segment if ``bounded``), else by the target's coordinates. Particles that move at most ``still`` are done before
     anything is checked. strict: an origin outside its parent is an error rather than a removal. looplimit 0: no limit."""
+    hops_at_once = hops_at_once or (4 if dim == 2 and not crossing else 2 if dim == 2 else 1)
     walk = small(cut(walk))
     handler = handler or (stop_at_wall if crossing else leave_at_wall)
     o, t = _point("o", dim), _point("t", dim)

@@ -127,7 +127,7 @@ def _(spark, d):
 
 
 @query("near_element_pairs", f"""WITH {V}, {E}, {EV}, q AS (SELECT eid, x, y FROM ev JOIN v USING (vid))
-  SELECT DISTINCT a.eid AS a, b.eid AS b FROM q a JOIN q b ON a.eid < b.eid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {T.H} * {T.H}""")
+  SELECT DISTINCT a.eid AS a, b.eid AS b FROM q a JOIN q b ON a.eid < b.eid AND CAST(a.x - b.x AS BIGINT) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CAST({T.H} AS BIGINT) * {T.H}""")
 def _(spark, d):
     return M.near_pairs(T.mesh(spark), float(T.H))
 
@@ -162,7 +162,7 @@ def _(spark, d):
 # particles: creation, push
 
 
-@query("particle_even_distribution", f"SELECT i AS elem_id, 10007 // {2 * N * N} + CASE WHEN i < 10007 % {2 * N * N} THEN 1 ELSE 0 END AS n FROM range({2 * N * N}) x(i)")
+@query("particle_even_distribution", f"SELECT i AS elem_id, CAST(10007 // {2 * N * N} + CASE WHEN i < 10007 % {2 * N * N} THEN 1 ELSE 0 END AS BIGINT) AS n FROM range({2 * N * N}) x(i)")
 def _(spark, d):
     return PT.per_element(PT.even_distribution(spark, 2 * N * N, 10007))
 
@@ -287,9 +287,9 @@ def _(spark, d):
     return T.particles(spark, d).select("pid", r["hit"].alias("hit"))
 
 
-FACE3 = [[F.lit(float(v)) for v in p] for p in ((200000, 0, 0), (900000, 200000, 100000), (300000, 900000, 50000))]
+FACE3 = ((200000, 0, 0), (900000, 200000, 100000), (300000, 900000, 50000))
 RAY = f"""{P}, q AS (SELECT pid, CAST(ox AS DOUBLE) AS ax, CAST(oy AS DOUBLE) AS ay, -200000.0::DOUBLE AS az, CAST(tx - ox AS DOUBLE) AS dx, CAST(ty - oy AS DOUBLE) AS dy, CAST(val * 20 AS DOUBLE) AS dz FROM p),
-  n AS (SELECT *, 200000.0 * 50000 - 100000.0 * 900000 AS nx, 100000.0 * 100000 - 700000.0 * 50000 AS ny, 700000.0 * 900000 - 200000.0 * 100000 AS nz FROM q),
+  n AS (SELECT *, -8e10 AS nx, -2.5e10 AS ny, 6.1e11 AS nz FROM q),
   h AS (SELECT *, nx * dx + ny * dy + nz * dz AS dproj FROM n), i AS (SELECT *, -(nx * (ax - 200000) + ny * ay + nz * az) / nullif(dproj, 0) AS t FROM h),
   x AS (SELECT *, ax + dx * t - 200000 AS rx, ay + dy * t AS ry, az + dz * t AS rz, nx * nx + ny * ny + nz * nz AS nn FROM i),
   w AS (SELECT *, ((ry * 50000 - rz * 900000) * nx + (rz * 100000 - rx * 50000) * ny + (rx * 900000 - ry * 100000) * nz) / nn AS u,
@@ -301,7 +301,7 @@ def _rays(spark, d, test):
     p = T.particles(spark, d)
     o = [F.col("ox").cast("double"), F.col("oy").cast("double"), F.lit(-200000.0)]
     t = [F.col("tx").cast("double"), F.col("ty").cast("double"), F.lit(-200000.0) + F.col("val") * 20]
-    r = test(FACE3, o, t)
+    r = test([[F.lit(float(v)) for v in p] for p in FACE3], o, t)
     return p.select("pid", r["hit"].alias("hit"), F.when(r["hit"], F.round(r["z"], 3)).alias("z"))
 
 
@@ -680,11 +680,11 @@ FIELD_SQL = "f AS (SELECT i, j, CAST((i * 37 + j * 11) % 23 AS DOUBLE) AS f FROM
   c AS (SELECT q.*, least(i, 5) AS i0, least(j, 4) AS j0 FROM q),
   g AS (SELECT c.*, a.f AS f00, b.f AS f10, k.f AS f01, l.f AS f11 FROM c JOIN f a ON a.i = i0 AND a.j = j0 LEFT JOIN f b ON b.i = i0 + 1 AND b.j = j0 LEFT JOIN f k ON k.i = i0 AND k.j = j0 + 1 LEFT JOIN f l ON l.i = i0 + 1 AND l.j = j0 + 1)
   SELECT pid, round(CASE WHEN i0 >= 5 AND j0 >= 4 THEN f00 WHEN i0 >= 5 THEN (f00 * (250000.0 * (j0 + 1) - z) + f01 * (z - 250000.0 * j0)) / 250000 WHEN j0 >= 4 THEN (f00 * (200000.0 * (i0 + 1) - x) + f10 * (x - 200000.0 * i0)) / 200000
-    ELSE ((f00 * (200000.0 * (i0 + 1) - x) + f10 * (x - 200000.0 * i0)) / 200000 * (250000.0 * (j0 + 1) - z) + (f01 * (200000.0 * (i0 + 1) - x) + f11 * (x - 200000.0 * i0)) / 200000 * (z - 250000.0 * j0)) / 250000 END, 5) AS f FROM g""")
+    ELSE ((f00 * (200000.0 * (i0 + 1) - x) + f10 * (x - 200000.0 * i0)) / 200000 * (250000.0 * (j0 + 1) - z) + (f01 * (200000.0 * (i0 + 1) - x) + f11 * (x - 200000.0 * i0)) / 200000 * (z - 250000.0 * j0)) / 250000 END, 11) AS f FROM g""")
 def _(spark, d):
     pos = [F.col("tx").cast("double"), F.lit(0.0), F.col("ty").cast("double")]
     data = F.array(*map(F.lit, FIELD))
-    return T.particles(spark, d).select("pid", F.round(interp.bilinear(data, 0.0, 0.0, 200000.0, 250000.0, 6, 5, pos, cylindrical=False), 5).alias("f"))
+    return T.particles(spark, d).select("pid", F.round(interp.bilinear(data, 0.0, 0.0, 200000.0, 250000.0, 6, 5, pos, cylindrical=False), 11).alias("f"))
 
 
 @query("interpolate_trilinear", f"""WITH {P}, q AS (SELECT pid, ox / 250000.0 AS x, oy / 250000.0 AS y, val / 10000.0 AS z FROM p),
