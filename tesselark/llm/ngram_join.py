@@ -12,7 +12,7 @@ Keeping the lists short, all exactly:
 * Shingles are ordered by hash. Linked sets must share at least L of their first P shingles (adaptive prefix bound). Where a
   document shares fewer than L of its own P with anybody, it has no link; most documents end here, before their texts move.
   Shingles that many documents of one task hold are counted there and shuffled as one row, so no frequent shingle gathers its documents.
-* Of the remaining documents' P shingles only the cnt - L + 1 rarest shared ones are indexed.
+* Of the remaining sets all shingles are counted; sets with fewer than 4/5 shared ones end here, the others index their rarest shared ones.
 * Lists are scanned in rounds: each list pairs its members with one pivot, pairs are verified by exact intersection, components
   are formed, and lists within one component are dropped. When pivots stop paying, every pair of different components that a list
   still holds (the list's main component is never paired with itself) is verified. So no link between
@@ -44,6 +44,7 @@ from tesselark.llm.line_dedup import LAST_ID
 
 SHINGLE, EXTRA, FREQUENT, CHUNK_TOKENS, KNOWN_WORDS = 5, 12, 32, 400_000, 300_000
 MAX_BOUNDARY, LIST_ROW_COST, MAX_ROUNDS = 20, 6.0, 6
+BIT_WORDS = ("w0", "w1", "w2", "w3")
 MULTIPLIER, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -121,6 +122,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def parities(s: np.ndarray) -> dict[str, int]:
+    """256 bits, each telling whether an odd number of elements fall on it."""
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return dict(zip(BIT_WORDS, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), strict=True))
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document a row with info; per shingle of its prefix a row with token, but those that FREQUENT documents of the
     chunk share are one row without id, and are counted in info."""
@@ -170,14 +177,15 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets that the classes name. A task gets all rows of an id, and gives one."""
     shingler, given = Shingler(), set()
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), ("least", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+    bits = pa.struct([(k, pa.int64()) for k in BIT_WORDS])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bits", bits), ("shingles", pa.list_(pa.int64()))])
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part, rows = batch.slice(at, 256), []
             for doc_id, s1, s2, s in zip(*(part[c].to_pylist() for c in ("id", "s1", "s2")), shingler.sets(part["text"].to_pylist()), strict=True):
                 if doc_id not in given and tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()) == (s1, s2):
                     given.add(doc_id)
-                    rows.append((doc_id, len(s), prefix_length(len(s)), needed(len(s)), s.view(np.int64)))
+                    rows.append((doc_id, len(s), parities(s), s.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -212,13 +220,18 @@ def light_links(sets: DataFrame, boundary: int) -> DataFrame:
 
 
 def index_rows(sets: DataFrame, boundary: int) -> DataFrame:
-    """token, id, n: the rarest shared shingles of each set that may link with a heavy one."""
-    rows = sets.where(F.col("n") > 4 * boundary // 5).select("id", "n", "p", "least", F.explode(F.slice("shingles", F.lit(1), F.col("p"))).alias("token"))
+    """token, id, n, bits, pos: the rarest shared shingles of each set that may link with a heavy one, and their places in the set.
+
+    In the order of (how many sets hold it, hash), linked sets share one of their first n - ceil(4 n / 5) + 1 shingles. Those that no other
+    set holds come first and pair nobody; a set with fewer than ceil(4 n / 5) others has no link."""
+    rows = sets.where(F.col("n") > 4 * boundary // 5).select("id", "n", "bits", F.explode("shingles").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     own = Window.partitionBy("id")
-    rows = rows.join(shared, "token").withColumn("cnt", F.count(F.lit(1)).over(own)).where("cnt >= least")
+    least = F.ceil(4 * F.col("n") / 5)
+    rows = rows.join(shared, "token").withColumn("cnt", F.count(F.lit(1)).over(own)).where(F.col("cnt") >= least)
     rows = rows.withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
-    return rows.where(F.col("rank") <= F.col("cnt") - F.col("least") + 1).select("token", "id", "n")
+    rows = rows.where(F.col("rank") <= F.col("cnt") - least + 1)
+    return rows.select("token", "id", "n", "bits", (F.col("n") - F.col("cnt") + F.col("rank")).cast("int").alias("pos"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,22 +242,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * F.col("both") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
 
-def _comparable(n: Column, m: Column) -> Column:
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+def may_link(a: Column, b: Column, boundary: int) -> Column:
+    """Whether two index rows of a token may be of linked sets of which one is heavy. No linked pair is lost: at the first token that
+    two sets share, what follows in either must hold the rest of the overlap; and of two bit maps of parities, no
+    more bits differ than elements of the sets do."""
+    both = a["n"] + b["n"]
+    sizes = (5 * F.least(a["n"], b["n"]) >= 4 * F.greatest(a["n"], b["n"])) & (F.greatest(a["n"], b["n"]) > boundary)
+    rest = 9 * (1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"])) >= 4 * both
+    differ = sum((F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k])) for k in BIT_WORDS[1:]), F.bit_count(a["bits"][BIT_WORDS[0]].bitwiseXOR(b["bits"][BIT_WORDS[0]])))
+    return sizes & rest & (9 * differ <= both)
 
 
 def heavy_links(index: DataFrame, sets: DataFrame, boundary: int, links: DataFrame) -> DataFrame:
     """links and those that the inverted lists add, until no list holds a link between two components."""
-    big = lambda n, m: F.greatest(n, m) > boundary
     previous = None
     for turn in range(MAX_ROUNDS + 1):
         known = components(links)
-        rows = index.join(known, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c"))
-        order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        lists = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "c")).alias("pivot"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        rows = written(rows.join(lists, "token"))
-        here = rows.where(F.col("c") != F.col("pivot.c"))
-        sizes = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+        rows = index.join(known, "id", "left").select("token", F.struct("id", "n", "bits", "pos", F.coalesce("component", "id").alias("c")).alias("x"))
+        order = F.col("x.id") if turn == 0 else F.xxhash64(F.lit(turn), "x.id")
+        lists = rows.groupBy("token").agg(F.min_by("x", F.struct(order, "x.id")).alias("pivot"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1")
+        rows = written(rows.join(lists, "token").drop("c0", "c1"))
+        sizes = rows.groupBy("token", "x.c").agg(F.count(F.lit(1)).alias("k"))
         main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("all"))
         left, listed = main.select(F.sum((F.col("all") - F.col("main.k")) * F.col("all")), F.sum("all")).first()
         if not left:
@@ -253,13 +271,11 @@ def heavy_links(index: DataFrame, sets: DataFrame, boundary: int, links: DataFra
         # left: pairs to come if every list were finished now; go on with pivots while those are many and at least halve each time
         final = left <= 4 * listed or turn == MAX_ROUNDS or (previous is not None and 2 * left > previous)
         if final:
-            minor = rows.join(main.select("token", F.col("main.c").alias("main")), "token").where(F.col("c") != F.col("main"))
-            minor = minor.select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = rows.join(minor, "token").where((F.col("c") != F.col("d")) & _comparable(F.col("n"), F.col("m")) & big(F.col("n"), F.col("m")))
-            pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+            minor = rows.join(main.select("token", F.col("main.c").alias("main")), "token").where(F.col("x.c") != F.col("main")).select("token", F.col("x").alias("y"))
+            pairs = rows.select("token", "x").join(minor, (rows["token"] == minor["token"]) & (F.col("x.c") != F.col("y.c")) & may_link(F.col("x"), F.col("y"), boundary))
         else:
-            near = here.where(_comparable(F.col("n"), F.col("pivot.n")) & big(F.col("n"), F.col("pivot.n")))
-            pairs = near.select(F.least("pivot.id", "id").alias("a"), F.greatest("pivot.id", "id").alias("b")).distinct()
+            pairs = rows.withColumn("y", F.col("pivot")).where((F.col("x.c") != F.col("y.c")) & may_link(F.col("x"), F.col("y"), boundary))
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         added = verified(pairs, sets)
         links, previous = written(links.unionByName(added).distinct()), left
         discard(rows)
@@ -285,7 +301,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = F.greatest(F.lit(1), F.floor(F.ceil(4 * F.col("n") / 5) / EXTRA))
     remain = classes.where((F.col("n") > 0) & ((F.col("n") <= boundary) | (F.col("shared") >= least))).select(F.col("rep").alias("id"), "s1", "s2")
     chosen = source.join(remain.hint("shuffle_hash"), "id")
-    sets = written(chosen.mapInArrow(_sets, "id long, n int, p int, least int, shingles array<long>"))
+    sets = written(chosen.mapInArrow(_sets, "id long, n int, bits struct<w0:long,w1:long,w2:long,w3:long>, shingles array<long>"))
 
     members = found.where("n > 0").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
     links = written(light_links(sets, boundary))
