@@ -224,13 +224,13 @@ def index_rows(sets: DataFrame, boundary: int) -> DataFrame:
 
     In the order of (how many sets hold it, hash), linked sets share one of their first n - ceil(4 n / 5) + 1 shingles. Those that no other
     set holds come first and pair nobody; a set with fewer than ceil(4 n / 5) others has no link."""
-    rows = sets.where(F.col("n") > 4 * boundary // 5).select("id", "n", "bits", F.explode("shingles").alias("token"))
+    heavy = sets.where(F.col("n") > 4 * boundary // 5)
+    rows = heavy.select("id", F.explode("shingles").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     own = Window.partitionBy("id")
     least = F.ceil(4 * F.col("n") / 5)
-    rows = rows.join(shared, "token").withColumn("cnt", F.count(F.lit(1)).over(own)).where(F.col("cnt") >= least)
-    rows = rows.withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
-    rows = rows.where(F.col("rank") <= F.col("cnt") - least + 1)
+    rows = rows.join(shared, "token").withColumn("cnt", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
+    rows = rows.join(heavy.select("id", "n", "bits"), "id").where((F.col("cnt") >= least) & (F.col("rank") <= F.col("cnt") - least + 1))
     return rows.select("token", "id", "n", "bits", (F.col("n") - F.col("cnt") + F.col("rank")).cast("int").alias("pos"))
 
 
