@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tesselark.llm.common import WHITE, WHITE_RUN, documents, let, text_of
 
-N_FEATURES, MAX_TRUSTED, SMOOTHING, THRESHOLD = 1 << 14, 20_000, 1.0, -0.12
+N_FEATURES, MAX_TRUSTED, SMOOTHING, THRESHOLD = 1 << 14, 20_000, 1.0, -0.08
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS = 5, 10
 LONGS = "array<bigint>"
