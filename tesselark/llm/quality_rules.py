@@ -67,8 +67,8 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.select(
         "*",
         let(word_hashes(text), lambda h: F.struct(h.alias("hashes"), F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"))).alias("_tk_words"),
-        F.length(F.translate(text, WHITE, "")).cast("long").alias("_tk_word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("_tk_n_symbols"),
+        F.length(F.regexp_replace(text, WHITE_RUN, "")).cast("long").alias("_tk_word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias("_tk_n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("_tk_n_dup_lines"),
     )
     n, repeat = F.col("_tk_words.n_words"), F.col("_tk_words.n_repeat_words")
