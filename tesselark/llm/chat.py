@@ -32,6 +32,7 @@ MARKS = {"<turn>": 50257, "<says>": 50258, "</turn>": 50259}
 OPEN, SAYS, CLOSE = MARKS.values()
 CONTROL = re.compile("|".join(map(re.escape, [*MARKS, "<|endoftext|>"])))
 LEARNT = "assistant"
+CHATS_AT_ONCE = 256
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -47,6 +48,25 @@ def _paths(json_path: str | None, ranks_path: str | None) -> tuple[str, str]:
     return json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def splice(role_ids: pa.ListArray, text_ids: pa.ListArray, roles: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and loss mask of the turns one after the other, and where each turn ends; all places are prefix sums of the segments' lengths."""
+    sizes = np.ones((len(roles), 5), dtype="int64")
+    for at, x in ((1, role_ids), (3, text_ids)):
+        sizes[:, at] = x.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes).reshape(-1, 5)
+    starts = ends - sizes
+    ids = np.empty(ends[-1, 4], dtype="int32")
+    ids[starts[:, [0, 2, 4]]] = [OPEN, SAYS, CLOSE]
+    for at, x in ((1, role_ids), (3, text_ids)):
+        n = sizes[:, at]
+        ids[np.repeat(starts[:, at] - np.cumsum(n) + n, n) + np.arange(n.sum())] = x.flatten().to_numpy(zero_copy_only=False)
+    learnt = np.array(roles.to_pylist()) == LEARNT
+    steps = np.zeros(len(ids) + 1, dtype="int8")
+    steps[starts[learnt, 3]] += 1
+    steps[ends[learnt, 3]] -= 1
+    return ids, np.cumsum(steps[:-1], dtype="int8"), ends[:, 4]
+
+
 def format_chats(conversations: DataFrame, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """conv_id, input_ids, loss_mask (1 under loss) and text of each conversation."""
     paths = _paths(json_path, ranks_path)
@@ -61,21 +81,17 @@ def format_chats(conversations: DataFrame, json_path: str | None = None, ranks_p
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "role_ids", "text_ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = lambda i: np.array([i], dtype="int32")
         for b in batches:
-            for conv_id, turns in zip(b["conv_id"], b["turns"].to_pylist(), strict=True):
-                segments, learnt, shown = [], [], []
-                for t in turns:
-                    segments += [mark(OPEN), np.array(t["role_ids"], dtype="int32"), mark(SAYS), np.array(t["text_ids"], dtype="int32"), mark(CLOSE)]
-                    learnt += [0, 0, 0, int(t["role"] == LEARNT), 0]
-                    shown += ["<turn>", escape(t["role"]), "<says>", escape(t["text"]), "</turn>"]
-                ends = np.cumsum([len(x) for x in segments])
-                mask = np.zeros(ends[-1], dtype="int8")
-                for end, x, on in zip(ends, segments, learnt, strict=True):
-                    mask[end - len(x) : end] = on
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([conv_id.as_py()], pa.int64()), pa.array([np.concatenate(segments)], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int8())), pa.array(["".join(shown)])], ["conv_id", "input_ids", "loss_mask", "text"]
-                )
+            for at in range(0, b.num_rows, CHATS_AT_ONCE):
+                part = b.slice(at, CHATS_AT_ONCE)
+                turns = part["turns"].flatten()
+                last = np.cumsum(part["turns"].value_lengths().to_numpy(zero_copy_only=False)) - 1
+                ids, mask, ends = splice(turns.field("role_ids"), turns.field("text_ids"), turns.field("role"))
+                offsets = pa.array(np.concatenate([[0], ends[last]]), pa.int32())
+                shown = [f"<turn>{escape(r)}<says>{escape(t)}</turn>" for r, t in zip(turns.field("role").to_pylist(), turns.field("text").to_pylist(), strict=True)]
+                texts = ["".join(shown[i:j]) for i, j in zip([0, *(last[:-1] + 1)], last + 1, strict=True)]
+                columns = [part["conv_id"], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(mask)), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["conv_id", "input_ids", "loss_mask", "text"])
 
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -93,18 +109,20 @@ def read_back(formatted: DataFrame, json_path: str | None = None, ranks_path: st
         _, decode = encoder(*paths)
         shown = {i: s for s, i in MARKS.items()}
         for b in batches:
-            for row in b.to_pylist():
-                ids, mask = np.array(row["input_ids"], dtype="int64"), np.array(row["loss_mask"], dtype="int8")
-                at = np.flatnonzero(ids >= OPEN)
-                pieces, chars = [], 0
-                for i, j in zip(at, [*at[1:], len(ids)], strict=True):
-                    piece = decode(ids[i + 1 : j].tolist()).decode("utf-8")
-                    chars += len(shown[int(ids[i])]) + len(piece)
-                    pieces.append((int(ids[i]), unescape(piece)))
-                texts = [x for i, x in pieces if i == SAYS]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
-                learnt = [unescape(decode(ids[i:j].tolist()).decode("utf-8")) for i, j in zip(edges[::2], edges[1::2], strict=True)]
-                yield pa.RecordBatch.from_pylist([{"conv_id": row["conv_id"], "roles": [x for i, x in pieces if i == OPEN], "texts": texts, "learnt": learnt, "formatted_chars": chars}], schema=schema)
+            for start in range(0, b.num_rows, CHATS_AT_ONCE):
+                part, rows = b.slice(start, CHATS_AT_ONCE), []
+                for conv_id, all_ids, all_mask in zip(part["conv_id"].to_pylist(), part["input_ids"], part["loss_mask"], strict=True):
+                    ids, mask = all_ids.values.to_numpy(), all_mask.values.to_numpy()
+                    at = np.flatnonzero(ids >= OPEN)
+                    pieces, chars = [], 0
+                    for i, j in zip(at, [*at[1:], len(ids)], strict=True):
+                        piece = decode(ids[i + 1 : j].tolist()).decode("utf-8")
+                        chars += len(shown[int(ids[i])]) + len(piece)
+                        pieces.append((int(ids[i]), unescape(piece)))
+                    edges = np.flatnonzero(np.diff(mask, prepend=np.int8(0), append=np.int8(0)))
+                    learnt = [unescape(decode(ids[i:j].tolist()).decode("utf-8")) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+                    rows.append({"conv_id": conv_id, "roles": [x for i, x in pieces if i == OPEN], "texts": [x for i, x in pieces if i == SAYS], "learnt": learnt, "formatted_chars": chars})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     strings = pa.list_(pa.string())
     schema = pa.schema([("conv_id", pa.int64()), ("roles", strings), ("texts", strings), ("learnt", strings), ("formatted_chars", pa.int64())])
