@@ -10,8 +10,9 @@ Only entities and their places are shuffled by value, and each text once to meet
 documents hold is one row of the surrogate table; its places meet it in an equi-join that adaptive execution can split.
 
 Defined cases: null text stays null with 0 entities; a text without entities is returned as it is; rows equal in id and text get equal results; extra
-columns stay; an empty table gives no rows. After MAX_ATTEMPTS draws a surrogate is taken as it is (only
-address spaces that are nearly full come there).
+columns stay; an empty table gives no rows. A name gets one more syllable every second draw, so names never run out. What is not settled after
+MAX_ATTEMPTS draws in a space of at most MAX_SPACE strings is dealt what is still free there; a space with too few free strings, or a larger one
+without success in LAST_ATTEMPT draws, raises ValueError. No surrogate that is taken is ever used.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselark.llm.common import discard, documents, let, text_of, written
+from tesselark.storage import numbered
 
-KEY, MAX_ATTEMPTS = "change-me", 24
+KEY, MAX_ATTEMPTS, LAST_ATTEMPT, MAX_SPACE = "change-me", 24, 240, 1 << 24
 
 # Titles and given names by gender, and syllables by script.
 MALE_TITLES = "Mr Herr Señor Monsieur Sir".split()
@@ -77,13 +79,17 @@ def _number(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, F.pmod(i * 4, F.lit(124)) + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _alike(value: Column, digest: Column) -> Column:
-    """Characters of the same class: digits, hexadecimal letters in hexadecimal strings, letters by case; others stay."""
+def _characters(value: Column) -> Column:
+    return F.filter(F.split(value, ""), lambda c: c != "")
+
+
+def _alike(value: Column, number) -> Column:
+    """Characters of the same class: digits, hexadecimal letters in hexadecimal strings, letters by case; others stay. number(i) picks the i-th."""
     hexadecimal = value.rlike("^[0-9a-fA-F]+$")
     pick = lambda letters, n: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
-        n = _number(digest, i)
+        n = number(i)
         low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         return (
             F.when(c.rlike("[0-9]"), pick("0123456789", n))
@@ -91,7 +97,7 @@ def _alike(value: Column, digest: Column) -> Column:
             .when(c.rlike(r"\p{Lu}"), pick(up, n)).when(c.rlike(r"\p{L}"), pick(low, n)).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+    return F.array_join(F.transform(_characters(value), one), "")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -106,16 +112,16 @@ def _digits(value: Column) -> Column:
 
 
 def _card(value: Column, digest: Column) -> Column:
-    other = _alike(value, digest)
+    other = _alike(value, lambda i: _number(digest, i))
     head = F.substring(other, F.lit(1), F.length(other) - 1)
     check = (10 - let(_digits(F.concat(head, F.lit("0"))), _luhn_sum) % 10) % 10
     return F.when(let(_digits(value), _luhn_sum) % 10 == 0, F.concat(head, check.cast("string"))).otherwise(other)
 
 
-def _name(kind: Column, digest: Column) -> Column:
+def _name(kind: Column, digest: Column, attempt: Column) -> Column:
     cyrillic = kind.endswith("c")
     syllables = F.transform(
-        F.sequence(F.lit(0), F.lit(2)),
+        F.sequence(F.lit(0), F.least(F.floor(attempt / 2).cast("int") + 2, F.lit(30))),
         lambda i: F.when(cyrillic, F.get(F.array(*map(F.lit, CYRILLIC)), _number(digest, i) % len(CYRILLIC))).otherwise(F.get(F.array(*map(F.lit, LATIN)), _number(digest, i) % len(LATIN))),
     )
     male, female = F.substring(kind, -2, 1) == "m", F.substring(kind, -2, 1) == "f"
@@ -123,38 +129,72 @@ def _name(kind: Column, digest: Column) -> Column:
     return F.initcap(F.concat(F.array_join(syllables, ""), end))
 
 
+def _kept_apart(kind: Column, value: Column) -> tuple[Column, Column, Column]:
+    """What stays before, what is drawn, and what stays after: an e-mail's last label, a phone's country code and an IBAN's country stay."""
+    mail, code = r"^(.*)(\.[^.]*)$", F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-])|)", 1)
+    head = F.when(kind == "phone", code).when(kind == "iban", F.substring(value, 1, 2)).otherwise("")
+    tail = F.when(kind == "email", F.regexp_extract(value, mail, 2)).otherwise("")
+    return head, F.when(kind == "email", F.regexp_extract(value, mail, 1)).otherwise(F.substring(value, F.length(head) + 1, F.length(value))), tail
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The attempt-th surrogate of an entity."""
     seed = F.concat_ws("\x00", F.lit(key), kind, value, attempt.cast("string")).cast("binary")
     digest = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit(b"+")), 256))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i) % 254 + 1).cast("string")), ".")
-    last = F.regexp_extract(value, r"^(.*)(\.[^.]*)$", 2)
-    email = F.concat(_alike(F.regexp_extract(value, r"^(.*)(\.[^.]*)$", 1), digest), last)
-    code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-])|)", 1)
-    phone = F.concat(code, _alike(F.substring(value, F.length(code) + 1, F.length(value)), digest))
-    iban = F.concat(F.substring(value, 1, 2), _alike(F.substring(value, F.lit(3), F.length(value)), digest))
+    head, middle, tail = _kept_apart(kind, value)
     return (
-        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "card", _card(value, digest)).when(kind == "iban", iban)
-        .when(kind.startswith("given") | kind.startswith("family"), _name(kind, digest)).otherwise(_alike(value, digest))
+        F.when(kind == "ip", octets).when(kind == "card", _card(value, digest)).when(kind.startswith("given") | kind.startswith("family"), _name(kind, digest, attempt))
+        .otherwise(F.concat(head, _alike(middle, lambda i: _number(digest, i)), tail))
     )
 
 
+def _free_rest(pending: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """kind, value, surrogate of the e-mails, phone and social security numbers in pending whose space has at most MAX_SPACE strings: each
+    space is listed once, what is taken is left out, and the rest dealt in keyed order. Raises ValueError if it does not suffice."""
+    head, middle, tail = _kept_apart(F.col("kind"), F.col("value"))
+    radix = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike(r"\p{L}"), 26).otherwise(1)
+    size = F.aggregate(F.transform(_characters(middle), radix), F.lit(1.0), lambda a, r: a * r)
+    small = pending.where(F.col("kind").isin("email", "phone", "ssn")).select("kind", "value", head.alias("head"), _alike(middle, lambda i: F.lit(0)).alias("zero"), tail.alias("tail"), size.alias("size"))
+    small = written(small.where(F.col("size") <= MAX_SPACE).withColumn("space", F.concat_ws("\x00", "head", "zero", "tail")))
+    strides = F.aggregate(F.transform(_characters(F.col("zero")), radix), F.array(F.lit(1)), lambda a, r: F.array_append(a, F.element_at(a, -1) * r))
+    spaces = small.select("space", "head", "zero", "tail", "size").distinct().withColumn("strides", strides)
+    places = spaces.select("*", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1)).alias("x"))
+    listed = places.select("space", F.concat("head", _alike(F.col("zero"), lambda i: F.floor(F.col("x") / F.get("strides", i)).cast("int")), "tail").alias("surrogate"))
+    free = listed.join(taken, "surrogate", "left_anti").withColumn("order", F.sha2(F.concat_ws("\x00", F.lit(key), "surrogate"), 256))
+
+    def dealt(df: DataFrame, order: list[str]) -> DataFrame:
+        rows = numbered(df, order, "n")
+        return rows.join(rows.groupBy("space").agg(F.min("n").alias("least")), "space").withColumn("n", F.col("n") - F.col("least")).drop("least")
+
+    mine = dealt(small.select("space", "kind", "value"), ["space", "kind", "value"])
+    out = written(mine.join(dealt(free, ["space", "order", "surrogate"]), ["space", "n"], "left").select("kind", "value", "surrogate"))
+    lost = out.where("surrogate is null").groupBy("kind").count().collect()
+    if lost:
+        raise ValueError(f"no free surrogates are left for {sorted((r['kind'], r['count']) for r in lost)}: the spaces of these entities are full")
+    return out
+
+
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     """kind, value, surrogate for distinct (kind, value): no two of equal surrogates, none equal to a real value."""
     real = written(entities.distinct())
-    done, pending = [], real
-    for attempt in range(MAX_ATTEMPTS):
-        drawn = pending.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key).alias("surrogate"))
+    done, pending, attempt = [], real, 0
+    while not pending.isEmpty():
         taken = real.select(F.col("value").alias("surrogate")).distinct()
-        taken = reduce(DataFrame.unionByName, [t.select("surrogate") for t in done], taken).distinct().withColumn("taken", F.lit(True))
-        first = F.row_number().over(Window.partitionBy("surrogate").orderBy("kind", "value")) == 1
-        drawn = written(drawn.withColumn("first", first).join(taken, "surrogate", "left").withColumn("free", F.col("first") & F.col("taken").isNull()))
-        last = attempt == MAX_ATTEMPTS - 1
-        done.append(drawn.where(F.lit(last) | F.col("free")).select("kind", "value", "surrogate"))
-        pending = drawn.where(~F.col("free")).select("kind", "value")
-        if pending.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done)
+        taken = reduce(DataFrame.unionByName, [t.select("surrogate") for t in done], taken).distinct()
+        if attempt == MAX_ATTEMPTS:
+            done.append(_free_rest(pending, taken, key))
+            pending = written(pending.join(done[-1], ["kind", "value"], "left_anti"))
+        elif attempt == LAST_ATTEMPT:
+            raise ValueError(f"no free surrogates were found in {attempt} draws for {sorted((r['kind'], r['count']) for r in pending.groupBy('kind').count().collect())}")
+        else:
+            drawn = pending.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key).alias("surrogate"))
+            first = F.row_number().over(Window.partitionBy("surrogate").orderBy("kind", "value")) == 1
+            drawn = written(drawn.withColumn("first", first).join(taken.withColumn("taken", F.lit(True)), "surrogate", "left").withColumn("free", F.col("first") & F.col("taken").isNull()))
+            done.append(drawn.where("free").select("kind", "value", "surrogate"))
+            pending = drawn.where(~F.col("free")).select("kind", "value")
+        attempt += 1
+    return reduce(DataFrame.unionByName, done, real.limit(0).select("kind", "value", F.col("value").alias("surrogate")))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

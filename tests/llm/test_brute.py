@@ -371,6 +371,23 @@ def test_pii_surrogates_are_distinct(spark):
     assert len(rows) == 1000 and len(new) == 1000 and not new & old
 
 
+def test_pii_more_names_than_three_syllables_give(spark):
+    entities = spark.range(70_000).select(F.lit("family:nl").alias("kind"), F.concat(F.lit("Q"), F.col("id")).alias("value"))
+    out = pii.surrogate_table(entities)
+    assert out.agg(F.count("surrogate"), F.countDistinct("surrogate"), F.countDistinct("value")).first() == (70_000,) * 3
+
+
+def test_pii_nearly_full_and_full_spaces(spark, monkeypatch):
+    """100 addresses look like 1@2.co: 50 fill them to the last one, 51 cannot all get one."""
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 3)
+    mails = lambda n: spark.createDataFrame([("email", f"{i // 10}@{i % 10}.co") for i in range(n)], "kind string, value string")
+    rows = pii.surrogate_table(mails(50)).collect()
+    new, old = {r["surrogate"] for r in rows}, {r["value"] for r in rows}
+    assert len(new | old) == 100 and len(rows) == 50
+    with pytest.raises(ValueError, match="full"):
+        pii.surrogate_table(mails(51))
+
+
 def test_quality_rules(spark, small, docs, none):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     trusted = {r["doc_id"] for r in labels.where("quality = 1 and coalesce(toxic, 0) = 0").collect()}
