@@ -42,10 +42,11 @@ LATIN = "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mi mo na ne no pa
 CYRILLIC = "ба бе бо ва ве во га го да де до за зо ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то фа фе".split()
 NAME = r"\p{Lu}[\p{Ll}'’-]+"
 
-#: Each kind's expression. The first that matches at a place wins.
+#: Each kind's expression. The first that matches at a place wins. A prefixed secret may hold - and _ within; behind a separator it must have
+#: a digit or 16 letters in a row, so that sk-some-hyphenated-words is none.
 KINDS = {
     "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+-]*@[\p{L}\p{N}][\p{L}\p{N}-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*)+",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|xox[bp]|AKIA)[-_]?[0-9A-Za-z]{16,80})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|xox[bp]|AKIA)(?:[-_](?=[0-9A-Za-z_-]*(?:[0-9]|[0-9A-Za-z]{16}))[0-9A-Za-z_-]{15,}[0-9A-Za-z]|[0-9A-Za-z]{16}(?:[0-9A-Za-z_-]*[0-9A-Za-z])?))(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",

@@ -377,6 +377,17 @@ def test_pii_more_names_than_three_syllables_give(spark):
     assert out.agg(F.count("surrogate"), F.countDistinct("surrogate"), F.countDistinct("value")).first() == (70_000,) * 3
 
 
+def test_pii_long_and_prefixed_secrets(spark):
+    letters = "Ab3dEf6hIj9lMn2pQr5tUv8x"
+    secrets = ["0123456789abcdef" * 16, "0123456789ABCDEF" * 16, "sk_" + letters * 4 + "Zz01", "sk_live_" + letters, "sk-proj-" + letters[:12] + "-" + letters[12:], "xoxb-1234567890123456-" + letters, "ghp_" + "a1" * 5000, "ab12" * 10]
+    plain = ["sk-some-hyphenated-words-here", "pk_of_the_table_of_orders", "sk-2", "0123456789abcdef"]
+    rows = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame([(i, f"key {t}, end") for i, t in enumerate(secrets + plain)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(secrets):
+        new = rows[i]["text"]
+        assert rows[i]["_tk_entities"] == 1 and len(new) == len(t) + 9 and t not in new and not any(p in new for p in re.findall(r"[0-9A-Za-z]{12}", t)), t
+    assert all(rows[len(secrets) + i]["text"] == f"key {t}, end" for i, t in enumerate(plain))
+
+
 def test_pii_nearly_full_and_full_spaces(spark, monkeypatch):
     """100 addresses look like 1@2.co: 50 fill them to the last one, 51 cannot all get one."""
     monkeypatch.setattr(pii, "MAX_ATTEMPTS", 3)
