@@ -5,15 +5,21 @@ length. Each view is a logistic regression. In each round either view labels the
 classes' proportion, and the other view learns them as well. On labels held out each view is then calibrated (Platt), and
 every document gets the product of both views' odds over the prior odds.
 
+Toxicity is a second target, trained the same way. A few words tell it, which the content view's hashed and scaled counts drown; so its content
+view is whether each of N_TOXIC words occurs, those of the greatest likelihood ratio of the labelled sample (rows held out for calibration not counted).
+Source and language may say nothing of toxicity; where the labels given to the pool raise the loss on the rows held out, the fit without them is taken.
+It leaves quality's score as it is.
+
 Fitting uses documented bounded samples, at most MAX_LABELLED labelled and MAX_POOL unlabelled rows of least id hash, sent to the driver as
-N_CONTENT + N_METADATA numbers a row; scoring covers all rows, without a shuffle.
+N_CONTENT + N_METADATA numbers and N_TOXIC bits a row; scoring covers all rows, without a shuffle.
 
-Defined cases: null text is empty; null source or language is a value of its own; rows without both labels in the sample get the prior;
+Defined cases: null text is empty; null source or language is a value of its own; rows without both labels in the sample get the prior (toxic only above one half);
 repeated rows get equal scores; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.llm.common import documents
+from tesselark.llm.common import discard, documents, written
 
 MAX_LABELLED, MAX_POOL, ROUNDS, GROW, HELD_OUT = 4000, 4000, 4, 0.08, 5
 N_WORDS, N_SHAPE, N_METADATA = 1024, 10, 256
 N_CONTENT = N_WORDS + N_SHAPE
 KNOWN_WORDS = 300_000
+N_TOXIC, LEAST_HOLDERS, LONGEST_WORD, TOXIC_L2 = 256, 3, 64, 1e-4
+WORD = re.compile(r"\w+")
 SOURCE = "doc_id long, text string, lang string, source string"
 
 
@@ -71,6 +79,23 @@ class Features:
         return content, np.stack([self.metadata(x, s, len(t)) for x, s, t in zip(part["lang"].to_pylist(), part["source"].to_pylist(), texts, strict=True)])
 
 
+def words_of(text: str) -> set[str]:
+    return {w for w in WORD.findall(text.lower()) if len(w) <= LONGEST_WORD}
+
+
+def presence(texts: list[str], number: dict[str, int]) -> np.ndarray:
+    """1 where a text holds a word, by the word's number."""
+    out = np.zeros((len(texts), N_TOXIC), dtype=np.float32)
+    for row, t in zip(out, texts, strict=True):
+        row[[number[w] for w in words_of(t) & number.keys()]] = 1
+    return out
+
+
+def held_out(doc_id: int) -> bool:
+    """Whether a row labelled for toxicity is kept for calibration."""
+    return xxhash.xxh3_64_intdigest(str(doc_id)) % HELD_OUT == 0
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 150, rate: float = 0.5) -> np.ndarray:
     """Weights with the intercept last, by full-batch Adam steps; deterministic."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -88,11 +113,13 @@ def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights of both views, their calibration (slope, intercept), and the prior's log odds."""
+    """Weights of both views, their calibration (slope, intercept), and the prior's log odds; the model of toxicity and its words."""
 
     views: list[np.ndarray] = field(default_factory=lambda: [np.zeros(N_CONTENT + 1), np.zeros(N_METADATA + 1)])
     calibration: list[tuple[float, float]] = field(default_factory=lambda: [(1.0, 0.0), (1.0, 0.0)])
     prior: float = 0.0
+    toxic: Model | None = None
+    words: list[str] = field(default_factory=list)
 
     def odds(self, i: int, x: np.ndarray) -> np.ndarray:
         """Calibrated log odds of view i."""
@@ -100,13 +127,13 @@ class Model:
         return slope * margin(x, self.views[i]) + base
 
 
-def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, grow: float = GROW) -> Model:
-    """x, pool: both views of the labelled and of the unlabelled rows; y: 0 or 1."""
-    model = Model()
+def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, grow: float = GROW, held: np.ndarray | None = None, l2: float = 1e-3) -> Model:
+    """x, pool: both views of the labelled and of the unlabelled rows; y: 0 or 1; held: which rows only calibrate (default: every HELD_OUT-th)."""
+    model = Model(views=[np.zeros(v.shape[1] + 1) for v in x])
     good = float(y.mean()) if len(y) else 0.5
     model.prior = float(np.log((good * len(y) + 1) / ((1 - good) * len(y) + 1)))
     model.calibration = [(0.0, model.prior)] * 2
-    held = np.arange(len(y)) % HELD_OUT == 0
+    held = np.arange(len(y)) % HELD_OUT == 0 if held is None else held
     if len({*y[~held].tolist()}) < 2 or len({*y[held].tolist()}) < 2:
         return model
     extra: list[dict[int, float]] = [{}, {}]  # by view: pool row to the label that the other view gave it
@@ -116,7 +143,7 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
             xs = np.vstack([x[i][~held], pool[i][at]])
             ys = np.concatenate([y[~held], np.array([extra[i][k] for k in at])])
             weight = np.concatenate([np.ones((~held).sum()), np.full(len(at), 0.5)])
-            model.views[i] = logistic(xs, ys, weight)
+            model.views[i] = logistic(xs, ys, weight, l2)
         if turn == rounds or not len(pool[0]):
             break
         for i in (0, 1):
@@ -135,13 +162,41 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
     return model
 
 
+def held_loss(model: Model, x: list[np.ndarray], y: np.ndarray) -> float:
+    """Mean log loss over labelled rows."""
+    z = np.clip(model.odds(0, x[0]) + model.odds(1, x[1]) - model.prior, -30, 30)
+    return float(np.mean(np.log1p(np.exp(z)) - y * z)) if len(y) else 0.0
+
+
 def sample_ids(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
-    """id and quality (null for the pool) of at most max_labelled + max_pool rows, those of least hash."""
-    marked = labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality is not null").groupBy("id").agg(F.max("quality").alias("quality"))
-    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
+    """id, quality (null for the pool) and toxic of at most max_labelled + max_pool rows, those of least hash."""
+    marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct().join(marked, "id", "left")
     least = lambda d, n: d.orderBy(F.xxhash64("id"), "id").limit(n)
-    own = least(ids.join(marked, "id"), max_labelled)
-    return own.unionByName(least(ids.join(marked, "id", "left_anti"), max_pool).withColumn("quality", F.lit(None).cast("int")))
+    return least(ids.where("quality is not null"), max_labelled).unionByName(least(ids.where("quality is null"), max_pool))
+
+
+def toxic_words(chosen: DataFrame) -> list[str]:
+    """The N_TOXIC words of LEAST_HOLDERS rows or more whose occurrence has the greatest likelihood ratio against toxic."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t, toxic in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
+                if not held_out(i):
+                    words = ["", *words_of(t)]  # "" counts the rows
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([int(toxic > 0)] * len(words), pa.int32())], ["word", "toxic"])
+
+    counts = written(chosen.where("toxic is not null").select("doc_id", "text", "toxic").mapInArrow(each, "word string, toxic int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")))
+    total = counts.where("word = ''").first()
+    if not total or not 0 < total["t"] < total["n"]:
+        return []
+    n, t, all_, toxic = F.col("n"), F.col("t"), F.lit(total["n"]), F.lit(total["t"])
+    h = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    ratio = h(t) + h(n - t) + h(toxic - t) + h(all_ - toxic - n + t) - h(n) - h(all_ - n)
+    top = counts.where((n >= LEAST_HOLDERS) & (F.col("word") != "")).orderBy(F.round(ratio, 6).desc(), "word").limit(N_TOXIC)
+    out = [r["word"] for r in top.select("word").collect()]
+    discard(counts)
+    return out
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -158,22 +213,38 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
                 part = b.slice(at, 256)
                 content, metadata = own.rows(part)
                 both = np.hstack([content, metadata]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["quality"], pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "quality", "f"])
+                bits = np.packbits(presence(part["text"].to_pylist(), number) > 0, axis=1)
+                columns = [part["doc_id"], part["quality"], part["toxic"], pa.array([r.tobytes() for r in both], pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "toxic", "f", "w"])
 
     sample = F.broadcast(sample_ids(docs, labels, **bounds))
-    chosen = _source(docs).join(sample, F.col("doc_id") == F.col("id")).drop("id").withColumn("quality", F.col("quality").cast("int"))
-    rows = chosen.select("doc_id", "text", "lang", "source", "quality").mapInArrow(features, "doc_id long, quality int, f binary").toArrow().sort_by("doc_id")
+    chosen = _source(docs).join(sample, F.col("doc_id") == F.col("id")).drop("id").withColumns({c: F.col(c).cast("int") for c in ("quality", "toxic")})
+    chosen = written(chosen.select("doc_id", "text", "lang", "source", "quality", "toxic"))
+    words = toxic_words(chosen)
+    number = {w: k for k, w in enumerate(words)}
+    rows = chosen.mapInArrow(features, "doc_id long, quality int, toxic int, f binary, w binary").toArrow().sort_by("doc_id")
+    discard(chosen)
     if not rows.num_rows:
         return Model()
     x = np.frombuffer(b"".join(rows["f"].to_pylist()), dtype=np.float32).reshape(rows.num_rows, -1)
-    y = np.array([-1 if v is None else int(v > 0) for v in rows["quality"].to_pylist()])
+    bits = np.frombuffer(b"".join(rows["w"].to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
+    w = np.unpackbits(bits, axis=1).astype(np.float32)
+    y, toxic = (np.array([-1 if v is None else int(v > 0) for v in rows[c].to_pylist()]) for c in ("quality", "toxic"))
     views = lambda mask: [x[mask][:, :N_CONTENT], x[mask][:, N_CONTENT:]]
-    return cotrain(views(y >= 0), y[y >= 0].astype(float), views(y < 0))
+    model = cotrain(views(y >= 0), y[y >= 0].astype(float), views(y < 0))
+    views = lambda mask: [w[mask], x[mask][:, N_CONTENT:]]
+    held = np.array([held_out(i) for i in rows["doc_id"].to_pylist()])
+    own, target, held = views(toxic >= 0), toxic[toxic >= 0].astype(float), held[toxic >= 0]
+    fits = [cotrain(own, target, views(toxic < 0), rounds=r, held=held, l2=TOXIC_L2) for r in (ROUNDS, 0)]
+    model.toxic, model.words = min(fits, key=lambda m: held_loss(m, [v[held] for v in own], target[held])), words
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, p_content, p_metadata, score and kept (score of at least 0.5) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("p_content", pa.float64()), ("p_metadata", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
+    """doc_id, p_content, p_metadata, score and kept (score of at least 0.5), p_toxic and toxic (p_toxic above 0.5) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("p_content", pa.float64()), ("p_metadata", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_()), ("p_toxic", pa.float64()), ("toxic", pa.bool_())])
+    toxicity = model.toxic or Model(views=[np.zeros(N_TOXIC + 1), np.zeros(N_METADATA + 1)])
+    number = {w: k for k, w in enumerate(model.words)}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
@@ -181,11 +252,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                z = [model.odds(i, x) for i, x in enumerate(own.rows(part))]
+                content, metadata = own.rows(part)
+                z = [model.odds(0, content), model.odds(1, metadata)]
                 whole = p(z[0] + z[1] - model.prior)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(p(z[0])), pa.array(p(z[1])), pa.array(whole), pa.array(whole >= 0.5)], schema=schema)
+                toxic = p(toxicity.odds(0, presence(part["text"].to_pylist(), number)) + toxicity.odds(1, metadata) - toxicity.prior)
+                columns = [p(z[0]), p(z[1]), whole, whole >= 0.5, toxic, toxic > 0.5]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *map(pa.array, columns)], schema=schema)
 
-    return _source(docs).mapInArrow(scored, "doc_id long, p_content double, p_metadata double, score double, kept boolean")
+    return _source(docs).mapInArrow(scored, "doc_id long, p_content double, p_metadata double, score double, kept boolean, p_toxic double, toxic boolean")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

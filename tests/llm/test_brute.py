@@ -239,6 +239,16 @@ def test_classifier_held_out(spark):
     assert len(out) > 20 and right >= 0.8, right
 
 
+def test_classifier_finds_toxic(spark):
+    d = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = cotraining.fit(documents, labels.where("doc_id % 4 <> 0"))
+    out = cotraining.score(documents, model).join(labels.where("doc_id % 4 = 0").withColumnRenamed("toxic", "true"), "doc_id").select("p_toxic", "toxic", "true").collect()
+    found, planted, right = sum(r["toxic"] for r in out), sum(r["true"] for r in out), sum(r["toxic"] and r["true"] for r in out)
+    print("toxic, held out:", planted, "found", found, "right", right, "of", len(out))
+    assert planted > 50 and right >= 0.75 * planted and right >= 0.95 * found
+
+
 def test_classifier_edges(spark, docs, none):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     assert cotraining.score(docs, cotraining.fit(docs, labels)).count() == len(TEXTS)
