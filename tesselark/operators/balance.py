@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselark.operators.particles import migrate, unsafe_ranks
-from tesselark.storage import small
+from tesselark.storage import fetched, small
 
 
 def safe_sets(halo: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def weights_from_counts(counts: DataFrame, sets: DataFrame) -> DataFrame:
 def plan(weight: DataFrame, sets: DataFrame, n_ranks: int, tol: float = 1.05, step: float = 0.5, rounds: int = 100) -> list[tuple[int, int, int, int]]:
     """(rank, sbar, target, quota): repeated diffusion from loaded ranks to less loaded ones of the same set. Runs on the driver over
     one number a (rank, set); deterministic."""
-    have: dict[tuple[int, int], int] = {(r["rank"], r["sbar"]): r["n"] for r in weight.limit(1_000_000).collect()}
-    members = {r["sbar"]: list(r["ranks"]) for r in sets.select("sbar", "ranks").distinct().limit(1_000_000).collect()}
+    have: dict[tuple[int, int], int] = {(r["rank"], r["sbar"]): r["n"] for r in fetched(weight, "weights by rank and safe set")}
+    members = {r["sbar"]: list(r["ranks"]) for r in fetched(sets.select("sbar", "ranks").distinct(), "safe sets")}
     load = [sum(n for (r, _), n in have.items() if r == k) for k in range(n_ranks)]
     mean = sum(load) / max(n_ranks, 1)
     moves: dict[tuple[int, int, int], int] = defaultdict(int)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh, elem_vert
-from tesselark.storage import cut, small
+from tesselark.storage import cut, fetched, small
 
 
 class Method(Enum):
@@ -256,7 +256,7 @@ def reduce_comm_array(array: DataFrame, key: str, op: str, components: list[str]
 def class_partition(elem: DataFrame, n_ranks: int, tol: float = 1.05, rounds: int = 10) -> dict[int, int]:
     """class_id to owner: consecutive classes for each rank, evened out by moving border classes to the next rank. Runs on
     the driver over one number a class."""
-    sizes = sorted((r["class_id"], r["n"]) for r in elem.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).limit(1_000_000).collect())
+    sizes = sorted((r["class_id"], r["n"]) for r in fetched(elem.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")), "classes"))
     if len(sizes) < n_ranks:
         raise ValueError("fewer classes than ranks")
     total, out, rank, have = sum(n for _, n in sizes), {}, 0, 0

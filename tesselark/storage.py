@@ -53,3 +53,15 @@ BROADCAST_ROWS = 200_000
 def small(df: DataFrame, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it was counted to have at most limit_rows rows."""
     return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
+
+
+#: As many rows may come to the driver at once.
+DRIVER_ROWS = 1_000_000
+
+
+def fetched(df: DataFrame, what: str) -> list:
+    """All rows of df; raises ValueError beyond DRIVER_ROWS rather than dropping some."""
+    rows = df.limit(DRIVER_ROWS + 1).collect()
+    if len(rows) > DRIVER_ROWS:
+        raise ValueError(f"more than DRIVER_ROWS = {DRIVER_ROWS} {what}")
+    return rows
