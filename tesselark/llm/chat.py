@@ -10,7 +10,7 @@ Turns are encoded row by row wherever they lie; only then are a conversation's i
 row. ``read_back`` parses ids and mask alone.
 
 Defined cases: null role or text is empty; turns of equal number are ordered by role, then text; a null number comes first;
-repeated rows are separate turns; rows without conv_id are one conversation; extra columns are ignored; an empty table gives no rows.
+repeated rows are separate turns; each row without conv_id is a conversation of its own; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +97,9 @@ def format_chats(conversations: DataFrame, json_path: str | None = None, ranks_p
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     rows = rows.mapInArrow(encode_turns, "conv_id long, turn long, role string, text string, role_ids array<int>, text_ids array<int>")
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns"))
+    # a row without conv_id is a conversation of its own, so no group grows with such rows
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = rows.groupBy("conv_id", alone.alias("alone")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns"))
     return turns.mapInArrow(assemble, "conv_id long, input_ids array<int>, loss_mask array<tinyint>, text string")
 
 
@@ -143,8 +145,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL
 ), shown AS (
   SELECT *, replace(replace(replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>'), '<|endoftext|>', '<\|endoftext|>') AS escaped FROM rows
 )
@@ -152,5 +154,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(role) + length(escaped) + 6 + 6 + 7) AS BIGINT) AS formatted_chars
-FROM shown GROUP BY conv_id
+FROM shown GROUP BY conv_id, alone
 """

@@ -6,8 +6,8 @@ equi-join of the distinct fingerprints finds the candidate documents. In those t
 are compared with the items' windows by 128-bit hash, and the words that matching windows cover are counted. Items of fewer
 than 10 words are one window of their own length; if there are any, all runs of those lengths (at most 9 lengths) are fingerprints.
 
-A small benchmark is broadcast by Spark's own size rule, a large one is joined by shuffle; only hashes are shuffled in the first pass, and
-the texts of candidates only in the second. No step gathers the documents of an item, a key or a passage.
+A small benchmark is broadcast by Spark's own size rule, a large one is joined by shuffle, where only hashes move. The ids of candidates and of
+documents with hits are stored tables: while Spark's size rule lets it broadcast them, no text is shuffled. No step gathers the documents of an item, a key or a passage.
 
 Defined cases: null text has no words; rows equal in id and text get equal results; equal item_ids are one item; an item without id counts
 under the name "null"; items without words never occur; empty tables give no rows or no hits; all input columns stay.
@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.llm.common import documents, let, text_of, written
+from tesselark.llm.common import column, discard, documents, let, own_prefix, text_of, written
 from tesselark.llm.line_dedup import lowered
 from tesselark.llm.quality_rules import LONGS, windows
 
@@ -58,57 +58,65 @@ def fingerprints(hashes: Column, short: list[int], span: int, gram: int) -> Colu
     return F.array_distinct(F.concat(*parts)) if short else kept
 
 
-def all_windows(hashes: Column, lengths: list[int]) -> Column:
-    """start, length and a 128-bit hash of every run of the given lengths."""
+def all_windows(hashes: Column, others: Column, lengths: list[int]) -> Column:
+    """start, length and a 128-bit hash of every run of the given lengths; each half is made from word hashes of its own."""
 
     def of(n: int) -> Column:
-        number = lambda i: F.struct(
-            i.alias("at"), F.lit(n).alias("n"), F.xxhash64(*(F.get(hashes, i + k) for k in range(n))).alias("w1"), F.xxhash64(F.lit(n), *(F.get(hashes, i + k) for k in range(n))).alias("w2")
-        )
+        half = lambda h, i: F.xxhash64(*(F.get(h, i + k) for k in range(n)))
+        number = lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), half(hashes, i).alias("w1"), half(others, i).alias("w2"))
         none = F.array().cast("array<struct<at:int,n:int,w1:bigint,w2:bigint>>")
         return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), number)).otherwise(none)
 
     return F.concat(*map(of, lengths))
 
 
+def window_rows(words_: Column, lengths: list[int]) -> Column:
+    """all_windows() of words, each word hashed twice."""
+    return let(words_, lambda w: let(hashed(w), lambda h: let(F.transform(w, lambda x: F.xxhash64(F.lit(1), x)), lambda g: all_windows(h, g, lengths))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _tk_n_words, _tk_n_hit and _tk_items (the sorted item ids as strings)."""
-    text = text_of(text_col)
-    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_tk_id"), F.xxhash64(text).alias("_tk_row")]
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), hashed(words(text_of("text"))).alias("h")).where(F.size("h") > 0)
+    """docs and, as last column, <prefix>hits: struct(n_words, n_hit, items: the sorted item ids as strings); the prefix is own_prefix(docs)."""
+    p, text = own_prefix(docs), text_of(text_col)
+    key = [F.coalesce(column(id_col).cast("string"), F.lit("null")).alias(f"{p}id"), F.xxhash64(text).alias(f"{p}row")]
+    own_key = [f"{p}id", f"{p}row"]
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(text_of("text")).alias("w")).where(F.size("w") > 0)
     items = written(items)
-    short = sorted(r[0] for r in items.where(F.size("h") < span).select(F.size("h")).distinct().collect())  # span - 1 numbers at most
-    marks = items.select(F.explode(let(F.col("h"), lambda h: fingerprints(h, short, span, gram))).alias("f")).distinct()
+    short = sorted(r[0] for r in items.where(F.size("w") < span).select(F.size("w")).distinct().collect())  # span - 1 numbers at most
+    marks = items.select(F.explode(let(hashed(F.col("w")), lambda h: fingerprints(h, short, span, gram))).alias("f")).distinct()
 
-    source = docs.select(*key, let(hashed(words(text)), lambda h: F.struct(F.size(h).cast("long").alias("n"), fingerprints(h, short, span, gram).alias("f"))).alias("w"))
-    each = source.select("_tk_id", "_tk_row", F.col("w.n").alias("n"), F.explode_outer("w.f").alias("f"))
-    found = each.join(marks.withColumn("hit", F.lit(1)), "f", "left").groupBy("_tk_id", "_tk_row").agg(F.max("n").alias("_tk_n_words"), F.max("hit").alias("hit"))
-    found = written(found)
+    source = docs.select(*key, F.explode(let(hashed(words(text)), lambda h: fingerprints(h, short, span, gram))).alias("f"))
+    candidates = written(source.join(marks, "f").select(*own_key).distinct())
 
-    # second pass: the candidates' windows against the items' windows
+    # second pass: the candidates' windows against the items' windows. What is joined to texts is a stored table of ids, whose size Spark knows: a
+    # small one is broadcast by its rule, a large one is joined by shuffle
     lengths = [*short, span]
-    own = lambda n: F.when(F.size("h") >= span, F.lit(n == span)).otherwise(F.size("h") == n)
-    windows_of = lambda n: items.where(own(n)).select("item", F.explode(let(F.col("h"), lambda h: all_windows(h, [n]))).alias("w"))
+    own = lambda n: F.when(F.size("w") >= span, F.lit(n == span)).otherwise(F.size("w") == n)
+    windows_of = lambda n: items.where(own(n)).select("item", F.explode(window_rows(F.col("w"), [n])).alias("w"))
     item_windows = reduce(DataFrame.unionByName, map(windows_of, lengths)).select("item", "w.n", "w.w1", "w.w2").groupBy("n", "w1", "w2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    candidates = docs.select(*key, text.alias("_tk_text")).join(found.where("hit = 1").select("_tk_id", "_tk_row").hint("shuffle_hash"), ["_tk_id", "_tk_row"], "left_semi")
-    spread = candidates.select("_tk_id", "_tk_row", F.explode(let(hashed(words(F.col("_tk_text"))), lambda h: all_windows(h, lengths))).alias("w"))
-    spread = spread.select("_tk_id", "_tk_row", "w.at", "w.n", "w.w1", "w.w2")
-    hits = spread.join(item_windows, ["n", "w1", "w2"]).groupBy("_tk_id", "_tk_row").agg(F.collect_set(F.struct("at", "n")).alias("runs"), F.collect_set("items").alias("items"))
+    candidates = docs.select(*key, text.alias("text")).join(candidates, own_key, "left_semi")
+    spread = candidates.select(*own_key, F.explode(window_rows(words(F.col("text")), lengths)).alias("w"))
+    spread = spread.select(*own_key, "w.at", "w.n", "w.w1", "w.w2")
+    hits = spread.join(item_windows, ["n", "w1", "w2"]).groupBy(*own_key).agg(F.collect_set(F.struct("at", "n")).alias("runs"), F.collect_set("items").alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
-    hits = hits.select("_tk_id", "_tk_row", F.size(covered).cast("long").alias("_tk_n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("_tk_items"))
-    result = found.drop("hit").join(hits, ["_tk_id", "_tk_row"], "left")
-    joined = docs.withColumns({"_tk_id": key[0], "_tk_row": key[1]}).join(result, ["_tk_id", "_tk_row"], "left")
+    hits = written(hits.select(*own_key, F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")))
+    discard(items)
+    n_words = F.size(words(text)).cast("long")
+    joined = docs.withColumns(dict(zip(own_key, key, strict=True))).join(hits.withColumnsRenamed({"n_hit": f"{p}n_hit", "items": f"{p}items"}), own_key, "left")
+    none = F.array().cast("array<string>")
     return joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns), "_tk_n_words", F.coalesce("_tk_n_hit", F.lit(0).cast("long")).alias("_tk_n_hit"), F.coalesce("_tk_items", F.array().cast("array<string>")).alias("_tk_items")
+        *map(column, docs.columns),
+        F.struct(n_words.alias("n_words"), F.coalesce(f"{p}n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(f"{p}items", none).alias("items")).alias(f"{p}hits"),
     )
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    slim = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return slim.select(
-        "doc_id", F.col("_tk_n_words").alias("n_words"), F.col("_tk_n_hit").alias("n_hit"), F.size("_tk_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_tk_items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("_tk_n_hit") > 0).alias("contaminated"),
+    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    x = column(out.columns[-1])
+    return out.select(
+        "doc_id", x["n_words"].alias("n_words"), x["n_hit"].alias("n_hit"), F.size(x["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(x["items"], ",").cast("binary"), 256).alias("items_sha256"), (x["n_hit"] > 0).alias("contaminated"),
     )
 
 

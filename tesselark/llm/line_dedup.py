@@ -10,7 +10,7 @@ Shuffled: hashes and positions of lines, and each text once, to meet its lost po
 hold is counted by partial aggregation, and the join that marks its places is an ordinary equi-join, which adaptive execution splits.
 
 Defined cases: null text is one empty line (its text becomes empty); rows of equal doc_id are one document; rows
-without doc_id together form the last document; an empty table gives no rows; all columns of the input stay.
+without doc_id together form the last document; an empty table gives no rows; all columns of the input stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.llm.common import LOWER, UPPER, WHITE, discard, documents, shared_dir, text_of, written
+from tesselark.llm.common import LOWER, UPPER, WHITE, column, discard, documents, let, own_prefix, scratch_dir, text_of, written
 
 BATCHES, FANOUT, LEAST_LENGTH = 4, 2, 10
 LAST_ID = 9223372036854775807
@@ -35,7 +35,7 @@ def lowered(text: Column) -> Column:
 def line_keys(docs: DataFrame, id_col: str, text_col: str, least_length: int) -> DataFrame:
     """id, row (a hash of the text), pos and 128-bit key of each line that is long enough."""
     text = text_of(text_col)
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(lowered(text), "\n", -1)).alias("pos", "line"))
+    lines = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(lowered(text), "\n", -1)).alias("pos", "line"))
     lines = lines.select("id", "row", "pos", F.btrim("line", F.lit(WHITE)).alias("line")).where(F.length("line") >= least_length)
     return lines.select("id", "row", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
@@ -51,12 +51,12 @@ class LineRuns:
     def store(self, keys: DataFrame) -> str:
         name = f"tesselark_lines_{uuid.uuid4().hex}"
         dealt = keys.repartition(self.buckets, *KEY)
-        dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{scratch_dir(self.spark)}/{name}").saveAsTable(name)
         return name
 
     def drop(self, name: str) -> None:
         table = self.spark.table(name)
-        table._tesselark_path = f"{shared_dir(self.spark)}/{name}"
+        table._tesselark_path = f"{scratch_dir(self.spark)}/{name}"
         self.spark.sql(f"DROP TABLE {name}")
         discard(table)
 
@@ -98,7 +98,7 @@ def lost_lines(docs: DataFrame, id_col: str, text_col: str, batches: int, fanout
     spark = docs.sparkSession
     keys = line_keys(docs, id_col, text_col, least_length)
     shares = F.array(*(F.lit(i / batches) for i in range(1, batches)))
-    cuts = docs.agg(F.percentile_approx(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), shares, F.lit(1000))).first()[0] if batches > 1 else []
+    cuts = docs.agg(F.percentile_approx(F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID)), shares, F.lit(1000))).first()[0] if batches > 1 else []
     batch = sum((F.when(F.col("id") > cut, 1).otherwise(0) for cut in sorted(set(cuts or []))), F.lit(0))
     keys = written(keys.withColumn("batch", batch), partition_by="batch")
     runs, lost = LineRuns(spark, fanout), []
@@ -120,26 +120,25 @@ def lost_lines(docs: DataFrame, id_col: str, text_col: str, batches: int, fanout
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """docs with the lines that stay as their text, _tk_n_lines (before) and _tk_n_dropped."""
+    """docs with the lines that stay as their text and, as last column, <prefix>lines: struct(n_lines (before), n_dropped); the prefix is own_prefix(docs)."""
+    p, text = own_prefix(docs), text_of(text_col)
     lost = lost_lines(docs, id_col, text_col, batches, fanout, least_length)
-    lost = lost.select(F.col("id").alias("_tk_id"), F.col("row").alias("_tk_row"), F.col("lost").alias("_tk_lost"))
-    text = text_of(text_col)
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col("_tk_id")) & (F.xxhash64(text) == F.col("_tk_row"))
-    lines = F.split(text, "\n", -1)
-    marked = docs.join(lost, same, "left").withColumn("_tk_lines", lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_tk_lines") - 1), F.col("_tk_lost"))
+    lost = lost.select(F.col("id").alias(f"{p}id"), F.col("row").alias(f"{p}row"), F.col("lost").alias(f"{p}lost"))
+    same = (F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID)) == F.col(f"{p}id")) & (F.xxhash64(text) == F.col(f"{p}row"))
+    marked = docs.join(lost, same, "left").withColumn(f"{p}all", F.split(text, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(f"{p}all") - 1), F.col(f"{p}lost"))
     # the lines go through a one-element array so that they are split once a row, not once a kept line
-    rest = F.element_at(F.transform(F.array("_tk_lines"), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")), 1)
-    marked = marked.select(
-        *(F.when(F.col("_tk_lost").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-        F.size("_tk_lines").cast("long").alias("_tk_n_lines"), F.coalesce(F.size("_tk_lost"), F.lit(0)).cast("long").alias("_tk_n_dropped"),
+    rest = let(F.col(f"{p}all"), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n"))
+    counts = F.struct(F.size(f"{p}all").cast("long").alias("n_lines"), F.coalesce(F.size(f"{p}lost"), F.lit(0)).cast("long").alias("n_dropped"))
+    return marked.select(
+        *(F.when(F.col(f"{p}lost").isNull(), text).otherwise(rest).alias(c) if c == text_col else column(c) for c in docs.columns), counts.alias(f"{p}lines")
     )
-    return marked
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", F.col("_tk_n_lines").alias("n_lines"), F.col("_tk_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    x = column(out.columns[-1])
+    return out.select("doc_id", x["n_lines"].alias("n_lines"), x["n_dropped"].alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP6_SQL = r"""

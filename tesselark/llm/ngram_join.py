@@ -18,11 +18,12 @@ Keeping the lists short, all exactly:
   still holds (the list's main component is never paired with itself) is verified. So no link between
   components is lost, and copies are not paired among themselves.
 
-Shuffled: about a quarter of the shingle hashes, the texts once (to meet the ids that remain), and the remaining sets.
+Shuffled: about a quarter of the shingle hashes, the texts once (to meet the ids that remain, unless these are few enough to be broadcast), and the remaining sets.
 
 Defined cases: null text or one without words is the empty set and links with nothing; a text of fewer than five words is one
 shingle; rows of equal doc_id are one document, its text that of the row with the largest set (of equal sizes, of the
-larger hashes); rows without doc_id are one such document; extra columns are ignored; an empty table gives no rows.
+larger hashes); rows without doc_id are one such document, and it stands as the last id, 9223372036854775807, where it is named by
+component_id; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesselark.llm.common import discard, documents, written
+from tesselark.llm.common import column, discard, documents, temporary, text_of, written
 from tesselark.llm.components import components
 from tesselark.llm.line_dedup import LAST_ID
 
@@ -129,53 +130,54 @@ def parities(s: np.ndarray) -> dict[str, int]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document a row with info; per shingle of its prefix a row with token, but those that FREQUENT documents of the
-    chunk share are one row without id, and are counted in info."""
+    """Per document a row (key: id) with info; per set and chunk of texts one row (key: the set's first hash) for each shingle of its prefix,
+    but those that FREQUENT sets of the chunk share are one row without key, and their number is w of one row of the set."""
     shingler = Shingler()
-    info_type = pa.struct([("n", pa.int32()), ("frequent", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("info", info_type)])
-    ids, infos, tokens, owners, seen, size = [], [], [], [], set(), 0
+    info_type = pa.struct([("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("w", pa.int32()), ("info", info_type)])
+    ids, infos, tokens, owners, seen, size = [], [], [], [], {}, 0
+
+    def rows(token: np.ndarray, key: np.ndarray | None, w: np.ndarray | None, info: pa.Array | None) -> pa.RecordBatch:
+        n = len(token)
+        columns = [pa.nulls(n, f.type) if x is None else pa.array(x, f.type) for x, f in zip((key, w, info), list(schema)[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([_signed(token), *columns], schema=schema)
 
     def flush() -> Iterator[pa.RecordBatch]:
         all_tokens = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
         all_owners = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        sets = np.array([s1 for s1, _ in seen], dtype=np.int64)
         _, back, times = np.unique(all_tokens, return_inverse=True, return_counts=True)
         often = times[back] >= FREQUENT
-        frequent = np.bincount(all_owners[often], minlength=len(ids))
-        marks, rest = np.unique(all_tokens[often]), ~often
-        own = np.array(ids, dtype=np.int64)
-        info = pa.StructArray.from_arrays(
-            [pa.array([x[0] for x in infos], pa.int32()), pa.array(frequent, pa.int32()), pa.array([x[1] for x in infos], pa.int64()), pa.array([x[2] for x in infos], pa.int64())], fields=list(info_type)
-        )
-        spread = mixed(own.view(np.uint64) + MULTIPLIER)  # documents' rows go anywhere
-        yield pa.RecordBatch.from_arrays([_signed(spread), pa.array(own), info], schema=schema)
-        part = all_tokens[rest]
-        yield pa.RecordBatch.from_arrays([_signed(part), pa.array(own[all_owners[rest]]), pa.nulls(len(part), info_type)], schema=schema)
-        yield pa.RecordBatch.from_arrays([_signed(marks), pa.nulls(len(marks), pa.int64()), pa.nulls(len(marks), info_type)], schema=schema)
+        frequent = np.bincount(all_owners[often], minlength=len(sets)).astype(np.int32)
+        spread = lambda x: mixed(x.view(np.uint64) + MULTIPLIER)  # noqa: E731  these rows go anywhere
+        own, some = np.array(ids, dtype=np.int64), frequent > 0
+        yield rows(spread(own), own, None, pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*infos, strict=True), info_type, strict=True)], fields=list(info_type)))
+        yield rows(spread(sets[some]), sets[some], frequent[some], None)
+        yield rows(all_tokens[~often], sets[all_owners[~often]] if len(sets) else np.empty(0, np.int64), None, None)
+        yield rows(np.unique(all_tokens[often]), None, None, None)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             for doc_id, s in zip(part["id"].to_pylist(), shingler.sets(part["text"].to_pylist()), strict=True):
-                whole = xxhash.xxh3_128_digest(s.tobytes())
-                s1, s2 = np.frombuffer(whole, dtype=np.int64)
-                if len(s) and whole not in seen:
-                    seen.add(whole)
+                s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()
+                if len(s) and (s1, s2) not in seen:
                     p = s[: prefix_length(len(s))]
                     tokens.append(p)
-                    owners.append(np.full(len(p), len(ids), dtype=np.int64))
+                    owners.append(np.full(len(p), len(seen), dtype=np.int64))
+                    seen[s1, s2] = True
                     size += len(p)
                 ids.append(doc_id)
-                infos.append((len(s), int(s1), int(s2)))
+                infos.append((len(s), s1, s2))
             if size >= CHUNK_TOKENS or len(ids) >= CHUNK_TOKENS:
                 yield from flush()
-                ids, infos, tokens, owners, seen, size = [], [], [], [], set(), 0
+                ids, infos, tokens, owners, seen, size = [], [], [], [], {}, 0
     if ids:
         yield from flush()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets that the classes name. A task gets all rows of an id, and gives one."""
+    """The sets that the classes name; a task gives one row an id."""
     shingler, given = Shingler(), set()
     bits = pa.struct([(k, pa.int64()) for k in BIT_WORDS])
     schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("bits", bits), ("shingles", pa.list_(pa.int64()))])
@@ -226,7 +228,8 @@ def index_rows(sets: DataFrame, boundary: int) -> DataFrame:
     set holds come first and pair nobody; a set with fewer than ceil(4 n / 5) others has no link."""
     heavy = sets.where(F.col("n") > 4 * boundary // 5)
     rows = heavy.select("id", F.explode("shingles").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    # stored, so that the join below is one of plain shuffles, whose long lists adaptive execution splits
+    shared = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"))
     own = Window.partitionBy("id")
     least = F.ceil(4 * F.col("n") / 5)
     rows = rows.join(shared, "token").withColumn("cnt", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
@@ -260,13 +263,14 @@ def heavy_links(index: DataFrame, sets: DataFrame, boundary: int, links: DataFra
         known = components(links)
         rows = index.join(known, "id", "left").select("token", F.struct("id", "n", "bits", "pos", F.coalesce("component", "id").alias("c")).alias("x"))
         order = F.col("x.id") if turn == 0 else F.xxhash64(F.lit(turn), "x.id")
-        lists = rows.groupBy("token").agg(F.min_by("x", F.struct(order, "x.id")).alias("pivot"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1")
-        rows = written(rows.join(lists, "token").drop("c0", "c1"))
+        # lists and main are stored, so that they are joined to the rows by plain shuffles, whose long lists adaptive execution splits
+        lists = written(rows.groupBy("token").agg(F.min_by("x", F.struct(order, "x.id")).alias("pivot"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1").drop("c0", "c1"))
+        rows = written(rows.join(lists, "token"))
         sizes = rows.groupBy("token", "x.c").agg(F.count(F.lit(1)).alias("k"))
-        main = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("all"))
+        main = written(sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("all")))
         left, listed = main.select(F.sum((F.col("all") - F.col("main.k")) * F.col("all")), F.sum("all")).first()
         if not left:
-            discard(rows)
+            discard(rows, lists, main)
             return links
         # left: pairs to come if every list were finished now; go on with pivots while those are many and at least halve each time
         final = left <= 4 * listed or turn == MAX_ROUNDS or (previous is not None and 2 * left > previous)
@@ -277,8 +281,8 @@ def heavy_links(index: DataFrame, sets: DataFrame, boundary: int, links: DataFra
             pairs = rows.withColumn("y", F.col("pivot")).where((F.col("x.c") != F.col("y.c")) & may_link(F.col("x"), F.col("y"), boundary))
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         added = verified(pairs, sets)
-        links, previous = written(links.unionByName(added).distinct()), left
-        discard(rows)
+        old, links, previous = links, written(links.unionByName(added).distinct()), left
+        discard(rows, lists, main, old)
         if final:
             return links
     return links
@@ -286,35 +290,43 @@ def heavy_links(index: DataFrame, sets: DataFrame, boundary: int, links: DataFra
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    first = source.mapInArrow(_first_pass, "token long, id long, info struct<n:int,frequent:int,s1:long,s2:long>")
-    token = Window.partitionBy("token")
-    holders = F.sum(F.when(F.col("info").isNull(), F.when(F.col("id").isNull(), FREQUENT).otherwise(1)).otherwise(0)).over(token)
-    counted = first.withColumn("holders", holders).where("id is not null and (info is not null or holders >= 2)")
-    found = counted.groupBy("id").agg(F.max("info").alias("info"), F.sum(F.when(F.col("info").isNull(), 1).otherwise(0)).alias("shared"))
-    found = written(found.select("id", "info.n", "info.s1", "info.s2", (F.col("info.frequent") + F.col("shared")).alias("shared")))
-
-    # equal sets: one class, its least id goes on; only one member of a task has sent its shingles, hence the maximum
-    classes = written(found.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("shared").alias("shared")))
+    with temporary() as keep:
+        sizes, found = map(keep, _joined(docs, id_col, text_col))
+    sizes = sizes.where("doc").select(F.col("key").alias("id"), F.col("info.n").cast("long").alias("n_shingles"))
+    return sizes.join(found, "id", "left").select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: what is known of documents and sets, and the components of documents that have links."""
+    source = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_of(text_col).alias("text"))
+    first = source.mapInArrow(_first_pass, "token long, key long, w int, info struct<n:int,s1:long,s2:long>")
+    token, counts = Window.partitionBy("token"), F.col("info").isNull() & F.col("w").isNull()
+    holders = F.sum(F.when(counts, F.when(F.col("key").isNull(), FREQUENT).otherwise(1)).otherwise(0)).over(token)
+    counted = first.withColumn("holders", holders).where(F.col("key").isNotNull() & (~counts | (F.col("holders") >= 2)))
+    both = written(counted.groupBy(F.col("info").isNotNull().alias("doc"), "key").agg(F.max("info").alias("info"), F.sum(F.coalesce("w", F.lit(1))).alias("shared")))
+    found = both.where("doc").select(F.col("key").alias("id"), "info.n", "info.s1", "info.s2")
+    shared = both.where("not doc").select(F.col("key").alias("s1"), "shared")
+
+    # equal sets: one class, its least id goes on. Counts belong to sets, by their first hash, as a row that sent a set's shingles may
+    # not be the one that stands for its id; a set sent by several tasks, or two of equal first hash, count more, which only lets them go on
+    classes = found.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")).join(shared, "s1", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    classes = written(classes)
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n").between(1, 2 * MAX_BOUNDARY)).groupBy("n").count().collect()}
     boundary = boundary_by_cost(histogram)
     least = F.greatest(F.lit(1), F.floor(F.ceil(4 * F.col("n") / 5) / EXTRA))
-    remain = classes.where((F.col("n") > 0) & ((F.col("n") <= boundary) | (F.col("shared") >= least))).select(F.col("rep").alias("id"), "s1", "s2")
-    chosen = source.join(remain.hint("shuffle_hash"), "id")
-    sets = written(chosen.mapInArrow(_sets, "id long, n int, bits struct<w0:long,w1:long,w2:long,w3:long>, shingles array<long>"))
+    remain = written(classes.where((F.col("n") > 0) & ((F.col("n") <= boundary) | (F.col("shared") >= least))).select(F.col("rep").alias("id"), "s1", "s2"))
+    # remain is a stored table: while it is small, Spark broadcasts it and no text is shuffled
+    sets = written(source.join(remain, "id").mapInArrow(_sets, "id long, n int, bits struct<w0:long,w1:long,w2:long,w3:long>, shingles array<long>"))
+    if not both.where("doc and shared > 1").isEmpty():  # several rows of an id may have given its set in several tasks
+        given, sets = sets, written(sets.dropDuplicates(["id"]))
+        discard(given)
 
     members = found.where("n > 0").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
     links = written(light_links(sets, boundary))
     index = written(index_rows(sets, boundary))
     links = heavy_links(index, sets, boundary, links)
     edges = links.unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    found_components = written(components(edges))
-    sizes = found.groupBy("id").agg(F.max("n").cast("long").alias("n_shingles"))
-    out = sizes.join(found_components, "id", "left").select(
-        F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id")
-    )
-    discard(sets, index)
-    return out
+    return both, written(components(edges))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

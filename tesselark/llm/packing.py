@@ -1,9 +1,9 @@
 """Operator 1: best-fit decreasing packing of token pieces.
 
 Documents are encoded, closed with an end id and cut into pieces of at most ``capacity`` tokens (only a document's
-first piece may be shorter than that if it is cut). Pieces are dealt by hash into groups of a fixed size, and each group is packed by
+first piece may be shorter than that if it is cut). Shorter pieces are dealt into groups of a fixed size, and each group is packed by
 best-fit decreasing: a segment tree over remaining capacities (0 to capacity) finds the tightest open sequence in
-log2(capacity) steps a piece. A group of 65,536 documents wastes about as little as one global run would (it leaves
+log2(capacity) steps a piece. Pieces of just the capacity are sequences by themselves. A group of 65,536 pieces wastes about as little as one global run would (it leaves
 one or two badly filled sequences), while memory is bounded by the group and groups run in parallel.
 
 Ids are those of the ``tokenizers`` file. They are made by tiktoken from the same vocabulary, several times faster;
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesselark.llm.common import documents
+from tesselark.llm.common import documents, text_of, written
 
-CAPACITY, END_ID, DOCS_PER_GROUP = 1024, 2, 65_536
+CAPACITY, END_ID, PIECES_PER_GROUP = 1024, 2, 65_536
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -75,7 +75,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                         start, piece = start + len(own), piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return source.mapInArrow(pieces, PIECES + (", ids array<int>" if with_ids else ""))
 
 
@@ -131,7 +131,8 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], i
 
 
 def pack_pieces(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset; pieces of a group are taken by decreasing length, then by id."""
+    """pieces (a stored table) with sequence_id and offset; pieces of a group are taken by decreasing length, then by id. Rows are dealt by their
+    place in the table, so that repeated rows spread as well."""
     keep = pieces.columns
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
@@ -141,14 +142,17 @@ def pack_pieces(pieces: DataFrame, n_groups: int, capacity: int = CAPACITY) -> D
         return group.append_column("offset", pa.array(offsets, pa.int64()))
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
     return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, docs_per_group: int = DOCS_PER_GROUP, **how) -> DataFrame:
-    """PACKED for all documents (and ids with with_ids=True); each document has one piece below capacity at most, so the
-    row count, which Parquet keeps in its footers, bounds what a group packs beside whole sequences."""
-    return pack_pieces(token_pieces(docs, capacity, **how), max(1, -(-docs.count() // docs_per_group)), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, pieces_per_group: int = PIECES_PER_GROUP, **how) -> DataFrame:
+    """PACKED for all documents (and ids with with_ids=True). A piece that fills a sequence alone needs no packing and joins no group: its
+    sequence_id is negative. The others are counted exactly, so a group holds about pieces_per_group of them."""
+    pieces = written(token_pieces(docs, capacity, **how))
+    full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return pack_pieces(rest, max(1, -(-rest.count() // pieces_per_group)), capacity).unionByName(alone)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

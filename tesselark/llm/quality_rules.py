@@ -10,7 +10,7 @@ hash; so they may be broadcast. Everything else covers the whole corpus. The fea
 numbers whatever the input, and reaches the scoring pass as a scalar subquery. Texts are never shuffled.
 
 Defined cases: null and empty texts have no words, fail the base rule and are not kept; repeated rows count as often as they
-occur; a table without labels keeps what passes the base rule; an empty table gives no rows; all columns of the input stay.
+occur; a table without labels keeps what passes the base rule; an empty table gives no rows; all columns of the input stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.llm.common import WHITE, WHITE_RUN, documents, let, text_of
+from tesselark.llm.common import WHITE, WHITE_RUN, column, documents, let, own_prefix, text_of
 
 N_FEATURES, MAX_TRUSTED, SMOOTHING, THRESHOLD = 1 << 14, 20_000, 1.0, -0.08
 SYMBOLS = "#*$%&|<>"
@@ -60,19 +60,29 @@ def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
     return let(windows(hashes, size), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(in_repeats(h)))
 
 
-def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _tk_hashes and the base columns, each named _tk_<name>."""
-    text = text_of(text_col)
+def text_counts(text: Column) -> Column:
+    """struct(word_chars, n_symbols, n_dup_lines) of a text."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    out = docs.select(
-        "*",
-        let(word_hashes(text), lambda h: F.struct(h.alias("hashes"), F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"))).alias("_tk_words"),
-        F.length(F.regexp_replace(text, WHITE_RUN, "")).cast("long").alias("_tk_word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias("_tk_n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("_tk_n_dup_lines"),
+    return F.struct(
+        F.length(F.regexp_replace(text, WHITE_RUN, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
-    n, repeat = F.col("_tk_words.n_words"), F.col("_tk_words.n_repeat_words")
-    return out.withColumn("_tk_base_failed", (n < LEAST_WORDS) | (100 * repeat > 20 * n))
+
+
+def verdict(text: Column, table: Column, n_features: int, threshold: float) -> Column:
+    """struct(n_words, n_repeat_words, base_failed, ratio, kept). One expression that hashes the words once: what is bound here is not written out
+    again for each field, also where a filter on kept is moved below a projection."""
+    total = lambda t, f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(t, x))
+    ratio = lambda h: let(features(h, n_features), lambda f: let(table, lambda t: total(t, f)) / F.greatest(F.size(f), F.lit(1)))
+    base = lambda h: F.struct(F.size(h).cast("long").alias("n"), repeated_words(h).alias("repeat"), ratio(h).alias("ratio"))
+
+    def whole(x: Column) -> Column:
+        failed = (x["n"] < LEAST_WORDS) | (100 * x["repeat"] > 20 * x["n"])
+        kept = ~failed & (x["ratio"] >= threshold)
+        return F.struct(x["n"].alias("n_words"), x["repeat"].alias("n_repeat_words"), failed.alias("base_failed"), x["ratio"].alias("ratio"), kept.alias("kept"))
+
+    return let(word_hashes(text), lambda h: let(base(h), whole))
 
 
 def features(hashes: Column, n_features: int) -> Column:
@@ -98,20 +108,17 @@ def feature_ratios(docs: DataFrame, trusted: DataFrame, n_features: int = N_FEAT
     return table.select(ratio.alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, n_features: int = N_FEATURES, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _tk_words (n_words, n_repeat_words), the other base columns, _tk_ratio and _tk_kept."""
-    ratios = feature_ratios(docs, trusted_ids(labels, max_trusted), n_features).scalar()
-    scored = base_statistics(docs).withColumn("_tk_table", ratios)
-    total = lambda t, f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(t, x))
-    own = let(F.col("_tk_words.hashes"), lambda h: let(features(h, n_features), lambda f: let(F.col("_tk_table"), lambda t: total(t, f)) / F.greatest(F.size(f), F.lit(1))))
-    scored = scored.withColumn("_tk_ratio", own).drop("_tk_table")
-    return scored.withColumn("_tk_kept", ~F.col("_tk_base_failed") & (F.col("_tk_ratio") >= threshold))
+def quality_rules(docs: DataFrame, labels: DataFrame, n_features: int = N_FEATURES, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs and two struct columns in the end, <prefix>counts as text_counts() and <prefix>verdict as verdict(); the prefix is own_prefix(docs)."""
+    p, text = own_prefix(docs), text_of(text_col)
+    ratios = feature_ratios(docs, trusted_ids(labels, max_trusted), n_features, text_col=text_col).scalar()
+    scored = docs.withColumn(f"{p}table", ratios)
+    return scored.select(*map(column, docs.columns), text_counts(text).alias(f"{p}counts"), verdict(text, F.col(f"{p}table"), n_features, threshold).alias(f"{p}verdict"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = ("word_chars", "n_symbols", "n_dup_lines")
+    counts, own = (column(c) for c in out.columns[-2:])
     return out.select(
-        "doc_id", F.col("_tk_words.n_words").alias("n_words"), *(F.col(f"_tk_{x}").alias(x) for x in names), F.col("_tk_words.n_repeat_words").alias("n_repeat_words"),
-        F.col("_tk_base_failed").alias("base_failed"), F.col("_tk_kept").alias("kept"), F.col("_tk_ratio").alias("ratio"),
+        "doc_id", own["n_words"].alias("n_words"), *(counts[x].alias(x) for x in ("word_chars", "n_symbols", "n_dup_lines")), *(own[x].alias(x) for x in ("n_repeat_words", "base_failed", "kept", "ratio"))
     )

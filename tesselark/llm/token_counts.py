@@ -1,12 +1,14 @@
 """Operator 7: unigram token counts by dynamic programming shared over a trie.
 
 A pre-token is a word (a run of characters that are not ASCII white space) behind the word mark. Its count is the number of pieces
-on its best path under a unigram model. In each task the pre-tokens not met before are sorted, which walks their trie
-depth first: every distinct prefix is one node, its forward score is computed once, and a terminal's count is
-stored. A text's count is the sum over its words. Nothing is shuffled; a task holds at most ``max_known`` terminal counts.
-
-The pieces come from a public vocabulary; as that file has merge ranks but no probabilities, a piece's score is the fixed Zipf prior
--log(1 + rank), given by ``scores``. A character that no piece covers costs as many tokens as it has bytes, at a score
+on its best path under a unigram model. A task reads its texts in chunks; the pre-tokens of a chunk not met before are sorted, which
+walks their trie depth first: every distinct prefix is one node, its forward score is computed once, and a terminal's count is
+stored for all later chunks. A text's count is the sum over its words. Nothing is shuffled there; a task holds at most ``max_known`` terminal counts
+and the texts of one chunk.
+
+The pieces are those of a public vocabulary, which holds no probabilities. They are estimated from all documents: each task counts its words, cuts
+each distinct one by the vocabulary's own merges, and the pieces' counts are added up over tasks, one number a piece. A piece's score is the
+logarithm of its share, with one added to each count. A character that no piece covers costs as many tokens as it has bytes, at a score
 below every piece. Of equal scores the path with fewer tokens wins.
 
 Defined cases: null and empty texts have 0 tokens; repeated rows and ids are counted each; extra columns are ignored; an
@@ -16,6 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,32 +27,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.llm.common import documents
+from tesselark.llm.common import column, documents, text_of
 
-MARK, MAX_KNOWN = "▁", 200_000
+MARK, MAX_KNOWN, MAX_COUNTED, CHUNK_BYTES, CHUNK_ROWS = "▁", 200_000, 100_000, 8 << 20, 4096
 
 
 @lru_cache(maxsize=2)
-def scores(model_path: str) -> dict[str, float]:
-    """Piece to score; control, unknown and byte pieces are left out."""
+def vocabulary(model_path: str):
+    """The tokenizer of a model file and its pieces by id; control, unknown and byte pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     skip = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
-    return {model.id_to_piece(i): -math.log(1 + i) for i in range(model.get_piece_size()) if not skip(i)}
+    return model, {i: model.id_to_piece(i) for i in range(model.get_piece_size()) if not skip(i)}
+
+
+def piece_scores(docs: DataFrame, model_path: str | None = None) -> dict[str, float]:
+    """Piece to log((count + 1) / (all counts + pieces)), the counts taken over all documents. One number a piece comes to the driver."""
+    path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+    schema = pa.schema([("piece", pa.int32()), ("n", pa.int64())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = vocabulary(path)
+        words, pieces = Counter(), Counter()
+
+        def cut() -> None:
+            for ids, n in zip(model.encode([w.decode("utf-8") for w in words], num_threads=1), words.values(), strict=True):
+                for i in ids:
+                    pieces[i] += n
+            words.clear()
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for t in b["text"].slice(at, 256).to_pylist():
+                    words.update(t.encode("utf-8").split())
+                if len(words) > MAX_COUNTED:
+                    cut()
+        cut()
+        found = [(i, n) for i, n in pieces.items() if i in known]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], schema=schema)
+
+    counts = {r["piece"]: r["n"] for r in docs.select(text_of().alias("text")).mapInArrow(counted, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    known = vocabulary(path)[1]
+    total = sum(counts.values()) + len(known)
+    return {piece: math.log((counts.get(i, 0) + 1) / total) for i, piece in known.items()}
 
 
 class TrieCounter:
-    """Token counts of pre-tokens; each prefix is scored once within a call of learn()."""
+    """Token counts of pre-tokens; each prefix is scored once within a call of learn(), and nodes counts them."""
 
-    def __init__(self, piece_scores: dict[str, float]):
+    def __init__(self, scores: dict[str, float]):
         self.root: dict = {}
-        for piece, score in piece_scores.items():
+        for piece, score in scores.items():
             node = self.root
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = score
-        self.unknown = min(piece_scores.values(), default=0.0) - 10.0
+        self.unknown = min(scores.values(), default=0.0) - 10.0
         self.known: dict[bytes, int] = {}
         self.nodes = 0
 
@@ -58,9 +92,7 @@ class TrieCounter:
         before = ""
         for word in sorted(MARK + w.decode("utf-8") for w in words):
             same = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
+            while same < len(before) and same < len(word) and before[same] == word[same]:
                 same += 1
             del best[same + 1 :], tokens[same + 1 :], alive[same + 1 :]
             for at in range(same, len(word)):
@@ -94,26 +126,37 @@ class TrieCounter:
         return sum(map(self.known.__getitem__, words))
 
 
-def token_counts(docs: DataFrame, model_path: str | None = None, max_known: int = MAX_KNOWN, piece_scores: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_pretokens and n_tokens of each row."""
-    path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+def token_counts(docs: DataFrame, scores: dict[str, float], max_known: int = MAX_KNOWN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_pretokens and n_tokens of each row, under the given scores of pieces."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
+    shared = docs.sparkSession.sparkContext.broadcast(scores)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TrieCounter(piece_scores or scores(path))
+        counter, ids, texts, size = TrieCounter(shared.value), [], [], 0
+
+        def done() -> pa.RecordBatch:
+            words = [t.split() for t in texts]
+            new = {w for x in words for w in x}.difference(counter.known)
+            if len(counter.known) + len(new) <= max_known:
+                counter.learn(list(new))  # one trie for all new words of the chunk
+            n = [counter.count(x, max_known) for x in words]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in words], pa.int64()), pa.array(n, pa.int64())], schema=schema)
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                words = [t.encode("utf-8").split() for t in part["text"].to_pylist()]
-                new = {w for x in words for w in x}.difference(counter.known)
-                if len(counter.known) + len(new) <= max_known:
-                    counter.learn(list(new))  # one trie for all new words of these texts
-                n = [counter.count(x, max_known) for x in words]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) for x in words], pa.int64()), pa.array(n, pa.int64())], schema=schema)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+                new = [t.encode("utf-8") for t in part["text"].to_pylist()]
+                ids, texts, size = ids + part["doc_id"].to_pylist(), texts + new, size + sum(map(len, new))
+                if size >= chunk_bytes or len(ids) >= CHUNK_ROWS:
+                    yield done()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield done()
+
+    rows = docs.select(column("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(counted, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return token_counts(docs, piece_scores(docs))
