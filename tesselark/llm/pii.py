@@ -10,8 +10,8 @@ valid IBANs still are, names are built from syllables of the entity's script wit
 entity gets the same surrogate everywhere (coreference). Surrogates are checked against each other and against all
 real entities; where two meet, all but one are drawn again with the next counter, until none is left.
 
-Only entities, the capitalised words of documents with a person, and their places are shuffled by value; the texts meet their replacements by a stored
-table, which Spark broadcasts while it is small. A value that a third of all documents hold is one row of the surrogate table; its
+Only entities, the capitalised words of documents with a person, and their places are shuffled by value, and each text once to
+meet its replacements. A value that a third of all documents hold is one row of the surrogate table; its
 places meet it in an equi-join that adaptive execution can split.
 
 Defined cases: null text stays null with 0 entities; a text without entities is returned as it is; rows equal in id and text get equal results; extra
@@ -329,7 +329,7 @@ def replace_entities(docs: DataFrame, key: str, names: Names | None = None, id_c
     flags = tokens.groupBy("id", "row").agg(F.max("wide").alias(f"{p}wide"))
     per_row = written(per_row.join(flags, ["id", "row"]).where(f"{p}hits > 0").withColumnsRenamed({"id": f"{p}id", "row": f"{p}row"}))
     discard(tokens, places)
-    joined = docs.withColumns({f"{p}id": own[0], f"{p}row": own[1]}).join(per_row, [f"{p}id", f"{p}row"], "left")
+    joined = docs.withColumns({f"{p}id": own[0], f"{p}row": own[1]}).join(per_row.hint("shuffle_hash"), [f"{p}id", f"{p}row"], "left")
     fill = lambda expression: let(F.col(f"{p}new"), lambda new: F.array_join(F.transform(F.split(text, expression, -1), lambda g, i: F.concat(g, F.coalesce(F.get(new, i)["new"], F.lit("")))), ""))
     filled = F.when(F.col(f"{p}wide"), fill(names.any_word)).otherwise(fill(names.any))
     return joined.select(
