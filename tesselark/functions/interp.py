@@ -7,6 +7,8 @@ At the high edge the value of the last node is carried on (the stated intent of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,63 +16,74 @@ from pyspark.sql import functions as F
 from tesselark.functions.scalar import dot
 
 
+@dataclass(frozen=True)
+class Axis:
+    """Evenly spaced nodes of a grid along one axis. held: beyond the last node its value stays; else the last cell's line goes on."""
+
+    start: float
+    step: float
+    n: int
+    held: bool = False
+
+    @classmethod
+    def of(cls, nodes: Sequence[float], held: bool = False) -> Axis:
+        return cls(float(nodes[0]), float(nodes[1] - nodes[0]) if len(nodes) > 1 else 1.0, len(nodes), held)
+
+    def cell(self, v: Column) -> tuple[Column, Column]:
+        """Lower node of v's cell (0 below the grid, the last cell above it), and how far v is through it."""
+        if self.n <= 1:
+            return F.lit(0), F.lit(0.0)
+        way = (v - self.start) / self.step
+        low = F.greatest(F.lit(0), F.least(F.floor(way), F.lit(self.n - 2))).cast("int")
+        share = way - low
+        return low, F.least(share, F.lit(1.0)) if self.held else share
+
+
+def n_linear(data: Column, axes: Sequence[Axis], pos: Sequence[Column], n_comp: int = 1, comp: int = 0) -> Column:
+    """The field at pos on a grid of any number of axes, the first running fastest: the sum over the cell's corners of their
+    values, each weighted by its share along every axis. An axis of one node does not count."""
+    cells = [axis.cell(v) for axis, v in zip(axes, pos, strict=True)]
+    total = None
+    for corner in product(*((0, 1) if axis.n > 1 else (0,) for axis in axes)):
+        at, weight, stride = F.lit(comp), F.lit(1.0), n_comp
+        for upper, axis, (low, share) in zip(corner, axes, cells, strict=True):
+            at, weight, stride = at + (low + upper) * stride, weight * ((share if upper else 1 - share) if axis.n > 1 else 1), stride * axis.n
+        term = F.get(data, at.cast("int")) * weight
+        total = term if total is None else total + term
+    return total
+
+
 def lerp(d1: Column, d2: Column, grid1: Column, grid2: Column, v: Column, dv: Column) -> Column:
-    """The value at v on the line from (grid1, d1) to (grid2, d2), dv apart."""
-    return (d1 * (grid2 - v) + d2 * (v - grid1)) / dv
+    """The value at v on the line through (grid1, d1) and (grid2, d2), dv apart."""
+    share = (v - grid1) / dv
+    return d1 + (d2 - d1) * share
 
 
 def lerp_grid(data: Column, di: Column, grid: Column, gi: Column, v: Column, dv: Column) -> Column:
-    return lerp(F.get(data, di), F.get(data, di + 1), F.get(grid, gi), F.get(grid, gi + 1), v, dv)
+    """lerp between neighbours di and di + 1 of data, whose nodes are gi and gi + 1 of grid."""
+    pair = [[F.get(x, i + k) for k in (0, 1)] for x, i in ((data, di), (grid, gi))]
+    return lerp(*pair[0], *pair[1], v, dv)
 
 
 def radius(x: Column, y: Column, cylindrical: bool) -> Column:
     return F.sqrt(x * x + y * y) if cylindrical else x
 
 
-def _cell(v: Column, start: float, step: float) -> Column:
-    return F.greatest(F.floor((v - start) / step), F.lit(0)).cast("int")
-
-
 def bilinear(data: Column, x0: float, z0: float, dx: float, dz: float, nx: int, nz: int, pos: Sequence[Column], cylindrical: bool = True, n_comp: int = 1, comp: int = 0) -> Column:
     """Field at (r or x, z) on a uniform grid."""
-    if nx * nz == 1:
-        return F.get(data, F.lit(comp))
-    r, z = radius(pos[0], pos[1], cylindrical), pos[2]
-    i, j = _cell(r, x0, dx), _cell(z, z0, dz)
-    at = lambda a, b: F.get(data, ((a + b * nx) * n_comp + comp).cast("int"))
-    x1, z1 = F.lit(x0) + i * dx, F.lit(z0) + j * dz
-    along_x = lambda b: lerp(at(i, b), at(i + 1, b), x1, x1 + dx, r, F.lit(dx))
-    last = lambda n: F.lit(n - 1)
-    return (
-        F.when((i >= nx - 1) & (j >= nz - 1), at(last(nx), last(nz)))
-        .when(i >= nx - 1, lerp(at(last(nx), j), at(last(nx), j + 1), z1, z1 + dz, z, F.lit(dz)))
-        .when(j >= nz - 1, along_x(last(nz)))
-        .otherwise(lerp(along_x(j), along_x(j + 1), z1, z1 + dz, z, F.lit(dz)))
-    )
+    return n_linear(data, [Axis(x0, dx, nx, True), Axis(z0, dz, nz, True)], [radius(pos[0], pos[1], cylindrical), pos[2]], n_comp, comp)
 
 
 def bilinear_on_grid(data: Column, grid_x: Sequence[float], grid_z: Sequence[float], pos: Sequence[Column], cylindrical: bool = True, n_comp: int = 1, comp: int = 0) -> Column:
-    """As bilinear, on node arrays of even spacing."""
+    """As bilinear, on node arrays of even spacing. With one node along an axis the field is its first value everywhere."""
     if len(grid_x) <= 1 or len(grid_z) <= 1:
         return F.get(data, F.lit(comp))
-    return bilinear(data, grid_x[0], grid_z[0], grid_x[1] - grid_x[0], grid_z[1] - grid_z[0], len(grid_x), len(grid_z), pos, cylindrical, n_comp, comp)
+    return n_linear(data, [Axis.of(grid_x, True), Axis.of(grid_z, True)], [radius(pos[0], pos[1], cylindrical), pos[2]], n_comp, comp)
 
 
 def trilinear(data: Column, grid_x: Sequence[float], grid_y: Sequence[float], grid_z: Sequence[float], pos: Sequence[Column]) -> Column:
     """Scalar field in space; a position outside uses the nearest cell; an axis of one node does not count."""
-    nx, ny, nz = len(grid_x), len(grid_y), len(grid_z)
-    grids, n = (grid_x, grid_y, grid_z), (nx, ny, nz)
-    step = [g[1] - g[0] if len(g) > 1 else 1.0 for g in grids]
-    cell = [F.lit(0) if n[k] <= 1 else F.least(_cell(pos[k], grids[k][0], step[k]), F.lit(n[k] - 2)) for k in range(3)]
-    low = [F.lit(float(grids[k][0])) + cell[k] * step[k] for k in range(3)]
-    at = lambda i, j, k: F.get(data, (i + j * nx + k * nx * ny).cast("int"))
-
-    def along(axis: int, first: Column, second: Column) -> Column:
-        return first if n[axis] <= 1 else lerp(first, second, low[axis], low[axis] + step[axis], pos[axis], F.lit(step[axis]))
-
-    x = lambda j, k: along(0, at(cell[0], j, k), at(cell[0] + 1, j, k))
-    y = lambda k: along(1, x(cell[1], k), x(cell[1] + 1, k))
-    return along(2, y(cell[2]), y(cell[2] + 1))
+    return n_linear(data, [Axis.of(g) for g in (grid_x, grid_y, grid_z)], pos)
 
 
 def rotated(field: Sequence[Column], pos: Sequence[Column]) -> list[Column]:

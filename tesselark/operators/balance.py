@@ -12,24 +12,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselark.operators.particles import migrate, unsafe_ranks
-from tesselark.storage import fetched, small
+from tesselark.storage import cut, fetched, place_within
 
 
 def safe_sets(halo: DataFrame) -> DataFrame:
     """eid, ranks (sorted) and sbar, one id for equal sets of ranks. Distinct sets are few; only they are numbered in one task."""
     each = halo.where("is_safe").groupBy("eid").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
     ids = each.select("ranks").distinct().withColumn("sbar", F.row_number().over(Window.orderBy("ranks")) - 1)
-    return each.join(small(ids), "ranks").select("eid", "ranks", "sbar")
+    return each.join(ids, "ranks").select("eid", "ranks", "sbar")
 
 
 def weights(particles: DataFrame, sets: DataFrame, new_elem: str = "new_elem", new_rank: str = "new_rank") -> DataFrame:
     """rank, sbar, n: particles by the rank they will be on (forced movers count at their receiver) and their element's set."""
-    return particles.where(F.col(new_elem) >= 0).join(small(sets.select("eid", "sbar")), F.col(new_elem) == F.col("eid")).groupBy(F.col(new_rank).alias("rank"), "sbar").agg(F.count(F.lit(1)).alias("n"))
+    return particles.where(F.col(new_elem) >= 0).join(sets.select("eid", "sbar"), F.col(new_elem) == F.col("eid")).groupBy(F.col(new_rank).alias("rank"), "sbar").agg(F.count(F.lit(1)).alias("n"))
 
 
 def weights_from_counts(counts: DataFrame, sets: DataFrame) -> DataFrame:
     """The same from (rank, eid, n)."""
-    return counts.join(small(sets.select("eid", "sbar")), "eid").groupBy("rank", "sbar").agg(F.sum("n").alias("n"))
+    return counts.join(sets.select("eid", "sbar"), "eid").groupBy("rank", "sbar").agg(F.sum("n").alias("n"))
 
 
 def plan(weight: DataFrame, sets: DataFrame, n_ranks: int, tol: float = 1.05, step: float = 0.5, rounds: int = 100) -> list[tuple[int, int, int, int]]:
@@ -61,16 +61,18 @@ def plan(weight: DataFrame, sets: DataFrame, n_ranks: int, tol: float = 1.05, st
 def select_particles(particles: DataFrame, sets: DataFrame, quotas: DataFrame, owners: DataFrame, new_elem: str = "new_elem", new_rank: str = "new_rank") -> DataFrame:
     """particles with new_rank as the plan wants: within (rank, set), those of other ranks' elements first, then by pid, fill
     the targets' quotas in order of target. quotas: rank, sbar, target, quota (bounded by ranks x sets)."""
-    marked = particles.join(small(sets.select(F.col("eid").alias("_s"), "sbar")), F.col(new_elem) == F.col("_s"), "left")
-    marked = marked.join(small(owners.select(F.col("eid").alias("_o"), "owner")), F.col(new_elem) == F.col("_o"), "left")
-    stays = (F.col(new_rank) == F.col("rank")) & F.col("sbar").isNotNull()
-    place = F.row_number().over(Window.partitionBy(new_rank, "sbar", stays).orderBy((F.col("owner") == F.col("rank")).cast("int"), "pid"))
+    marked = particles.join(sets.select(F.col("eid").alias("_s"), "sbar"), F.col(new_elem) == F.col("_s"), "left")
+    marked = marked.join(owners.select(F.col("eid").alias("_o"), "owner"), F.col(new_elem) == F.col("_o"), "left")
+    marked = cut(marked.withColumn("_stays", (F.col(new_rank) == F.col("rank")) & F.col("sbar").isNotNull()))
+    staying = marked.where("_stays").withColumn("_core", (F.col("owner") == F.col("rank")).cast("int"))
+    placed = place_within(staying.select("pid", new_rank, "sbar", "_core"), [new_rank, "sbar"], ["_core", "pid"], "_place")
     upto = Window.partitionBy("rank", "sbar").orderBy("target")
     spans = quotas.withColumn("last", F.sum("quota").over(upto)).groupBy(F.col("rank").alias("_rank"), F.col("sbar").alias("_sbar")).agg(F.array_sort(F.collect_list(F.struct("last", "target"))).alias("spans"))
-    placed = marked.withColumn("_place", F.when(stays, place)).join(small(spans), (F.col(new_rank) == F.col("_rank")) & (F.col("sbar") == F.col("_sbar")), "left")
-    target = F.get(F.filter("spans", lambda x: x["last"] >= F.col("_place")), 0)["target"]
+    placed = placed.join(spans, (F.col(new_rank) == F.col("_rank")) & (F.col("sbar") == F.col("_sbar")))
+    target = F.get(F.filter("spans", lambda x: x["last"] > F.col("_place")), 0)["target"]
+    chosen = placed.select("pid", target.alias("_target")).where("_target is not null")
     out = [c for c in particles.columns if c != new_rank]
-    return placed.select(*(F.col(c) for c in out), F.coalesce(target, F.col(new_rank)).cast("int").alias(new_rank))
+    return marked.join(chosen, "pid", "left").select(*(F.col(c) for c in out), F.coalesce("_target", F.col(new_rank)).cast("int").alias(new_rank))
 
 
 def repartition(particles: DataFrame, halo: DataFrame, owners: DataFrame, n_ranks: int, tol: float = 1.05, step: float = 0.5) -> DataFrame:

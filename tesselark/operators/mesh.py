@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselark.functions.geometry import TET_FACES, TRIANGLE_EDGES, barycentric_2d, barycentric_3d, centroid, is_flipped, tet_volume6, triangle_area2
-from tesselark.storage import numbered
+from tesselark.storage import numbered, place_within
 
 AXES = ("x", "y", "z")
 
@@ -135,8 +135,19 @@ def edges(mesh: Mesh) -> DataFrame:
     return numbered(rows.select("p.*").distinct(), ["a", "b"], "edge")
 
 
+def reflect_down(mesh: Mesh, side: DataFrame) -> DataFrame:
+    """eid, li, sid, flip: sides of elements of which only their vertices are known, found in side (sid, v0..) by sorted vertices. A side that
+    is not there has no sid; flip tells whether it is stored against the element's order."""
+    keys = [f"k{i}" for i in range(mesh.dim)]
+    stored = F.array(*(f"v{i}" for i in range(mesh.dim)))
+    named = side.select("sid", *(F.array_sort(stored)[i].alias(k) for i, k in enumerate(keys)), *(F.col(f"v{i}").alias(f"_s{i}") for i in range(mesh.dim)))
+    rows = elem_side_keys(mesh).join(named, keys, "left")
+    flip = F.when(F.col("sid").isNotNull(), is_flipped([F.col(f"a{i}") for i in range(mesh.dim)], [F.col(f"_s{i}") for i in range(mesh.dim)]))
+    return rows.select("eid", "li", "sid", flip.alias("flip"))
+
+
 def up(down: DataFrame, low: str, high: str) -> DataFrame:
-    """From a down adjacency (high, low): low, its degree, and the sorted list of high entities."""
+    """From a down adjacency (high, low): low, its degree, and the sorted list of high entities (few, as a mesh's degrees are bounded)."""
     return down.groupBy(low).agg(F.count(F.lit(1)).alias("degree"), F.array_sort(F.collect_list(high)).alias(high))
 
 
@@ -209,8 +220,8 @@ def class_histogram(entities: DataFrame, by: str = "class_dim") -> DataFrame:
 
 
 def reverse_classification(entities: DataFrame, key: str, by: str = "class_id") -> DataFrame:
-    """class, its entities in order."""
-    return entities.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias(key))
+    """class, pos, entity: each class's entities in order, a row each, as a class may be as large as the mesh."""
+    return place_within(entities.select(by, key), [by], [key], "pos")
 
 
 def class_statistics(elem: DataFrame) -> DataFrame:

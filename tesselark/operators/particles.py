@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh, elem_geometry, mark_up, points
-from tesselark.storage import running_sum, small
+from tesselark.storage import cut, numbered, place_within, running_sum
 
 REMOVED = -1
 AXES = ("x", "y", "z")
@@ -19,52 +19,54 @@ AXES = ("x", "y", "z")
 # distributions over elements
 
 
-def even_distribution(spark: SparkSession, n_elems: int, n_particles: int) -> DataFrame:
-    """pid, elem_id: n div ne in each element, the first n % ne elements one more."""
-    low, more = divmod(n_particles, max(n_elems, 1))
-    border = (low + 1) * more
-    return spark.range(n_particles).select(F.col("id").alias("pid"), F.expr(f"CASE WHEN id < {border} THEN id div {low + 1} ELSE {more} + (id - {border}) div {max(low, 1)} END").alias("elem_id"))
-
-
-def uniform_distribution(spark: SparkSession, n_elems: int, n_particles: int, seed: int = 0) -> DataFrame:
-    return spark.range(n_particles).select(F.col("id").alias("pid"), F.floor(F.rand(seed) * n_elems).alias("elem_id"))
-
-
-def gaussian_distribution(spark: SparkSession, n_elems: int, n_particles: int, seed: int = 0) -> DataFrame:
-    """Normal around the middle element with a deviation of an eighth of them, clamped to the ends."""
-    draw = F.floor(F.randn(seed) * (n_elems / 8) + n_elems / 2)
-    return spark.range(n_particles).select(F.col("id").alias("pid"), F.greatest(F.lit(0), F.least(draw, F.lit(n_elems - 1))).alias("elem_id"))
-
-
-def exponential_distribution(spark: SparkSession, n_elems: int, n_particles: int, seed: int = 0, rate: float = 4.0) -> DataFrame:
-    """Exponential with the given rate over [0, 1), by the inverse of the truncated distribution."""
-    draw = -F.log(F.lit(1.0) - F.rand(seed) * F.lit(1 - 2.718281828459045**-rate)) / rate
-    return spark.range(n_particles).select(F.col("id").alias("pid"), F.least(F.floor(draw * n_elems), F.lit(n_elems - 1)).alias("elem_id"))
-
-
-def clustered_distribution(spark: SparkSession, n_elems: int, n_particles: int, seed: int = 0, share: float = 0.85, part: float = 0.4) -> DataFrame:
-    """share of the particles in the first part of the elements."""
-    first = max(1, int(n_elems * part))
-    rest = F.lit(first) + F.floor(F.rand(seed + 1) * max(n_elems - first, 1))
-    draw = F.when(F.rand(seed) < share, F.floor(F.rand(seed + 1) * first)).otherwise(F.least(rest, F.lit(n_elems - 1)))
-    return spark.range(n_particles).select(F.col("id").alias("pid"), draw.cast("long").alias("elem_id"))
+STRATEGIES = ("even", "uniform", "gaussian", "exponential", "clustered")
+
+
+def element_of(strategy: int, n_elems: int, index: Column, total: int, u: Column, v: Column) -> Column:
+    """The element of the index-th of total particles, drawn by two uniform numbers in [0, 1). 0 even: total div n_elems in each, the first
+    total % n_elems one more. 1 uniform. 2 normal around the middle element with a deviation of an eighth of them, clamped to the ends. 3 exponential of
+    rate 4 over [0, 1), by the inverse of the truncated distribution. 4: 85 % in the first 2/5 of the elements."""
+    last = F.lit(n_elems - 1)
+    if strategy == 0:
+        low, more = divmod(total, max(n_elems, 1))
+        border = (low + 1) * more
+        return F.when(index < border, F.floor(index / (low + 1))).otherwise(more + F.floor((index - border) / max(low, 1))).cast("long")
+    if strategy == 1:
+        draw = F.floor(u * n_elems)
+    elif strategy == 2:
+        normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * 3.141592653589793 * v)
+        draw = F.floor(normal * (n_elems / 8) + n_elems / 2)
+    elif strategy == 3:
+        draw = F.floor(-F.log(1 - u * (1 - 2.718281828459045**-4.0)) / 4.0 * n_elems)
+    elif strategy == 4:
+        first = max(1, int(n_elems * 0.4))
+        draw = F.when(u < 0.85, F.floor(v * first)).otherwise(first + F.floor(v * max(n_elems - first, 1)))
+    else:
+        raise ValueError(f"unknown distribution {strategy}")
+    return F.greatest(F.lit(0), F.least(draw, last)).cast("long")
 
 
-DISTRIBUTIONS = (even_distribution, uniform_distribution, gaussian_distribution, exponential_distribution, clustered_distribution)
+def distribute(spark: SparkSession, n_elems: int, n_particles: int, strategy: int, seed: int = 0, draws: tuple[Column, Column] | None = None) -> DataFrame:
+    """pid, elem_id by one of STRATEGIES; draws: uniform numbers made from pid instead of seeded ones."""
+    rows = spark.range(n_particles).select(F.col("id").alias("pid"))
+    u, v = draws or (F.rand(seed), F.rand(seed + 1))
+    return rows.select("pid", element_of(strategy, n_elems, F.col("pid"), n_particles, u, v).alias("elem_id"))
 
 
-def distribute(spark: SparkSession, n_elems: int, n_particles: int, strategy: int, seed: int = 0) -> DataFrame:
-    """strategy 0 even, 1 uniform, 2 Gaussian, 3 exponential, 4 clustered."""
-    if not 0 <= strategy < len(DISTRIBUTIONS):
-        raise ValueError(f"unknown distribution {strategy}")
-    return even_distribution(spark, n_elems, n_particles) if strategy == 0 else DISTRIBUTIONS[strategy](spark, n_elems, n_particles, seed)
+def even_distribution(spark: SparkSession, n_elems: int, n_particles: int) -> DataFrame:
+    return distribute(spark, n_elems, n_particles, 0)
 
 
-def redistribute(particles: DataFrame, n_elems: int, strategy: int, share: float, seed: int = 0) -> DataFrame:
-    """particles with new_elem: a drawn element for about that share of them, else their own."""
-    draws = {1: F.floor(F.rand(seed + 1) * n_elems), 2: F.greatest(F.lit(0), F.least(F.floor(F.randn(seed + 1) * (n_elems / 8) + n_elems / 2), F.lit(n_elems - 1)))}
-    draw = draws.get(strategy, draws[1])
-    return particles.withColumn("new_elem", F.when(F.rand(seed) < share, draw).otherwise(F.col("elem_id")).cast("long"))
+def redistribute(particles: DataFrame, n_elems: int, strategy: int, share: float, seed: int = 0, chance: Column | None = None, draws: tuple[Column, Column] | None = None) -> DataFrame:
+    """particles with mover (the place of a mover among all movers by pid, else -1) and new_elem: movers, each with the probability share, are
+    distributed over the elements by the strategy, the others keep theirs. chance, draws: as in distribute; draws may use mover."""
+    marked = cut(particles.withColumn("_moves", (F.rand(seed) if chance is None else chance) <= share))
+    movers = numbered(marked.where("_moves").select("pid"), ["pid"], "mover")
+    total = movers.count()
+    u, v = draws or (F.rand(seed + 1), F.rand(seed + 2))
+    movers = movers.select("pid", "mover", element_of(strategy, n_elems, F.col("mover"), total, u, v).alias("_new"))
+    joined = marked.join(movers, "pid", "left")
+    return joined.select(*particles.columns, F.coalesce("mover", F.lit(-1)).cast("long").alias("mover"), F.coalesce("_new", "elem_id").cast("long").alias("new_elem"))
 
 
 def from_counts(counts: DataFrame) -> DataFrame:
@@ -102,31 +104,37 @@ def uniform_in_triangle(particles: DataFrame, mesh: Mesh, r1: Column, r2: Column
     """particles with x, y at (r1, r2) of their triangle, reflected into it where r1 + r2 > 1."""
     over = r1 + r2 > 1
     a, b = F.when(over, 1 - r1).otherwise(r1), F.when(over, 1 - r2).otherwise(r2)
-    joined = particles.join(small(elem_geometry(mesh)), F.col("elem_id") == F.col("eid"))
+    joined = particles.join(elem_geometry(mesh), F.col("elem_id") == F.col("eid"))
     v = points(mesh)
     place = [v[0][k] + a * (v[1][k] - v[0][k]) + b * (v[2][k] - v[0][k]) for k in range(2)]
     return joined.select(*(F.col(c) for c in particles.columns), *(p.alias(x) for p, x in zip(place, AXES, strict=False)))
 
 
-def uniform_in_tet(particles: DataFrame, mesh: Mesh, seed: int = 0) -> DataFrame:
-    """particles with x, y, z uniform in their tetrahedron: normalised exponential weights."""
-    e = [-F.log(F.lit(1.0) - F.rand(seed + i)) for i in range(4)]
-    drawn = particles.withColumns({f"_e{i}": x for i, x in enumerate(e)}).join(small(elem_geometry(mesh)), F.col("elem_id") == F.col("eid"))
+def uniform_in_tet(particles: DataFrame, mesh: Mesh, seed: int = 0, draws: list[Column] | None = None) -> DataFrame:
+    """particles with x, y, z uniform in their tetrahedron: normalised exponential weights of four uniform draws."""
+    e = [-F.log(1 - u) for u in (draws or [F.rand(seed + i) for i in range(4)])]
+    drawn = particles.withColumns({f"_e{i}": x for i, x in enumerate(e)}).join(elem_geometry(mesh), F.col("elem_id") == F.col("eid"))
     w, v = [F.col(f"_e{i}") for i in range(4)], points(mesh)
     total = reduce(lambda a, b: a + b, w)
     return drawn.select(*(F.col(c) for c in particles.columns), *((sum((w[i] * v[i][k] for i in range(1, 4)), w[0] * v[0][k]) / total).alias(AXES[k]) for k in range(3)))
 
 
-def near_local_side(particles: DataFrame, mesh: Mesh, side: int, inset: float = 1e-3) -> DataFrame:
-    """particles with a position just inside the middle of a local side of their element."""
-    v, local = points(mesh), mesh.local_sides[side]
-    joined = particles.join(small(elem_geometry(mesh)), F.col("elem_id") == F.col("eid"))
-    place = [(sum((v[i][k] for i in local[1:]), v[local[0]][k]) / len(local)) * (1 - inset) + (sum((v[i][k] for i in range(1, mesh.dim + 1)), v[0][k]) / (mesh.dim + 1)) * inset for k in range(mesh.dim)]
+def near_vertices(particles: DataFrame, mesh: Mesh, local: Sequence[int], inset: float = 1e-3) -> DataFrame:
+    """particles with a position just inside the middle of some local vertices of their element: one for a vertex, two for an edge, more for a face."""
+    v = points(mesh)
+    joined = particles.join(elem_geometry(mesh), F.col("elem_id") == F.col("eid"))
+    middle = lambda at, k: sum((v[i][k] for i in at[1:]), v[at[0]][k]) / len(at)
+    place = [middle(local, k) * (1 - inset) + middle(range(mesh.dim + 1), k) * inset for k in range(mesh.dim)]
     return joined.select(*(F.col(c) for c in particles.columns), *(p.alias(AXES[k]) for k, p in enumerate(place)))
 
 
+def near_local_side(particles: DataFrame, mesh: Mesh, side: int, inset: float = 1e-3) -> DataFrame:
+    """near_vertices of a local side."""
+    return near_vertices(particles, mesh, mesh.local_sides[side], inset)
+
+
 def at_centroid(particles: DataFrame, mesh: Mesh) -> DataFrame:
-    joined = particles.join(small(elem_geometry(mesh)), F.col("elem_id") == F.col("eid"))
+    joined = particles.join(elem_geometry(mesh), F.col("elem_id") == F.col("eid"))
     v, n = points(mesh), mesh.dim + 1
     return joined.select(*(F.col(c) for c in particles.columns), *((sum((p[k] for p in v[1:]), v[0][k]) / n).alias(AXES[k]) for k in range(mesh.dim)))
 
@@ -167,7 +175,7 @@ def elliptical_setup(particles: DataFrame, h: float, k: float, d: float) -> Data
 
 def elliptical_push(particles: DataFrame, elem: DataFrame, h: float, k: float, d: float, degrees: float) -> DataFrame:
     """One step on the ellipse; the angle shrinks with the element's class (a hundredth in class 1, else one over the class)."""
-    joined = particles.join(small(elem.select("eid", "class_id")), F.col("elem_id") == F.col("eid"), "left")
+    joined = particles.join(elem.select("eid", "class_id"), F.col("elem_id") == F.col("eid"), "left")
     share = F.when(F.col("class_id") == 1, 0.01).otherwise(1.0 / F.greatest(F.coalesce("class_id", F.lit(1)), F.lit(1)))
     phi = F.col("phi") + F.lit(degrees * 3.141592653589793 / 180) * share
     return joined.withColumn("phi", phi).select(*(F.col(c) for c in particles.columns if c not in ("tx", "ty")), (h + d * F.col("b") * F.cos("phi")).alias("tx"), (k + F.col("b") * F.sin("phi")).alias("ty"))
@@ -212,8 +220,8 @@ def remove_at_wall(particles: DataFrame) -> DataFrame:
 
 
 def displacements(particles: DataFrame, dim: int = 2) -> DataFrame:
-    """pid, elem_id and the way wanted, by pid."""
-    return particles.select("pid", "elem_id", *((F.col(f"t{a}") - F.col(f"o{a}")).alias(f"d{a}") for a in AXES[:dim])).orderBy("pid")
+    """pid, elem_id and the way wanted."""
+    return particles.select("pid", "elem_id", *((F.col(f"t{a}") - F.col(f"o{a}")).alias(f"d{a}") for a in AXES[:dim]))
 
 
 def particle_map(particles: DataFrame, function, schema: str) -> DataFrame:
@@ -241,8 +249,8 @@ def rebuild(particles: DataFrame, new_elem: str = "new_elem", added: DataFrame |
 
 def unsafe_ranks(particles: DataFrame, halo: DataFrame, owners: DataFrame, new_elem: str = "new_elem") -> DataFrame:
     """particles with new_rank: the owner of their new element where that is not safe on their rank, else their rank."""
-    joined = particles.join(small(owners.select(F.col("eid").alias("_e"), "owner")), F.col(new_elem) == F.col("_e"), "left")
-    joined = joined.join(small(halo.select(F.col("rank").alias("_r"), F.col("eid").alias("_h"), "is_safe")), (F.col("rank") == F.col("_r")) & (F.col(new_elem) == F.col("_h")), "left")
+    joined = particles.join(owners.select(F.col("eid").alias("_e"), "owner"), F.col(new_elem) == F.col("_e"), "left")
+    joined = joined.join(halo.select(F.col("rank").alias("_r"), F.col("eid").alias("_h"), "is_safe"), (F.col("rank") == F.col("_r")) & (F.col(new_elem) == F.col("_h")), "left")
     stay = (F.col(new_elem) < 0) | F.coalesce("is_safe", F.lit(False))
     return joined.select(*(F.col(c) for c in particles.columns), F.when(stay, F.col("rank")).otherwise(F.coalesce("owner", F.col("rank"))).cast("int").alias("new_rank"))
 
@@ -270,6 +278,11 @@ def per_element(particles: DataFrame) -> DataFrame:
     return particles.groupBy("elem_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def total_particles(particles: DataFrame, iteration: int) -> DataFrame:
+    """iteration, n: particles on all ranks."""
+    return particles.agg(F.count(F.lit(1)).alias("n")).select(F.lit(iteration).alias("iteration"), "n")
+
+
 def particle_lists(particles: DataFrame, elem: DataFrame) -> DataFrame:
     """elem_id, n, offset (exclusive scan by element) of every element, empty ones too; particles(elem_id, pid) ordered by
     (elem_id, pid) then are the lists themselves."""
@@ -279,7 +292,7 @@ def particle_lists(particles: DataFrame, elem: DataFrame) -> DataFrame:
 
 def slots(particles: DataFrame) -> DataFrame:
     """particles with slot: place within the element by pid."""
-    return particles.withColumn("slot", (F.row_number().over(Window.partitionBy("elem_id").orderBy("pid")) - 1).cast("long"))
+    return place_within(particles, ["elem_id"], ["pid"], "slot")
 
 
 def sigma_sort(counts: DataFrame, sigma: int) -> DataFrame:
@@ -298,6 +311,6 @@ def imbalance(particles: DataFrame) -> DataFrame:
 def layout_metrics(particles: DataFrame, elem: DataFrame, chunk: int = 32) -> DataFrame:
     """What padding rows of chunks of elements to their longest would cost: elements, empty ones, particles, cells and padded cells."""
     counts = elem.select(F.col("eid").alias("elem_id")).join(per_element(particles), "elem_id", "left").select("elem_id", F.coalesce("n", F.lit(0)).alias("n"))
-    rows = sigma_sort(counts, 1 << 40).withColumn("slice", F.expr(f"row div {chunk}")).groupBy("slice").agg(F.max("n").alias("width"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("empty"))
+    rows = numbered(counts.withColumn("fewer", -F.col("n")), ["fewer", "elem_id"], "row").withColumn("slice", F.expr(f"row div {chunk}")).groupBy("slice").agg(F.max("n").alias("width"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("empty"))
     cells = F.sum(F.col("width") * F.col("rows"))
     return rows.agg(F.sum("rows").alias("elements"), F.sum("empty").alias("empty_elements"), F.sum("n").alias("particles"), cells.alias("cells"), (cells - F.sum("n")).alias("padded_cells"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh, elem_vert
-from tesselark.storage import cut, fetched, small
+from tesselark.storage import cut, fetched, place_within
 
 
 class Method(Enum):
@@ -82,7 +82,7 @@ class PartMesh:
 
 def owners_by_class(elem: DataFrame, class_owner: DataFrame) -> DataFrame:
     """eid, owner of each element's class; null where a class has no owner."""
-    return elem.join(small(class_owner), "class_id", "left").select("eid", "owner")
+    return elem.join(class_owner, "class_id", "left").select("eid", "owner")
 
 
 def lower_owners(down: DataFrame, owners: DataFrame, low: str) -> DataFrame:
@@ -100,8 +100,7 @@ def rank_offsets(spark: SparkSession, owners: DataFrame, n_ranks: int) -> DataFr
 
 def global_numbers(spark: SparkSession, owners: DataFrame, key: str, n_ranks: int) -> DataFrame:
     """key, owner, gid, rank_lid: numbers that run through one owner after the other, by key within."""
-    rank_lid = (F.row_number().over(Window.partitionBy("owner").orderBy(key)) - 1).cast("long")
-    out = owners.withColumn("rank_lid", rank_lid).join(F.broadcast(rank_offsets(spark, owners, n_ranks).select(F.col("rank").alias("owner"), "offset")), "owner")
+    out = place_within(owners, ["owner"], [key], "rank_lid").join(F.broadcast(rank_offsets(spark, owners, n_ranks).select(F.col("rank").alias("owner"), "offset")), "owner")
     return out.select(key, "owner", (F.col("offset") + F.col("rank_lid")).alias("gid"), "rank_lid")
 
 
@@ -140,14 +139,16 @@ def parts_in_reach(layers: DataFrame, owners: DataFrame, upto: int) -> DataFrame
 
 
 def safe_inward(parts: DataFrame, owners: DataFrame, links: DataFrame, layers: int) -> DataFrame:
-    """rank, eid: elements that are safe because they lie more than ``layers`` away from everything the rank lacks, and its own."""
-    ranks = parts.select("rank").distinct()
-    held = parts.join(owners, "owner").select("rank", "eid")
-    unheld = owners.select("owner").distinct().join(small(ranks)).join(parts, ["rank", "owner"], "left_anti")  # ranks x ranks
-    reached = unheld.join(owners, "owner").select("rank", "eid")
-    for _ in range(layers):
-        reached = cut(grow(reached, links))
+    """rank, eid: elements that are safe because they lie more than ``layers`` away from everything the rank lacks, and its own. What a rank
+    lacks is met only where parts touch: bridge entities of several owners; from there the unsafe layer grows within what the rank holds."""
+    held = cut(parts.join(owners, "owner").select("rank", "eid"))
     own = owners.select(F.col("owner").alias("rank"), "eid")
+    around = links.join(owners, "eid").select("ent", "owner").distinct()
+    border = around.groupBy("ent").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ent").join(around, "ent")
+    touches = held.join(links, "eid").join(border, "ent").join(parts, ["rank", "owner"], "left_anti")
+    reached = cut(touches.select("rank", "eid").distinct()) if layers else held.limit(0)
+    for _ in range(layers - 1):
+        reached = cut(grow(reached, links).join(held, ["rank", "eid"], "left_semi"))
     return held.join(reached, ["rank", "eid"], "left_anti").unionByName(own).distinct()
 
 
@@ -165,7 +166,7 @@ def build(spec: Input) -> PartMesh:
         raise ValueError("buffer layers must not be fewer than safe layers")
     layers = cut(bfs_layers(owners, links, max(buffer_layers, safe_layers)))
     every = spark.range(spec.n_ranks).select(F.col("id").cast("int").alias("rank"))
-    parts = every.join(small(every.select(F.col("rank").alias("owner")))) if full else parts_in_reach(layers, owners, buffer_layers)  # ranks x ranks
+    parts = every.crossJoin(every.select(F.col("rank").alias("owner"))) if full else parts_in_reach(layers, owners, buffer_layers)  # ranks x ranks
     held = parts.join(owners, "owner").select("rank", "eid", (F.col("rank") == F.col("owner")).alias("is_core"))
     if spec.safe_method is Method.FULL:
         safe = safe_inward(parts, owners, links, spec.safe_layers) if spec.buffer_method is Method.BFS else held.select("rank", "eid")
@@ -202,7 +203,8 @@ def held_entities(halo: DataFrame, down: DataFrame, low: str) -> DataFrame:
 
 def comm_index(held: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
     """rank, key, owner, index: place in the rank's array of shared entities, ordered by owner and the owner's numbering."""
-    return held.join(numbers, key).select("rank", key, "owner", (F.row_number().over(Window.partitionBy("rank").orderBy("owner", "rank_lid")) - 1).cast("long").alias("index"))
+    placed = place_within(held.join(numbers, key).select("rank", key, "owner", "rank_lid"), ["rank"], ["owner", "rank_lid"], "index")
+    return placed.select("rank", key, "owner", "index")
 
 
 def pic_part(mesh: Mesh, halo: DataFrame, rank: int) -> Mesh:
@@ -225,6 +227,11 @@ def consistency(a: DataFrame, b: DataFrame, key: str, columns: list[str], tol: f
     return joined.where(~F.least(*same) if len(same) > 1 else ~same[0])
 
 
+def sum_positives(values: DataFrame, column: str) -> DataFrame:
+    """n: how many values are above 0."""
+    return values.agg(F.count_if(F.col(column) > 0).alias("n"))
+
+
 # reductions over shared entities
 
 

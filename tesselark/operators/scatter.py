@@ -46,7 +46,7 @@ def ring_points(mesh: Mesh, gyro: Gyro) -> DataFrame:
     return pts.select("vid", "ring", "pt", (F.col("x") + radius * F.cos(angle)).alias("x"), (F.col("y") + radius * F.sin(angle)).alias("y"))
 
 
-def ring_map(mesh: Mesh, pts: DataFrame, looplimit: int = 100) -> DataFrame:
+def ring_map(mesh: Mesh, pts: DataFrame, looplimit: int = 0) -> DataFrame:
     """vid, ring, pt, to: the vertices of the element that each ring point lies in (one row a vertex; none outside). The walk starts
     at the centroid of an element around the point's vertex."""
     start = first_adjacent(mesh).join(centroids(mesh).select("eid", F.col("x").alias("ox"), F.col("y").alias("oy")), "eid")

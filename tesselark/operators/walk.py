@@ -2,7 +2,7 @@
 
 One hop is one equi-join of the particles with the walk table (an element's vertices, neighbours and sides in one row), no
 aggregate and no window. Several hops are planned together, then the particles still on their way are checkpointed;
-finished ones are set aside and not touched again. A walk table of few rows is broadcast, after a count, a larger one is joined by shuffle.
+finished ones are set aside and not touched again. A stored walk table of few bytes is broadcast, a larger one is joined by shuffle.
 
 particles: pid, elem_id, ox, oy[, oz] (origin), tx, ty[, tz] (target). Result: pid, elem_id (-1: removed or left the domain),
 hops, face (side of the wall that was hit, else null), px, py[, pz] (last crossing in intersection mode, else null).
@@ -75,12 +75,10 @@ def _by_crossing_2d(rows: DataFrame, tol: float) -> DataFrame:
     return rows.withColumn("way", way)
 
 
-def _by_crossing_3d(rows: DataFrame, tol: float, bounded: bool) -> DataFrame:
-    """rows with way (li, x, y, z): the last side crossed; if the way has no end and crosses none, the one ahead that it misses by least.
-
-    As ray_triangle() and segment_triangle(), in steps: what several later steps read is a column of its own, so that no
-    expression is written out once for each of its uses."""
-    real = lambda p: [c.cast("double") for c in p]  # noqa: E731  products of four whole coordinates would overflow
+def _meet_faces(rows: DataFrame, real) -> DataFrame:
+    """rows with, for each face li: _nn (square of its normal), _dproj (normal times way), _t (share of the way at which its plane is met), _a (from the
+    face's first corner to there) and _u, _v (that point in the face's coordinates). In steps: what several later steps read is a
+    column of its own, so that no expression is written out once for each of its uses."""
     v, faces = list(map(real, _vertices(3))), range(4)
     vec = lambda name, li="": [F.col(f"_{name}{li}{a}") for a in AXES]
     put = lambda name, li, xs: {f"_{name}{li}{a}": x for a, x in zip(AXES, xs, strict=True)}
@@ -94,26 +92,63 @@ def _by_crossing_3d(rows: DataFrame, tol: float, bounded: bool) -> DataFrame:
     rows = rows.withColumns({f"_t{li}": -dot(vec("n", li), vec("g", li)) / F.nullif(F.col(f"_dproj{li}"), F.lit(0.0)) for li in faces})
     rows = rows.withColumns({k: c for li in faces for k, c in put("a", li, plus(vec("g", li), vec("d"), F.col(f"_t{li}"))).items()})
     u = {f"_u{li}": dot(cross(vec("a", li), vec("f", li)), vec("n", li)) / F.col(f"_nn{li}") for li in faces}
-    rows = rows.withColumns(u | {f"_v{li}": dot(cross(vec("e", li), vec("a", li)), vec("n", li)) / F.col(f"_nn{li}") for li in faces})
-    way, misses = F.lit(None), []
-    for li in faces:
+    return rows.withColumns(u | {f"_v{li}": dot(cross(vec("e", li), vec("a", li)), vec("n", li)) / F.col(f"_nn{li}") for li in faces})
+
+
+def _met(li: int, real) -> list[Column]:
+    """li and where its plane is met."""
+    corner = real(_vertices(3)[TET_FACES[li][0]])
+    return [F.lit(li).alias("li"), *(x.alias(a) for a, x in zip(AXES, plus(corner, [F.col(f"_a{li}{a}") for a in AXES], F.lit(1.0)), strict=True))]
+
+
+def _real(p: list[Column]) -> list[Column]:
+    """Products of four whole coordinates would overflow."""
+    return [c.cast("double") for c in p]
+
+
+def _by_crossing_3d(rows: DataFrame, tol: float, bounded: bool) -> DataFrame:
+    """rows with way (li, x, y, z): the last side crossed; if the way has no end and crosses none, the one ahead that it misses by least. As
+    ray_triangle() and segment_triangle()."""
+    rows, way, misses = _meet_faces(rows, _real), F.lit(None), []
+    for li in range(4):
         dproj, at, uu, vv = (F.col(f"_{k}{li}") for k in ("dproj", "t", "u", "v"))
         hit = (dproj >= tol) & (at >= -tol) & (uu >= -tol) & (vv >= -tol) & (uu + vv <= 1 + 2 * tol)
         hit = F.coalesce(hit & (at <= 1 + tol) if bounded else hit, F.lit(False))
         fresh = ~F.col(f"s{li}").eqNullSafe(F.col("last"))
-        place = [F.lit(li).alias("li"), *(x.cast("double").alias(a) for a, x in zip(AXES, plus(corner(li, 0), vec("a", li), F.lit(1.0)), strict=True))]
-        way = F.when(fresh & hit, F.struct(*place)).otherwise(way)
-        misses.append(F.when(fresh & (dproj > -tol), F.struct(F.greatest(F.lit(0.0), -uu, -vv, uu + vv - 1).alias("c"), *place)))
+        way = F.when(fresh & hit, F.struct(*_met(li, _real))).otherwise(way)
+        misses.append(F.when(fresh & (dproj > -tol), F.struct(F.greatest(F.lit(0.0), -uu, -vv, uu + vv - 1).alias("c"), *_met(li, _real))))
     if bounded:
         return rows.withColumn("way", way)
     rows = rows.withColumns({"_hit": way, "_miss": F.least(*misses)})
     return rows.withColumn("way", F.coalesce("_hit", F.when(F.col("_miss").isNotNull(), F.struct(*(F.col(f"_miss.{k}").alias(k) for k in ("li", *AXES))))))
 
 
-def _hop(state: DataFrame, walk: DataFrame, dim: int, crossing: bool, tol: float, bounded: bool, handler: Handler) -> DataFrame:
+def _by_first_crossing_3d(rows: DataFrame, tol: float) -> DataFrame:
+    """rows with way (li, x, y, z) and leak: nothing where the target is inside; else the first side that the segment meets by signed distances, as
+    segment_triangle_projected(); if there is none, the one whose normal goes along most (first of equals); leak where it goes against all."""
+    rows = _meet_faces(rows, _real)
+    rows = rows.withColumns({f"_p{li}": F.col(f"_dproj{li}") / F.sqrt(f"_nn{li}") for li in range(4)} | {"_out": ~inside(3, _point("t", 3), tol)})
+    along = F.greatest(*(F.col(f"_p{li}") for li in range(4)))
+    met, most = F.lit(None), F.lit(None)
+    for li in (3, 2, 1, 0):
+        p, at, u, v = (F.col(f"_{k}{li}") for k in ("p", "t", "u", "v"))
+        within = (F.least(u, v, 1 - u - v) >= -tol) & (F.greatest(u, v, 1 - u - v) <= 1 + tol)
+        met = F.when((p > 0) & (at * p >= -tol) & ((1 - at) * p >= -tol) & within, F.struct(*_met(li, _real))).otherwise(met)
+        most = F.when(F.col(f"_p{li}") == F.col("_along"), F.struct(*_met(li, _real))).otherwise(most)
+    rows = rows.withColumn("_along", along).withColumns({"_met": met, "_most": most})
+    way = F.when(F.col("_out"), F.coalesce("_met", F.when(F.col("_along") >= 0, F.col("_most"))))
+    return rows.withColumns({"way": way, "leak": F.coalesce(F.col("_out") & F.col("_met").isNull() & (F.col("_along") < 0), F.lit(False))})
+
+
+def _hop(state: DataFrame, walk: DataFrame, dim: int, crossing: bool | str, tol: float, bounded: bool, handler: Handler) -> DataFrame:
     keep = state.columns
     joined = state.join(walk, F.when(~F.col("done"), F.col("elem")) == F.col("eid"), "left")
-    joined = (_by_crossing_2d(joined, tol) if dim == 2 else _by_crossing_3d(joined, tol, bounded)) if crossing else _by_coordinates(joined, dim, tol)
+    if crossing == "first":
+        joined = _by_first_crossing_3d(joined, tol)
+    elif crossing:
+        joined = _by_crossing_2d(joined, tol) if dim == 2 else _by_crossing_3d(joined, tol, bounded)
+    else:
+        joined = _by_coordinates(joined, dim, tol)
     joined = joined.withColumn("way", F.when(~F.col("done"), F.col("way"))).withColumn("li", F.col("way.li"))
     moves = ~F.col("done") & F.col("li").isNotNull()
     pick = lambda c: reduce(lambda rest, i: F.when(F.col("li") == i, F.col(f"{c}{i}")).otherwise(rest), range(dim - 1, -1, -1), F.col(f"{c}{dim}"))
@@ -133,14 +168,14 @@ def check_initial_parents(particles: DataFrame, walk: DataFrame, dim: int, tol:
 
 
 def trace(
-    particles: DataFrame, walk: DataFrame, dim: int, *, crossing: bool = False, bounded: bool = False, tol: float = 1e-10, still: float = 0.0,
-    handler: Handler | None = None, looplimit: int = 0, remove_at_limit: bool = True, strict: bool = False, check_parents: bool = True, hops_at_once: int | None = None,
+    particles: DataFrame, walk: DataFrame, dim: int, *, crossing: bool | str = False, bounded: bool = False, tol: float = 1e-10, still: float = 0.0,
+    handler: Handler | None = None, looplimit: int = 0, remove_at_limit: bool = True, strict: bool = False, check_parents: bool = True, hops_at_once: int | None = None, broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """The walk. crossing: find exits by intersecting the way (a bounded segment in the plane; in space a ray without
-    an end, or a segment if ``bounded``), else by the target's coordinates. Particles that move at most ``still`` are done before
+    an end, or a segment if ``bounded``, or if "first" by the older rule, see _by_first_crossing_3d), else by the target's coordinates. Particles that move at most ``still`` are done before
     anything is checked. strict: an origin outside its parent is an error rather than a removal. looplimit 0: no limit."""
     hops_at_once = hops_at_once or (4 if dim == 2 and not crossing else 2 if dim == 2 else 1)
-    walk = small(cut(walk))
+    walk = small(cut(walk), broadcast_bytes)
     handler = handler or (stop_at_wall if crossing else leave_at_wall)
     o, t = _point("o", dim), _point("t", dim)
     start = particles.select("pid", F.col("elem_id").cast("long").alias("elem_id"), *o, *t)
@@ -183,10 +218,27 @@ def search_3d(particles: DataFrame, walk: DataFrame, looplimit: int = 0, tol: fl
     return trace(particles, walk, 3, crossing=True, bounded=True, tol=tol, strict=True, looplimit=looplimit, remove_at_limit=False, handler=leave_at_wall)
 
 
-def search_fused_2d(particles: DataFrame, walk: DataFrame, limit_rows: int = 2_000_000, looplimit: int = 0) -> DataFrame:
-    """pid, elem_id, hops as search_2d with tol 0, for meshes of at most limit_rows elements (checked): the walk table goes to
-    every executor as arrays, and each batch of particles walks to its end within one task, without a shuffle."""
-    columns = ["eid", *(f"{a}{i}" for i in range(3) for a in "xy"), *(f"n{i}" for i in range(3))]
+def remove_at_wall_or_leak(step: DataFrame) -> DataFrame:
+    """A particle that meets an exposed side is removed and the side recorded; so is one that no side lets out, without a side."""
+    step = step.withColumn("face", F.when(F.col("exposed"), F.col("exit_sid")).otherwise(F.col("face")))
+    gone = F.col("exposed") | F.col("leak")
+    return step.withColumns({"elem": F.when(gone, F.lit(REMOVED)).otherwise(F.col("elem")), "done": F.col("done") | gone})
+
+
+def search_first_face_3d(particles: DataFrame, walk: DataFrame, looplimit: int = 0, tol: float = 1e-10) -> DataFrame:
+    """The older walk in space: the first side that the segment meets is taken. An origin outside its parent is an error, and the walk
+    ends after looplimit + 1 hops without removing anybody."""
+    return trace(particles, walk, 3, crossing="first", tol=tol, strict=True, looplimit=looplimit + 1 if looplimit else 0, remove_at_limit=False, handler=remove_at_wall_or_leak)
+
+
+#: A mesh of at most so many bytes may go to every executor as arrays (80 a triangle).
+FUSED_BYTES = 160 << 20
+
+
+def search_fused_2d(particles: DataFrame, walk: DataFrame, limit_bytes: int = FUSED_BYTES, looplimit: int = 0) -> DataFrame:
+    """pid, elem_id, hops as search_2d with tol 0, for meshes of at most limit_bytes (checked): the walk table goes to
+    every executor as arrays, and each batch of particles walks to its end within one task, without a shuffle. Larger meshes go to search_2d."""
+    columns, limit_rows = ["eid", *(f"{a}{i}" for i in range(3) for a in "xy"), *(f"n{i}" for i in range(3))], limit_bytes // 80
     rows = walk.select(*columns).limit(limit_rows + 1).toArrow()
     if rows.num_rows > limit_rows:
         return search_2d(particles, walk, looplimit, 0.0).select("pid", "elem_id", "hops")
@@ -199,8 +251,11 @@ def search_fused_2d(particles: DataFrame, walk: DataFrame, limit_rows: int = 2_0
     def walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, xy, near = mesh.value
         for b in batches:
-            elem, p = b["elem_id"].to_numpy().copy(), np.stack([b["tx"].to_numpy(), b["ty"].to_numpy()], axis=1)
-            hops, at, turn = np.zeros(len(elem), np.int32), np.flatnonzero(elem != REMOVED), 0
+            elem, p = b["elem_id"].to_numpy(zero_copy_only=False).copy(), np.stack([b["tx"].to_numpy(), b["ty"].to_numpy()], axis=1)
+            # who does not move, or is in no element of this mesh, stays where it is, as in search_2d
+            moves = (b["ox"].to_numpy() != p[:, 0]) | (b["oy"].to_numpy() != p[:, 1])
+            known = numbers[np.minimum(np.searchsorted(numbers, elem), len(numbers) - 1)] == elem if len(numbers) else np.zeros(len(elem), bool)
+            hops, at, turn = np.zeros(len(elem), np.int32), np.flatnonzero(known & moves), 0
             while len(at) and not (looplimit and turn >= looplimit):
                 row = np.searchsorted(numbers, elem[at])
                 v, q = xy[row], p[at]
@@ -215,12 +270,13 @@ def search_fused_2d(particles: DataFrame, walk: DataFrame, limit_rows: int = 2_0
             elem[at] = REMOVED
             yield pa.RecordBatch.from_arrays([b["pid"], pa.array(elem), pa.array(hops)], ["pid", "elem_id", "hops"])
 
-    slim = particles.select("pid", F.col("elem_id").cast("long").alias("elem_id"), "tx", "ty")
+    slim = particles.select("pid", F.col("elem_id").cast("long").alias("elem_id"), "ox", "oy", "tx", "ty")
     return slim.mapInArrow(walk_batches, "pid long, elem_id long, hops int")
 
 
 def recursive_walk_sql(particles: str, walk: str, limit: int = 100) -> str:
-    """The exact 2-D walk as one recursive query over the views ``particles`` and ``walk``; for small inputs, as its row limit counts every hop."""
+    """The exact 2-D walk as one recursive query over the views ``particles`` and ``walk``; for small inputs, as its row limit counts every hop.
+    A particle still on its way after limit hops is an error."""
     b = [f"(x{j} - x{i}) * (ty - y{i}) - (y{j} - y{i}) * (tx - x{i})" for i, j in TRIANGLE_EDGES]
     return f"""
     WITH RECURSIVE hop(pid, elem_id, tx, ty, hops, moves) AS (
@@ -229,6 +285,6 @@ def recursive_walk_sql(particles: str, walk: str, limit: int = 100) -> str:
       SELECT pid, CASE WHEN least(b0, b1, b2) >= 0 THEN elem_id ELSE coalesce(CASE WHEN (CASE WHEN b0 < b1 THEN b0 ELSE b1 END) < b2 THEN (CASE WHEN b0 < b1 THEN n0 ELSE n1 END) ELSE n2 END, -1) END,
         tx, ty, hops + CASE WHEN least(b0, b1, b2) >= 0 THEN 0 ELSE 1 END, least(b0, b1, b2) < 0
       FROM (SELECT h.*, w.n0, w.n1, w.n2, {b[0]} AS b0, {b[1]} AS b1, {b[2]} AS b2 FROM hop h JOIN {walk} w ON h.elem_id = w.eid WHERE h.moves AND h.hops < {limit})
-    ), last AS (SELECT pid, max(struct(hops, NOT moves, elem_id)) AS m FROM hop GROUP BY pid)
-    SELECT pid, m.elem_id AS elem_id, m.hops AS hops FROM last
+    ), last AS (SELECT pid, max(named_struct('hops', hops, 'ends', NOT moves, 'elem_id', elem_id)) AS m FROM hop GROUP BY pid)
+    SELECT pid, CASE WHEN m.ends OR m.elem_id < 0 OR m.hops < {limit} THEN m.elem_id ELSE CAST(raise_error('a particle is on its way after {limit} hops') AS BIGINT) END AS elem_id, m.hops AS hops FROM last
     """

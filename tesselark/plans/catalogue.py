@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,9 +106,9 @@ def _(spark, d):
     return M.class_histogram(T.mesh(spark).vertex)
 
 
-@query("reverse_classification", f"WITH {E} SELECT class_id, string_agg(CAST(eid AS VARCHAR), ',' ORDER BY eid) AS elems FROM e GROUP BY class_id")
+@query("reverse_classification", f"WITH {E} SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY eid) - 1 AS pos, eid FROM e")
 def _(spark, d):
-    return M.reverse_classification(T.mesh(spark).elem, "eid").select("class_id", joined("eid").alias("elems"))
+    return M.reverse_classification(T.mesh(spark).elem, "eid")
 
 
 @query("class_statistics", f"WITH {E}, c AS (SELECT class_id, count(*) AS n FROM e GROUP BY class_id) SELECT max(n) AS max_n, min(n) AS min_n, CAST(sum(n) AS BIGINT) AS sum_n, count(*) AS n_classes FROM c")
@@ -167,13 +169,35 @@ def _(spark, d):
     return PT.per_element(PT.even_distribution(spark, 2 * N * N, 10007))
 
 
-for _k, _name in enumerate(("uniform", "gaussian", "exponential", "clustered"), 1):
-    QUERIES[f"particle_{_name}_distribution"] = lambda spark, d, k=_k: PT.per_element(PT.distribute(spark, 2 * N * N, 100_000, k, seed=7))
+def _uniform(i, k: int):
+    """A number in [0, 1) made from a whole number, which SQL makes as well."""
+    return ((i * (2654435761, 1597334677)[k] + (12345, 678901)[k]) % 4294967296 + 0.5) / 4294967296.0
 
 
-@query("particle_redistribute")
-def _(spark, d):
-    return PT.redistribute(T.particles(spark, d), 2 * N * N, 1, 0.5, seed=3).select("pid", "elem_id", "new_elem")
+DRAW_SQL = "((i * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0 AS u, ((i * 1597334677 + 678901) % 4294967296 + 0.5) / 4294967296.0 AS v"
+
+
+def drawn_sql(n: int, even: str) -> list[str]:
+    """The element of each strategy from u and v."""
+    clamp = lambda x: f"CAST(greatest(0, least({x}, {n - 1})) AS BIGINT)"
+    first = int(n * 0.4)
+    return [
+        even, clamp(f"floor(u * {n})"), clamp(f"floor(sqrt(-2 * ln(1 - u)) * cos(2 * 3.141592653589793 * v) * ({n} / 8.0) + {n} / 2.0)"),
+        clamp(f"floor(-ln(1 - u * (1 - exp(-4.0))) / 4.0 * {n})"), clamp(f"CASE WHEN u < 0.85 THEN floor(v * {first}) ELSE {first} + floor(v * {n - first}) END"),
+    ]
+
+
+for _k, _name in enumerate(PT.STRATEGIES[1:], 1):
+    SQL[f"particle_{_name}_distribution"] = f"WITH q AS (SELECT i, {DRAW_SQL} FROM range(100000) x(i)) SELECT {drawn_sql(2 * N * N, '0')[_k]} AS elem_id, count(*) AS n FROM q GROUP BY 1"
+    QUERIES[f"particle_{_name}_distribution"] = lambda spark, d, k=_k: PT.per_element(PT.distribute(spark, 2 * N * N, 100_000, k, draws=(_uniform(F.col("pid"), 0), _uniform(F.col("pid"), 1))))
+
+for _k, _name in enumerate(PT.STRATEGIES):
+    _even = f"CASE WHEN i < (t // {2 * N * N} + 1) * (t % {2 * N * N}) THEN i // (t // {2 * N * N} + 1) ELSE t % {2 * N * N} + (i - (t // {2 * N * N} + 1) * (t % {2 * N * N})) // greatest(t // {2 * N * N}, 1) END"
+    SQL[f"particle_redistribute_{_name}"] = f"""WITH {P}, m AS (SELECT pid, elem_id, row_number() OVER (ORDER BY pid) - 1 AS i, count(*) OVER () AS t FROM p WHERE val % 100 < 40), q AS (SELECT *, {DRAW_SQL} FROM m)
+      SELECT p.pid, coalesce(i, -1) AS mover, CASE WHEN i IS NULL THEN p.elem_id ELSE {drawn_sql(2 * N * N, _even)[_k]} END AS new_elem FROM p LEFT JOIN q ON q.pid = p.pid"""
+    QUERIES[f"particle_redistribute_{_name}"] = lambda spark, d, k=_k: PT.redistribute(
+        T.particles(spark, d), 2 * N * N, k, 0.395, chance=(F.col("val") % 100) / 100.0, draws=(_uniform(F.col("mover"), 0), _uniform(F.col("mover"), 1))
+    ).select("pid", "mover", "new_elem")
 
 
 @query("particles_from_counts", f"WITH {P}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id) SELECT elem_id, unnest(range(n)) AS slot FROM c")
@@ -315,17 +339,6 @@ def _(spark, d):
     return _rays(spark, d, geometry.segment_triangle)
 
 
-@query("closest_point_on_triangle", f"""WITH {P}, q AS (SELECT pid, tx - 300000.0 AS px, ty - 300000.0 AS py FROM p),
-  c AS (SELECT *, 400000.0 * px AS d1, 400000.0 * py AS d2, 400000.0 * (px - 400000) AS d3, 400000.0 * py AS d4, 400000.0 * px AS d5, 400000.0 * (py - 400000) AS d6 FROM q),
-  r AS (SELECT *, d3 * d6 - d5 * d4 AS va, d5 * d2 - d1 * d6 AS vb, d1 * d4 - d3 * d2 AS vc FROM c)
-  SELECT pid, CASE WHEN d1 <= 0 AND d2 <= 0 THEN 'VTXA' WHEN d3 >= 0 AND d4 <= d3 THEN 'VTXB' WHEN d6 >= 0 AND d5 <= d6 THEN 'VTXC' WHEN vc <= 0 AND d1 >= 0 AND d3 <= 0 THEN 'EDGEAB'
-    WHEN vb <= 0 AND d2 >= 0 AND d6 <= 0 THEN 'EDGEAC' WHEN va <= 0 AND d4 - d3 >= 0 AND d5 - d6 >= 0 THEN 'EDGEBC' ELSE 'TRIFACE' END AS region FROM r""")
-def _(spark, d):
-    tri = [[F.lit(float(v)) for v in p] for p in ((300000, 300000, 0), (700000, 300000, 0), (300000, 700000, 0))]
-    c = geometry.closest_point_on_triangle(tri, [F.col("tx").cast("double"), F.col("ty").cast("double"), F.lit(50.0)])
-    return T.particles(spark, d).select("pid", c["region"].alias("region"))
-
-
 @query("argmin_ties", f"WITH {P}, q AS (SELECT pid, pid % 4 AS a, pid // 4 % 4 AS b, pid // 16 % 4 AS c FROM p) SELECT pid, CASE WHEN least(a, b) < c THEN CASE WHEN a < b THEN 0 ELSE 1 END ELSE 2 END AS later, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS first FROM q")
 def _(spark, d):
     q = T.particles(spark, d).select("pid", (F.col("pid") % 4).alias("a"), F.expr("pid div 4 % 4").alias("b"), F.expr("pid div 16 % 4").alias("c"))
@@ -393,52 +406,107 @@ def _(spark, d):
     return flagship(spark, d)
 
 
-@query("walk2d_intersections")
+LARGE = T.sql_of(T.LARGE_N)
+
+
+@query("walk2d_large_mesh", f"WITH RECURSIVE {LARGE.V}, {LARGE.E}, {LARGE.HALF}, {LARGE.SIDE}, {LARGE.ES}, {LARGE.G}, {LARGE.P}, {T.walk_sql()} SELECT pid, elem_id, hops FROM last")
+def _(spark, d):
+    """3,200 triangles, joined by shuffle: nothing is broadcast."""
+    return W.trace(T.particles(spark, d, T.LARGE_N), M.walk_table(T.mesh(spark, T.LARGE_N)), 2, tol=0.0, check_parents=False, broadcast_bytes=0, hops_at_once=8).select("pid", "elem_id", "hops")
+
+
+INSIDE = f"tx BETWEEN 0 AND {LENGTH - 1} AND ty BETWEEN 0 AND {LENGTH - 1}"
+#: Where the way of a particle leaves the square: the least share of the way at which a coordinate passes a border.
+BOX2 = f"""{P}, b AS (SELECT *, least(CASE WHEN tx > {LENGTH} THEN ({LENGTH}.0 - ox) / (tx - ox) WHEN tx < 0 THEN ox / (ox - tx + 0.0) ELSE 2 END, CASE WHEN ty > {LENGTH} THEN ({LENGTH}.0 - oy) / (ty - oy) WHEN ty < 0 THEN oy / (oy - ty + 0.0) ELSE 2 END) AS t FROM p)"""
+
+
+@query("walk2d_intersections", f"WITH {BOX2} SELECT pid, t <= 1 AS hit, CASE WHEN t <= 1 THEN round(ox + (tx - ox) * t, 2) END AS px, CASE WHEN t <= 1 THEN round(oy + (ty - oy) * t, 2) END AS py FROM b")
 def _(spark, d):
     out = W.trace(T.particles(spark, d), M.walk_table(T.mesh(spark)), 2, crossing=True, tol=0.0)
-    return out.select("pid", "elem_id", "face", F.round("px", 3).alias("px"), F.round("py", 3).alias("py"))
+    hit = F.col("face").isNotNull()
+    return out.select("pid", hit.alias("hit"), *(F.when(hit, F.round(p, 2)).alias(p) for p in ("px", "py")))
 
 
 def _particles_3d(spark, d):
+    """Whole-numbered starts and targets in the cube and around it."""
     p = T.particles(spark, d)
     h = 900_000 // T.TET_N
-    place = {"ox": F.col("ox") * 9 / 10, "oy": F.col("oy") * 9 / 10, "oz": (F.col("val") * 7919 % 900_000).cast("double")}
-    p = p.withColumns(place).withColumns({"tx": F.col("ox") + (F.col("tx") - F.col("oy")) / 7, "ty": F.col("oy") + F.col("val") * 3, "tz": F.col("oz") - F.col("val") * 2})
+    place = {"ox": F.expr("ox * 9 div 10"), "oy": F.expr("oy * 9 div 10"), "oz": F.col("val") * 7919 % 900_000}
+    p = p.withColumns(place).withColumns({"tx": F.expr("ox + (tx - oy) div 7"), "ty": F.col("oy") + F.col("val") * 3 - 9000, "tz": F.col("oz") - F.col("val") * 2 + 7001})
     i, j, k = (F.floor(F.col(f"o{a}") / h) for a in "xyz")
     x, y, z = (F.col(f"o{a}") % h for a in "xyz")
     t = F.when((x >= y) & (y >= z), 0).when((y >= x) & (x >= z), 1).when((y >= z) & (z >= x), 2).when((z >= y) & (y >= x), 3).when((z >= x) & (x >= y), 4).otherwise(5)
     return p.withColumn("elem_id", (((i * T.TET_N + j) * T.TET_N + k) * 6 + t).cast("long"))
 
 
-@query("walk3d_final_element")
+H3 = 900_000 // T.TET_N
+
+
+def _tet_of(p: str) -> str:
+    """The element of the lattice that holds a point."""
+    x, y, z = (f"({p}{a} % {H3})" for a in "xyz")
+    return f"""((({p}x // {H3}) * {T.TET_N} + {p}y // {H3}) * {T.TET_N} + {p}z // {H3}) * 6 + CASE WHEN {x} >= {y} AND {y} >= {z} THEN 0 WHEN {y} >= {x} AND {x} >= {z} THEN 1 WHEN {y} >= {z} AND {z} >= {x} THEN 2 WHEN {z} >= {y} AND {y} >= {x} THEN 3 WHEN {z} >= {x} AND {x} >= {y} THEN 4 ELSE 5 END"""
+
+
+P3 = f"""{P}, p3a AS (SELECT pid, ox * 9 // 10 AS ox, oy * 9 // 10 AS oy, val * 7919 % 900000 AS oz, tx AS wx, val FROM p),
+  p3b AS (SELECT pid, val, ox, oy, oz, ox + CAST(trunc((wx - oy) / 7.0) AS BIGINT) AS tx, oy + val * 3 - 9000 AS ty, oz - val * 2 + 7001 AS tz FROM p3a), p3 AS (SELECT *, {_tet_of("o")} AS elem_id FROM p3b)"""
+_dot = lambda a, b, c, q: (
+    f"-((({b}y - {a}y) * ({c}z - {a}z) - ({b}z - {a}z) * ({c}y - {a}y)) * ({q}x - {a}x) + (({b}z - {a}z) * ({c}x - {a}x) - ({b}x - {a}x) * ({c}z - {a}z)) * ({q}y - {a}y) + (({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x)) * ({q}z - {a}z))"
+)
+NUM3 = [_dot(*(f"c{i}" for i in face), "t") for face in geometry.TET_FACES]
+TET_GEO = f"""{TET_SQL}, tv AS (SELECT i * {(T.TET_N + 1) ** 2} + j * {T.TET_N + 1} + k AS vid, i * {H3} AS x, j * {H3} AS y, k * {H3} AS z FROM range({T.TET_N + 1}) a(i), range({T.TET_N + 1}) b(j), range({T.TET_N + 1}) c(k)),
+  tf AS (SELECT eid, 0 AS li, list_sort([v0, v2, v1]) AS s FROM e UNION ALL SELECT eid, 1, list_sort([v0, v1, v3]) FROM e UNION ALL SELECT eid, 2, list_sort([v1, v2, v3]) FROM e UNION ALL SELECT eid, 3, list_sort([v2, v0, v3]) FROM e),
+  tn AS (SELECT a.eid, a.li, b.eid AS nbr FROM tf a LEFT JOIN tf b ON a.s = b.s AND a.eid <> b.eid),
+  tg AS (SELECT e.eid, {", ".join(f"w{i}.x AS c{i}x, w{i}.y AS c{i}y, w{i}.z AS c{i}z" for i in range(4))}, {", ".join(f"n{i}.nbr AS n{i}" for i in range(4))} FROM e {" ".join(f"JOIN tv w{i} ON w{i}.vid = v{i}" for i in range(4))} {" ".join(f"JOIN tn n{i} ON n{i}.eid = e.eid AND n{i}.li = {i}" for i in range(4))})"""
+WALK3 = f"""WITH RECURSIVE {TET_GEO}, {P3}, hop(pid, elem_id, tx, ty, tz, hops, moves) AS (
+    SELECT pid, elem_id, tx, ty, tz, 0, true FROM p3
+    UNION ALL
+    SELECT pid, CASE WHEN lo >= 0 THEN elem_id ELSE coalesce(CASE lo WHEN b0 THEN n0 WHEN b1 THEN n1 WHEN b2 THEN n2 ELSE n3 END, -1) END, tx, ty, tz, hops + CASE WHEN lo >= 0 THEN 0 ELSE 1 END, lo < 0
+    FROM (SELECT *, least(b0, b1, b2, b3) AS lo FROM (SELECT h.*, g.n0, g.n1, g.n2, g.n3, {", ".join(f"{x} AS b{i}" for i, x in enumerate(NUM3))} FROM hop h JOIN tg g ON h.elem_id = g.eid WHERE h.moves))
+  ), last AS (SELECT pid, arg_max(elem_id, hops * 2 + CASE WHEN moves THEN 0 ELSE 1 END) AS elem_id, CAST(max(hops) AS INTEGER) AS hops FROM hop GROUP BY pid)"""
+
+
+@query("walk3d_final_element", f"{WALK3} SELECT pid, elem_id, hops FROM last")
 def _(spark, d):
-    return W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark)), 3).select("pid", "elem_id", "hops")
+    return W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark)), 3, tol=0.0).select("pid", "elem_id", "hops")
 
 
-@query("walk3d_ray_to_wall")
+_ahead = lambda a: f"CASE WHEN t{a} > o{a} THEN (900000.0 - o{a}) / (t{a} - o{a}) WHEN t{a} < o{a} THEN o{a} / (o{a} - t{a} + 0.0) ELSE 1e30 END"
+
+
+@query("walk3d_ray_to_wall", f"WITH {P3}, r AS (SELECT *, least({', '.join(map(_ahead, 'xyz'))}) AS t FROM p3) SELECT pid, {', '.join(f'round(o{a} + (t{a} - o{a}) * t, 1) AS p{a}' for a in 'xyz')} FROM r")
 def _(spark, d):
     out = W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark)), 3, crossing=True)
-    return out.select("pid", "elem_id", "face", *(F.round(f"p{a}", 3).alias(f"p{a}") for a in "xyz"))
+    return out.select("pid", *(F.round(f"p{a}", 1).alias(f"p{a}") for a in "xyz"))
+
+
+INSIDE3 = " AND ".join(f"t{a} BETWEEN 0 AND 899999" for a in "xyz")
 
 
-@query("walk3d_segment")
+@query("walk3d_segment", f"WITH {P3} SELECT pid, CASE WHEN {INSIDE3} THEN {_tet_of('t')} ELSE -1 END AS elem_id FROM p3")
 def _(spark, d):
-    return W.search_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark)), tol=1e-9).select("pid", "elem_id", "hops")
+    return W.search_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark)), tol=1e-9).select("pid", "elem_id")
 
 
-@query("locate_particles", f"WITH {P} SELECT pid, elem_id AS eid FROM p WHERE ox % {T.H} <> oy % {T.H} AND ox % {T.H} > 0 AND oy % {T.H} > 0")
+@query("walk3d_first_face", f"WITH {P3}, r AS (SELECT *, least({', '.join(map(_ahead, 'xyz'))}) AS t FROM p3) SELECT pid, CASE WHEN {INSIDE3} THEN {_tet_of('t')} ELSE -1 END AS elem_id, {', '.join(f'CASE WHEN NOT ({INSIDE3}) THEN round(o{a} + (t{a} - o{a}) * t, 1) END AS p{a}' for a in 'xyz')} FROM r")
 def _(spark, d):
-    p = T.particles(spark, d).where(f"ox % {T.H} <> oy % {T.H} and ox % {T.H} > 0 and oy % {T.H} > 0")
-    return M.locate(p.select("pid", F.col("ox").alias("x"), F.col("oy").alias("y")), T.mesh(spark), float(T.H)).select("pid", "eid")
+    out = W.search_first_face_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark)))
+    return out.select("pid", "elem_id", *(F.when(F.col("elem_id") == -1, F.round(f"p{a}", 1)).alias(f"p{a}") for a in "xyz"))
 
 
-@query("reflect_and_remove_at_wall")
+@query("locate_particles", f"WITH {GEO}, {P}, c AS (SELECT pid, ox AS px, oy AS py, g.* FROM p JOIN g ON ox BETWEEN least(x0, x1, x2) AND greatest(x0, x1, x2) AND oy BETWEEN least(y0, y1, y2) AND greatest(y0, y1, y2)) SELECT pid, min(eid) AS eid FROM c WHERE least({', '.join(NUM)}) >= 0 GROUP BY pid")
+def _(spark, d):
+    """Every particle lies in an element; of several that hold it (on a side) the least."""
+    return M.locate(T.particles(spark, d).select("pid", F.col("ox").alias("x"), F.col("oy").alias("y")), T.mesh(spark), float(T.H)).select("pid", "eid")
+
+
+@query("reflect_and_remove_at_wall", f"WITH {BOX2} SELECT pid, t <= 1 AS removed, round(CASE WHEN t <= 1 THEN ox + (tx - ox) * t ELSE tx END, 2) AS tx, CAST(CASE WHEN t <= 1 THEN ox - tx ELSE tx - ox END AS DOUBLE) AS dx FROM b")
 def _(spark, d):
     p = T.particles(spark, d).withColumns({"dx": F.col("tx") - F.col("ox"), "dy": F.col("ty") - F.col("oy")})
     hit = W.trace(p, M.walk_table(T.mesh(spark)), 2, crossing=True, tol=0.0).select("pid", F.col("elem_id").alias("at"), "face", "px", "py")
     met = p.join(hit, "pid").withColumn("elem_id", F.col("at"))
     back = PT.reflect_at_wall(met.withColumns({c: F.col(c).cast("double") for c in ("tx", "ty", "dx", "dy")}), 2)
-    return PT.remove_at_wall(back).select("pid", "elem_id", F.round("tx", 3).alias("tx"), "dx")
+    return PT.remove_at_wall(back).select("pid", (F.col("elem_id") == -1).alias("removed"), F.round("tx", 2).alias("tx"), "dx")
 
 
 # counts, rebuild, migration
@@ -499,9 +567,9 @@ def _(spark, d):
     return PT.rebuild(T.particles(spark, d).select("pid", "elem_id", F.col("elem_id").alias("new_elem")), added=added)
 
 
-@query("rebuild_mixed", f"WITH {P} SELECT pid, (elem_id + 1) % 200 AS elem_id FROM p WHERE pid % 5 <> 0 UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % 200 FROM orders WHERE o_orderkey % 2 = 0")
+@query("rebuild_mixed", f"WITH {P} SELECT pid, (elem_id + 1) % 200 AS elem_id FROM p WHERE pid % 5 <> 0 UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % 200 FROM orders")
 def _(spark, d):
-    added = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 2 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % 200).alias("elem_id"))
+    added = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % 200).alias("elem_id"))
     p = T.particles(spark, d).select("pid", "elem_id", F.when(F.col("pid") % 5 == 0, -1).otherwise((F.col("elem_id") + 1) % 200).alias("new_elem"))
     return PT.rebuild(p, added=added)
 
@@ -590,11 +658,14 @@ def _(spark, d):
     return PA.full_mesh(T.mesh(spark), T.owners(spark), RANKS).halo
 
 
-@query("pic_part", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid) WHERE l2.rank = 3), k AS (SELECT e.* FROM e JOIN o USING (eid) WHERE owner IN (SELECT owner FROM b)),
-  u AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM (SELECT v0 AS vid FROM k UNION SELECT v1 FROM k UNION SELECT v2 FROM k))
-  SELECT row_number() OVER (ORDER BY eid) - 1 AS eid, eid AS eid_global, a.new AS v0, b2.new AS v1, c.new AS v2 FROM k JOIN u a ON a.vid = v0 JOIN u b2 ON b2.vid = v1 JOIN u c ON c.vid = v2""")
+@query("pic_part", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), k AS (SELECT b.rank, e.* FROM e JOIN o USING (eid) JOIN b USING (owner)),
+  u AS (SELECT rank, vid, row_number() OVER (PARTITION BY rank ORDER BY vid) - 1 AS new FROM (SELECT rank, v0 AS vid FROM k UNION SELECT rank, v1 FROM k UNION SELECT rank, v2 FROM k))
+  SELECT k.rank, row_number() OVER (PARTITION BY k.rank ORDER BY eid) - 1 AS eid, eid AS eid_global, a.new AS v0, b2.new AS v1, c.new AS v2 FROM k JOIN u a ON a.vid = v0 AND a.rank = k.rank JOIN u b2 ON b2.vid = v1 AND b2.rank = k.rank JOIN u c ON c.vid = v2 AND c.rank = k.rank""")
 def _(spark, d):
-    return _parts(spark).local(3).elem.select("eid", "eid_global", "v0", "v1", "v2")
+    parts, out = _parts(spark), []
+    for rank in range(RANKS):
+        out.append(parts.local(rank).elem.select(F.lit(rank).alias("rank"), "eid", "eid_global", "v0", "v1", "v2"))
+    return reduce(DataFrame.unionByName, out)
 
 
 HELD = f"{HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), held AS (SELECT DISTINCT b.rank, vid FROM b JOIN o ON o.owner = b.owner JOIN ev ON ev.eid = o.eid), vo AS (SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid)"
@@ -738,19 +809,33 @@ def _(spark, d):
     return balance.select_particles(p, sets, quotas, parts.owners).select("pid", "new_rank")
 
 
-@query("balance_repartition")
+def _balance_facts(spark, d, moved: DataFrame, tol: float) -> DataFrame:
+    """What must hold of a balanced assignment whatever the plan: every particle once, none on a rank where its element is not safe, and no rank above
+    the greater of tolerance times the mean and what it had after forced moves."""
+    parts = _parts(spark)
+    forced = PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners).where("new_elem >= 0")
+    inside = moved.where("new_elem >= 0")
+    safe = inside.join(parts.halo.where("is_safe").select(F.col("rank").alias("new_rank"), F.col("eid").alias("new_elem")), ["new_rank", "new_elem"], "left_anti")
+    most = lambda df: df.groupBy("new_rank").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m"), F.sum("n").alias("t"))
+    before, after = most(forced).select(F.col("m").alias("m0")), most(inside)
+    counts = moved.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pid").alias("pids")).crossJoin(safe.agg(F.count(F.lit(1)).alias("unsafe"))).crossJoin(before).crossJoin(after)
+    return counts.select("n", "pids", "unsafe", (F.col("m") <= F.col("m0")).alias("not_worse"), ((F.col("m") <= F.col("m0") * 0.999) | (F.col("m") * RANKS <= tol * F.col("t") + RANKS)).alias("better_or_even"))
+
+
+@query("balance_repartition", "SELECT count(*) AS n, count(*) AS pids, CAST(0 AS BIGINT) AS unsafe, true AS not_worse, true AS better_or_even FROM events")
 def _(spark, d):
     parts = _parts(spark)
-    return balance.repartition(T.ranked(spark, d), parts.halo, parts.owners, RANKS, tol=1.05).select("pid", "rank", "new_rank")
+    return _balance_facts(spark, d, cut(balance.repartition(T.ranked(spark, d), parts.halo, parts.owners, RANKS, tol=1.05)), 1.05)
 
 
-@query("migrate_balanced")
+@query("migrate_balanced", f"WITH {P}, {R} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(pid) AS BIGINT) AS sum_pid, CAST(sum(new_elem) AS BIGINT) AS sum_elem FROM r WHERE new_elem >= 0")
 def _(spark, d):
     parts = _parts(spark)
-    return balance.migrate_balanced(T.ranked(spark, d), parts.halo, parts.owners, RANKS).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    out = balance.migrate_balanced(T.ranked(spark, d), parts.halo, parts.owners, RANKS)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("sum_pid"), F.sum("elem_id").alias("sum_elem"))
 
 
-@query("class_partition")
+@query("class_partition", f"WITH {E} SELECT CAST(class_id AS INTEGER) AS class_id, CAST(CASE WHEN class_id < 2 THEN 0 ELSE 1 END AS INTEGER) AS owner FROM e GROUP BY class_id")
 def _(spark, d):
     out = PA.class_partition(T.mesh(spark).elem, 2)
     return spark.createDataFrame(sorted(out.items()), "class_id int, owner int")
@@ -763,9 +848,13 @@ def _records(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("at"), F.col("user_id").cast("int").alias("rank"), F.col("event_type").alias("op"), F.round(F.col("value") * 100).alias("seconds"), F.lit(0.0).alias("prebarrier"))
 
 
-@query("timing_summary", 'SELECT event_type AS op, sum(round(value * 100)) AS total, min(round(value * 100)) AS min, max(round(value * 100)) AS max, round(avg(round(value * 100)), 6) AS avg, round(avg(round(value * 100) * round(value * 100)), 3) AS mean_square, count(*) AS "count", 0.0::DOUBLE AS prebarrier FROM events GROUP BY event_type')
+@query("timing_summary", 'SELECT event_type AS op, sum(round(value * 100)) AS total, min(round(value * 100)) AS min, max(round(value * 100)) AS max, round(avg(round(value * 100)), 6) AS avg, round(avg(round(value * 100) * round(value * 100)), 3) AS mean_square, count(*) AS "count", 0.0::DOUBLE AS prebarrier, CAST(row_number() OVER (ORDER BY sum(round(value * 100)) DESC, event_type) AS INTEGER) AS place FROM events GROUP BY event_type')
 def _(spark, d):
-    return summary(_records(spark, d), "LONGEST").withColumns({"avg": F.round("avg", 6), "mean_square": F.round("mean_square", 3)})
+    ordered = summary(_records(spark, d), "LONGEST")
+    # the order is the result's own, so its places are read off the sorted rows
+    places = {r["op"]: k + 1 for k, r in enumerate(ordered.select("op").collect())}
+    place = reduce(lambda rest, x: F.when(F.col("op") == x[0], x[1]).otherwise(rest), places.items(), F.lit(None).cast("int"))
+    return ordered.withColumn("place", place).withColumns({"avg": F.round("avg", 6), "mean_square": F.round("mean_square", 3)})
 
 
 @query("timing_across_ranks", "WITH b AS (SELECT event_type AS op, user_id, sum(round(value * 100)) AS t FROM events GROUP BY 1, 2) SELECT op, max(t) AS max, min(t) AS min, round(avg(t), 6) AS avg FROM b GROUP BY op")
@@ -798,3 +887,6 @@ def _(spark, d):
     from tesselark.plans.apps import push_and_search_app
 
     return push_and_search_app(_particles_3d(spark, d), T.tets(spark), steps=2)
+
+
+from tesselark.plans import files, kernels  # noqa: E402, F401  these add their queries

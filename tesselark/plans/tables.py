@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh, tet_lattice, tri_lattice
 
-N, LENGTH, RANKS, TET_N = 10, 1_000_000, 4, 3
+N, LARGE_N, LENGTH, RANKS, TET_N = 10, 40, 1_000_000, 4, 3
 H = LENGTH // N
 
 
-def mesh(spark: SparkSession) -> Mesh:
-    return tri_lattice(spark, N, LENGTH)
+def mesh(spark: SparkSession, n: int = N) -> Mesh:
+    return tri_lattice(spark, n, LENGTH)
 
 
 def tets(spark: SparkSession) -> Mesh:
     return tet_lattice(spark, TET_N, 900_000)
 
 
-def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def particles(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
     """pid, elem_id, ox, oy, tx, ty, species, step, val: each event in the element that contains it."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     c = F.round(F.col("value") * 100).cast("long")
@@ -27,7 +29,8 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("pid"), ((F.col("event_id") * 7919 + F.col("user_id") * 104729) % LENGTH).alias("ox"), ((F.col("event_id") * 15485863 + F.col("user_id") * 32452843) % LENGTH).alias("oy"),
         c.alias("val"), F.col("event_type").alias("species"), F.dayofmonth("ts").alias("step"),
     )
-    elem = F.expr(f"2 * ((ox div {H}) * {N} + (oy div {H})) + CASE WHEN oy % {H} > ox % {H} THEN 1 ELSE 0 END")
+    h = LENGTH // n
+    elem = F.expr(f"2 * ((ox div {h}) * {n} + (oy div {h})) + CASE WHEN oy % {h} > ox % {h} THEN 1 ELSE 0 END")
     moved = [(F.col(f"o{a}") + (F.col("val") * k) % 400001 - 200000).alias(f"t{a}") for a, k in (("x", 37), ("y", 101))]
     return p.select("pid", elem.cast("long").alias("elem_id"), "ox", "oy", *moved, "species", "step", "val")
 
@@ -47,26 +50,35 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the same as SQL; each string is a list of common table expressions
 
-V = f"""v AS (SELECT i * {N + 1} + j AS vid, i * {H} AS x, j * {H} AS y, i, j,
-  CAST(least(i, j, {N} - i, {N} - j) AS INTEGER) AS class_id, CAST(2 - CAST(i % {N} = 0 AS INTEGER) - CAST(j % {N} = 0 AS INTEGER) AS TINYINT) AS class_dim
-  FROM range({N + 1}) a(i), range({N + 1}) b(j))"""
-E = f"""e AS (SELECT 2 * (i * {N} + j) + k AS eid, i, j, k, i * {N + 1} + j AS v0,
-  CASE WHEN k = 0 THEN (i + 1) * {N + 1} + j ELSE (i + 1) * {N + 1} + j + 1 END AS v1, CASE WHEN k = 0 THEN (i + 1) * {N + 1} + j + 1 ELSE i * {N + 1} + j + 1 END AS v2,
-  CAST(least(i, j, {N - 1} - i, {N - 1} - j) AS INTEGER) AS class_id FROM range({N}) a(i), range({N}) b(j), range(2) c(k))"""
-EV = "ev AS (SELECT eid, 0 AS li, v0 AS vid FROM e UNION ALL SELECT eid, 1, v1 FROM e UNION ALL SELECT eid, 2, v2 FROM e)"
-HALF = """half AS (SELECT eid, li, least(a, b) AS k0, greatest(a, b) AS k1, a > b AS flip FROM (
-  SELECT eid, 0 AS li, v0 AS a, v1 AS b FROM e UNION ALL SELECT eid, 1, v1, v2 FROM e UNION ALL SELECT eid, 2, v2, v0 FROM e))"""
-SIDE = "side AS (SELECT row_number() OVER (ORDER BY k0, k1) - 1 AS sid, k0, k1, count(*) AS n, min(eid) AS e0, max(eid) AS e1 FROM half GROUP BY k0, k1)"
-ES = "es AS (SELECT h.eid, h.li, s.sid, h.flip, CASE WHEN s.n = 2 THEN s.e0 + s.e1 - h.eid END AS nbr FROM half h JOIN side s ON h.k0 = s.k0 AND h.k1 = s.k1)"
-G = """g AS (SELECT e.eid, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2, s0.nbr AS n0, s1.nbr AS n1, s2.nbr AS n2
-  FROM e JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v c ON c.vid = v2 JOIN es s0 ON s0.eid = e.eid AND s0.li = 0 JOIN es s1 ON s1.eid = e.eid AND s1.li = 1 JOIN es s2 ON s2.eid = e.eid AND s2.li = 2)"""
-P = f"""p AS (SELECT pid, 2 * ((ox // {H}) * {N} + (oy // {H})) + CASE WHEN oy % {H} > ox % {H} THEN 1 ELSE 0 END AS elem_id, ox, oy,
-  ox + (val * 37) % 400001 - 200000 AS tx, oy + (val * 101) % 400001 - 200000 AS ty, species, step, val FROM (
-  SELECT event_id AS pid, (event_id * 7919 + user_id * 104729) % {LENGTH} AS ox, (event_id * 15485863 + user_id * 32452843) % {LENGTH} AS oy,
-    CAST(round(value * 100) AS BIGINT) AS val, event_type AS species, CAST(day(ts) AS INTEGER) AS step FROM events))"""
-O = f"o AS (SELECT eid, CAST(eid // 2 // {N} // 3 AS INTEGER) AS owner FROM e)"
-R = f"""r AS (SELECT *, CAST(elem_id // 2 // {N} // 3 AS INTEGER) AS rank, CASE WHEN tx BETWEEN 0 AND {LENGTH - 1} AND ty BETWEEN 0 AND {LENGTH - 1}
-  THEN 2 * ((tx // {H}) * {N} + (ty // {H})) + CASE WHEN ty % {H} > tx % {H} THEN 1 ELSE 0 END ELSE -1 END AS new_elem FROM p)"""
+
+def sql_of(n: int) -> SimpleNamespace:
+    """Vertices V, elements E, their vertices EV, sides HALF, SIDE and ES, geometry G, particles P, owners O and wanted elements R of the n x n mesh."""
+    h = LENGTH // n
+    V = f"""v AS (SELECT i * {n + 1} + j AS vid, i * {h} AS x, j * {h} AS y, i, j,
+      CAST(least(i, j, {n} - i, {n} - j) AS INTEGER) AS class_id, CAST(2 - CAST(i % {n} = 0 AS INTEGER) - CAST(j % {n} = 0 AS INTEGER) AS TINYINT) AS class_dim
+      FROM range({n + 1}) a(i), range({n + 1}) b(j))"""
+    E = f"""e AS (SELECT 2 * (i * {n} + j) + k AS eid, i, j, k, i * {n + 1} + j AS v0,
+      CASE WHEN k = 0 THEN (i + 1) * {n + 1} + j ELSE (i + 1) * {n + 1} + j + 1 END AS v1, CASE WHEN k = 0 THEN (i + 1) * {n + 1} + j + 1 ELSE i * {n + 1} + j + 1 END AS v2,
+      CAST(least(i, j, {n - 1} - i, {n - 1} - j) AS INTEGER) AS class_id FROM range({n}) a(i), range({n}) b(j), range(2) c(k))"""
+    EV = "ev AS (SELECT eid, 0 AS li, v0 AS vid FROM e UNION ALL SELECT eid, 1, v1 FROM e UNION ALL SELECT eid, 2, v2 FROM e)"
+    HALF = """half AS (SELECT eid, li, least(a, b) AS k0, greatest(a, b) AS k1, a > b AS flip FROM (
+      SELECT eid, 0 AS li, v0 AS a, v1 AS b FROM e UNION ALL SELECT eid, 1, v1, v2 FROM e UNION ALL SELECT eid, 2, v2, v0 FROM e))"""
+    SIDE = "side AS (SELECT row_number() OVER (ORDER BY k0, k1) - 1 AS sid, k0, k1, count(*) AS n, min(eid) AS e0, max(eid) AS e1 FROM half GROUP BY k0, k1)"
+    ES = "es AS (SELECT h.eid, h.li, s.sid, h.flip, CASE WHEN s.n = 2 THEN s.e0 + s.e1 - h.eid END AS nbr FROM half h JOIN side s ON h.k0 = s.k0 AND h.k1 = s.k1)"
+    G = """g AS (SELECT e.eid, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2, s0.nbr AS n0, s1.nbr AS n1, s2.nbr AS n2
+      FROM e JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v c ON c.vid = v2 JOIN es s0 ON s0.eid = e.eid AND s0.li = 0 JOIN es s1 ON s1.eid = e.eid AND s1.li = 1 JOIN es s2 ON s2.eid = e.eid AND s2.li = 2)"""
+    P = f"""p AS (SELECT pid, 2 * ((ox // {h}) * {n} + (oy // {h})) + CASE WHEN oy % {h} > ox % {h} THEN 1 ELSE 0 END AS elem_id, ox, oy,
+      ox + (val * 37) % 400001 - 200000 AS tx, oy + (val * 101) % 400001 - 200000 AS ty, species, step, val FROM (
+      SELECT event_id AS pid, (event_id * 7919 + user_id * 104729) % {LENGTH} AS ox, (event_id * 15485863 + user_id * 32452843) % {LENGTH} AS oy,
+        CAST(round(value * 100) AS BIGINT) AS val, event_type AS species, CAST(day(ts) AS INTEGER) AS step FROM events))"""
+    O = f"o AS (SELECT eid, CAST(eid // 2 // {n} // 3 AS INTEGER) AS owner FROM e)"
+    R = f"""r AS (SELECT *, CAST(elem_id // 2 // {n} // 3 AS INTEGER) AS rank, CASE WHEN tx BETWEEN 0 AND {LENGTH - 1} AND ty BETWEEN 0 AND {LENGTH - 1}
+      THEN 2 * ((tx // {h}) * {n} + (ty // {h})) + CASE WHEN ty % {h} > tx % {h} THEN 1 ELSE 0 END ELSE -1 END AS new_elem FROM p)"""
+    return SimpleNamespace(V=V, E=E, EV=EV, HALF=HALF, SIDE=SIDE, ES=ES, G=G, P=P, O=O, R=R)
+
+
+SQL = sql_of(N)
+V, E, EV, HALF, SIDE, ES, G, P, O, R = (getattr(SQL, k) for k in ("V", "E", "EV", "HALF", "SIDE", "ES", "G", "P", "O", "R"))
 
 
 def halo_sql(layers: int) -> str:

@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh
-from tesselark.storage import numbered
+from tesselark.operators.particles import distribute, per_element
+from tesselark.storage import cut, fetched, numbered
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """at (a line's place, growing through the file) and fields of each line that is not blank."""
-    rows = spark.read.option("wholetext", False).text(path).withColumn("at", F.monotonically_increasing_id())
-    return rows.select("at", F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("f")).where(F.size("f") > 0)
+    """at (a line's number among those that are not blank, from 0) and its fields. A folder of part files is read in the order of their names."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    fields = F.filter(F.split("value", r"\s+"), lambda x: x != "")
+    return numbered(rows.select(fields.alias("f"), "name", "block", "row").where(F.size("f") > 0), ["name", "block", "row"], "at").select("at", "f")
+
+
+def write_lines(lines: DataFrame, order: list[str], path: str, one_file: bool = False) -> None:
+    """The column value as text in order: range-partitioned part files whose names follow the order, or one file if that is asked for."""
+    dealt = lines.coalesce(1).sortWithinPartitions(*order) if one_file else lines.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order)
+    dealt.select("value").write.mode("overwrite").text(path)
 
 
 # particles
@@ -22,24 +30,34 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_particles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """elements (elem_id, gid, n) and particles (pid, elem_id, x, y, z, flag, val): first line ne np, then gid and count of each
-    element, then elem x y z flag val of each particle. The sections tell themselves apart by their number of fields."""
+    element, then elem id x y z flag val of each particle."""
     rows = _lines(spark, path)
-    head = rows.orderBy("at").first()
-    rest = rows.where(F.col("at") > head["at"]) if head else rows
-    counts = numbered(rest.where(F.size("f") == 2), ["at"], "elem_id")
-    parts = numbered(rest.where(F.size("f") == 6), ["at"], "pid")
-    elements = counts.select("elem_id", F.col("f")[0].cast("long").alias("gid"), F.col("f")[1].cast("long").alias("n"))
-    fields = [("elem_id", "long"), ("x", "double"), ("y", "double"), ("z", "double"), ("flag", "short"), ("val", "int")]
-    return elements, parts.select("pid", *(F.col("f")[i].cast(t).alias(c) for i, (c, t) in enumerate(fields)))
+    head = rows.where("at = 0").first()
+    n = int(head["f"][0]) if head else 0
+    elements = rows.where(f"at between 1 and {n}").select((F.col("at") - 1).alias("elem_id"), F.col("f")[0].cast("long").alias("gid"), F.col("f")[1].cast("long").alias("n"))
+    fields = [("elem_id", "long"), ("pid", "long"), ("x", "double"), ("y", "double"), ("z", "double"), ("flag", "short"), ("val", "int")]
+    parts = rows.where(f"at > {n}").select(*(F.col("f")[i].cast(t).alias(c) for i, (c, t) in enumerate(fields)))
+    return elements, parts.select("pid", *(c for c, _ in fields if c != "pid"))
 
 
-def write_particles(elements: DataFrame, particles: DataFrame, path: str) -> None:
-    """The same format as one ordered text file."""
+def write_particles(elements: DataFrame, particles: DataFrame, path: str, one_file: bool = False) -> None:
+    """The same format, by write_lines."""
     n, m = elements.count(), particles.count()
     line = lambda k, order, *c: F.struct(F.lit(k).alias("part"), F.col(order).cast("long").alias("at"), F.concat_ws(" ", *(F.col(x).cast("string") for x in c)).alias("value"))
     head = elements.sparkSession.createDataFrame([(0, 0, f"{n} {m}"), (2, 0, "")], "part int, at long, value string")
-    body = elements.select(line(1, "elem_id", "gid", "n").alias("l")).select("l.*").unionByName(particles.select(line(3, "pid", "elem_id", "x", "y", "z", "flag", "val").alias("l")).select("l.*"))
-    head.unionByName(body).orderBy("part", "at").select("value").coalesce(1).write.mode("overwrite").text(path)
+    body = elements.select(line(1, "elem_id", "gid", "n").alias("l")).select("l.*").unionByName(particles.select(line(3, "pid", "elem_id", "pid", "x", "y", "z", "flag", "val").alias("l")).select("l.*"))
+    write_lines(head.unionByName(body), ["part", "at"], path, one_file)
+
+
+def generate_particles(spark: SparkSession, n_elems: int, n_particles: int, strategy: int, prefix: str, rank: int = 0, **how) -> str:
+    """A particle file <prefix>_<rank>.ptl: particles distributed over elements 0, 1, .. by a strategy, with zeros for all values."""
+    particles = distribute(spark, n_elems, n_particles, strategy, **how)
+    zero = {"x": 0.0, "y": 0.0, "z": 0.0, "flag": 0, "val": 0}
+    particles = cut(particles.select("pid", "elem_id", *(F.lit(v).alias(c) for c, v in zero.items())))
+    elements = spark.range(n_elems).select(F.col("id").alias("elem_id"), F.col("id").alias("gid")).join(per_element(particles), "elem_id", "left").na.fill(0, ["n"])
+    path = f"{prefix}_{rank}.ptl"
+    write_particles(elements, particles, path)
+    return path
 
 
 # partitions
@@ -70,14 +88,15 @@ def read_partition(spark: SparkSession, path: str, n_ranks: int, elem: DataFrame
     raise ValueError(f"a partition file ends in .ptn or .cpn, not {kind!r}")
 
 
-def write_element_partition(owners: DataFrame, path: str) -> None:
+def write_element_partition(owners: DataFrame, path: str, one_file: bool = False) -> None:
     """Owners in order of elements; holders of one element (gid, owner, 0 elsewhere) are summed first."""
-    owners.groupBy("eid").agg(F.sum("owner").alias("owner")).orderBy("eid").select(F.col("owner").cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    owners = owners.groupBy("eid").agg(F.sum("owner").alias("owner"))
+    write_lines(owners.select("eid", F.col("owner").cast("string").alias("value")), ["eid"], path, one_file)
 
 
 def write_class_partition(spark: SparkSession, owners: dict[int, int], path: str) -> None:
     rows = [(-1, str(max(owners, default=0)))] + [(c, f"{c} {r}") for c, r in sorted(owners.items())]
-    spark.createDataFrame(rows, "at int, value string").orderBy("at").select("value").coalesce(1).write.mode("overwrite").text(path)
+    write_lines(spark.createDataFrame(rows, "at int, value string"), ["at"], path, one_file=True)  # one row a class, from the driver
 
 
 # meshes
@@ -86,7 +105,8 @@ def write_class_partition(spark: SparkSession, owners: dict[int, int], path: str
 def read_gmsh(spark: SparkSession, path: str) -> Mesh:
     """A Gmsh 2 ASCII mesh of triangles, or of tetrahedra if it has any. Lines are told apart by the section markers before them."""
     rows = _lines(spark, path)
-    marks = rows.where(F.col("f")[0].startswith("$")).orderBy("at").limit(1000).collect()
+    wanted = [f"${x}" for x in ("Nodes", "EndNodes", "Elements", "EndElements")]
+    marks = fetched(rows.where(F.col("f")[0].isin(wanted)), "section markers")
     spans = {r["f"][0][1:]: r["at"] for r in marks}
     if "Nodes" not in spans or "Elements" not in spans:
         raise ValueError("not a Gmsh 2 file")
@@ -129,5 +149,6 @@ def vtk_lines(mesh: Mesh, tags: list[str]) -> DataFrame:
     return out
 
 
-def write_vtk(mesh: Mesh, path: str, tags: list[str] | None = None) -> None:
-    vtk_lines(mesh, tags or []).orderBy("part", "at").select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_vtk(mesh: Mesh, path: str, tags: list[str] | None = None, one_file: bool = True) -> None:
+    """vtk_lines as one file, which viewers want, or as part files to be joined in order of their names."""
+    write_lines(vtk_lines(mesh, tags or []), ["part", "at"], path, one_file)

@@ -50,13 +50,22 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     out = ordered.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(F.broadcast(starts), "_part")
     return out.withColumn(name, F.col("_start") + F.col("_within")).drop("_part", "_start", "_within")
 
-#: A table of at most this many rows may be sent to every executor; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+def place_within(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with consecutive numbers from 0 within each group, by ``order`` (unique within it). All rows are numbered by (group, order) in range
+    partitions, and each group's first number is taken off, so no task sees a whole group."""
+    rows = numbered(df, [*group, *order], "_number")
+    first = rows.groupBy(*group).agg(F.min("_number").alias("_first"))
+    return rows.join(first, group).withColumn(name, F.col("_number") - F.col("_first")).select(*df.columns, name)
 
 
-def small(df: DataFrame, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it was counted to have at most limit_rows rows."""
-    return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
+#: A stored table of at most so many bytes (rows times the schema's width) may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(table: DataFrame, limit_bytes: int | None = None) -> DataFrame:
+    """A stored table (see cut), marked for broadcast if its rows times the schema's width are at most the limit. Only stored rows are counted."""
+    size = table.count() * table._jdf.schema().defaultSize()
+    return F.broadcast(table) if size <= (BROADCAST_BYTES if limit_bytes is None else limit_bytes) else table
 
 
 #: As many rows may come to the driver at once.
