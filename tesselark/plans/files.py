@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselark.operators import mesh as M, particles as PT, partition as PA
+from tesselark.operators import mesh as M, particles as PT
 from tesselark.plans import tables as T
 from tesselark.plans.catalogue import H3, HALO2, TET_SQL, _parts, query
-from tesselark.plans.tables import E, HALF, LENGTH, N, O, P, RANKS, V
+from tesselark.plans.tables import E, N, O, P, RANKS, V
 from tesselark.sources import picparts, text
 from tesselark.storage import checkpoint_dir, cut
 
@@ -140,6 +140,3 @@ def _(spark, d):
     stream = steps.particle_stream(spark, source, "pid long, elem_id long")
     steps.stream_steps(stream, lambda batch, number: PT.rebuild(batch.withColumn("new_elem", F.col("elem_id"))), out, state).awaitTermination()
     return PT.per_element(spark.read.parquet(out))
-
-
-__all__ = ["HALF", "LENGTH"]

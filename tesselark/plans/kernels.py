@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from tesselark.functions import geometry as G, interp, scalar
 from tesselark.operators import balance, mesh as M, particles as PT, partition as PA
 from tesselark.plans import tables as T
 from tesselark.plans.catalogue import H3, HALO1, HALO2, NUM3, P3, QUERIES, SQL, TET_GEO, WEIGHTS, _held, _parts, _particles_3d, HELD, query
-from tesselark.plans.tables import E, ES, EV, HALF, LENGTH, N, O, P, RANKS, SIDE, V
+from tesselark.plans.tables import E, ES, EV, HALF, O, P, RANKS, SIDE, V
 
 VOLUME6 = float(H3) ** 3
 ROUND = lambda cols, digits=9: [F.round(c, digits).alias(n) for n, c in cols.items()]
@@ -345,9 +343,8 @@ def _matrix(buffer: str, safe: str):
 
 for _b in ("FULL", "BFS", "MINIMUM", "NONE"):
     for _s in ("FULL", "BFS", "MINIMUM", "NONE"):
-        if not (_b in ("MINIMUM", "NONE") and _s == "BFS"):  # fewer buffer than safe layers: an error
-            QUERIES[f"halo_{_b.lower()}_{_s.lower()}"] = _matrix(_b, _s)
-            SQL[f"halo_{_b.lower()}_{_s.lower()}"] = halo_facts(_b, _s)
+        QUERIES[f"halo_{_b.lower()}_{_s.lower()}"] = _matrix(_b, _s)
+        SQL[f"halo_{_b.lower()}_{_s.lower()}"] = halo_facts(_b, _s)
 
 
 @query("buffer_counts", f"WITH {HALO2} SELECT l2.rank, count(DISTINCT owner) AS n FROM l2 JOIN o USING (eid) GROUP BY l2.rank")
@@ -390,6 +387,3 @@ def _(spark, d):
     m = T.mesh(spark)
     m = m.with_tag(2, "load", PT.per_element(T.particles(spark, d)).withColumnRenamed("n", "load"), "elem_id")
     return m.elem.select("eid", "load", F.lit(m.has_tag(2, "load")).alias("has_load"), F.lit(m.n_tags(2)).alias("tags"))
-
-
-__all__ = ["LENGTH", "N", "reduce"]
