@@ -217,7 +217,8 @@ def _(spark, d):
 
 # scalars and arrays
 
-ABC = [F.col(c) for c in "abc"]
+def _columns():
+    return [F.col(c) for c in "abc"]
 
 
 def _abc(spark, d):
@@ -229,36 +230,36 @@ ABC_SQL = f"{P}, q AS (SELECT pid, CAST(ox % 11 - 5 AS DOUBLE) AS a, CAST(oy % 1
 
 @query("almost_equal", f"WITH {ABC_SQL} SELECT pid, abs(a - b) < 1.5 OR (abs(a) <= 2 AND abs(b) <= 2) AS near, abs(a - b) < 1.5 AND abs(b - c) < 1.5 AS arrays FROM q")
 def _(spark, d):
-    a, b, c = ABC
+    a, b, c = _columns()
     return _abc(spark, d).select("pid", scalar.almost_equal(a, b, 1.5, 2.0).alias("near"), scalar.almost_equal_arrays(F.array(a, b), F.array(b, c), 1.5, -1.0).alias("arrays"))
 
 
 @query("greatest_index", f"WITH {ABC_SQL} SELECT pid, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS at FROM q")
 def _(spark, d):
-    return _abc(spark, d).select("pid", scalar.max_index(ABC).alias("at"))
+    return _abc(spark, d).select("pid", scalar.max_index(_columns()).alias("at"))
 
 
 @query("least_index_among_allowed", f"""WITH {ABC_SQL}, k AS (SELECT *, least(CASE WHEN a > 0 THEN a END, CASE WHEN b > 0 THEN b END, CASE WHEN c > 0 THEN c END) AS m FROM q)
   SELECT pid, CAST(CASE WHEN a > 0 AND a = m THEN 0 WHEN b > 0 AND b = m THEN CAST(a > 0 AS INTEGER) WHEN c > 0 AND c = m THEN CAST(a > 0 AS INTEGER) + CAST(b > 0 AS INTEGER) END AS INTEGER) AS at FROM k""")
 def _(spark, d):
-    return _abc(spark, d).select("pid", scalar.min_index_where(ABC, [x > 0 for x in ABC]).alias("at"))
+    return _abc(spark, d).select("pid", scalar.min_index_where(_columns(), [x > 0 for x in _columns()]).alias("at"))
 
 
 @query("vector_angles", f"WITH {ABC_SQL}, n AS (SELECT *, sqrt(a * a + b * b + c * c) AS r FROM q) SELECT pid, CASE WHEN r > 0 THEN round(acos(greatest(-1.0, least(1.0, (a + 2 * b + 3 * c) / (r * sqrt(14.0))))), 6) END AS angle, abs((a + 2 * b + 3 * c) - r * sqrt(14.0)) < 1e-10 AS same FROM n")
 def _(spark, d):
     one = [F.lit(v) for v in (1.0, 2.0, 3.0)]
-    return _abc(spark, d).select("pid", F.round(scalar.angle_between(ABC, one), 6).alias("angle"), scalar.same_direction(ABC, one).alias("same"))
+    return _abc(spark, d).select("pid", F.round(scalar.angle_between(_columns(), one), 6).alias("angle"), scalar.same_direction(_columns(), one).alias("same"))
 
 
 @query("spherical_coordinates", f"WITH {ABC_SQL}, n AS (SELECT *, sqrt(a * a + b * b + c * c) AS r FROM q) SELECT pid, round(r, 9) AS r, CASE WHEN a <> 0 THEN round(atan(b / a), 9) END AS theta, CASE WHEN r > 0 THEN round(acos(c / r), 9) END AS phi FROM n")
 def _(spark, d):
-    s = scalar.cartesian_to_spherical(*ABC)
+    s = scalar.cartesian_to_spherical(*_columns())
     return _abc(spark, d).select("pid", *(F.round(s[k], 9).alias(k) for k in ("r", "theta", "phi")))
 
 
 @query("array_helpers", f"WITH {ABC_SQL} SELECT pid, b AS second, a AS first, CASE WHEN pid % 2 = 0 THEN c ELSE 0 END AS last, CAST(a + b AS BIGINT) AS sum2, CAST(a + b + c AS BIGINT) AS total FROM q")
 def _(spark, d):
-    flat, some = F.array(*ABC), F.when(F.col("pid") % 2 == 0, F.array(*ABC)).otherwise(F.array().cast("array<double>"))
+    flat, some = F.array(*_columns()), F.when(F.col("pid") % 2 == 0, F.array(*_columns())).otherwise(F.array().cast("array<double>"))
     whole = F.transform(flat, lambda x: x.cast("long"))
     return _abc(spark, d).select("pid", scalar.vector(flat, 1, 1)[0].alias("second"), scalar.first_value(flat).alias("first"), scalar.last_value(some).alias("last"), scalar.inclusive_scan(whole)[1].alias("sum2"), scalar.exclusive_scan(whole)[3].alias("total"))
 
