@@ -4,7 +4,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tesselark.operators import mesh as M, walk as W
+from tesselark.operators import balance, mesh as M, particles, walk as W
 from tesselark.plans import catalogue
 from tesselark.plans import tables as T
 
@@ -38,11 +38,12 @@ def test_crossings_lie_on_the_wall(spark):
 
 def test_balance_keeps_every_particle_and_lowers_the_load(spark):
     """Of particles that stay in the domain, against the load once those have moved whose new element is not safe where they are."""
-    out = catalogue.QUERIES["balance_repartition"](spark, DATA)
+    parts, ranked = catalogue._parts(spark), T.ranked(spark, DATA)
+    out = balance.repartition(ranked, parts.halo, parts.owners, T.RANKS, tol=1.05)
     assert out.select("pid").distinct().count() == T.particles(spark, DATA).count()
-    inside = T.ranked(spark, DATA).where("new_elem >= 0").select("pid")
+    inside = ranked.where("new_elem >= 0").select("pid")
     most = lambda df: df.join(inside, "pid").groupBy("new_rank").count().agg(F.max("count")).first()[0]
-    assert most(out) <= most(catalogue.QUERIES["unsafe_ranks"](spark, DATA))
+    assert most(out) <= most(particles.unsafe_ranks(ranked, parts.halo, parts.owners))
 
 
 @pytest.mark.parametrize("name", ["particle_uniform_distribution", "particle_gaussian_distribution", "particle_exponential_distribution", "particle_clustered_distribution"])
