@@ -3,8 +3,8 @@
 A pre-token is a word (a run of characters that are not ASCII white space) behind the word mark. Its count is the number of pieces
 on its best path under a unigram model. A task reads its texts in chunks; the pre-tokens of a chunk not met before are sorted, which
 walks their trie depth first: every distinct prefix is one node, its forward score is computed once, and a terminal's count is
-stored for all later chunks. A text's count is the sum over its words. Nothing is shuffled there; a task holds at most ``max_known`` terminal counts
-and the texts of one chunk.
+stored for later chunks while at most ``max_known`` are. A text's count is the sum over its words. Nothing is shuffled there; a task holds at most
+``max_known`` terminal counts or those of one chunk, and the texts of one chunk.
 
 The pieces are those of a public vocabulary, which holds no probabilities. They are estimated from all documents: each task counts its words, cuts
 each distinct one by the vocabulary's own merges, and the pieces' counts are added up over tasks, one number a piece. A piece's score is the
@@ -115,15 +115,14 @@ class TrieCounter:
             self.known[word[1:].encode("utf-8")] = tokens[len(word)]
             before = word
 
-    def count(self, words: list[bytes], max_known: int) -> int:
-        """Tokens of words, all of which become known."""
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > max_known:
-                self.known = {}
-                new = set(words)
-            self.learn(list(new))
-        return sum(map(self.known.__getitem__, words))
+    def counts(self, texts: list[list[bytes]], max_known: int) -> list[int]:
+        """Tokens of each text's words. All their new words are learned in one trie; where more than max_known would be known, those of earlier calls are dropped."""
+        words = set().union(*texts)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > max_known:
+            self.known, new = {}, words
+        self.learn(list(new))
+        return [sum(map(self.known.__getitem__, x)) for x in texts]
 
 
 def token_counts(docs: DataFrame, scores: dict[str, float], max_known: int = MAX_KNOWN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -136,10 +135,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float], max_known: int = MAX
 
         def done() -> pa.RecordBatch:
             words = [t.split() for t in texts]
-            new = {w for x in words for w in x}.difference(counter.known)
-            if len(counter.known) + len(new) <= max_known:
-                counter.learn(list(new))  # one trie for all new words of the chunk
-            n = [counter.count(x, max_known) for x in words]
+            n = counter.counts(words, max_known)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in words], pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
         for b in batches:

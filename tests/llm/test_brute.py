@@ -506,8 +506,11 @@ def test_each_distinct_prefix_is_scored_once(small):
     trie = token_counts.TrieCounter(scores)
     trie.learn(own)
     assert trie.nodes == len({(token_counts.MARK + w.decode())[:k] for w in own for k in range(1, len(w.decode()) + 2)})
-    trie.count(own, 10**6)
+    trie.counts([own], 10**6)
     assert trie.nodes == len({(token_counts.MARK + w.decode())[:k] for w in own for k in range(1, len(w.decode()) + 2)})  # terminal counts are stored
+    over = token_counts.TrieCounter(scores)
+    assert over.counts([own[::2], own[1::2], own], 3) == [sum(trie.known[w] for w in x) for x in (own[::2], own[1::2], own)]
+    assert over.nodes == trie.nodes  # also of more words than are kept, each prefix of a call is scored once
 
 
 def test_pii(docs, none):
