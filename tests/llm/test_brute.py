@@ -14,7 +14,7 @@ from conftest import DATA, table
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesselark.llm import chat, cotraining, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, sharding, token_counts
+from tesselark.llm import chat, components, cotraining, decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, sharding, token_counts
 from tesselark.llm.queries import QUERIES, SQL
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -786,3 +786,16 @@ def test_pipeline_leaves_only_what_its_result_reads(spark):
     assert len(stored(spark)) <= 2  # the last stage's documents and its pieces
     assert out.count() > 50
     common.clean_up(spark)
+
+
+def test_components_of_stars_paths_cycles_and_trees(spark):
+    path, star = [(i, i + 1) for i in range(100, 140)], [(200, i) for i in range(201, 260)]
+    cycle, high, tree = [(300 + i, 300 + (i + 1) % 9) for i in range(9)], [(450, i) for i in range(400, 450)], [(500 + i, 500 + i // 2) for i in range(1, 64)]
+    mixed = [(int(a), int(b)) for a, b in np.random.default_rng(3).integers(600, 900, (200, 2)) if a != b]
+    for edges in ([], star, path, cycle, high, star + star[::-1] + path, path + star + cycle + high + tree + mixed):
+        least = {i: i for e in edges for i in e}
+        while any(least[a] != least[b] for a, b in edges):
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+        assert len(got) == len(least) and {r["id"]: r["component"] for r in got} == least
