@@ -46,6 +46,11 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+def stored_again(table: DataFrame) -> DataFrame:
+    """A table made by written(), read once more, so that it can be joined with itself."""
+    return table.sparkSession.read.schema(table.schema).parquet(table._tesselark_path)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder within the shared one; all tables of written() lie there."""
     return f"{shared_dir(spark)}/tesselark-{spark.sparkContext.applicationId}"

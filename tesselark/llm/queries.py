@@ -5,6 +5,7 @@ from __future__ import annotations
 from tesselark.llm.chat import OP10_SQL, op10_chat_formatting
 from tesselark.llm.cotraining import op2_quality_classifier
 from tesselark.llm.decontaminate import OP4_SQL, op4_decontamination
+from tesselark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tesselark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tesselark.llm.ngram_join import OP5_SQL, op5_ngram_join
 from tesselark.llm.packing import op1_packing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_chat_formatting": OP10_SQL}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_chat_formatting": OP10_SQL, "op11_hard_negatives": OP11_SQL}
