@@ -13,6 +13,8 @@ from tesselark.llm.pii import op8_pii
 from tesselark.llm.quality_rules import op9_quality_rules
 from tesselark.llm.sharding import op3_sharding
 from tesselark.llm.token_counts import op7_token_counts
+from tesselark.llm.turn_repair import OP13_SQL, op13_turn_repair
+from tesselark.llm.url_filter import OP12_SQL, op12_url_filter
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -26,5 +28,15 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_url_filter": op12_url_filter,
+    "op13_turn_repair": op13_turn_repair,
+}
+SQL: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+    "op5_ngram_join": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op10_chat_formatting": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_url_filter": OP12_SQL,
+    "op13_turn_repair": OP13_SQL,
 }
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op5_ngram_join": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_chat_formatting": OP10_SQL, "op11_hard_negatives": OP11_SQL}
