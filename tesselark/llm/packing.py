@@ -7,15 +7,17 @@ log2(capacity) steps a piece. Pieces of just the capacity are sequences by thems
 one or two badly filled sequences), while memory is bounded by the group and groups run in parallel.
 
 Ids are those of the ``tokenizers`` file. They are made by tiktoken from the same vocabulary, several times faster;
-the tests hold both equal, and a text with a special token's string goes to ``tokenizers`` itself.
+the tests hold both equal. A text with a special token's string, or with a run of white space that its matcher's stack could not hold, goes to ``tokenizers`` itself.
 
 Defined cases: null and empty texts are one piece with the end id alone; repeated ids are separate documents
-(pieces of equal doc_id and piece number then occur twice); an empty table gives no rows; extra columns are ignored.
+(pieces of equal doc_id and piece number then occur twice); a very long text, of words or of one run of any character, gives as many pieces as it fills,
+and one document is encoded at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +32,8 @@ from pyspark.sql import types as T
 from tesselark.llm.common import documents, text_of, written
 
 CAPACITY, END_ID, PIECES_PER_GROUP = 1024, 2, 65_536
+#: The fast encoder's matcher goes back over a run of white space on its stack, which overflows at some 10^6 characters.
+LONG_WHITE = re.compile(r"\s{65536}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -47,7 +51,7 @@ def encoder(json_path: str, ranks_path: str):
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) >= 65536 and LONG_WHITE.search(text)):
             return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
