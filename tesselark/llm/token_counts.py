@@ -11,7 +11,7 @@ each distinct one by the vocabulary's own merges, and the pieces' counts are add
 logarithm of its share, with one added to each count. A character that no piece covers costs as many tokens as it has bytes, at a score
 below every piece. Of equal scores the path with fewer tokens wins.
 
-Defined cases: null and empty texts have 0 tokens; repeated rows and ids are counted each; extra columns are ignored; an
+Defined cases: null and empty texts have 0 tokens; a very long word is walked to its end, with no more held of it than of others beside the word itself; repeated rows and ids are counted each; extra columns are ignored; an
 empty table gives no rows.
 """
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from tesselark.llm.common import column, documents, text_of
 
+#: Forward scores are shared between words up to this depth of the trie; beyond it a word's own are kept only as far back as a piece reaches.
+SHARED_DEPTH = 1024
 MARK, MAX_KNOWN, MAX_COUNTED, CHUNK_BYTES, CHUNK_ROWS = "▁", 200_000, 100_000, 8 << 20, 4096
 
 
@@ -84,6 +86,7 @@ class TrieCounter:
                 node = node.setdefault(c, {})
             node[""] = score
         self.unknown = min(scores.values(), default=0.0) - 10.0
+        self.longest = max(map(len, scores), default=1)
         self.known: dict[bytes, int] = {}
         self.nodes = 0
 
@@ -95,26 +98,43 @@ class TrieCounter:
             while same < len(before) and same < len(word) and before[same] == word[same]:
                 same += 1
             del best[same + 1 :], tokens[same + 1 :], alive[same + 1 :]
-            for at in range(same, len(word)):
-                c, on, top = word[at], [], None
-                for start, node in alive[at]:
-                    node = node.get(c)
-                    if node is not None:
-                        on.append((start, node))
-                        if "" in node:
-                            way = (best[start] + node[""], -tokens[start] - 1)
-                            top = way if top is None or way > top else top
-                if c not in self.root or "" not in self.root[c]:
-                    way = (best[at] + self.unknown, -tokens[at] - len(c.encode("utf-8")))
-                    top = way if top is None or way > top else top
-                self.nodes += 1
-                best.append(top[0])
-                tokens.append(-top[1])
-                on.append((at + 1, self.root))
-                alive.append(on)
-            self.known[word[1:].encode("utf-8")] = tokens[len(word)]
+            for at in range(same, min(len(word), SHARED_DEPTH)):
+                alive.append(self._step(word[at], at, alive[at], best, tokens, 0))
+            n = tokens[-1] if len(word) <= SHARED_DEPTH else self._rest(word, best, tokens, alive[-1])
+            self.known[word[1:].encode("utf-8")] = n
             before = word
 
+    def _step(self, c: str, at: int, alive: list, best: list[float], tokens: list[int], base: int) -> list:
+        """Append the best score and count at depth at + 1 and return the pieces that may go on from there. best and tokens begin at depth base."""
+        on, top = [], None
+        for start, node in alive:
+            node = node.get(c)
+            if node is not None:
+                on.append((start, node))
+                if "" in node:
+                    way = (best[start - base] + node[""], -tokens[start - base] - 1)
+                    top = way if top is None or way > top else top
+        if c not in self.root or "" not in self.root[c]:
+            way = (best[at - base] + self.unknown, -tokens[at - base] - len(c.encode("utf-8")))
+            top = way if top is None or way > top else top
+        self.nodes += 1
+        best.append(top[0])
+        tokens.append(-top[1])
+        on.append((at + 1, self.root))
+        return on
+
+    def _rest(self, word: str, best: list[float], tokens: list[int], alive: list) -> int:
+        """The count of a word longer than SHARED_DEPTH, of whose further depths at most 2 * longest + 1,024 are held at once."""
+        base = max(0, SHARED_DEPTH - self.longest)
+        best, tokens = best[base:], tokens[base:]
+        for at in range(SHARED_DEPTH, len(word)):
+            alive = self._step(word[at], at, alive, best, tokens, base)
+            if len(best) > 2 * self.longest + 1024:
+                gone = len(best) - self.longest - 1
+                del best[:gone], tokens[:gone]
+                base += gone
+        return tokens[-1]
+
     def counts(self, texts: list[list[bytes]], max_known: int) -> list[int]:
         """Tokens of each text's words. All their new words are learned in one trie; where more than max_known would be known, those of earlier calls are dropped."""
         words = set().union(*texts)
