@@ -14,7 +14,8 @@ Only entities, the capitalised words of documents with a person, and their place
 meet its replacements. A value that a third of all documents hold is one row of the surrogate table; its
 places meet it in an equi-join that adaptive execution can split.
 
-Defined cases: null text stays null with 0 entities; a text without entities is returned as it is; rows equal in id and text get equal results; extra
+Defined cases: null text stays null with 0 entities; a very long text is read to its end, and no run of capitals, hyphens or dots in it is gone over again and again, as a
+name has at most ten parts, an address at most 256 characters before its @ and 126 dots behind it; a text without entities is returned as it is; rows equal in id and text get equal results; extra
 columns stay, whatever their names; an empty table gives no rows. A name that documents give different genders has one surrogate each; within a document it has
 one. Initials and particles stay. A name gets one more syllable every second draw, so names never run out. What is not settled after
 MAX_ATTEMPTS draws in a space of at most MAX_SPACE strings is dealt what is still free there; a space with too few free strings, or a larger one
@@ -60,15 +61,18 @@ ACCENTS = ("áàâäéèêëíìîïóòôöúùûüñçÁÀÂÄÉÈÊËÍÌÎÏ
 LATIN = "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mi mo na ne no pa pe ra re ro sa se so ta te to va ve vi za ze zo".split()
 CYRILLIC = "ба бе бо ва ве во га го да де до за зо ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то фа фе".split()
 
-NAME = r"(?:\p{Lu}[\p{Ll}'’]+(?:[-'’]?\p{Lu}\p{Ll}+)*|\p{Lu}{2,}(?:-\p{Lu}{2,})*)(?!\p{L})"
+#: A name has at most ten parts joined by hyphens or apostrophes, so that no place of a long run costs more than a few hundred steps. Groups are
+#: repeated possessively: a matcher that may go back over a group holds each round on its stack.
+HUMP = r"\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+){0,9}+(?!\p{L})"
+NAME = rf"(?:\p{{Lu}}[\p{{Ll}}'’]+(?:\p{{Lu}}\p{{Ll}}+){{0,9}}+(?!\p{{L}})(?:[-'’]{HUMP}){{0,9}}+|\p{{Lu}}{{2,}}(?!\p{{L}})(?:-\p{{Lu}}{{2,}}+(?!\p{{L}})){{0,9}}+)"
 PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}"
 WORD = rf"(?<!\p{{L}}){NAME}"
 
 #: Each kind's expression but persons'. The first that matches at a place wins. A prefixed secret may hold - and _ within; behind a separator it must have
 #: a digit or 16 letters in a row, so that sk-some-hyphenated-words is none.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}][\p{L}\p{N}-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*)+",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|xox[bp]|AKIA)(?:[-_](?=[0-9A-Za-z_-]*(?:[0-9]|[0-9A-Za-z]{16}))[0-9A-Za-z_-]{15,}[0-9A-Za-z]|[0-9A-Za-z]{16}(?:[0-9A-Za-z_-]*[0-9A-Za-z])?))(?![0-9A-Za-z])",
+    "email": r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,255}+@[\p{L}\p{N}][\p{L}\p{N}-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*+){1,126}+",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|xox[bp]|AKIA)(?:[-_](?=[0-9A-Za-z_-]{0,255}?(?:[0-9]|[0-9A-Za-z]{16}))[0-9A-Za-z_-]{15,}[0-9A-Za-z]|[0-9A-Za-z]{16}(?:[0-9A-Za-z_-]*[0-9A-Za-z])?))(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -160,7 +164,7 @@ def _alike(value: Column, number) -> Column:
     hexadecimal = value.rlike("^[0-9a-fA-F]+$")
     pick = lambda letters, n: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, hexadecimal: Column) -> Column:
         n = number(i)
         low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         return (
@@ -169,7 +173,7 @@ def _alike(value: Column, number) -> Column:
             .when(c.rlike(r"\p{Lu}"), pick(up, n)).when(c.rlike(r"\p{L}"), pick(low, n)).otherwise(c)
         )
 
-    return F.array_join(F.transform(_characters(value), one), "")
+    return let(hexadecimal, lambda h: F.array_join(F.transform(_characters(value), lambda c, i: one(c, i, h)), ""))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -226,7 +230,10 @@ def _kept_apart(kind: Column, value: Column) -> tuple[Column, Column, Column]:
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The attempt-th surrogate of an entity."""
     seed = F.concat_ws("\x00", F.lit(key), kind, value, attempt.cast("string")).cast("binary")
-    digest = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit(b"+")), 256))
+    return let(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit(b"+")), 256)), lambda digest: _drawn(kind, value, attempt, digest))
+
+
+def _drawn(kind: Column, value: Column, attempt: Column, digest: Column) -> Column:
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i) % 254 + 1).cast("string")), ".")
     head, middle, tail = _kept_apart(kind, value)
     return (
@@ -329,7 +336,7 @@ def replace_entities(docs: DataFrame, key: str, names: Names | None = None, id_c
     flags = tokens.groupBy("id", "row").agg(F.max("wide").alias(f"{p}wide"))
     per_row = written(per_row.join(flags, ["id", "row"]).where(f"{p}hits > 0").withColumnsRenamed({"id": f"{p}id", "row": f"{p}row"}))
     discard(tokens, places)
-    joined = docs.withColumns({f"{p}id": own[0], f"{p}row": own[1]}).join(per_row.hint("shuffle_hash"), [f"{p}id", f"{p}row"], "left")
+    joined = docs.withColumns({f"{p}id": own[0], f"{p}row": own[1]}).join(per_row.hint("merge"), [f"{p}id", f"{p}row"], "left")
     fill = lambda expression: let(F.col(f"{p}new"), lambda new: F.array_join(F.transform(F.split(text, expression, -1), lambda g, i: F.concat(g, F.coalesce(F.get(new, i)["new"], F.lit("")))), ""))
     filled = F.when(F.col(f"{p}wide"), fill(names.any_word)).otherwise(fill(names.any))
     return joined.select(
