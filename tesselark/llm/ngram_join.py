@@ -130,8 +130,8 @@ def parities(s: np.ndarray) -> dict[str, int]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document a row (key: id) with info; per set and chunk of texts one row (key: the set's first hash) for each shingle of its prefix,
-    but those that FREQUENT sets of the chunk share are one row without key, and their number is w of one row of the set."""
+    """Per document a row (key: id) with info; per set and chunk of texts one row (key: the set's first hash) with the length of its prefix as w, and
+    one for each shingle of the prefix, but those that FREQUENT sets of the chunk share are one row without key."""
     shingler = Shingler()
     info_type = pa.struct([("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
     schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("w", pa.int32()), ("info", info_type)])
@@ -148,11 +148,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = np.array([s1 for s1, _ in seen], dtype=np.int64)
         _, back, times = np.unique(all_tokens, return_inverse=True, return_counts=True)
         often = times[back] >= FREQUENT
-        frequent = np.bincount(all_owners[often], minlength=len(sets)).astype(np.int32)
+        lengths = np.bincount(all_owners, minlength=len(sets)).astype(np.int32)
         spread = lambda x: mixed(x.view(np.uint64) + MULTIPLIER)  # noqa: E731  these rows go anywhere
-        own, some = np.array(ids, dtype=np.int64), frequent > 0
+        own = np.array(ids, dtype=np.int64)
         yield rows(spread(own), own, None, pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*infos, strict=True), info_type, strict=True)], fields=list(info_type)))
-        yield rows(spread(sets[some]), sets[some], frequent[some], None)
+        yield rows(spread(sets), sets, lengths, None)
         yield rows(all_tokens[~often], sets[all_owners[~often]] if len(sets) else np.empty(0, np.int64), None, None)
         yield rows(np.unique(all_tokens[often]), None, None, None)
 
@@ -300,10 +300,14 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     """Two stored tables: what is known of documents and sets, and the components of documents that have links."""
     source = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_of(text_col).alias("text"))
     first = source.mapInArrow(_first_pass, "token long, key long, w int, info struct<n:int,s1:long,s2:long>")
-    token, counts = Window.partitionBy("token"), F.col("info").isNull() & F.col("w").isNull()
-    holders = F.sum(F.when(counts, F.when(F.col("key").isNull(), FREQUENT).otherwise(1)).otherwise(0)).over(token)
-    counted = first.withColumn("holders", holders).where(F.col("key").isNotNull() & (~counts | (F.col("holders") >= 2)))
-    both = written(counted.groupBy(F.col("info").isNotNull().alias("doc"), "key").agg(F.max("info").alias("info"), F.sum(F.coalesce("w", F.lit(1))).alias("shared")))
+    # a shingle that one set holds is that set's own; a set shares what is left of its prefix. Rows of a shingle are added up before they are shuffled
+    kind = F.when(F.col("info").isNotNull(), 1).when(F.col("w").isNotNull(), 2).otherwise(0)
+    weight = F.when(kind > 0, F.coalesce("w", F.lit(1))).when(F.col("key").isNull(), FREQUENT).otherwise(1)
+    counted = first.select(kind.alias("kind"), F.when(kind == 0, F.col("token")).alias("token"), F.when(kind > 0, F.col("key")).alias("owner"), "info.n", "info.s1", "info.s2", "key", weight.cast("long").alias("weight"))
+    counted = counted.groupBy("kind", "token", "owner", "n", "s1", "s2").agg(F.sum("weight").alias("sum"), F.min("key").alias("key")).where("kind > 0 or sum = 1")
+    is_doc = F.col("kind") == 1
+    shares = counted.select(is_doc.alias("doc"), F.coalesce("owner", "key").alias("key"), F.when(is_doc, F.struct("n", "s1", "s2")).alias("info"), F.when(F.col("kind") > 0, F.col("sum")).otherwise(-1).alias("sum"))
+    both = written(shares.groupBy("doc", "key").agg(F.max("info").alias("info"), F.sum("sum").alias("shared")))
     found = both.where("doc").select(F.col("key").alias("id"), "info.n", "info.s1", "info.s2")
     shared = both.where("not doc").select(F.col("key").alias("s1"), "shared")
 
