@@ -132,7 +132,7 @@ def ray_triangle(face: Sequence[Point], orig: Point, dest: Point, tol: float = 1
     """struct(hit, x, y, z, dproj, closeness, t): the ray through orig and dest, without an end, meets the face on its way out.
 
     dproj is positive when the ray goes along the face's normal (out of the element); flip turns the face. t is 1 at dest.
-    closeness is how far outside the face the point is in face coordinates (0 within).
+    closeness is how far outside the face the point is in face coordinates (0 within; null where the ray meets the face's plane nowhere).
     """
     turned = F.lit(flip) if isinstance(flip, bool) else flip
     a = face[0]
@@ -148,7 +148,7 @@ def ray_triangle(face: Sequence[Point], orig: Point, dest: Point, tol: float = 1
     nn = F.nullif(dot(n, n), F.lit(0.0))
     u, v = dot(cross(at, e2), n) / nn, dot(cross(e1, at), n) / nn
     hit = (dproj >= tol) & (t >= -tol) & (u >= -tol) & (v >= -tol) & (u + v <= 1 + 2 * tol)
-    closeness = F.greatest(F.lit(0.0), -u, -v, u + v - 1)
+    closeness = F.when(u.isNotNull() & v.isNotNull(), F.greatest(F.lit(0.0), -u, -v, u + v - 1))
     named = zip(("x", "y", "z"), x, strict=True)
     return F.struct(F.coalesce(hit, F.lit(False)).alias("hit"), *(c.alias(k) for k, c in named), dproj.alias("dproj"), closeness.alias("closeness"), t.alias("t"))
 

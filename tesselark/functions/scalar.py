@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ def almost_equal_arrays(a: Column, b: Column, tol: float = 1e-10, floor: float =
 
 
 def all_positive(values: Sequence[Column], tol: float = 1e-10) -> Column:
-    """Every value is at least -tol."""
-    return F.least(*values) >= -tol
+    """Every value is at least -tol; false where one is null."""
+    return F.coalesce(reduce(lambda rest, v: rest & (v >= -tol), values[1:], values[0] >= -tol), F.lit(False))
 
 
 def min3(a: Column, b: Column, c: Column) -> Column:
@@ -83,8 +84,9 @@ def norm(a: Sequence[Column]) -> Column:
 
 
 def angle_between(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    """Angle in radians; null where a vector vanishes."""
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)))))
+    """Angle in radians; null where a vector vanishes or has a null component."""
+    cosine = dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return F.when(cosine.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
 def cartesian_to_spherical(x: Column, y: Column, z: Column) -> Column:

@@ -116,7 +116,8 @@ def _by_crossing_3d(rows: DataFrame, tol: float, bounded: bool) -> DataFrame:
         hit = F.coalesce(hit & (at <= 1 + tol) if bounded else hit, F.lit(False))
         fresh = ~F.col(f"s{li}").eqNullSafe(F.col("last"))
         way = F.when(fresh & hit, F.struct(*_met(li, _real))).otherwise(way)
-        misses.append(F.when(fresh & (dproj > -tol), F.struct(F.greatest(F.lit(0.0), -uu, -vv, uu + vv - 1).alias("c"), *_met(li, _real))))
+        # a face along the way is met nowhere, so its coordinates are null and it is missed by no amount
+        misses.append(F.when(fresh & (dproj > -tol) & uu.isNotNull() & vv.isNotNull(), F.struct(F.greatest(F.lit(0.0), -uu, -vv, uu + vv - 1).alias("c"), *_met(li, _real))))
     if bounded:
         return rows.withColumn("way", way)
     rows = rows.withColumns({"_hit": way, "_miss": F.least(*misses)})

@@ -11,7 +11,7 @@ from tesselark.functions import geometry, interp, scalar
 from tesselark.operators import balance, mesh as M, particles as PT, partition as PA, scatter as SC, walk as W
 from tesselark.operators.scatter import Gyro
 from tesselark.plans import tables as T
-from tesselark.plans.tables import E, ES, EV, G, HALF, LENGTH, N, O, P, R, RANKS, SIDE, V
+from tesselark.plans.tables import CLASSES, E, ES, EV, EVENTS, G, H3, HALF, LENGTH, N, O, P, R, RANKS, SIDE, V
 from tesselark.storage import cut
 from tesselark.timing import Timing, across_ranks, summary
 
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql
+            SQL[name] = T.whole_sql(sql)
         return f
 
     return add
@@ -38,100 +38,100 @@ def joined(column: str, order: bool = True):
 
 @query("mesh_vertices", f"WITH {V} SELECT vid, x, y, class_id, class_dim FROM v")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return T.mesh(spark).vertex
+    return T.mesh(spark, d).vertex
 
 
 @query("mesh_elements", f"WITH {E} SELECT eid, v0, v1, v2, class_id FROM e")
 def _(spark, d):
-    return T.mesh(spark).elem
+    return T.mesh(spark, d).elem
 
 
 @query("elem_vert_long", f"WITH {E}, {EV} SELECT eid, li, vid FROM ev")
 def _(spark, d):
-    return M.elem_vert(T.mesh(spark))
+    return M.elem_vert(T.mesh(spark, d))
 
 
 @query("mesh_sides", f"WITH {E}, {HALF}, {SIDE} SELECT sid, k0 AS v0, k1 AS v1, CAST(n AS INTEGER) AS n_elem, n = 1 AS exposed FROM side")
 def _(spark, d):
-    return M.sides(T.mesh(spark))
+    return M.sides(T.mesh(spark, d))
 
 
 @query("exposed_sides", f"WITH {E}, {HALF}, {SIDE} SELECT sid, e0 AS eid FROM side WHERE n = 1")
 def _(spark, d):
-    return M.boundary_elements(M.elem_side(T.mesh(spark)))
+    return M.boundary_elements(M.elem_side(T.mesh(spark, d)))
 
 
 @query("elem_sides", f"WITH {E}, {HALF}, {SIDE}, {ES} SELECT eid, CAST(li AS INTEGER) AS li, sid, flip, nbr FROM es")
 def _(spark, d):
-    return M.elem_side(T.mesh(spark))
+    return M.elem_side(T.mesh(spark, d))
 
 
 @query("dual_graph", f"WITH {E}, {HALF}, {SIDE}, {ES} SELECT eid, nbr, sid FROM es WHERE nbr IS NOT NULL")
 def _(spark, d):
-    return M.dual(T.mesh(spark))
+    return M.dual(T.mesh(spark, d))
 
 
 @query("vertex_star", f"WITH {E}, {EV} SELECT vid, count(*) AS degree, string_agg(CAST(eid AS VARCHAR), ',' ORDER BY eid) AS elems FROM ev GROUP BY vid")
 def _(spark, d):
-    return M.up(M.elem_vert(T.mesh(spark)), "vid", "eid").select("vid", "degree", joined("eid").alias("elems"))
+    return M.up(M.elem_vert(T.mesh(spark, d)), "vid", "eid").select("vid", "degree", joined("eid").alias("elems"))
 
 
 @query("first_adjacent_element", f"WITH {E}, {EV} SELECT vid, min(eid) AS eid FROM ev GROUP BY vid")
 def _(spark, d):
-    return M.first_adjacent(T.mesh(spark))
+    return M.first_adjacent(T.mesh(spark, d))
 
 
 @query("elem_measure", f"WITH {E} SELECT eid, CAST({T.H} AS DOUBLE) * {T.H} / 2 AS measure FROM e")
 def _(spark, d):
-    return M.measures(T.mesh(spark))
+    return M.measures(T.mesh(spark, d))
 
 
 @query("elem_centroid", f"WITH {V}, {E}, {EV} SELECT eid, round(sum(x) / 3.0, 4) AS x, round(sum(y) / 3.0, 4) AS y FROM ev JOIN v USING (vid) GROUP BY eid")
 def _(spark, d):
-    return M.centroids(T.mesh(spark)).select("eid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return M.centroids(T.mesh(spark, d)).select("eid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("mesh_bbox", f"WITH {V} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM v")
 def _(spark, d):
-    return M.bounding_box(T.mesh(spark))
+    return M.bounding_box(T.mesh(spark, d))
 
 
-@query("walk_tolerance", "SELECT greatest(1e-15 / 5e9, 1e-8) AS tol")
+@query("walk_tolerance", f"SELECT greatest(1e-15 / (CAST({T.H} AS DOUBLE) * {T.H} / 2), 1e-8) AS tol")
 def _(spark, d):
-    return M.walk_tolerance(T.mesh(spark))
+    return M.walk_tolerance(T.mesh(spark, d))
 
 
 @query("class_histogram", f"WITH {V} SELECT class_dim, count(*) AS n FROM v GROUP BY class_dim")
 def _(spark, d):
-    return M.class_histogram(T.mesh(spark).vertex)
+    return M.class_histogram(T.mesh(spark, d).vertex)
 
 
 @query("reverse_classification", f"WITH {E} SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY eid) - 1 AS pos, eid FROM e")
 def _(spark, d):
-    return M.reverse_classification(T.mesh(spark).elem, "eid")
+    return M.reverse_classification(T.mesh(spark, d).elem, "eid")
 
 
 @query("class_statistics", f"WITH {E}, c AS (SELECT class_id, count(*) AS n FROM e GROUP BY class_id) SELECT max(n) AS max_n, min(n) AS min_n, CAST(sum(n) AS BIGINT) AS sum_n, count(*) AS n_classes FROM c")
 def _(spark, d):
-    return M.class_statistics(T.mesh(spark).elem)
+    return M.class_statistics(T.mesh(spark, d).elem)
 
 
 @query("exposed_faces", f"""WITH {E}, {HALF}, {SIDE}, {ES} SELECT eid, coalesce(string_agg(CAST(li AS VARCHAR), ',' ORDER BY li) FILTER (WHERE nbr IS NULL), '') AS exposed,
   coalesce(string_agg(CAST(li AS VARCHAR), ',' ORDER BY li) FILTER (WHERE nbr IS NOT NULL), '') AS interior FROM es GROUP BY eid""")
 def _(spark, d):
-    return M.exposed_faces(M.elem_side(T.mesh(spark))).select("eid", joined("exposed").alias("exposed"), joined("interior").alias("interior"))
+    return M.exposed_faces(M.elem_side(T.mesh(spark, d))).select("eid", joined("exposed").alias("exposed"), joined("interior").alias("interior"))
 
 
 @query("elements_at_flagged_sides", f"WITH {E}, {HALF}, {SIDE}, {ES} SELECT DISTINCT eid FROM es WHERE sid % 7 = 0")
 def _(spark, d):
-    side = M.elem_side(T.mesh(spark))
+    side = M.elem_side(T.mesh(spark, d))
     return M.mark_up(side.select("sid", "eid"), side.where("sid % 7 = 0"), "sid", "eid")
 
 
 @query("near_element_pairs", f"""WITH {V}, {E}, {EV}, q AS (SELECT eid, x, y FROM ev JOIN v USING (vid))
   SELECT DISTINCT a.eid AS a, b.eid AS b FROM q a JOIN q b ON a.eid < b.eid AND CAST(a.x - b.x AS BIGINT) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CAST({T.H} AS BIGINT) * {T.H}""")
 def _(spark, d):
-    return M.near_pairs(T.mesh(spark), float(T.H))
+    return M.near_pairs(T.mesh(spark, d), float(T.size(spark, d).h))
 
 
 TET_SQL = f"""q AS (SELECT i, j, k FROM range({T.TET_N}) a(i), range({T.TET_N}) b(j), range({T.TET_N}) c(k)),
@@ -141,32 +141,33 @@ e AS (SELECT ((i * {T.TET_N} + j) * {T.TET_N} + k) * 6 + t AS eid, {", ".join(f"
 
 @query("tet_elements", f"WITH {TET_SQL} SELECT eid, v0, v1, v2, v3, 1 AS class_id FROM e")
 def _(spark, d):
-    return T.tets(spark).elem
+    return T.tets(spark, d).elem
 
 
-@query("tet_volumes", f"WITH {TET_SQL} SELECT eid, 300000.0 * 300000 * 300000 / 6 AS measure FROM e")
+@query("tet_volumes", f"WITH {TET_SQL} SELECT eid, CAST({H3} AS DOUBLE) * {H3} * {H3} / 6 AS measure FROM e")
 def _(spark, d):
-    return M.measures(T.tets(spark))
+    return M.measures(T.tets(spark, d))
 
 
 @query("tet_faces", f"""WITH {TET_SQL}, f AS (SELECT list_sort([v0, v2, v1]) AS s FROM e UNION ALL SELECT list_sort([v0, v1, v3]) FROM e UNION ALL SELECT list_sort([v1, v2, v3]) FROM e UNION ALL SELECT list_sort([v2, v0, v3]) FROM e)
   SELECT row_number() OVER (ORDER BY s[1], s[2], s[3]) - 1 AS sid, s[1] AS v0, s[2] AS v1, s[3] AS v2, CAST(count(*) AS INTEGER) AS n_elem, count(*) = 1 AS exposed FROM f GROUP BY s""")
 def _(spark, d):
-    return M.sides(T.tets(spark))
+    return M.sides(T.tets(spark, d))
 
 
 @query("tet_edges", f"""WITH {TET_SQL}, p AS (SELECT v0 AS a, v1 AS b FROM e UNION SELECT v0, v2 FROM e UNION SELECT v0, v3 FROM e UNION SELECT v1, v2 FROM e UNION SELECT v1, v3 FROM e UNION SELECT v2, v3 FROM e),
   s AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM p) SELECT row_number() OVER (ORDER BY a, b) - 1 AS edge, a, b FROM s""")
 def _(spark, d):
-    return M.edges(T.tets(spark)).select("edge", "a", "b")
+    return M.edges(T.tets(spark, d)).select("edge", "a", "b")
 
 
 # particles: creation, push
 
 
-@query("particle_even_distribution", f"SELECT i AS elem_id, CAST(10007 // {2 * N * N} + CASE WHEN i < 10007 % {2 * N * N} THEN 1 ELSE 0 END AS BIGINT) AS n FROM range({2 * N * N}) x(i)")
+@query("particle_even_distribution", f"SELECT i AS elem_id, CAST({EVENTS} // {2 * N * N} + CASE WHEN i < {EVENTS} % {2 * N * N} THEN 1 ELSE 0 END AS BIGINT) AS n FROM range({2 * N * N}) x(i)")
 def _(spark, d):
-    return PT.per_element(PT.even_distribution(spark, 2 * N * N, 10007))
+    at = T.size(spark, d)
+    return PT.per_element(PT.even_distribution(spark, at.elements, at.events))
 
 
 def _uniform(i, k: int):
@@ -180,23 +181,28 @@ DRAW_SQL = "((i * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0 AS u, (
 def drawn_sql(n: int, even: str) -> list[str]:
     """The element of each strategy from u and v."""
     clamp = lambda x: f"CAST(greatest(0, least({x}, {n - 1})) AS BIGINT)"
-    first = int(n * 0.4)
+    first = f"CAST(floor({n} * 0.4) AS BIGINT)"
     return [
         even, clamp(f"floor(u * {n})"), clamp(f"floor(sqrt(-2 * ln(1 - u)) * cos(2 * 3.141592653589793 * v) * ({n} / 8.0) + {n} / 2.0)"),
-        clamp(f"floor(-ln(1 - u * (1 - exp(-4.0))) / 4.0 * {n})"), clamp(f"CASE WHEN u < 0.85 THEN floor(v * {first}) ELSE {first} + floor(v * {n - first}) END"),
+        clamp(f"floor(-ln(1 - u * (1 - exp(-4.0))) / 4.0 * {n})"), clamp(f"CASE WHEN u < 0.85 THEN floor(v * {first}) ELSE {first} + floor(v * ({n} - {first})) END"),
     ]
 
 
+def _distributed(spark, at, k: int) -> DataFrame:
+    """As many particles as there are events, dealt to the elements."""
+    return PT.per_element(PT.distribute(spark, at.elements, at.events, k, draws=(_uniform(F.col("pid"), 0), _uniform(F.col("pid"), 1))))
+
+
 for _k, _name in enumerate(PT.STRATEGIES[1:], 1):
-    SQL[f"particle_{_name}_distribution"] = f"WITH q AS (SELECT i, {DRAW_SQL} FROM range(100000) x(i)) SELECT {drawn_sql(2 * N * N, '0')[_k]} AS elem_id, count(*) AS n FROM q GROUP BY 1"
-    QUERIES[f"particle_{_name}_distribution"] = lambda spark, d, k=_k: PT.per_element(PT.distribute(spark, 2 * N * N, 100_000, k, draws=(_uniform(F.col("pid"), 0), _uniform(F.col("pid"), 1))))
+    SQL[f"particle_{_name}_distribution"] = f"WITH q AS (SELECT i, {DRAW_SQL} FROM range({EVENTS}) x(i)) SELECT {drawn_sql(2 * N * N, '0')[_k]} AS elem_id, count(*) AS n FROM q GROUP BY 1"
+    QUERIES[f"particle_{_name}_distribution"] = lambda spark, d, k=_k: _distributed(spark, T.size(spark, d), k)
 
 for _k, _name in enumerate(PT.STRATEGIES):
     _even = f"CASE WHEN i < (t // {2 * N * N} + 1) * (t % {2 * N * N}) THEN i // (t // {2 * N * N} + 1) ELSE t % {2 * N * N} + (i - (t // {2 * N * N} + 1) * (t % {2 * N * N})) // greatest(t // {2 * N * N}, 1) END"
     SQL[f"particle_redistribute_{_name}"] = f"""WITH {P}, m AS (SELECT pid, elem_id, row_number() OVER (ORDER BY pid) - 1 AS i, count(*) OVER () AS t FROM p WHERE val % 100 < 40), q AS (SELECT *, {DRAW_SQL} FROM m)
       SELECT p.pid, coalesce(i, -1) AS mover, CASE WHEN i IS NULL THEN p.elem_id ELSE {drawn_sql(2 * N * N, _even)[_k]} END AS new_elem FROM p LEFT JOIN q ON q.pid = p.pid"""
     QUERIES[f"particle_redistribute_{_name}"] = lambda spark, d, k=_k: PT.redistribute(
-        T.particles(spark, d), 2 * N * N, k, 0.395, chance=(F.col("val") % 100) / 100.0, draws=(_uniform(F.col("mover"), 0), _uniform(F.col("mover"), 1))
+        T.particles(spark, d), T.size(spark, d).elements, k, 0.395, chance=(F.col("val") % 100) / 100.0, draws=(_uniform(F.col("mover"), 0), _uniform(F.col("mover"), 1))
     ).select("pid", "mover", "new_elem")
 
 
@@ -206,17 +212,18 @@ def _(spark, d):
 
 
 @query("source_elements_by_face", f"""WITH {E}, {HALF}, {SIDE}, {V}, m AS (SELECT DISTINCT e0 AS eid FROM side JOIN v ON vid = k0 WHERE n = 1 AND y = 0 AND k0 % {N + 1} = 0 AND k1 % {N + 1} = 0)
-  SELECT eid AS elem_id, 1003 // (SELECT count(*) FROM m) + CASE WHEN eid = (SELECT max(eid) FROM m) THEN 1003 % (SELECT count(*) FROM m) ELSE 0 END AS n FROM m""")
+  SELECT eid AS elem_id, {EVENTS} // (SELECT count(*) FROM m) + CASE WHEN eid = (SELECT max(eid) FROM m) THEN {EVENTS} % (SELECT count(*) FROM m) ELSE 0 END AS n FROM m""")
 def _(spark, d):
-    m = T.mesh(spark)
-    flagged = M.sides(m).where(f"v0 % {N + 1} = 0 and v1 % {N + 1} = 0")
-    return PT.source_elements_by_face(M.elem_side(m), flagged, 1003)
+    m, at = T.mesh(spark, d), T.size(spark, d)
+    flagged = M.sides(m).where(f"v0 % {at.n + 1} = 0 and v1 % {at.n + 1} = 0")
+    return PT.source_elements_by_face(M.elem_side(m), flagged, at.events)
 
 
-@query("source_elements_capped", f"""WITH {E}, w AS (SELECT eid, eid % 7 AS n, sum(eid % 7) OVER (ORDER BY eid) - eid % 7 AS before FROM e)
-  SELECT eid AS elem_id, CAST(greatest(0, least(n, 400 - before)) + CASE WHEN eid = (SELECT max(eid) FROM w) THEN greatest(400 - (SELECT sum(n) FROM w), 0) ELSE 0 END AS BIGINT) AS n FROM w""")
+@query("source_elements_capped", f"""WITH {P}, c AS (SELECT elem_id AS eid, count(*) FILTER (WHERE species = 'purchase') AS n FROM p GROUP BY elem_id), w AS (SELECT eid, n, sum(n) OVER (ORDER BY eid) - n AS before FROM c)
+  SELECT eid AS elem_id, CAST(greatest(0, least(n, {EVENTS} // 20 - before)) + CASE WHEN eid = (SELECT max(eid) FROM w) THEN greatest({EVENTS} // 20 - (SELECT sum(n) FROM w), 0) ELSE 0 END AS BIGINT) AS n FROM w""")
 def _(spark, d):
-    return PT.capped_counts(T.mesh(spark).elem.select(F.col("eid").alias("elem_id"), (F.col("eid") % 7).alias("n")), 400)
+    wanted = T.particles(spark, d).groupBy("elem_id").agg(F.count_if(F.col("species") == "purchase").alias("n"))
+    return PT.capped_counts(wanted, T.size(spark, d).events // 20)
 
 
 @query("particle_push_constant", f"WITH {P} SELECT pid, ox + 3000 AS tx, oy - 1500 AS ty FROM p")
@@ -229,7 +236,7 @@ def _(spark, d):
   SELECT pid, round(400000 + 2.0 * b * cos(f), 3) AS tx, round(500000 + b * sin(f), 3) AS ty FROM b""")
 def _(spark, d):
     p = PT.elliptical_setup(T.particles(spark, d), 400000.0, 500000.0, 2.0)
-    return PT.elliptical_push(p, T.mesh(spark).elem, 400000.0, 500000.0, 2.0, 10.0).select("pid", F.round("tx", 3).alias("tx"), F.round("ty", 3).alias("ty"))
+    return PT.elliptical_push(p, T.mesh(spark, d).elem, 400000.0, 500000.0, 2.0, 10.0).select("pid", F.round("tx", 3).alias("tx"), F.round("ty", 3).alias("ty"))
 
 
 @query("particle_push_boris", f"""WITH {P}, a AS (SELECT pid, ox, oy, tx - ox AS mx, ty - oy AS my, 0.5 AS mz FROM p),
@@ -259,7 +266,7 @@ def _(spark, d):
 
 @query("centroid_positions", f"WITH {V}, {E}, {EV}, {P}, c AS (SELECT eid, sum(x) / 3.0 AS x, sum(y) / 3.0 AS y FROM ev JOIN v USING (vid) GROUP BY eid) SELECT pid, round(x, 4) AS x, round(y, 4) AS y FROM p JOIN c ON eid = elem_id")
 def _(spark, d):
-    return PT.at_centroid(T.particles(spark, d).select("pid", "elem_id"), T.mesh(spark)).select("pid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return PT.at_centroid(T.particles(spark, d).select("pid", "elem_id"), T.mesh(spark, d)).select("pid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("positions_in_triangle", f"""WITH {V}, {E}, {P}, q AS (SELECT pid, elem_id, (val % 100) / 100.0 AS r1, (val // 100 % 100) / 100.0 AS r2 FROM p),
@@ -268,7 +275,7 @@ def _(spark, d):
   FROM w JOIN e ON eid = elem_id JOIN v c0 ON c0.vid = v0 JOIN v c1 ON c1.vid = v1 JOIN v c2 ON c2.vid = v2""")
 def _(spark, d):
     p = T.particles(spark, d)
-    out = PT.uniform_in_triangle(p, T.mesh(spark), (F.col("val") % 100) / 100.0, F.expr("val div 100 % 100") / 100.0)
+    out = PT.uniform_in_triangle(p, T.mesh(spark, d), (F.col("val") % 100) / 100.0, F.expr("val div 100 % 100") / 100.0)
     return out.select("pid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
@@ -292,15 +299,15 @@ GEO = f"{V}, {E}, {HALF}, {SIDE}, {ES}, {G}"
 
 @query("particle_barycentric", f"WITH {GEO}, {P} SELECT pid, {', '.join(f'{x} AS b{i}' for i, x in enumerate(NUM))} FROM (SELECT p.pid, tx AS px, ty AS py, g.* FROM p JOIN g ON eid = elem_id)")
 def _(spark, d):
-    m = T.mesh(spark)
+    m = T.mesh(spark, d)
     q = T.particles(spark, d).join(M.elem_geometry(m), F.col("elem_id") == F.col("eid"))
     return q.select("pid", *(b.alias(f"b{i}") for i, b in enumerate(geometry.barycentric_numerators_2d(M.points(m), [F.col("tx"), F.col("ty")]))))
 
 
-@query("in_parent_check", f"WITH {GEO}, {P} SELECT pid, least({', '.join(NUM)}) >= 0 AS ok FROM (SELECT p.pid, ox AS px, oy AS py, g.* FROM p JOIN g ON eid = (elem_id + pid % 3) % 200)")
+@query("in_parent_check", f"WITH {GEO}, {P} SELECT pid, least({', '.join(NUM)}) >= 0 AS ok FROM (SELECT p.pid, ox AS px, oy AS py, g.* FROM p JOIN g ON eid = (elem_id + pid % 3) % {2 * N * N})")
 def _(spark, d):
-    p = T.particles(spark, d).withColumn("elem_id", (F.col("elem_id") + F.col("pid") % 3) % 200)
-    return W.check_initial_parents(p, M.walk_table(T.mesh(spark)), 2, 0.0).select("pid", "ok")
+    p = T.particles(spark, d).withColumn("elem_id", (F.col("elem_id") + F.col("pid") % 3) % T.size(spark, d).elements)
+    return W.check_initial_parents(p, M.walk_table(T.mesh(spark, d)), 2, 0.0).select("pid", "ok")
 
 
 @query("segment_edge_hits", f"""WITH {P}, s AS (SELECT *, (tx - ox) * 1000000 - 0 * (ty - oy) AS det, (500000 - ox) * 1000000 - (0 - oy) * 0 AS s, (500000 - ox) * (ty - oy) - (0 - oy) * (tx - ox) AS t FROM p)
@@ -359,12 +366,12 @@ WALK = f"WITH RECURSIVE {GEO}, {P}, {T.walk_sql()}"
 
 
 def _walk(spark, d):
-    return W.search_2d(T.particles(spark, d), M.walk_table(T.mesh(spark)), tol=0.0)
+    return W.search_2d(T.particles(spark, d), M.walk_table(T.mesh(spark, d)), tol=0.0)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Particles and their mean value in each element after one push."""
-    found = W.search_fused_2d(T.particles(spark, d), M.walk_table(T.mesh(spark))).where("elem_id >= 0")
+    found = W.search_fused_2d(T.particles(spark, d), M.walk_table(T.mesh(spark, d))).where("elem_id >= 0")
     values = T.particles(spark, d).select("pid", "val")
     return found.join(values, "pid").groupBy("elem_id").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("sum_val"), F.max("hops").alias("max_hops"))
 
@@ -376,13 +383,13 @@ def _(spark, d):
 
 @query("walk2d_fused", SQL["walk2d_final_element"])
 def _(spark, d):
-    return W.search_fused_2d(T.particles(spark, d), M.walk_table(T.mesh(spark)))
+    return W.search_fused_2d(T.particles(spark, d), M.walk_table(T.mesh(spark, d)))
 
 
 @query("walk2d_recursive", SQL["walk2d_final_element"])
 def _(spark, d):
     T.particles(spark, d).select("pid", "elem_id", "tx", "ty").createOrReplaceTempView("tesselark_particles")
-    cut(M.walk_table(T.mesh(spark))).createOrReplaceTempView("tesselark_walk")
+    cut(M.walk_table(T.mesh(spark, d))).createOrReplaceTempView("tesselark_walk")
     return spark.sql(W.recursive_walk_sql("tesselark_particles", "tesselark_walk"))
 
 
@@ -398,7 +405,7 @@ def _(spark, d):
 
 @query("walk2d_looplimit", f"{WALK} SELECT p.pid, CASE WHEN hops > 3 OR (hops = 3 AND last.elem_id >= 0 AND NOT EXISTS (SELECT 1 FROM hop h WHERE h.pid = last.pid AND h.hops = 3 AND h.moves = false AND h.elem_id >= 0 AND false)) THEN -1 ELSE last.elem_id END AS elem_id FROM p JOIN last ON last.pid = p.pid")
 def _(spark, d):
-    return W.search_2d(T.particles(spark, d), M.walk_table(T.mesh(spark)), looplimit=3, tol=0.0).select("pid", "elem_id")
+    return W.search_2d(T.particles(spark, d), M.walk_table(T.mesh(spark, d)), looplimit=3, tol=0.0).select("pid", "elem_id")
 
 
 @query("walk2d_particles_per_element", f"{WALK} SELECT elem_id, count(*) AS n, CAST(sum(val) AS BIGINT) AS sum_val, max(hops) AS max_hops FROM last JOIN p USING (pid) WHERE last.elem_id >= 0 GROUP BY last.elem_id".replace("SELECT elem_id, count", "SELECT last.elem_id AS elem_id, count"))
@@ -406,13 +413,14 @@ def _(spark, d):
     return flagship(spark, d)
 
 
-LARGE = T.sql_of(T.LARGE_N)
+LARGE = T.sql_of(N * T.LARGE)
 
 
 @query("walk2d_large_mesh", f"WITH RECURSIVE {LARGE.V}, {LARGE.E}, {LARGE.HALF}, {LARGE.SIDE}, {LARGE.ES}, {LARGE.G}, {LARGE.P}, {T.walk_sql()} SELECT pid, elem_id, hops FROM last")
 def _(spark, d):
-    """3,200 triangles, joined by shuffle: nothing is broadcast."""
-    return W.trace(T.particles(spark, d, T.LARGE_N), M.walk_table(T.mesh(spark, T.LARGE_N)), 2, tol=0.0, check_parents=False, broadcast_bytes=0, hops_at_once=8).select("pid", "elem_id", "hops")
+    """A mesh of 25 times as many triangles, joined by shuffle: nothing is broadcast."""
+    n = T.size(spark, d).n * T.LARGE
+    return W.trace(T.particles(spark, d, n), M.walk_table(T.mesh(spark, d, n)), 2, tol=0.0, check_parents=False, broadcast_bytes=0, hops_at_once=8).select("pid", "elem_id", "hops")
 
 
 INSIDE = f"tx BETWEEN 0 AND {LENGTH - 1} AND ty BETWEEN 0 AND {LENGTH - 1}"
@@ -422,24 +430,21 @@ BOX2 = f"""{P}, b AS (SELECT *, least(CASE WHEN tx > {LENGTH} THEN ({LENGTH}.0 -
 
 @query("walk2d_intersections", f"WITH {BOX2} SELECT pid, t <= 1 AS hit, CASE WHEN t <= 1 THEN round(ox + (tx - ox) * t, 2) END AS px, CASE WHEN t <= 1 THEN round(oy + (ty - oy) * t, 2) END AS py FROM b")
 def _(spark, d):
-    out = W.trace(T.particles(spark, d), M.walk_table(T.mesh(spark)), 2, crossing=True, tol=0.0)
+    out = W.trace(T.particles(spark, d), M.walk_table(T.mesh(spark, d)), 2, crossing=True, tol=0.0)
     hit = F.col("face").isNotNull()
     return out.select("pid", hit.alias("hit"), *(F.when(hit, F.round(p, 2)).alias(p) for p in ("px", "py")))
 
 
 def _particles_3d(spark, d):
     """Whole-numbered starts and targets in the cube and around it."""
-    p = T.particles(spark, d)
-    h = 900_000 // T.TET_N
+    p, at = T.particles(spark, d), T.size(spark, d)
+    h, n3 = at.h3, at.n3
     place = {"ox": F.expr("ox * 9 div 10"), "oy": F.expr("oy * 9 div 10"), "oz": F.col("val") * 7919 % 900_000}
     p = p.withColumns(place).withColumns({"tx": F.expr("ox + (tx - oy) div 7"), "ty": F.col("oy") + F.col("val") * 3 - 9000, "tz": F.col("oz") - F.col("val") * 2 + 7001})
     i, j, k = (F.floor(F.col(f"o{a}") / h) for a in "xyz")
     x, y, z = (F.col(f"o{a}") % h for a in "xyz")
     t = F.when((x >= y) & (y >= z), 0).when((y >= x) & (x >= z), 1).when((y >= z) & (z >= x), 2).when((z >= y) & (y >= x), 3).when((z >= x) & (x >= y), 4).otherwise(5)
-    return p.withColumn("elem_id", (((i * T.TET_N + j) * T.TET_N + k) * 6 + t).cast("long"))
-
-
-H3 = 900_000 // T.TET_N
+    return p.withColumn("elem_id", (((i * n3 + j) * n3 + k) * 6 + t).cast("long"))
 
 
 def _tet_of(p: str) -> str:
@@ -468,7 +473,7 @@ WALK3 = f"""WITH RECURSIVE {TET_GEO}, {P3}, hop(pid, elem_id, tx, ty, tz, hops,
 
 @query("walk3d_final_element", f"{WALK3} SELECT pid, elem_id, hops FROM last")
 def _(spark, d):
-    return W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark)), 3, tol=0.0).select("pid", "elem_id", "hops")
+    return W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark, d)), 3, tol=0.0).select("pid", "elem_id", "hops")
 
 
 _ahead = lambda a: f"CASE WHEN t{a} > o{a} THEN (900000.0 - o{a}) / (t{a} - o{a}) WHEN t{a} < o{a} THEN o{a} / (o{a} - t{a} + 0.0) ELSE 1e30 END"
@@ -476,7 +481,7 @@ _ahead = lambda a: f"CASE WHEN t{a} > o{a} THEN (900000.0 - o{a}) / (t{a} - o{a}
 
 @query("walk3d_ray_to_wall", f"WITH {P3}, r AS (SELECT *, least({', '.join(map(_ahead, 'xyz'))}) AS t FROM p3) SELECT pid, {', '.join(f'round(o{a} + (t{a} - o{a}) * t, 1) AS p{a}' for a in 'xyz')} FROM r")
 def _(spark, d):
-    out = W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark)), 3, crossing=True)
+    out = W.trace(_particles_3d(spark, d), M.walk_table(T.tets(spark, d)), 3, crossing=True)
     return out.select("pid", *(F.round(f"p{a}", 1).alias(f"p{a}") for a in "xyz"))
 
 
@@ -485,25 +490,25 @@ INSIDE3 = " AND ".join(f"t{a} BETWEEN 0 AND 899999" for a in "xyz")
 
 @query("walk3d_segment", f"WITH {P3} SELECT pid, CASE WHEN {INSIDE3} THEN {_tet_of('t')} ELSE -1 END AS elem_id FROM p3")
 def _(spark, d):
-    return W.search_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark)), tol=1e-9).select("pid", "elem_id")
+    return W.search_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark, d)), tol=1e-9).select("pid", "elem_id")
 
 
 @query("walk3d_first_face", f"WITH {P3}, r AS (SELECT *, least({', '.join(map(_ahead, 'xyz'))}) AS t FROM p3) SELECT pid, CASE WHEN {INSIDE3} THEN {_tet_of('t')} ELSE -1 END AS elem_id, {', '.join(f'CASE WHEN NOT ({INSIDE3}) THEN round(o{a} + (t{a} - o{a}) * t, 1) END AS p{a}' for a in 'xyz')} FROM r")
 def _(spark, d):
-    out = W.search_first_face_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark)))
+    out = W.search_first_face_3d(_particles_3d(spark, d), M.walk_table(T.tets(spark, d)))
     return out.select("pid", "elem_id", *(F.when(F.col("elem_id") == -1, F.round(f"p{a}", 1)).alias(f"p{a}") for a in "xyz"))
 
 
 @query("locate_particles", f"WITH {GEO}, {P}, c AS (SELECT pid, ox AS px, oy AS py, g.* FROM p JOIN g ON ox BETWEEN least(x0, x1, x2) AND greatest(x0, x1, x2) AND oy BETWEEN least(y0, y1, y2) AND greatest(y0, y1, y2)) SELECT pid, min(eid) AS eid FROM c WHERE least({', '.join(NUM)}) >= 0 GROUP BY pid")
 def _(spark, d):
     """Every particle lies in an element; of several that hold it (on a side) the least."""
-    return M.locate(T.particles(spark, d).select("pid", F.col("ox").alias("x"), F.col("oy").alias("y")), T.mesh(spark), float(T.H)).select("pid", "eid")
+    return M.locate(T.particles(spark, d).select("pid", F.col("ox").alias("x"), F.col("oy").alias("y")), T.mesh(spark, d), float(T.size(spark, d).h)).select("pid", "eid")
 
 
 @query("reflect_and_remove_at_wall", f"WITH {BOX2} SELECT pid, t <= 1 AS removed, round(CASE WHEN t <= 1 THEN ox + (tx - ox) * t ELSE tx END, 2) AS tx, CAST(CASE WHEN t <= 1 THEN ox - tx ELSE tx - ox END AS DOUBLE) AS dx FROM b")
 def _(spark, d):
     p = T.particles(spark, d).withColumns({"dx": F.col("tx") - F.col("ox"), "dy": F.col("ty") - F.col("oy")})
-    hit = W.trace(p, M.walk_table(T.mesh(spark)), 2, crossing=True, tol=0.0).select("pid", F.col("elem_id").alias("at"), "face", "px", "py")
+    hit = W.trace(p, M.walk_table(T.mesh(spark, d)), 2, crossing=True, tol=0.0).select("pid", F.col("elem_id").alias("at"), "face", "px", "py")
     met = p.join(hit, "pid").withColumn("elem_id", F.col("at"))
     back = PT.reflect_at_wall(met.withColumns({c: F.col(c).cast("double") for c in ("tx", "ty", "dx", "dy")}), 2)
     return PT.remove_at_wall(back).select("pid", (F.col("elem_id") == -1).alias("removed"), F.round("tx", 2).alias("tx"), "dx")
@@ -519,7 +524,7 @@ def _(spark, d):
 
 @query("particle_lists", f"WITH {E}, {P}, c AS (SELECT eid AS elem_id, count(pid) AS n FROM e LEFT JOIN p ON eid = p.elem_id GROUP BY eid) SELECT elem_id, n, CAST(coalesce(sum(n) OVER (ORDER BY elem_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c")
 def _(spark, d):
-    return PT.particle_lists(T.particles(spark, d), T.mesh(spark).elem).select("elem_id", "n", "offset")
+    return PT.particle_lists(T.particles(spark, d), T.mesh(spark, d).elem).select("elem_id", "n", "offset")
 
 
 @query("particle_slots", f"WITH {P} SELECT pid, elem_id, row_number() OVER (PARTITION BY elem_id ORDER BY pid) - 1 AS slot FROM p")
@@ -529,12 +534,12 @@ def _(spark, d):
 
 @query("has_particles", f"WITH {E}, {P} SELECT eid, CASE WHEN eid IN (SELECT elem_id FROM p WHERE species = 'click') THEN 5 ELSE -1 END AS has_particles FROM e")
 def _(spark, d):
-    return SC.has_particles(T.mesh(spark).elem, T.particles(spark, d).where("species = 'click'"), 5).select("eid", "has_particles")
+    return SC.has_particles(T.mesh(spark, d).elem, T.particles(spark, d).where("species = 'click'"), 5).select("eid", "has_particles")
 
 
 @query("class_deposits", f"WITH {E}, {P} SELECT class_id, count(*) AS n, CAST(sum(val) AS BIGINT) AS sum_val FROM p JOIN e ON eid = elem_id GROUP BY class_id")
 def _(spark, d):
-    p = T.particles(spark, d).join(T.mesh(spark).elem.select(F.col("eid").alias("elem_id"), "class_id"), "elem_id")
+    p = T.particles(spark, d).join(T.mesh(spark, d).elem.select(F.col("eid").alias("elem_id"), "class_id"), "elem_id")
     return p.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("sum_val"))
 
 
@@ -547,12 +552,12 @@ def _(spark, d):
   w AS (SELECT s, max(n) AS width, sum(n) AS n, count(*) AS r, count(*) FILTER (WHERE n = 0) AS z FROM s GROUP BY s)
   SELECT CAST(sum(r) AS BIGINT) AS elements, CAST(sum(z) AS BIGINT) AS empty_elements, CAST(sum(n) AS BIGINT) AS particles, CAST(sum(width * r) AS BIGINT) AS cells, CAST(sum(width * r) - sum(n) AS BIGINT) AS padded_cells FROM w""")
 def _(spark, d):
-    return PT.layout_metrics(T.particles(spark, d), T.mesh(spark).elem)
+    return PT.layout_metrics(T.particles(spark, d), T.mesh(spark, d).elem)
 
 
-@query("rebuild_move", f"WITH {P} SELECT (elem_id * 3 + pid) % 200 AS elem_id, count(*) AS n, CAST(sum(pid) AS BIGINT) AS sum_pid FROM p GROUP BY 1")
+@query("rebuild_move", f"WITH {P} SELECT (elem_id * 3 + pid) % {2 * N * N} AS elem_id, count(*) AS n, CAST(sum(pid) AS BIGINT) AS sum_pid FROM p GROUP BY 1")
 def _(spark, d):
-    moved = PT.rebuild(T.particles(spark, d).withColumn("new_elem", (F.col("elem_id") * 3 + F.col("pid")) % 200))
+    moved = PT.rebuild(T.particles(spark, d).withColumn("new_elem", (F.col("elem_id") * 3 + F.col("pid")) % T.size(spark, d).elements))
     return moved.groupBy("elem_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("sum_pid"))
 
 
@@ -561,37 +566,37 @@ def _(spark, d):
     return PT.rebuild(T.particles(spark, d).withColumn("new_elem", F.when(F.col("pid") % 7 == 0, -1).otherwise(F.col("elem_id")))).select("pid", "elem_id")
 
 
-@query("rebuild_insert", f"WITH {P} SELECT pid, elem_id FROM p UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % 200 FROM orders")
+@query("rebuild_insert", f"WITH {P} SELECT pid, elem_id FROM p UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % {2 * N * N} FROM orders")
 def _(spark, d):
-    added = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % 200).alias("elem_id"))
+    added = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % T.size(spark, d).elements).alias("elem_id"))
     return PT.rebuild(T.particles(spark, d).select("pid", "elem_id", F.col("elem_id").alias("new_elem")), added=added)
 
 
-@query("rebuild_mixed", f"WITH {P} SELECT pid, (elem_id + 1) % 200 AS elem_id FROM p WHERE pid % 5 <> 0 UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % 200 FROM orders")
+@query("rebuild_mixed", f"WITH {P} SELECT pid, (elem_id + 1) % {2 * N * N} AS elem_id FROM p WHERE pid % 5 <> 0 UNION ALL SELECT 1000000000 + o_orderkey, o_orderkey % {2 * N * N} FROM orders")
 def _(spark, d):
-    added = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % 200).alias("elem_id"))
-    p = T.particles(spark, d).select("pid", "elem_id", F.when(F.col("pid") % 5 == 0, -1).otherwise((F.col("elem_id") + 1) % 200).alias("new_elem"))
+    added = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1_000_000_000).alias("pid"), (F.col("o_orderkey") % T.size(spark, d).elements).alias("elem_id"))
+    p = T.particles(spark, d).select("pid", "elem_id", F.when(F.col("pid") % 5 == 0, -1).otherwise((F.col("elem_id") + 1) % T.size(spark, d).elements).alias("new_elem"))
     return PT.rebuild(p, added=added)
 
 
 HALO1 = f"{E}, {EV}, {O}, {P}, {R}, {T.halo_sql(1)}"
 
 
-def _parts(spark, ghost=2, safe=1):
-    m = T.mesh(spark)
-    return PA.layered_mesh(m, T.owners(spark), RANKS, ghost, safe)
+def _parts(spark, d, ghost=2, safe=1):
+    m = T.mesh(spark, d)
+    return PA.layered_mesh(m, T.owners(spark, d), RANKS, ghost, safe)
 
 
-@query("unsafe_ranks", f"""WITH {HALO1} SELECT pid, rank, CASE WHEN new_elem < 0 OR EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE CAST(new_elem // 2 // {N} // 3 AS INTEGER) END AS new_rank FROM r""")
+@query("unsafe_ranks", f"""WITH {HALO1} SELECT pid, rank, CASE WHEN new_elem < 0 OR EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE (SELECT owner FROM cols WHERE cols.i = new_elem // 2 // {N}) END AS new_rank FROM r""")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     return PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners).select("pid", "rank", "new_rank")
 
 
-@query("migrate_counts", f"""WITH {HALO1}, m AS (SELECT new_elem, CASE WHEN EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE CAST(new_elem // 2 // {N} // 3 AS INTEGER) END AS nr FROM r WHERE new_elem >= 0)
+@query("migrate_counts", f"""WITH {HALO1}, m AS (SELECT new_elem, CASE WHEN EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE (SELECT owner FROM cols WHERE cols.i = new_elem // 2 // {N}) END AS nr FROM r WHERE new_elem >= 0)
   SELECT nr AS rank, new_elem AS elem_id, count(*) AS n FROM m GROUP BY 1, 2""")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     return PT.migrate_particles(T.ranked(spark, d), parts.halo, parts.owners, RANKS, place=True).groupBy("rank", "elem_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -605,22 +610,22 @@ def _(spark, d):
 
 @query("owners_by_class", f"WITH {E} SELECT eid, CAST(class_id % 2 AS INTEGER) AS owner FROM e")
 def _(spark, d):
-    return PA.owners_by_class(T.mesh(spark).elem, spark.range(5).select(F.col("id").cast("int").alias("class_id"), (F.col("id") % 2).cast("int").alias("owner")))
+    return PA.owners_by_class(T.mesh(spark, d).elem, spark.range(5).select(F.col("id").cast("int").alias("class_id"), (F.col("id") % 2).cast("int").alias("owner")))
 
 
 @query("owners_lower_dim", f"WITH {E}, {EV}, {O} SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid")
 def _(spark, d):
-    return PA.lower_owners(M.elem_vert(T.mesh(spark)), T.owners(spark), "vid")
+    return PA.lower_owners(M.elem_vert(T.mesh(spark, d)), T.owners(spark, d), "vid")
 
 
 @query("rank_offsets", f"WITH {E}, {O}, c AS (SELECT owner AS rank, count(*) AS n FROM o GROUP BY owner UNION ALL SELECT 4, 0) SELECT rank, n, CAST(coalesce(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c")
 def _(spark, d):
-    return PA.rank_offsets(spark, T.owners(spark), RANKS + 1)
+    return PA.rank_offsets(spark, T.owners(spark, d), RANKS + 1)
 
 
 @query("global_numbers", f"WITH {E}, {EV}, {O}, w AS (SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid) SELECT vid, owner, row_number() OVER (ORDER BY owner, vid) - 1 AS gid, row_number() OVER (PARTITION BY owner ORDER BY vid) - 1 AS rank_lid FROM w")
 def _(spark, d):
-    return PA.global_numbers(spark, PA.lower_owners(M.elem_vert(T.mesh(spark)), T.owners(spark), "vid"), "vid", RANKS)
+    return PA.global_numbers(spark, PA.lower_owners(M.elem_vert(T.mesh(spark, d)), T.owners(spark, d), "vid"), "vid", RANKS)
 
 
 HALO2 = f"{E}, {EV}, {O}, {T.halo_sql(2)}"
@@ -628,19 +633,19 @@ HALO2 = f"{E}, {EV}, {O}, {T.halo_sql(2)}"
 
 @query("halo_layers", f"WITH {HALO2} SELECT rank, eid, CASE WHEN EXISTS (SELECT 1 FROM l0 WHERE l0.rank = l2.rank AND l0.eid = l2.eid) THEN 0 WHEN EXISTS (SELECT 1 FROM l1 WHERE l1.rank = l2.rank AND l1.eid = l2.eid) THEN 1 ELSE 2 END AS layer FROM l2")
 def _(spark, d):
-    return PA.bfs_layers(T.owners(spark), PA.bridge(T.mesh(spark)), 2)
+    return PA.bfs_layers(T.owners(spark, d), PA.bridge(T.mesh(spark, d)), 2)
 
 
 @query("halo_parts", f"WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)) SELECT b.rank, b.owner, count(*) AS n, count(*) AS total, 2 AS complete FROM b JOIN o ON o.owner = b.owner GROUP BY b.rank, b.owner")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     return PA.buffered_parts(parts.halo, parts.owners)
 
 
 @query("halo_build", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid))
   SELECT b.rank, o.eid, o.owner = b.rank AS is_core, EXISTS (SELECT 1 FROM l1 WHERE l1.rank = b.rank AND l1.eid = o.eid) AS is_safe FROM b JOIN o ON o.owner = b.owner""")
 def _(spark, d):
-    return _parts(spark).halo
+    return _parts(spark, d).halo
 
 
 @query("safe_inward", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), held AS (SELECT b.rank, o.eid FROM b JOIN o ON o.owner = b.owner),
@@ -648,56 +653,59 @@ def _(spark, d):
   reach AS (SELECT DISTINCT un.rank, y.eid FROM un JOIN ev x ON x.eid = un.eid JOIN ev y ON y.vid = x.vid)
   SELECT rank, eid FROM held WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.rank = held.rank AND r.eid = held.eid) UNION SELECT owner, eid FROM o""")
 def _(spark, d):
-    o, links = T.owners(spark), PA.bridge(T.mesh(spark))
+    o, links = T.owners(spark, d), PA.bridge(T.mesh(spark, d))
     parts = PA.parts_in_reach(PA.bfs_layers(o, links, 2), o, 2)
     return PA.safe_inward(parts, o, links, 1)
 
 
 @query("full_mesh_halo", f"WITH {E}, {O} SELECT CAST(k AS INTEGER) AS rank, eid, owner = k AS is_core, true AS is_safe FROM o, range({RANKS}) x(k)")
 def _(spark, d):
-    return PA.full_mesh(T.mesh(spark), T.owners(spark), RANKS).halo
+    return PA.full_mesh(T.mesh(spark, d), T.owners(spark, d), RANKS).halo
 
 
 @query("pic_part", f"""WITH {HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), k AS (SELECT b.rank, e.* FROM e JOIN o USING (eid) JOIN b USING (owner)),
   u AS (SELECT rank, vid, row_number() OVER (PARTITION BY rank ORDER BY vid) - 1 AS new FROM (SELECT rank, v0 AS vid FROM k UNION SELECT rank, v1 FROM k UNION SELECT rank, v2 FROM k))
   SELECT k.rank, row_number() OVER (PARTITION BY k.rank ORDER BY eid) - 1 AS eid, eid AS eid_global, a.new AS v0, b2.new AS v1, c.new AS v2 FROM k JOIN u a ON a.vid = v0 AND a.rank = k.rank JOIN u b2 ON b2.vid = v1 AND b2.rank = k.rank JOIN u c ON c.vid = v2 AND c.rank = k.rank""")
 def _(spark, d):
-    parts, out = _parts(spark), []
+    parts, out = _parts(spark, d), []
     for rank in range(RANKS):
         out.append(parts.local(rank).elem.select(F.lit(rank).alias("rank"), "eid", "eid_global", "v0", "v1", "v2"))
     return reduce(DataFrame.unionByName, out)
 
 
-HELD = f"{HALO2}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), held AS (SELECT DISTINCT b.rank, vid FROM b JOIN o ON o.owner = b.owner JOIN ev ON ev.eid = o.eid), vo AS (SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid)"
+#: held: a rank's vertices, each with the values of the rank's own particles in the elements around it.
+HELD = f"{HALO2}, {P}, {R}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), hv AS (SELECT DISTINCT b.rank, vid FROM b JOIN o ON o.owner = b.owner JOIN ev ON ev.eid = o.eid), rv AS (SELECT rank, vid, CAST(sum(val) AS BIGINT) AS w FROM r JOIN ev ON ev.eid = elem_id GROUP BY rank, vid), held AS (SELECT hv.rank, hv.vid, coalesce(w, 0) AS w FROM hv LEFT JOIN rv ON rv.rank = hv.rank AND rv.vid = hv.vid), vo AS (SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid)"
 
 
-def _held(spark):
-    m, parts = T.mesh(spark), _parts(spark)
+def _held(spark, d):
+    """rank, vid, w: the vertices that a rank holds, with the values of its own particles around them; and the vertices' owners."""
+    m, parts = T.mesh(spark, d), _parts(spark, d)
     down = M.elem_vert(m)
     held = PA.held_entities(parts.halo, down, "vid")
-    return held.withColumn("w", (F.col("rank") * 1000 + F.col("vid")).cast("long")), PA.lower_owners(down, parts.owners, "vid")
+    own = T.ranked(spark, d).groupBy("rank", F.col("elem_id").alias("eid")).agg(F.sum("val").alias("w")).join(down, "eid").groupBy("rank", "vid").agg(F.sum("w").alias("w"))
+    return held.join(own, ["rank", "vid"], "left").select("rank", "vid", F.coalesce("w", F.lit(0)).alias("w")), PA.lower_owners(down, parts.owners, "vid")
 
 
 for _op in ("SUM", "MAX", "MIN"):
-    SQL[f"reduce_{_op.lower()}"] = f"WITH {HELD} SELECT rank, vid, CAST({_op}(rank * 1000 + vid) OVER (PARTITION BY vid) AS BIGINT) AS w FROM held"
-    QUERIES[f"reduce_{_op.lower()}"] = lambda spark, d, op=_op: PA.reduce_comm_array(_held(spark)[0], "vid", op, ["w"])
+    SQL[f"reduce_{_op.lower()}"] = f"WITH {HELD} SELECT rank, vid, CAST({_op}(w) OVER (PARTITION BY vid) AS BIGINT) AS w FROM held"
+    QUERIES[f"reduce_{_op.lower()}"] = lambda spark, d, op=_op: PA.reduce_comm_array(_held(spark, d)[0], "vid", op, ["w"])
 
 
-@query("reduce_bcast", f"WITH {HELD} SELECT h.rank, h.vid, CAST(owner * 1000 + h.vid AS BIGINT) AS w FROM held h JOIN vo ON vo.vid = h.vid")
+@query("reduce_bcast", f"WITH {HELD} SELECT h.rank, h.vid, x.w FROM held h JOIN vo ON vo.vid = h.vid JOIN held x ON x.vid = h.vid AND x.rank = vo.owner")
 def _(spark, d):
-    held, vo = _held(spark)
+    held, vo = _held(spark, d)
     return PA.reduce_comm_array(held, "vid", "BCAST", ["w"], vo)
 
 
 @query("comm_index", f"WITH {HELD}, g AS (SELECT vid, owner, row_number() OVER (PARTITION BY owner ORDER BY vid) - 1 AS lid FROM vo) SELECT h.rank, h.vid, owner, row_number() OVER (PARTITION BY h.rank ORDER BY owner, lid) - 1 AS index FROM held h JOIN g ON g.vid = h.vid")
 def _(spark, d):
-    held, vo = _held(spark)
+    held, vo = _held(spark, d)
     return PA.comm_index(held.select("rank", "vid"), PA.global_numbers(spark, vo, "vid", RANKS), "vid")
 
 
 @query("shared_unit_sums", f"WITH {HELD}, c AS (SELECT vid, count(*) AS n FROM held GROUP BY vid) SELECT h.rank, h.vid, round(sum(1.0 / n) OVER (PARTITION BY h.vid), 9) AS w FROM held h JOIN c ON c.vid = h.vid")
 def _(spark, d):
-    held, _vo = _held(spark)
+    held, _vo = _held(spark, d)
     n = PA.reduce_comm_array(PA.comm_array(held, "vid", {"w": 1}), "vid", "SUM", ["w"])
     return PA.reduce_comm_array(n.withColumn("w", 1.0 / F.col("w")), "vid", "SUM", ["w"]).withColumn("w", F.round("w", 9))
 
@@ -707,7 +715,7 @@ def _(spark, d):
 
 @query("vertex_density", f"WITH {E}, {EV}, {P}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id) SELECT vid, round(sum(coalesce(n, 0)) / count(*), 6) AS density FROM ev LEFT JOIN c ON elem_id = eid GROUP BY vid")
 def _(spark, d):
-    return SC.vertex_density(T.particles(spark, d), T.mesh(spark)).withColumn("density", F.round("density", 6))
+    return SC.vertex_density(T.particles(spark, d), T.mesh(spark, d)).withColumn("density", F.round("density", 6))
 
 
 GYRO = Gyro(rmax=60000.0, rings=3, points=8, theta=7.0)
@@ -715,7 +723,7 @@ GYRO = Gyro(rmax=60000.0, rings=3, points=8, theta=7.0)
 
 @query("gyro_ring_points", f"WITH {V} SELECT vid, CAST(ring AS INTEGER) AS ring, CAST(pt AS INTEGER) AS pt, round(x + 20000.0 * (ring + 1) * cos(radians(7 + pt / 8.0 * 360)), 3) AS x, round(y + 20000.0 * (ring + 1) * sin(radians(7 + pt / 8.0 * 360)), 3) AS y FROM v, range(3) a(ring), range(8) b(pt)")
 def _(spark, d):
-    return SC.ring_points(T.mesh(spark), GYRO).select("vid", "ring", "pt", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return SC.ring_points(T.mesh(spark, d), GYRO).select("vid", "ring", "pt", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 RINGS = f"""{V}, {E}, {EV}, {P}, rp AS (SELECT vid, ring, pt, x + 20000.0 * (ring + 1) * cos(radians(7 + pt / 8.0 * 360)) AS x, y + 20000.0 * (ring + 1) * sin(radians(7 + pt / 8.0 * 360)) AS y FROM v, range(3) a(ring), range(8) b(pt)),
@@ -725,21 +733,21 @@ RINGS = f"""{V}, {E}, {EV}, {P}, rp AS (SELECT vid, ring, pt, x + 20000.0 * (rin
 
 @query("gyro_ring_map", f'WITH {RINGS} SELECT vid, CAST(ring AS INTEGER) AS ring, CAST(pt AS INTEGER) AS pt, "to" FROM mp')
 def _(spark, d):
-    m = T.mesh(spark)
+    m = T.mesh(spark, d)
     return SC.ring_map(m, SC.ring_points(m, GYRO))
 
 
 @query("gyro_scatter", f"""WITH {RINGS}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id), w AS (SELECT vid, ring, sum(n) AS w FROM ev JOIN c ON elem_id = eid, (VALUES (0), (1)) r(ring) GROUP BY vid, ring),
   s AS (SELECT "to" AS vid, sum(w.w) / 8 AS w FROM mp JOIN w ON w.vid = mp.vid AND w.ring = mp.ring GROUP BY 1) SELECT v.vid, round(coalesce(s.w, 0), 6) AS w FROM v LEFT JOIN s ON s.vid = v.vid""")
 def _(spark, d):
-    m = T.mesh(spark)
+    m = T.mesh(spark, d)
     mapping = SC.ring_map(m, SC.ring_points(m, GYRO))
     return SC.gyro_scatter(T.particles(spark, d), m, mapping, GYRO).withColumn("w", F.round("w", 6))
 
 
-@query("gyro_sync", f"WITH {HELD} SELECT vid, CAST(sum(rank * 1000 + vid) AS BIGINT) AS fwd, CAST(sum(2 * (rank * 1000 + vid)) AS BIGINT) AS bkwd FROM held GROUP BY vid")
+@query("gyro_sync", f"WITH {HELD} SELECT vid, CAST(sum(w) AS BIGINT) AS fwd, CAST(sum(2 * w) AS BIGINT) AS bkwd FROM held GROUP BY vid")
 def _(spark, d):
-    held, _vo = _held(spark)
+    held, _vo = _held(spark, d)
     return SC.gyro_sync(held, held.withColumn("w", F.col("w") * 2))
 
 
@@ -772,7 +780,7 @@ def _(spark, d):
 @query("interpolate_in_element", f"""WITH {GEO}, {P}, q AS (SELECT p.pid, ox AS px, oy AS py, g.*, v0, v1, v2 FROM p JOIN g ON g.eid = elem_id JOIN e ON e.eid = elem_id)
   SELECT pid, round((v0 * ({NUM[1]}) + v1 * ({NUM[2]}) + v2 * ({NUM[0]})) / 1e10, 5) AS f FROM q""")
 def _(spark, d):
-    m = T.mesh(spark)
+    m = T.mesh(spark, d)
     q = T.particles(spark, d).join(M.elem_geometry(m), F.col("elem_id") == F.col("eid"))
     b = M.barycentric(m, [F.col("ox"), F.col("oy")], by_vertex=True)
     return q.select("pid", F.round(interp.in_element([F.col(v) for v in m.verts], b), 5).alias("f"))
@@ -785,15 +793,15 @@ SETS = f"{HALO1}, s AS (SELECT eid, list_sort(list(rank)) AS ranks FROM l1 GROUP
 
 @query("safe_sets", f"WITH {SETS} SELECT eid, array_to_string(ranks, ',') AS ranks, sbar FROM st")
 def _(spark, d):
-    return balance.safe_sets(_parts(spark).halo).select("eid", joined("ranks").alias("ranks"), "sbar")
+    return balance.safe_sets(_parts(spark, d).halo).select("eid", joined("ranks").alias("ranks"), "sbar")
 
 
-WEIGHTS = f"m AS (SELECT pid, rank, new_elem, CASE WHEN new_elem < 0 OR EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE CAST(new_elem // 2 // {N} // 3 AS INTEGER) END AS new_rank FROM r)"
+WEIGHTS = f"m AS (SELECT pid, rank, new_elem, CASE WHEN new_elem < 0 OR EXISTS (SELECT 1 FROM l1 WHERE l1.rank = r.rank AND l1.eid = r.new_elem) THEN rank ELSE (SELECT owner FROM cols WHERE cols.i = new_elem // 2 // {N}) END AS new_rank FROM r)"
 
 
 @query("balance_weights", f"WITH {SETS}, {WEIGHTS} SELECT new_rank AS rank, sbar, count(*) AS n FROM m JOIN st ON eid = new_elem GROUP BY 1, 2")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     return balance.weights(PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners), balance.safe_sets(parts.halo))
 
 
@@ -801,7 +809,7 @@ def _(spark, d):
   pl AS (SELECT *, row_number() OVER (PARTITION BY new_rank, sbar, stays ORDER BY CASE WHEN owner = rank THEN 1 ELSE 0 END, pid) AS place FROM c)
   SELECT pid, CASE WHEN stays AND ranks = '0,1' AND rank = 0 AND place <= 40 THEN 1 WHEN stays AND ranks = '1,2' AND rank = 2 AND place <= 25 THEN 1 ELSE new_rank END AS new_rank FROM pl""")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     sets = balance.safe_sets(parts.halo)
     p = PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners)
     named = sets.select(joined("ranks").alias("names"), "sbar").distinct()
@@ -812,7 +820,7 @@ def _(spark, d):
 def _balance_facts(spark, d, moved: DataFrame, tol: float) -> DataFrame:
     """What must hold of a balanced assignment whatever the plan: every particle once, none on a rank where its element is not safe, and no rank above
     the greater of tolerance times the mean and what it had after forced moves."""
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     forced = PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners).where("new_elem >= 0")
     inside = moved.where("new_elem >= 0")
     safe = inside.join(parts.halo.where("is_safe").select(F.col("rank").alias("new_rank"), F.col("eid").alias("new_elem")), ["new_rank", "new_elem"], "left_anti")
@@ -824,20 +832,24 @@ def _balance_facts(spark, d, moved: DataFrame, tol: float) -> DataFrame:
 
 @query("balance_repartition", "SELECT count(*) AS n, count(*) AS pids, CAST(0 AS BIGINT) AS unsafe, true AS not_worse, true AS better_or_even FROM events")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     return _balance_facts(spark, d, cut(balance.repartition(T.ranked(spark, d), parts.halo, parts.owners, RANKS, tol=1.05)), 1.05)
 
 
 @query("migrate_balanced", f"WITH {P}, {R} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(pid) AS BIGINT) AS sum_pid, CAST(sum(new_elem) AS BIGINT) AS sum_elem FROM r WHERE new_elem >= 0")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     out = balance.migrate_balanced(T.ranked(spark, d), parts.halo, parts.owners, RANKS)
     return out.agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("sum_pid"), F.sum("elem_id").alias("sum_elem"))
 
 
-@query("class_partition", f"WITH {E} SELECT CAST(class_id AS INTEGER) AS class_id, CAST(CASE WHEN class_id < 2 THEN 0 ELSE 1 END AS INTEGER) AS owner FROM e GROUP BY class_id")
+@query("class_partition", f"""WITH RECURSIVE {E}, c AS (SELECT class_id, count(*) AS n, sum(count(*)) OVER (ORDER BY class_id) AS upto, sum(count(*)) OVER () AS total, row_number() OVER (ORDER BY class_id) AS k FROM e GROUP BY class_id),
+  cut(k, turn) AS (
+    SELECT greatest(1, least((SELECT count(*) - 1 FROM c), (SELECT count(*) FROM c WHERE upto - n / 2.0 <= total / 2.0))), 0
+    UNION ALL SELECT cut.k - 1, turn + 1 FROM cut JOIN c ON c.k = cut.k WHERE turn < 10 AND cut.k > 1 AND upto * 2 > 1.05 * total AND upto > total - upto AND total - upto + n < upto)
+  SELECT class_id, CAST(CASE WHEN k <= (SELECT min(k) FROM cut) THEN 0 ELSE 1 END AS INTEGER) AS owner FROM c""")
 def _(spark, d):
-    out = PA.class_partition(T.mesh(spark).elem, 2)
+    out = PA.class_partition(T.mesh(spark, d).elem, 2)
     return spark.createDataFrame(sorted(out.items()), "class_id int, owner int")
 
 
@@ -878,7 +890,7 @@ def _(spark, d):
     """Five elliptical pushes with search, rebuild and a scatter at the end."""
     from tesselark.plans.apps import gyro_app
 
-    return gyro_app(T.particles(spark, d), T.mesh(spark), steps=5, gyro=GYRO)
+    return gyro_app(T.particles(spark, d), T.mesh(spark, d), steps=5, gyro=GYRO)
 
 
 @query("mini_app_3d")
@@ -886,7 +898,9 @@ def _(spark, d):
     """Two pushes along a direction with ray tracing; particles stop at the wall and turn round, then are removed there."""
     from tesselark.plans.apps import push_and_search_app
 
-    return push_and_search_app(_particles_3d(spark, d), T.tets(spark), steps=2)
+    return push_and_search_app(_particles_3d(spark, d), T.tets(spark, d), steps=2)
 
 
 from tesselark.plans import files, kernels  # noqa: E402, F401  these add their queries
+
+SQL.update({name: T.whole_sql(sql) for name, sql in SQL.items()})

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tesselark.operators import mesh as M, particles as PT
 from tesselark.plans import tables as T
-from tesselark.plans.catalogue import H3, HALO2, TET_SQL, _parts, query
-from tesselark.plans.tables import E, N, O, P, RANKS, V
+from tesselark.plans.catalogue import HALO2, TET_SQL, _parts, query
+from tesselark.plans.tables import CLASSES, E, EVENTS, H3, N, O, P, RANKS, V
 from tesselark.sources import picparts, text
 from tesselark.storage import checkpoint_dir, cut
 
@@ -24,7 +24,7 @@ PTL = f"WITH {P} SELECT pid, elem_id, CAST(ox AS DOUBLE) AS x, CAST(oy AS DOUBLE
 
 def _written_particles(spark: SparkSession, d: str) -> str:
     p = T.particles(spark, d).select("pid", "elem_id", F.col("ox").cast("double").alias("x"), F.col("oy").cast("double").alias("y"), F.lit(0.5).alias("z"), (F.col("val") % 7).cast("short").alias("flag"), F.col("val").cast("int").alias("val"))
-    elements = PT.particle_lists(p, T.mesh(spark).elem).select("elem_id", (F.col("elem_id") + 1000).alias("gid"), "n")
+    elements = PT.particle_lists(p, T.mesh(spark, d).elem).select("elem_id", (F.col("elem_id") + 1000).alias("gid"), "n")
     path = _path(spark, "particles.ptl")
     text.write_particles(elements, p, path)
     return path
@@ -40,29 +40,30 @@ def _(spark, d):
     return text.read_particles(spark, _written_particles(spark, d))[0]
 
 
-@query("source_particle_generator", "SELECT i AS elem_id, i AS gid, CAST(1234 // 100 + CASE WHEN i < 1234 % 100 THEN 1 ELSE 0 END AS BIGINT) AS n FROM range(100) x(i)")
+@query("source_particle_generator", f"SELECT i AS elem_id, i AS gid, CAST({EVENTS} // {2 * N * N} + CASE WHEN i < {EVENTS} % {2 * N * N} THEN 1 ELSE 0 END AS BIGINT) AS n FROM range({2 * N * N}) x(i)")
 def _(spark, d):
-    path = text.generate_particles(spark, 100, 1234, 0, _path(spark, "generated"), rank=3)
+    at = T.size(spark, d)
+    path = text.generate_particles(spark, at.elements, at.events, 0, _path(spark, "generated"), rank=3)
     return text.read_particles(spark, path)[0]
 
 
 @query("source_element_partition", f"WITH {E}, {O} SELECT eid, owner FROM o")
 def _(spark, d):
     path = _path(spark, "owners.ptn")
-    text.write_element_partition(T.owners(spark), path)
-    return text.read_partition(spark, path, RANKS, T.mesh(spark).elem)
+    text.write_element_partition(T.owners(spark, d), path)
+    return text.read_partition(spark, path, RANKS, T.mesh(spark, d).elem)
 
 
 @query("source_class_partition", f"WITH {E} SELECT eid, CAST(class_id % 3 AS INTEGER) AS owner FROM e")
 def _(spark, d):
     path = _path(spark, "classes.cpn")
-    text.write_class_partition(spark, {c: c % 3 for c in range(N // 2)}, path)
-    return text.read_partition(spark, path, RANKS, T.mesh(spark).elem)
+    text.write_class_partition(spark, {c: c % 3 for c in range(CLASSES)}, path)
+    return text.read_partition(spark, path, RANKS, T.mesh(spark, d).elem)
 
 
 @query("source_partition_of_one_rank", f"WITH {E} SELECT eid, 0 AS owner FROM e")
 def _(spark, d):
-    return text.read_partition(spark, "no such file.xyz", 1, T.mesh(spark).elem)
+    return text.read_partition(spark, "no such file.xyz", 1, T.mesh(spark, d).elem)
 
 
 def _gmsh(spark: SparkSession, mesh: M.Mesh, kind: int, path: str) -> None:
@@ -78,21 +79,21 @@ def _gmsh(spark: SparkSession, mesh: M.Mesh, kind: int, path: str) -> None:
 @query("source_gmsh_triangles", f"WITH {E} SELECT eid, v0, v1, v2, class_id FROM e")
 def _(spark, d):
     path = _path(spark, "plate.msh")
-    _gmsh(spark, T.mesh(spark), 2, path)
+    _gmsh(spark, T.mesh(spark, d), 2, path)
     return text.read_mesh(spark, path).elem
 
 
 @query("source_gmsh_tetrahedra", f"WITH {TET_SQL} SELECT eid, v0, v1, v2, v3, 1 AS class_id FROM e")
 def _(spark, d):
     path = _path(spark, "cube.msh")
-    _gmsh(spark, T.tets(spark), 4, path)
+    _gmsh(spark, T.tets(spark, d), 4, path)
     return text.read_mesh(spark, path).elem
 
 
 @query("source_gmsh_vertices", f"SELECT i * {(T.TET_N + 1) ** 2} + j * {T.TET_N + 1} + k AS vid, CAST(i * {H3} AS DOUBLE) AS x, CAST(j * {H3} AS DOUBLE) AS y, CAST(k * {H3} AS DOUBLE) AS z FROM range({T.TET_N + 1}) a(i), range({T.TET_N + 1}) b(j), range({T.TET_N + 1}) c(k)")
 def _(spark, d):
     path = _path(spark, "cube.msh")
-    _gmsh(spark, T.tets(spark), 4, path)
+    _gmsh(spark, T.tets(spark, d), 4, path)
     return text.read_mesh(spark, path).vertex.select("vid", "x", "y", "z")
 
 
@@ -100,31 +101,31 @@ def _(spark, d):
   SELECT b.rank, o.eid, o.owner = b.rank AS is_core, EXISTS (SELECT 1 FROM l1 WHERE l1.rank = b.rank AND l1.eid = o.eid) AS is_safe FROM b JOIN o ON o.owner = b.owner""")
 def _(spark, d):
     path = _path(spark, "parts")
-    picparts.write_picparts(_parts(spark), path)
+    picparts.write_picparts(_parts(spark, d), path)
     return picparts.read_picparts(spark, path, RANKS).halo
 
 
 @query("source_picpart_of_a_rank", f"""WITH {HALO2}, b AS (SELECT DISTINCT owner FROM l2 JOIN o USING (eid) WHERE l2.rank = 2) SELECT o.eid, o.owner = 2 AS is_core FROM b JOIN o ON o.owner = b.owner""")
 def _(spark, d):
     path = _path(spark, "parts")
-    picparts.write_picparts(_parts(spark), path)
+    picparts.write_picparts(_parts(spark, d), path)
     return picparts.rank_halo(spark, path, RANKS, 2).select("eid", "is_core")
 
 
 @query("source_mesh_check", f"WITH {V}, {E} SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS elements, CAST(2 AS INTEGER) AS dim")
 def _(spark, d):
     path = _path(spark, "plate")
-    picparts.write_mesh_tables(T.mesh(spark), path)
+    picparts.write_mesh_tables(T.mesh(spark, d), path)
     m = text.read_mesh(spark, path)
     return m.vertex.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(m.elem.agg(F.count(F.lit(1)).alias("elements"))).withColumn("dim", F.lit(m.dim))
 
 
 @query("sink_vtk", f"""WITH {V}, {E} SELECT line FROM (SELECT CAST(CAST(x AS DOUBLE) AS VARCHAR) || ' ' || CAST(CAST(y AS DOUBLE) AS VARCHAR) || ' 0.0' AS line FROM v
   UNION ALL SELECT '3 ' || v0 || ' ' || v1 || ' ' || v2 FROM e UNION ALL SELECT '5' FROM e UNION ALL SELECT CAST(CAST(class_id AS DOUBLE) AS VARCHAR) FROM e
-  UNION ALL SELECT unnest(['# vtk DataFile Version 3.0', 'mesh', 'ASCII', 'DATASET UNSTRUCTURED_GRID', 'POINTS {(N + 1) ** 2} double', 'CELLS {2 * N * N} {8 * N * N}', 'CELL_TYPES {2 * N * N}', 'CELL_DATA {2 * N * N}', 'SCALARS class_id double 1', 'LOOKUP_TABLE default']))""")
+  UNION ALL SELECT unnest(['# vtk DataFile Version 3.0', 'mesh', 'ASCII', 'DATASET UNSTRUCTURED_GRID', 'POINTS ' || {(N + 1) ** 2} || ' double', 'CELLS ' || {2 * N * N} || ' ' || {8 * N * N}, 'CELL_TYPES ' || {2 * N * N}, 'CELL_DATA ' || {2 * N * N}, 'SCALARS class_id double 1', 'LOOKUP_TABLE default']))""")
 def _(spark, d):
     path = _path(spark, "plate.vtk")
-    text.write_vtk(T.mesh(spark), path, ["class_id"])
+    text.write_vtk(T.mesh(spark, d), path, ["class_id"])
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tesselark.functions import geometry as G, interp, scalar
 from tesselark.operators import balance, mesh as M, particles as PT, partition as PA
 from tesselark.plans import tables as T
-from tesselark.plans.catalogue import H3, HALO1, HALO2, NUM3, P3, QUERIES, SQL, TET_GEO, WEIGHTS, _held, _parts, _particles_3d, HELD, query
+from tesselark.plans.catalogue import HALO1, HALO2, NUM3, P3, QUERIES, SQL, TET_GEO, WEIGHTS, _held, _parts, _particles_3d, HELD, query
 from tesselark.plans.tables import E, ES, EV, HALF, O, P, RANKS, SIDE, V
 
-VOLUME6 = float(H3) ** 3
+VOLUME6 = "(SELECT CAST(h3 AS DOUBLE) * h3 * h3 FROM dims)"
 ROUND = lambda cols, digits=9: [F.round(c, digits).alias(n) for n, c in cols.items()]
 
 
@@ -20,7 +20,7 @@ ROUND = lambda cols, digits=9: [F.round(c, digits).alias(n) for n, c in cols.ite
 
 def _in_tets(spark: SparkSession, d: str, point: str):
     """Particles with the corners of their tetrahedra, and a point of theirs."""
-    m = T.tets(spark)
+    m = T.tets(spark, d)
     q = _particles_3d(spark, d).join(M.elem_geometry(m), F.col("elem_id") == F.col("eid"))
     return q, [[c.cast("double") for c in v] for v in M.points(m)], [F.col(f"{point}{a}").cast("double") for a in "xyz"]
 
@@ -42,7 +42,7 @@ def _(spark, d):
 
 @query("tet_barycentric_unscaled", f"{IN_TETS} SELECT pid, {', '.join(f'({x}) AS b{i}' for i, x in enumerate(NUM3))} FROM qt")
 def _(spark, d):
-    m = T.tets(spark)
+    m = T.tets(spark, d)
     q = _particles_3d(spark, d).join(M.elem_geometry(m), F.col("elem_id") == F.col("eid"))
     return q.select("pid", *(b.alias(f"b{i}") for i, b in enumerate(G.barycentric_numerators_3d(M.points(m), [F.col(f"t{a}") for a in "xyz"]))))
 
@@ -61,7 +61,7 @@ def _(spark, d):
 
 @query("triangle_barycentric_of_area", f"WITH {V}, {E}, {P}, q AS (SELECT pid, tx, ty, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM p JOIN e ON eid = elem_id JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v c ON c.vid = v2) SELECT pid, {', '.join(f'round(((x{j} - x{i}) * (ty - y{i}) - (y{j} - y{i}) * (tx - x{i})) / 1e10, 9) AS b{k}' for k, (i, j) in enumerate(((1, 2), (2, 0), (0, 1))))} FROM q")
 def _(spark, d):
-    m = T.mesh(spark)
+    m = T.mesh(spark, d)
     q = T.particles(spark, d).join(M.elem_geometry(m), F.col("elem_id") == F.col("eid"))
     return q.select("pid", *ROUND({f"b{i}": b for i, b in enumerate(G.barycentric_2d(M.points(m), [F.col("tx"), F.col("ty")], F.lit(5e9), by_vertex=True))}))
 
@@ -122,7 +122,7 @@ def _outward(face: int) -> list[str]:
 
 @query("tet_face_normals", f"WITH {TET_GEO} " + " UNION ALL ".join(f"SELECT eid, {f} AS li, " + ", ".join(f"round({x}, 9) + 0.0 AS n{a}" for a, x in zip("xyz", _outward(f), strict=True)) + " FROM tg" for f in range(4)))
 def _(spark, d):
-    m = T.tets(spark)
+    m = T.tets(spark, d)
     v = [[c.cast("double") for c in p] for p in M.points(m)]
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("li"), *((F.round(x, 9) + 0.0).alias(f"n{a}") for a, x in zip("xyz", G.face_normal_of_tet(v, f), strict=True))) for f in range(4)))).alias("x")
     return M.elem_geometry(m).select("eid", each).select("eid", "x.*")
@@ -130,7 +130,7 @@ def _(spark, d):
 
 @query("tet_face_centroids", f"WITH {TET_GEO} " + " UNION ALL ".join(f"SELECT eid, {f} AS li, " + ", ".join(f"round(({' + '.join(f'{c}{a}' for c in FACES[f].split()[:3])}) / 3.0, 6) AS {a}" for a in "xyz") + " FROM tg" for f in range(4)))
 def _(spark, d):
-    m = T.tets(spark)
+    m = T.tets(spark, d)
     v = [[c.cast("double") for c in p] for p in M.points(m)]
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("li"), *(F.round(x, 6).alias(a) for a, x in zip("xyz", G.face_centroid_of_tet(v, f), strict=True))) for f in range(4)))).alias("x")
     return M.elem_geometry(m).select("eid", each).select("eid", "x.*")
@@ -138,12 +138,12 @@ def _(spark, d):
 
 @query("tet_centroids", f"WITH {TET_GEO} SELECT eid, {', '.join(f'round((c0{a} + c1{a} + c2{a} + c3{a}) / 4.0, 6) AS {a}' for a in 'xyz')} FROM tg")
 def _(spark, d):
-    return M.centroids(T.tets(spark)).select("eid", *(F.round(a, 6).alias(a) for a in "xyz"))
+    return M.centroids(T.tets(spark, d)).select("eid", *(F.round(a, 6).alias(a) for a in "xyz"))
 
 
 @query("tet_face_corners", f"WITH {TET_GEO} " + " UNION ALL ".join(f"SELECT eid, {f} AS li, {k} AS corner, {', '.join(f'{FACES[f].split()[k]}{a} AS {a}' for a in 'xyz')} FROM tg" for f in range(4) for k in range(3)))
 def _(spark, d):
-    m = T.tets(spark)
+    m = T.tets(spark, d)
     rows = [F.struct(F.lit(f).alias("li"), F.lit(k).alias("corner"), *(c.alias(a) for a, c in zip("xyz", p, strict=True))) for f in range(4) for k, p in enumerate(G.face_of_tet(M.points(m), f))]
     return M.elem_geometry(m).select("eid", F.explode(F.array(*rows)).alias("x")).select("eid", "x.*")
 
@@ -151,13 +151,13 @@ def _(spark, d):
 @query("tet_side_orientation", f"WITH {TET_GEO}, s AS (SELECT s, row_number() OVER (ORDER BY s[1], s[2], s[3]) - 1 AS sid FROM (SELECT DISTINCT s FROM tf)), f AS (SELECT eid, 0 AS li, [v0, v2, v1] AS l FROM e UNION ALL SELECT eid, 1, [v0, v1, v3] FROM e UNION ALL SELECT eid, 2, [v1, v2, v3] FROM e UNION ALL SELECT eid, 3, [v2, v0, v3] FROM e) SELECT eid, li, sid, NOT (l = s OR [l[2], l[3], l[1]] = s OR [l[3], l[1], l[2]] = s) AS flip FROM f JOIN s ON list_sort(l) = s")
 def _(spark, d):
     """Sides found by their vertices alone."""
-    m = T.tets(spark)
+    m = T.tets(spark, d)
     return M.reflect_down(m, M.sides(m).select("sid", "v0", "v1", "v2"))
 
 
 @query("side_reflection", f"WITH {E}, {HALF}, {SIDE}, {ES} SELECT eid, CAST(li AS INTEGER) AS li, CASE WHEN sid % 5 <> 0 THEN sid END AS sid, CASE WHEN sid % 5 <> 0 THEN flip END AS flip FROM es")
 def _(spark, d):
-    m = T.mesh(spark)
+    m = T.mesh(spark, d)
     return M.reflect_down(m, M.sides(m).where("sid % 5 <> 0"))
 
 
@@ -173,17 +173,17 @@ def _(spark, d):
 @query("positions_in_tet", f"{IN_TETS}, u AS (SELECT *, {', '.join(f'-ln(1 - ((pid * {m} + {k}) % 1000) / 1000.0) AS e{k}' for k, m in enumerate((7, 11, 13, 17)))} FROM qt) SELECT pid, {', '.join(f'round((e0 * c0{a} + e1 * c1{a} + e2 * c2{a} + e3 * c3{a}) / (e0 + e1 + e2 + e3), 3) AS {a}' for a in 'xyz')} FROM u")
 def _(spark, d):
     draws = [((F.col("pid") * m + k) % 1000) / 1000.0 for k, m in enumerate((7, 11, 13, 17))]
-    return PT.uniform_in_tet(_particles_3d(spark, d).select("pid", "elem_id"), T.tets(spark), draws=draws).select("pid", *(F.round(a, 3).alias(a) for a in "xyz"))
+    return PT.uniform_in_tet(_particles_3d(spark, d).select("pid", "elem_id"), T.tets(spark, d), draws=draws).select("pid", *(F.round(a, 3).alias(a) for a in "xyz"))
 
 
 @query("positions_near_vertex", f"{IN_TETS} SELECT pid, {', '.join(f'round(c2{a} * 0.999 + (c0{a} + c1{a} + c2{a} + c3{a}) / 4.0 * 0.001, 4) AS {a}' for a in 'xyz')} FROM qt")
 def _(spark, d):
-    return PT.near_vertices(_particles_3d(spark, d).select("pid", "elem_id"), T.tets(spark), [2]).select("pid", *(F.round(a, 4).alias(a) for a in "xyz"))
+    return PT.near_vertices(_particles_3d(spark, d).select("pid", "elem_id"), T.tets(spark, d), [2]).select("pid", *(F.round(a, 4).alias(a) for a in "xyz"))
 
 
 @query("positions_near_edge", f"{IN_TETS} SELECT pid, {', '.join(f'round((c0{a} + c3{a}) / 2.0 * 0.999 + (c0{a} + c1{a} + c2{a} + c3{a}) / 4.0 * 0.001, 4) AS {a}' for a in 'xyz')} FROM qt")
 def _(spark, d):
-    return PT.near_vertices(_particles_3d(spark, d).select("pid", "elem_id"), T.tets(spark), [0, 3]).select("pid", *(F.round(a, 4).alias(a) for a in "xyz"))
+    return PT.near_vertices(_particles_3d(spark, d).select("pid", "elem_id"), T.tets(spark, d), [0, 3]).select("pid", *(F.round(a, 4).alias(a) for a in "xyz"))
 
 
 @query("particle_push_along", f"WITH {P3} SELECT pid, {', '.join(f'o{a} + (t{a} - o{a}) * 3 AS t{a}' for a in 'xyz')} FROM p3")
@@ -336,7 +336,7 @@ def halo_facts(buffer: str, safe: str) -> str:
 
 def _matrix(buffer: str, safe: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        spec = PA.Input(T.mesh(spark), T.owners(spark), RANKS, buffer_method=PA.Method.parse(buffer.lower()), safe_method=PA.Method.parse(safe), buffer_layers=2, safe_layers=1)
+        spec = PA.Input(T.mesh(spark, d), T.owners(spark, d), RANKS, buffer_method=PA.Method.parse(buffer.lower()), safe_method=PA.Method.parse(safe), buffer_layers=2, safe_layers=1)
         return PA.build(spec).halo
 
     return run
@@ -350,13 +350,13 @@ for _b in ("FULL", "BFS", "MINIMUM", "NONE"):
 
 @query("buffer_counts", f"WITH {HALO2} SELECT l2.rank, count(DISTINCT owner) AS n FROM l2 JOIN o USING (eid) GROUP BY l2.rank")
 def _(spark, d):
-    return _parts(spark).buffers()
+    return _parts(spark, d).buffers()
 
 
 @query("part_consistency", f"WITH {HELD}, h AS (SELECT vid, sum(rank * 1000 + vid) AS w FROM held GROUP BY vid) SELECT vid FROM h WHERE vid % 3 = 0")
 def _(spark, d):
     """Vertices whose sums differ after every third was raised."""
-    held, _vo = _held(spark)
+    held, _vo = _held(spark, d)
     sums = held.groupBy("vid").agg(F.sum("w").cast("double").alias("w"))
     return PA.consistency(sums, sums.withColumn("w", F.col("w") + F.when(F.col("vid") % 3 == 0, 1e-3).otherwise(0.0)), "vid", ["w"]).select("vid")
 
@@ -364,7 +364,7 @@ def _(spark, d):
 @query("migrate_allowed", f"WITH {HALO1}, {WEIGHTS} SELECT new_rank AS rank, count(*) AS n FROM m WHERE new_elem >= 0 GROUP BY new_rank")
 def _(spark, d):
     """Moves to any neighbour are allowed; all moves are checked against the list."""
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     allowed = spark.createDataFrame([(a, b) for a in range(RANKS) for b in range(RANKS)], "rank int, to int")
     moved = PT.migrate(PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners), RANKS, allowed=allowed)
     return moved.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
@@ -373,18 +373,18 @@ def _(spark, d):
 @query("balance_weights_of_counts", f"WITH {HALO1}, s AS (SELECT eid, list_sort(list(rank)) AS ranks FROM l1 GROUP BY eid), si AS (SELECT ranks, CAST(row_number() OVER (ORDER BY ranks) - 1 AS INTEGER) AS sbar FROM (SELECT DISTINCT ranks FROM s)), c AS (SELECT rank, elem_id, count(*) AS n FROM r GROUP BY rank, elem_id) SELECT rank, sbar, CAST(sum(n) AS BIGINT) AS n FROM c JOIN s ON s.eid = elem_id JOIN si ON si.ranks = s.ranks GROUP BY rank, sbar")
 def _(spark, d):
     counts = T.ranked(spark, d).groupBy("rank", F.col("elem_id").alias("eid")).agg(F.count(F.lit(1)).alias("n"))
-    return balance.weights_from_counts(counts, balance.safe_sets(_parts(spark).halo))
+    return balance.weights_from_counts(counts, balance.safe_sets(_parts(spark, d).halo))
 
 
 @query("balance_of_counts", "SELECT count(*) AS n, count(*) AS pids FROM events")
 def _(spark, d):
-    parts = _parts(spark)
+    parts = _parts(spark, d)
     counts = T.ranked(spark, d).groupBy("rank", F.col("elem_id").alias("eid")).agg(F.count(F.lit(1)).alias("n"))
     return balance.partition_counts(counts, parts.halo, parts.owners, RANKS).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pid").alias("pids"))
 
 
 @query("tagged_elements", f"WITH {E}, {P}, c AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id) SELECT eid, n AS load, true AS has_load, CAST(5 AS INTEGER) AS tags FROM e LEFT JOIN c ON elem_id = eid")
 def _(spark, d):
-    m = T.mesh(spark)
+    m = T.mesh(spark, d)
     m = m.with_tag(2, "load", PT.per_element(T.particles(spark, d)).withColumnRenamed("n", "load"), "elem_id")
     return m.elem.select("eid", "load", F.lit(m.has_tag(2, "load")).alias("has_load"), F.lit(m.n_tags(2)).alias("tags"))

@@ -1,57 +1,140 @@
-"""Meshes and particles of the named queries, derived from the test tables by whole-number arithmetic, and the same in SQL."""
+"""Meshes and particles of the named queries, derived from the test tables by whole-number arithmetic, and the same in SQL.
+
+The lattices grow with ``events``: about a hundred events a quad of triangles, three hundred a cube of tetrahedra. An element's class is the number of events in
+its quad modulo CLASSES, and ranks own stripes of quads that hold about equally many events.
+"""
 
 from __future__ import annotations
 
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh, tet_lattice, tri_lattice
 
-N, LARGE_N, LENGTH, RANKS, TET_N = 10, 40, 1_000_000, 4, 3
-H = LENGTH // N
+LENGTH, TET_LENGTH, RANKS, CLASSES = 1_000_000, 900_000, 4, 5
+#: Quads along a side: divisors of LENGTH whose fivefold divides it too; cubes along a side: divisors of TET_LENGTH. The largest that the events fill.
+QUADS = (10, 16, 20, 25, 32, 40, 50, 64, 80, 100, 125, 160, 200, 250, 320, 400, 500, 625, 800, 1000, 2000, 2500, 4000)
+CUBES = (3, 4, 5, 6, 8, 9, 10, 12, 15, 16, 18, 20, 24, 25, 30, 36, 40, 45, 50, 60, 72, 75, 80, 90, 100)
+PER_QUAD, PER_CUBE, LARGE = 97, 300, 5
+
+
+def size(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
+    """n quads of width h along a side of the plate, n3 cubes of width h3 along a side of the block, and how many events there are."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    n = max((x for x in QUADS if x * x * PER_QUAD <= events), default=QUADS[0])
+    n3 = max((x for x in CUBES if x**3 * PER_CUBE <= events), default=CUBES[0])
+    return SimpleNamespace(n=n, h=LENGTH // n, n3=n3, h3=TET_LENGTH // n3, events=events, elements=2 * n * n)
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("*", ((F.col("event_id") * 7919 + F.col("user_id") * 104729) % LENGTH).alias("ox"), ((F.col("event_id") * 15485863 + F.col("user_id") * 32452843) % LENGTH).alias("oy"))
 
 
-def mesh(spark: SparkSession, n: int = N) -> Mesh:
-    return tri_lattice(spark, n, LENGTH)
+def mesh(spark: SparkSession, sf_dir: str, n: int | None = None) -> Mesh:
+    """The plate; an element's class comes from the events in its quad."""
+    n = n or size(spark, sf_dir).n
+    m, h = tri_lattice(spark, n, LENGTH), LENGTH // n
+    quad = F.expr("eid div 2")
+    load = _places(spark, sf_dir).groupBy(F.expr(f"(ox div {h}) * {n} + oy div {h}").alias("_quad")).agg((F.count(F.lit(1)) % CLASSES).cast("int").alias("_class"))
+    elem = m.elem.drop("class_id").join(load, quad == F.col("_quad"), "left").select("eid", *m.verts, F.coalesce("_class", F.lit(0)).alias("class_id"))
+    return Mesh(2, m.vertex, elem)
 
 
-def tets(spark: SparkSession) -> Mesh:
-    return tet_lattice(spark, TET_N, 900_000)
+def tets(spark: SparkSession, sf_dir: str) -> Mesh:
+    return tet_lattice(spark, size(spark, sf_dir).n3, TET_LENGTH)
 
 
-def particles(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
+def particles(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
     """pid, elem_id, ox, oy, tx, ty, species, step, val: each event in the element that contains it."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = n or size(spark, sf_dir).n
     c = F.round(F.col("value") * 100).cast("long")
-    p = e.select(
-        F.col("event_id").alias("pid"), ((F.col("event_id") * 7919 + F.col("user_id") * 104729) % LENGTH).alias("ox"), ((F.col("event_id") * 15485863 + F.col("user_id") * 32452843) % LENGTH).alias("oy"),
-        c.alias("val"), F.col("event_type").alias("species"), F.dayofmonth("ts").alias("step"),
-    )
+    p = _places(spark, sf_dir).select(F.col("event_id").alias("pid"), "ox", "oy", c.alias("val"), F.col("event_type").alias("species"), F.dayofmonth("ts").alias("step"))
     h = LENGTH // n
     elem = F.expr(f"2 * ((ox div {h}) * {n} + (oy div {h})) + CASE WHEN oy % {h} > ox % {h} THEN 1 ELSE 0 END")
     moved = [(F.col(f"o{a}") + (F.col("val") * k) % 400001 - 200000).alias(f"t{a}") for a, k in (("x", 37), ("y", 101))]
     return p.select("pid", elem.cast("long").alias("elem_id"), "ox", "oy", *moved, "species", "step", "val")
 
 
-def owners(spark: SparkSession) -> DataFrame:
-    """eid, owner: stripes of three columns of quads."""
-    return mesh(spark).elem.select("eid", F.expr(f"cast(eid div 2 div {N} div 3 as int)").alias("owner"))
+def stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, owner: columns of quads, dealt to ranks by the events before them. One row a column."""
+    at = size(spark, sf_dir)
+    load = _places(spark, sf_dir).groupBy(F.expr(f"ox div {at.h}").alias("i")).agg(F.count(F.lit(1)).alias("c"))
+    load = spark.range(at.n).select(F.col("id").alias("i")).join(load, "i", "left").select("i", F.coalesce("c", F.lit(0)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return load.select("i", before.alias("before")).select("i", F.least(F.lit(RANKS - 1), F.expr(f"before * {RANKS} div {max(at.events, 1)}")).cast("int").alias("owner"))
+
+
+def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eid, owner."""
+    n = size(spark, sf_dir).n
+    return tri_lattice(spark, n, LENGTH).elem.select("eid", F.expr(f"eid div 2 div {n}").alias("i")).join(F.broadcast(stripes(spark, sf_dir)), "i").select("eid", "owner")
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """particles with the rank that owns their element, and new_elem (wanted element by the lattice, -1 outside)."""
-    p = particles(spark, sf_dir)
+    at, p = size(spark, sf_dir), particles(spark, sf_dir)
     inside = F.col("tx").between(0, LENGTH - 1) & F.col("ty").between(0, LENGTH - 1)
-    new = F.expr(f"2 * ((tx div {H}) * {N} + (ty div {H})) + CASE WHEN ty % {H} > tx % {H} THEN 1 ELSE 0 END")
-    return p.withColumns({"rank": F.expr(f"cast(elem_id div 2 div {N} div 3 as int)"), "new_elem": F.when(inside, new).otherwise(-1).cast("long")})
+    new = F.expr(f"2 * ((tx div {at.h}) * {at.n} + (ty div {at.h})) + CASE WHEN ty % {at.h} > tx % {at.h} THEN 1 ELSE 0 END")
+    own = F.broadcast(stripes(spark, sf_dir).withColumnsRenamed({"i": "_i", "owner": "rank"}))
+    return p.join(own, F.expr(f"elem_id div 2 div {at.n}") == F.col("_i")).select(*p.columns, "rank", F.when(inside, new).otherwise(-1).cast("long").alias("new_elem"))
 
 
 # the same as SQL; each string is a list of common table expressions
 
 
-def sql_of(n: int) -> SimpleNamespace:
+class Term(str):
+    """A number that SQL computes: arithmetic gives further SQL."""
+
+    def __add__(self, other):
+        return Term(f"({self:s} + {other})")
+
+    def __sub__(self, other):
+        return Term(f"({self:s} - {other})")
+
+    def __mul__(self, other):
+        return Term(f"({self:s} * {other})")
+
+    def __rmul__(self, other):
+        return Term(f"({other} * {self:s})")
+
+    def __truediv__(self, other):
+        return Term(f"({self:s} / {other})")
+
+    def __floordiv__(self, other):
+        return Term(f"({self:s} // {other})")
+
+    def __rfloordiv__(self, other):
+        return Term(f"({other} // {self:s})")
+
+    def __pow__(self, k: int):
+        return Term("(" + " * ".join([f"{self:s}"] * k) + ")")
+
+
+N, H, TET_N, H3 = (Term(f"(SELECT {c} FROM dims)") for c in ("n", "h", "n3", "h3"))
+EVENTS = Term("(SELECT count(*) FROM events)")
+#: The events' places on the plate.
+PLACES = f"(SELECT (event_id * 7919 + user_id * 104729) % {LENGTH} AS ox, (event_id * 15485863 + user_id * 32452843) % {LENGTH} AS oy FROM events)"
+_largest = lambda known, power, per: f"(SELECT coalesce(max(x), {known[0]}) FROM (VALUES {', '.join(f'({x})' for x in known)}) t(x) WHERE x ** {power} * {per} <= {EVENTS})"
+DIMS = f"dims AS (SELECT n, {LENGTH} // n AS h, n3, {TET_LENGTH} // n3 AS h3 FROM (SELECT {_largest(QUADS, 2, PER_QUAD)} AS n, {_largest(CUBES, 3, PER_CUBE)} AS n3))"
+COLS = f"""cols AS (SELECT i, CAST(least({RANKS - 1}, coalesce(sum(c) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {RANKS} // greatest({EVENTS}, 1)) AS INTEGER) AS owner
+      FROM (SELECT x.i, coalesce(c, 0) AS c FROM range({N}) x(i) LEFT JOIN (SELECT ox // {H} AS i, count(*) AS c FROM {PLACES} GROUP BY 1) y ON y.i = x.i))"""
+
+
+def whole_sql(sql: str) -> str:
+    """sql with the sizes and stripes that it reads put before its own expressions."""
+    first = [DIMS] * ("dims" in sql or "cols" in sql) + [COLS] * ("cols" in sql)
+    if not first or "dims AS" in sql:
+        return sql
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return start + ", ".join(first) + ", " + sql.lstrip()[len(start) :]
+    return f"WITH {', '.join(first)} {sql}"
+
+
+def sql_of(n: Term) -> SimpleNamespace:
     """Vertices V, elements E, their vertices EV, sides HALF, SIDE and ES, geometry G, particles P, owners O and wanted elements R of the n x n mesh."""
     h = LENGTH // n
     V = f"""v AS (SELECT i * {n + 1} + j AS vid, i * {h} AS x, j * {h} AS y, i, j,
@@ -59,7 +142,8 @@ def sql_of(n: int) -> SimpleNamespace:
       FROM range({n + 1}) a(i), range({n + 1}) b(j))"""
     E = f"""e AS (SELECT 2 * (i * {n} + j) + k AS eid, i, j, k, i * {n + 1} + j AS v0,
       CASE WHEN k = 0 THEN (i + 1) * {n + 1} + j ELSE (i + 1) * {n + 1} + j + 1 END AS v1, CASE WHEN k = 0 THEN (i + 1) * {n + 1} + j + 1 ELSE i * {n + 1} + j + 1 END AS v2,
-      CAST(least(i, j, {n - 1} - i, {n - 1} - j) AS INTEGER) AS class_id FROM range({n}) a(i), range({n}) b(j), range(2) c(k))"""
+      CAST(coalesce(c, 0) % {CLASSES} AS INTEGER) AS class_id FROM (SELECT i, j, k FROM range({n}) a(i), range({n}) b(j), range(2) r(k))
+      LEFT JOIN (SELECT ox // {h} AS i, oy // {h} AS j, count(*) AS c FROM {PLACES} GROUP BY 1, 2) USING (i, j))"""
     EV = "ev AS (SELECT eid, 0 AS li, v0 AS vid FROM e UNION ALL SELECT eid, 1, v1 FROM e UNION ALL SELECT eid, 2, v2 FROM e)"
     HALF = """half AS (SELECT eid, li, least(a, b) AS k0, greatest(a, b) AS k1, a > b AS flip FROM (
       SELECT eid, 0 AS li, v0 AS a, v1 AS b FROM e UNION ALL SELECT eid, 1, v1, v2 FROM e UNION ALL SELECT eid, 2, v2, v0 FROM e))"""
@@ -71,9 +155,9 @@ def sql_of(n: int) -> SimpleNamespace:
       ox + (val * 37) % 400001 - 200000 AS tx, oy + (val * 101) % 400001 - 200000 AS ty, species, step, val FROM (
       SELECT event_id AS pid, (event_id * 7919 + user_id * 104729) % {LENGTH} AS ox, (event_id * 15485863 + user_id * 32452843) % {LENGTH} AS oy,
         CAST(round(value * 100) AS BIGINT) AS val, event_type AS species, CAST(day(ts) AS INTEGER) AS step FROM events))"""
-    O = f"o AS (SELECT eid, CAST(eid // 2 // {n} // 3 AS INTEGER) AS owner FROM e)"
-    R = f"""r AS (SELECT *, CAST(elem_id // 2 // {n} // 3 AS INTEGER) AS rank, CASE WHEN tx BETWEEN 0 AND {LENGTH - 1} AND ty BETWEEN 0 AND {LENGTH - 1}
-      THEN 2 * ((tx // {h}) * {n} + (ty // {h})) + CASE WHEN ty % {h} > tx % {h} THEN 1 ELSE 0 END ELSE -1 END AS new_elem FROM p)"""
+    O = "o AS (SELECT eid, owner FROM e JOIN cols USING (i))"
+    R = f"""r AS (SELECT p.*, cols.owner AS rank, CASE WHEN tx BETWEEN 0 AND {LENGTH - 1} AND ty BETWEEN 0 AND {LENGTH - 1}
+      THEN 2 * ((tx // {h}) * {n} + (ty // {h})) + CASE WHEN ty % {h} > tx % {h} THEN 1 ELSE 0 END ELSE -1 END AS new_elem FROM p JOIN cols ON cols.i = elem_id // 2 // {n})"""
     return SimpleNamespace(V=V, E=E, EV=EV, HALF=HALF, SIDE=SIDE, ES=ES, G=G, P=P, O=O, R=R)
 
 

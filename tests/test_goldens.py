@@ -1,9 +1,10 @@
 """Hand-made cases with known answers, and agreement of the ways to walk on awkward particles."""
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
-from tesselark.functions import geometry
+from tesselark.functions import geometry, scalar
 from tesselark.operators import mesh as M, partition as PA, scatter as SC, walk as W
 from tesselark.plans import tables as T
 
@@ -63,20 +64,43 @@ def test_ray_goes_on_where_the_segment_ends(spark):
     assert r["r"]["hit"] and r["r"]["z"] == pytest.approx(1.0) and not r["s"]["hit"]
 
 
+def test_nulls_and_parallels_are_neither_hits_nor_angles(spark):
+    """A zero vector has no angle, a null coordinate lies nowhere, and a ray along a face does not come close to it."""
+    zero, null, one = [F.lit(0.0)] * 3, [F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0)], [F.lit(1.0)] * 3
+    angles = spark.range(1).select(scalar.angle_between(zero, one), scalar.angle_between(null, one), scalar.angle_between(one, one)).first()
+    assert angles[0] is None and angles[1] is None and angles[2] == pytest.approx(0.0, abs=1e-6)
+    v = [[F.lit(float(x)) for x in p] for p in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1))]
+    inside = spark.range(1).select(geometry.in_tet(v, null), geometry.in_tet(v, [F.lit(0.1)] * 3), scalar.all_positive([F.lit(1.0), F.lit(None).cast("double")])).first()
+    assert list(inside) == [False, True, False]
+    face = [[F.lit(float(x)) for x in p] for p in ((0, 0, 0), (1, 0, 0), (0, 1, 0))]
+    along = spark.range(1).select(geometry.ray_triangle(face, [F.lit(0.2), F.lit(0.2), F.lit(1.0)], [F.lit(0.7), F.lit(0.2), F.lit(1.0)]).alias("r")).first()["r"]
+    assert not along["hit"] and along["closeness"] is None
+
+
+def test_a_way_along_the_floor_leaves_through_the_face_it_misses_by_least(spark):
+    """One tetrahedron; the way is parallel to its floor and above its top, so it meets no face."""
+    vertex = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1, 3), (1, 1.0, 0.0, 0.0, 1, 3), (2, 0.0, 1.0, 0.0, 1, 3), (3, 0.0, 0.0, 1.0, 1, 3)], "vid long, x double, y double, z double, class_id int, class_dim int")
+    mesh = M.Mesh(3, vertex, spark.createDataFrame([(0, 0, 1, 2, 3, 1)], "eid long, v0 long, v1 long, v2 long, v3 long, class_id int"))
+    p = spark.createDataFrame([(1, 0, 0.2, 0.2, 0.7, 0.9, 0.3, 0.7)], "pid long, elem_id long, ox double, oy double, oz double, tx double, ty double, tz double")
+    out = W.trace(p, M.walk_table(mesh), 3, crossing=True, check_parents=False).first()
+    floor = M.elem_side(mesh).where("li = 0").first()["sid"]
+    assert out["face"] is not None and out["face"] != floor and out["px"] is not None
+
+
 AWKWARD = [(1, 0, 5, 5, 5, 5), (2, 180, 5, 5, 5, 5), (3, 180, 5, 5, 900_000, 400_000), (4, 999_999, 1, 2, 3, 4), (5, -1, 0, 0, 9, 9), (6, 0, 50_000, 20_000, 2_000_000, 7), (7, -7, 0, 0, 9, 9)]
 
 
 def test_fused_walk_equals_the_loop(spark):
     """Particles that do not move, name a wrong parent, an element that is not there or none, or leave the domain."""
     p = spark.createDataFrame(AWKWARD, "pid long, elem_id long, ox long, oy long, tx long, ty long")
-    walk = M.walk_table(T.mesh(spark))
+    walk = M.walk_table(T.mesh(spark, DATA))
     one, two = (sorted(tuple(r) for r in x.select("pid", "elem_id", "hops").collect()) for x in (W.search_fused_2d(p, walk), W.search_2d(p, walk, tol=0.0)))
     assert one == two
     assert sorted(tuple(r) for r in W.search_fused_2d(p, walk, limit_bytes=80).collect()) == two  # a mesh above the limit
 
 
 def test_recursive_walk_fails_rather_than_stops(spark):
-    M.walk_table(T.mesh(spark)).createOrReplaceTempView("walk_g")
+    M.walk_table(T.mesh(spark, DATA)).createOrReplaceTempView("walk_g")
     spark.createDataFrame([(1, 0, 999_000, 999_000)], "pid long, elem_id long, tx long, ty long").createOrReplaceTempView("particles_g")
     assert spark.sql(W.recursive_walk_sql("particles_g", "walk_g")).first()["elem_id"] in (198, 199)
     with pytest.raises(Exception, match="on its way"):
@@ -86,10 +110,10 @@ def test_recursive_walk_fails_rather_than_stops(spark):
 def test_methods_are_parsed_and_checked(spark):
     assert PA.Method.parse(" bfs ") is PA.Method.BFS and PA.Method.parse("nothing") is PA.Method.INVALID
     with pytest.raises(ValueError):
-        PA.Input(T.mesh(spark), T.owners(spark), 4, buffer_method=PA.Method.INVALID)
+        PA.Input(T.mesh(spark, DATA), T.owners(spark, DATA), 4, buffer_method=PA.Method.INVALID)
     with pytest.raises(ValueError):
-        PA.build(PA.Input(T.mesh(spark), T.owners(spark), 4, buffer_method=PA.Method.BFS, safe_method=PA.Method.BFS, buffer_layers=1, safe_layers=2))
-    assert PA.Input(T.mesh(spark), T.owners(spark), 4, buffer_method=PA.Method.NONE).buffer_method is PA.Method.MINIMUM
+        PA.build(PA.Input(T.mesh(spark, DATA), T.owners(spark, DATA), 4, buffer_method=PA.Method.BFS, safe_method=PA.Method.BFS, buffer_layers=1, safe_layers=2))
+    assert PA.Input(T.mesh(spark, DATA), T.owners(spark, DATA), 4, buffer_method=PA.Method.NONE).buffer_method is PA.Method.MINIMUM
 
 
 def test_unknown_distribution_is_an_error(spark):

@@ -1,6 +1,7 @@
 """Sources and sinks: awkward files, the order of part files, and what must fail. Round trips are queries (plans/files.py)."""
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tesselark.plans import tables as T
@@ -35,7 +36,7 @@ def test_empty_particle_file(spark, tmp_path):
 
 def test_unknown_files_are_errors(spark, tmp_path):
     with pytest.raises(ValueError):
-        text.read_partition(spark, "a.xyz", 4, T.mesh(spark).elem)
+        text.read_partition(spark, "a.xyz", 4, T.mesh(spark, DATA).elem)
     with pytest.raises(ValueError):
         text.read_mesh(spark, "a.osh")
     path = tmp_path / "a.msh"

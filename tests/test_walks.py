@@ -14,7 +14,7 @@ def rows(df, *order):
 
 
 def test_walk_3d_ends_in_an_element_that_holds_the_target(spark):
-    p, walk = catalogue._particles_3d(spark, DATA), M.walk_table(T.tets(spark))
+    p, walk = catalogue._particles_3d(spark, DATA), M.walk_table(T.tets(spark, DATA))
     out = W.trace(p, walk, 3).where("elem_id >= 0").select("pid", "elem_id").join(p.drop("elem_id"), "pid")
     ends = out.withColumns({f"o{a}": F.col(f"t{a}") for a in "xyz"})
     assert out.count() > 100
@@ -22,7 +22,7 @@ def test_walk_3d_ends_in_an_element_that_holds_the_target(spark):
 
 
 def test_segment_walk_agrees_with_coordinates(spark):
-    p, walk = catalogue._particles_3d(spark, DATA), M.walk_table(T.tets(spark))
+    p, walk = catalogue._particles_3d(spark, DATA), M.walk_table(T.tets(spark, DATA))
     a = W.trace(p, walk, 3).select("pid", "elem_id")
     b = W.search_3d(p, walk, tol=1e-9).select("pid", F.col("elem_id").alias("other"))
     both = a.join(b, "pid")
@@ -30,7 +30,7 @@ def test_segment_walk_agrees_with_coordinates(spark):
 
 
 def test_crossings_lie_on_the_wall(spark):
-    out = W.trace(T.particles(spark, DATA), M.walk_table(T.mesh(spark)), 2, crossing=True, tol=0.0).where("face is not null")
+    out = W.trace(T.particles(spark, DATA), M.walk_table(T.mesh(spark, DATA)), 2, crossing=True, tol=0.0).where("face is not null")
     on = F.least(F.abs("px"), F.abs("py"), F.abs(F.col("px") - T.LENGTH), F.abs(F.col("py") - T.LENGTH))
     assert out.count() > 50
     assert out.where(on > 1).count() == 0
@@ -49,9 +49,9 @@ def test_balance_keeps_every_particle_and_lowers_the_load(spark):
 @pytest.mark.parametrize("name", ["particle_uniform_distribution", "particle_gaussian_distribution", "particle_exponential_distribution", "particle_clustered_distribution"])
 def test_distributions_place_every_particle(spark, name):
     out = catalogue.QUERIES[name](spark, DATA)
-    assert out.agg(F.sum("n")).first()[0] == 100_000
+    assert out.agg(F.sum("n")).first()[0] == T.size(spark, DATA).events
 
 
 def test_gyro_app_runs(spark):
     out = catalogue.QUERIES["mini_app_2d"](spark, DATA)
-    assert out.count() == (T.N + 1) ** 2
+    assert out.count() == (T.size(spark, DATA).n + 1) ** 2
