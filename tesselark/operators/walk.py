@@ -174,7 +174,8 @@ def trace(
 ) -> DataFrame:
     """The walk. crossing: find exits by intersecting the way (a bounded segment in the plane; in space a ray without
     an end, or a segment if ``bounded``, or if "first" by the older rule, see _by_first_crossing_3d), else by the target's coordinates. Particles that move at most ``still`` are done before
-    anything is checked. strict: an origin outside its parent is an error rather than a removal. looplimit 0: no limit."""
+    anything is checked. strict: an origin outside its parent is an error rather than a removal. looplimit 0: no
+    limit, but more hops than twice the elements are an error, as rounding then sends a particle to and fro."""
     hops_at_once = hops_at_once or (4 if dim == 2 and not crossing else 2 if dim == 2 else 1)
     walk = small(cut(walk), broadcast_bytes)
     handler = handler or (stop_at_wall if crossing else leave_at_wall)
@@ -191,8 +192,12 @@ def trace(
     )
     if strict and not start.where(lost).isEmpty():
         raise ValueError("some particles do not start in their parent element")
-    finished, hops = [], 0
+    finished, hops, bound = [], 0, None
     while True:
+        if not looplimit and hops > 256:
+            bound = bound or walk.count()
+            if hops > 2 * bound:
+                raise ValueError(f"some particles are still on their way after {hops} hops in a mesh of {bound} elements")
         n = hops_at_once if not looplimit else min(hops_at_once, looplimit - hops)
         for _ in range(n):
             state = _hop(state, walk, dim, crossing, tol, bounded, handler)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselark.functions import geometry, interp, scalar
 from tesselark.operators import balance, mesh as M, particles as PT, partition as PA, scatter as SC, walk as W
+from tesselark.operators.part_walk import walk_in_parts
 from tesselark.operators.scatter import Gyro
 from tesselark.plans import tables as T
 from tesselark.plans.tables import CLASSES, E, ES, EV, EVENTS, G, H3, HALF, LENGTH, N, O, P, R, RANKS, SIDE, V
@@ -423,6 +424,17 @@ def _(spark, d):
     return W.trace(T.particles(spark, d, n), M.walk_table(T.mesh(spark, d, n)), 2, tol=0.0, check_parents=False, broadcast_bytes=0, hops_at_once=8).select("pid", "elem_id", "hops")
 
 
+@query("walk2d_in_parts", SQL["walk2d_large_mesh"])
+def _(spark, d):
+    """The same mesh in parts of about equally many events, each with two layers of its neighbours' elements: a round a part crossed."""
+    n = T.size(spark, d).n * T.LARGE
+    m = T.mesh(spark, d, n)
+    stripe = F.broadcast(T.stripes(spark, d))
+    owners = cut(m.elem.select("eid", F.expr(f"eid div 2 div {n} div {T.LARGE}").alias("i")).join(stripe, "i").select("eid", "owner"))
+    held = PA.bfs_layers(owners, PA.bridge(m), 2).select("rank", "eid")
+    return walk_in_parts(T.particles(spark, d, n), cut(M.walk_table(m)), owners, held).select("pid", "elem_id", "hops")
+
+
 INSIDE = f"tx BETWEEN 0 AND {LENGTH - 1} AND ty BETWEEN 0 AND {LENGTH - 1}"
 #: Where the way of a particle leaves the square: the least share of the way at which a coordinate passes a border.
 BOX2 = f"""{P}, b AS (SELECT *, least(CASE WHEN tx > {LENGTH} THEN ({LENGTH}.0 - ox) / (tx - ox) WHEN tx < 0 THEN ox / (ox - tx + 0.0) ELSE 2 END, CASE WHEN ty > {LENGTH} THEN ({LENGTH}.0 - oy) / (ty - oy) WHEN ty < 0 THEN oy / (oy - ty + 0.0) ELSE 2 END) AS t FROM p)"""

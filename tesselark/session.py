@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 def session(app: str = "tesselark", cpus: int | None = None, **conf) -> SparkSession:
     """UTC, adaptive execution, and as many shuffle partitions as cores unless told otherwise. On a cluster, pass
-    spark.sql.shuffle.partitions by the data's size; adaptive execution merges what is too small."""
+    spark.sql.shuffle.partitions by the data's size; adaptive execution merges what is too small. Checkpoints go when nothing refers to them any more."""
     n = cpus or os.cpu_count() or 8
     b = SparkSession.builder.appName(app)
     base = {
@@ -18,6 +18,7 @@ def session(app: str = "tesselark", cpus: int | None = None, **conf) -> SparkSes
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
