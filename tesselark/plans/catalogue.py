@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.functions import geometry, interp, scalar
-from tesselark.operators import balance, mesh as M, particles as PT, partition as PA, scatter as SC, walk as W
+from tesselark.operators import balance, mesh as M, particles as PT, partition as PA, rank_bits as RB, scatter as SC, walk as W
 from tesselark.operators.part_walk import walk_in_parts
+from tesselark.operators.pic_parts import pic_parts
 from tesselark.operators.scatter import Gyro
 from tesselark.plans import tables as T
 from tesselark.plans.tables import CLASSES, E, ES, EV, EVENTS, G, H3, HALF, LENGTH, N, O, P, R, RANKS, SIDE, V
@@ -670,6 +671,36 @@ def _(spark, d):
     return PA.safe_inward(parts, o, links, 1)
 
 
+BIT_RANKS = 96
+BITS = f"{E}, {EV}, {P}, {T.weighted_sql(BIT_RANKS)}, {T.halo_sql(2)}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), hs AS (SELECT b.rank, o.eid FROM b JOIN o ON o.owner = b.owner)"
+
+
+def _bits(spark, d, safe: str):
+    return RB.build_bits(PA.Input(T.mesh(spark, d), T.weighted_owners(spark, d, BIT_RANKS), BIT_RANKS, buffer_method=PA.Method.BFS, safe_method=PA.Method.parse(safe), buffer_layers=2, safe_layers=1))
+
+
+@query("rank_bitmaps", f"""WITH {BITS}, h AS (SELECT eid, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS held FROM hs GROUP BY eid), s AS (SELECT eid, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS safe FROM l1 GROUP BY eid)
+  SELECT o.eid, owner, held, coalesce(safe, '') AS safe FROM o JOIN h ON h.eid = o.eid LEFT JOIN s ON s.eid = o.eid""")
+def _(spark, d):
+    """The ranks, of 96 that own about equally many events, that hold each element and on which it is safe."""
+    return _bits(spark, d, "BFS").select("eid", "owner", *(F.array_join(F.transform(RB.ranks_of(p, BIT_RANKS), lambda r: r.cast("string")), ",").alias(n) for p, n in (("h", "held"), ("s", "safe"))))
+
+
+@query("rank_bitmaps_inward", f"""WITH {BITS}, un AS (SELECT x.rank, o.eid FROM (SELECT DISTINCT owner AS rank FROM o) x, o WHERE NOT EXISTS (SELECT 1 FROM hs h WHERE h.rank = x.rank AND h.eid = o.eid)),
+  reach AS (SELECT DISTINCT un.rank, y.eid FROM un JOIN ev x ON x.eid = un.eid JOIN ev y ON y.vid = x.vid)
+  SELECT h.rank, h.eid, o.owner = h.rank AS is_core, o.owner = h.rank OR NOT EXISTS (SELECT 1 FROM reach r WHERE r.rank = h.rank AND r.eid = h.eid) AS is_safe FROM hs h JOIN o ON o.eid = h.eid""")
+def _(spark, d):
+    """Safe is what lies more than a layer away from all that a rank lacks."""
+    return RB.halo_of(_bits(spark, d, "FULL"), BIT_RANKS)
+
+
+@query("rank_bitmap_sets", f"""WITH {BITS}, s AS (SELECT eid, list_sort(list(rank)) AS ranks FROM l1 GROUP BY eid) SELECT array_to_string(ranks, ',') AS ranks, count(*) AS n, min(eid) AS first FROM s GROUP BY ranks""")
+def _(spark, d):
+    """Safe sets as distinct bitmaps."""
+    sets = RB.safe_sets_of(_bits(spark, d, "BFS"), BIT_RANKS)
+    return sets.groupBy("sbar").agg(F.first(joined("ranks")).alias("ranks"), F.count(F.lit(1)).alias("n"), F.min("eid").alias("first")).select("ranks", "n", "first")
+
+
 @query("full_mesh_halo", f"WITH {E}, {O} SELECT CAST(k AS INTEGER) AS rank, eid, owner = k AS is_core, true AS is_safe FROM o, range({RANKS}) x(k)")
 def _(spark, d):
     return PA.full_mesh(T.mesh(spark, d), T.owners(spark, d), RANKS).halo
@@ -685,6 +716,36 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
+PARTS = f"""{HALO2}, {V}, {HALF}, {SIDE}, {P}, ld AS (SELECT elem_id AS eid, count(*) AS load FROM p GROUP BY elem_id), b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), k AS (SELECT b.rank, e.*, load, o.owner = b.rank AS is_core FROM e JOIN o USING (eid) JOIN b USING (owner) LEFT JOIN ld USING (eid)),
+  u AS (SELECT rank, vid, row_number() OVER (PARTITION BY rank ORDER BY vid) - 1 AS new FROM (SELECT rank, v0 AS vid FROM k UNION SELECT rank, v1 FROM k UNION SELECT rank, v2 FROM k))"""
+
+
+def _pic_parts(spark, d):
+    m = T.mesh(spark, d).with_tag(2, "load", PT.per_element(T.particles(spark, d)).withColumnRenamed("n", "load"), "elem_id")
+    return pic_parts(m, _parts(spark, d).halo)
+
+
+@query("pic_parts_elements", f"""WITH {PARTS} SELECT k.rank, row_number() OVER (PARTITION BY k.rank ORDER BY eid) - 1 AS eid, eid AS eid_global, a.new AS v0, b2.new AS v1, c.new AS v2, class_id, load, is_core
+  FROM k JOIN u a ON a.vid = v0 AND a.rank = k.rank JOIN u b2 ON b2.vid = v1 AND b2.rank = k.rank JOIN u c ON c.vid = v2 AND c.rank = k.rank""")
+def _(spark, d):
+    """All ranks' elements in one pass, with classes and loads from the events."""
+    return _pic_parts(spark, d).elem.select("rank", "eid", "eid_global", "v0", "v1", "v2", "class_id", "load", "is_core")
+
+
+@query("pic_parts_vertices", f"WITH {PARTS} SELECT rank, u.new AS vid, u.vid AS vid_global, x, y, class_dim FROM u JOIN v ON v.vid = u.vid")
+def _(spark, d):
+    return _pic_parts(spark, d).vertex.select("rank", "vid", "vid_global", "x", "y", "class_dim")
+
+
+@query("pic_parts_sides", f"""WITH {PARTS}, w AS (SELECT h.k0, h.k1, min(class_id) AS class_id, CASE WHEN count(*) = 2 AND min(class_id) = max(class_id) THEN 2 ELSE 1 END AS class_dim FROM half h JOIN e USING (eid) GROUP BY 1, 2),
+  m AS (SELECT k.rank, s.sid, s.k0, s.k1, count(*) = 1 AS exposed FROM k JOIN half h USING (eid) JOIN side s ON s.k0 = h.k0 AND s.k1 = h.k1 GROUP BY 1, 2, 3, 4)
+  SELECT m.rank, row_number() OVER (PARTITION BY m.rank ORDER BY sid) - 1 AS sid, sid AS sid_global, a.new AS v0, b2.new AS v1, exposed, class_id, CAST(class_dim AS TINYINT) AS class_dim
+  FROM m JOIN w ON w.k0 = m.k0 AND w.k1 = m.k1 JOIN u a ON a.vid = m.k0 AND a.rank = m.rank JOIN u b2 ON b2.vid = m.k1 AND b2.rank = m.rank""")
+def _(spark, d):
+    """All ranks' sides with their classification."""
+    return _pic_parts(spark, d).side.select("rank", "sid", "sid_global", "v0", "v1", "exposed", "class_id", "class_dim")
+
+
 #: held: a rank's vertices, each with the values of the rank's own particles in the elements around it.
 HELD = f"{HALO2}, {P}, {R}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), hv AS (SELECT DISTINCT b.rank, vid FROM b JOIN o ON o.owner = b.owner JOIN ev ON ev.eid = o.eid), rv AS (SELECT rank, vid, CAST(sum(val) AS BIGINT) AS w FROM r JOIN ev ON ev.eid = elem_id GROUP BY rank, vid), held AS (SELECT hv.rank, hv.vid, coalesce(w, 0) AS w FROM hv LEFT JOIN rv ON rv.rank = hv.rank AND rv.vid = hv.vid), vo AS (SELECT vid, min(owner) AS owner FROM ev JOIN o USING (eid) GROUP BY vid)"
 

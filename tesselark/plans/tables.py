@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh, tet_lattice, tri_lattice
+from tesselark.storage import running_sum
 
 LENGTH, TET_LENGTH, RANKS, CLASSES = 1_000_000, 900_000, 4, 5
 #: Quads along a side: divisors of LENGTH whose fivefold divides it too; cubes along a side: divisors of TET_LENGTH. The largest that the events fill.
@@ -73,6 +74,14 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tri_lattice(spark, n, LENGTH).elem.select("eid", F.expr(f"eid div 2 div {n}").alias("i")).join(F.broadcast(stripes(spark, sf_dir)), "i").select("eid", "owner")
 
 
+def weighted_owners(spark: SparkSession, sf_dir: str, n_ranks: int) -> DataFrame:
+    """eid, owner: runs of elements with about equally many events for each of n_ranks."""
+    load = particles(spark, sf_dir).groupBy(F.col("elem_id").alias("eid")).agg(F.count(F.lit(1)).alias("n"))
+    at = size(spark, sf_dir)
+    load = spark.range(at.elements).select(F.col("id").alias("eid")).join(load, "eid", "left").select("eid", F.coalesce("n", F.lit(0)).alias("n"))
+    return running_sum(load, ["eid"], "n", "before").select("eid", F.least(F.lit(n_ranks - 1), F.expr(f"before * {n_ranks} div {max(at.events, 1)}")).cast("int").alias("owner"))
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """particles with the rank that owns their element, and new_elem (wanted element by the lattice, -1 outside)."""
     at, p = size(spark, sf_dir), particles(spark, sf_dir)
@@ -165,6 +174,12 @@ SQL = sql_of(N)
 V, E, EV, HALF, SIDE, ES, G, P, O, R = (getattr(SQL, k) for k in ("V", "E", "EV", "HALF", "SIDE", "ES", "G", "P", "O", "R"))
 
 
+def weighted_sql(n_ranks: int) -> str:
+    """o: owners as weighted_owners(), from e and p."""
+    return f"""o AS (SELECT eid, CAST(least({n_ranks - 1}, coalesce(sum(n) OVER (ORDER BY eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {n_ranks} // greatest({EVENTS}, 1)) AS INTEGER) AS owner
+      FROM (SELECT eid, count(pid) AS n FROM e LEFT JOIN p ON p.elem_id = e.eid GROUP BY eid))"""
+
+
 def halo_sql(layers: int) -> str:
     """l0.. : (rank, eid) within 0, 1, .. layers of a rank's own elements."""
     out = ["l0 AS (SELECT owner AS rank, eid FROM o)"]
