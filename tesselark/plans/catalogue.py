@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.functions import geometry, interp, scalar
-from tesselark.operators import balance, mesh as M, particles as PT, partition as PA, rank_bits as RB, scatter as SC, walk as W
+from tesselark.operators import balance, grid, mesh as M, particles as PT, partition as PA, rank_bits as RB, scatter as SC, walk as W
 from tesselark.operators.part_walk import walk_in_parts
 from tesselark.operators.pic_parts import pic_parts
 from tesselark.operators.scatter import Gyro
@@ -518,6 +518,38 @@ def _(spark, d):
     return M.locate(T.particles(spark, d).select("pid", F.col("ox").alias("x"), F.col("oy").alias("y")), T.mesh(spark, d), float(T.size(spark, d).h)).select("pid", "eid")
 
 
+GRADED_TOP = 10**8
+GN = T.Term("(SELECT least(n, 100) FROM dims)")
+_graded = lambda c: f"({c} * {c} * {c} * {c} * {GRADED_TOP} // {GN ** 4})"
+#: The plate with its lines at fourth powers, so that sizes spread over three decades, and each event at a place of it.
+GRADED = f"""gv AS (SELECT i * {GN + 1} + j AS vid, {_graded('i')} AS x, {_graded('j')} AS y FROM range({GN + 1}) a(i), range({GN + 1}) b(j)),
+  ge AS (SELECT 2 * (i * {GN} + j) + k AS eid, i * {GN + 1} + j AS v0, (i + 1) * {GN + 1} + j + k AS v1, (i + 1 - k) * {GN + 1} + j + 1 AS v2 FROM range({GN}) a(i), range({GN}) b(j), range(2) c(k)),
+  g AS (SELECT eid, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM ge JOIN gv a ON a.vid = v0 JOIN gv b ON b.vid = v1 JOIN gv c ON c.vid = v2)"""
+
+
+def _graded_mesh(spark, d) -> M.Mesh:
+    n = min(T.size(spark, d).n, 100)
+    m = M.tri_lattice(spark, n, n)
+    return M.Mesh(2, m.vertex.withColumns({a: F.expr(f"{a} * {a} * {a} * {a} * {GRADED_TOP} div {n**4}") for a in "xy"}), m.elem)
+
+
+@query("locate_on_graded_mesh", f"""WITH {GRADED}, {P}, q AS (SELECT pid, ox * 100 + pid % 100 AS px, oy * 100 + pid % 89 AS py FROM p),
+  c AS (SELECT q.*, g.* FROM q JOIN g ON px BETWEEN least(x0, x1, x2) AND greatest(x0, x1, x2) AND py BETWEEN least(y0, y1, y2) AND greatest(y0, y1, y2)) SELECT pid, min(eid) AS eid FROM c WHERE least({', '.join(NUM)}) >= 0 GROUP BY pid""")
+def _(spark, d):
+    """A mesh whose elements differ a thousandfold in width; each is filed at the grid level of its own size."""
+    p = T.particles(spark, d).select("pid", (F.col("ox") * 100 + F.col("pid") % 100).alias("x"), (F.col("oy") * 100 + F.col("pid") % 89).alias("y"))
+    return grid.locate_levels(p, _graded_mesh(spark, d), tol=0.0).select("pid", "eid")
+
+
+@query("near_on_graded_mesh", f"""WITH {GRADED}, {P}, load AS (SELECT elem_id, count(*) AS n FROM p GROUP BY elem_id), q AS (SELECT eid, unnest([x0, x1, x2]) AS x, unnest([y0, y1, y2]) AS y FROM g)
+  SELECT DISTINCT a.eid AS a, b.eid AS b FROM q a JOIN load ON elem_id = a.eid AND load.n % 3 = 0 JOIN q b ON abs(a.x - b.x) <= 40000 AND abs(a.y - b.y) <= 40000 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600000000""")
+def _(spark, d):
+    """Elements near those whose number of events is a multiple of three."""
+    points = grid.element_points(_graded_mesh(spark, d))
+    wanted = PT.per_element(T.particles(spark, d)).where("n % 3 = 0").select(F.col("elem_id").alias("id"))
+    return grid.near_entities(points.join(wanted, "id", "left_semi"), points, 40_000.0, ("x", "y"))
+
+
 @query("reflect_and_remove_at_wall", f"WITH {BOX2} SELECT pid, t <= 1 AS removed, round(CASE WHEN t <= 1 THEN ox + (tx - ox) * t ELSE tx END, 2) AS tx, CAST(CASE WHEN t <= 1 THEN ox - tx ELSE tx - ox END AS DOUBLE) AS dx FROM b")
 def _(spark, d):
     p = T.particles(spark, d).withColumns({"dx": F.col("tx") - F.col("ox"), "dy": F.col("ty") - F.col("oy")})
