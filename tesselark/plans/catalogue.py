@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.functions import geometry, interp, scalar
-from tesselark.operators import balance, grid, mesh as M, particles as PT, partition as PA, rank_bits as RB, scatter as SC, walk as W
+from tesselark.operators import balance, diffusion as DF, grid, mesh as M, particles as PT, partition as PA, rank_bits as RB, scatter as SC, walk as W
 from tesselark.operators.part_walk import walk_in_parts
 from tesselark.operators.pic_parts import pic_parts
 from tesselark.operators.scatter import Gyro
@@ -922,6 +922,43 @@ def _(spark, d):
     return balance.select_particles(p, sets, quotas, parts.owners).select("pid", "new_rank")
 
 
+def _moved_counts(spark, d):
+    """rank, eid, n after forced moves, with the parts."""
+    parts = _parts(spark, d)
+    forced = PT.unsafe_ranks(T.ranked(spark, d), parts.halo, parts.owners).where("new_elem >= 0")
+    return parts, forced.groupBy(F.col("new_rank").alias("rank"), F.col("new_elem").alias("eid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("balance_diffusion_round", f"""WITH {SETS}, {WEIGHTS}, hv AS (SELECT new_rank AS rank, sbar, count(*) AS n FROM m JOIN st ON eid = new_elem GROUP BY 1, 2), mem AS (SELECT DISTINCT sbar, array_to_string(ranks, ',') AS ranks, unnest(ranks) AS rank FROM st),
+  ld AS (SELECT rank, sum(n) AS load FROM hv GROUP BY rank), ways AS (SELECT hv.rank, hv.sbar, hv.n, l.load, mem.ranks, mem.rank AS target, coalesce(k.load, 0) AS low FROM hv JOIN ld l ON l.rank = hv.rank AND l.load > (SELECT sum(n) / {RANKS}.0 FROM hv) JOIN mem ON mem.sbar = hv.sbar LEFT JOIN ld k ON k.rank = mem.rank WHERE coalesce(k.load, 0) < l.load),
+  pr AS (SELECT rank, target, sum(n) AS shared, max(load) AS load, max(low) AS low FROM ways GROUP BY 1, 2), dg AS (SELECT *, count(*) OVER (PARTITION BY rank) AS o, count(*) OVER (PARTITION BY target) AS i FROM pr),
+  fl AS (SELECT rank, target, shared, least((load - low) // (greatest(o, i) + 1), shared // o) AS flow FROM dg)
+  SELECT w.rank, w.ranks, w.target, CAST(flow * n // shared AS BIGINT) AS quota FROM ways w JOIN fl ON fl.rank = w.rank AND fl.target = w.target WHERE flow * n // shared > 0""")
+def _(spark, d):
+    """The plan of one round of diffusion, flow by flow."""
+    parts, counts = _moved_counts(spark, d)
+    sets = cut(balance.safe_sets(parts.halo))
+    members = sets.select("sbar", F.explode("ranks").alias("rank")).distinct()
+    moves, _ = DF.diffusion_plan(balance.weights_from_counts(counts, sets), members, RANKS, tol=1.0, rounds=1)
+    return moves.join(sets.select("sbar", joined("ranks").alias("ranks")).distinct(), "sbar").select("rank", "ranks", "target", "quota")
+
+
+@query("balance_counts_by_target", f"""WITH {SETS}, {WEIGHTS}, c AS (SELECT m.new_rank AS rank, sbar, array_to_string(st.ranks, ',') AS ranks, m.new_elem AS eid, o.owner = m.new_rank AS core, count(*) AS n FROM m JOIN st ON st.eid = m.new_elem JOIN o ON o.eid = m.new_elem GROUP BY 1, 2, 3, 4, 5),
+  lay AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rank, sbar ORDER BY core, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM c), q(ranks, rank, target, q0, q1) AS (VALUES ('0,1', 0, 1, 0, {EVENTS} // 50), ('1,2', 2, 1, 0, {EVENTS} // 80), ('1,2,3', 2, 1, 0, {EVENTS} // 90), ('1,2,3', 2, 3, {EVENTS} // 90, {EVENTS} // 90 + {EVENTS} // 70)),
+  gone AS (SELECT lay.rank, lay.ranks, lay.eid, target, least(p0 + n, q1) - greatest(p0, q0) AS n FROM lay JOIN q ON q.rank = lay.rank AND q.ranks = lay.ranks WHERE p0 < q1 AND q0 < p0 + n),
+  rest AS (SELECT lay.rank, lay.ranks, lay.eid, lay.rank AS target, lay.n - coalesce((SELECT sum(g.n) FROM gone g WHERE g.rank = lay.rank AND g.eid = lay.eid), 0) AS n FROM lay)
+  SELECT rank, ranks, eid, target, CAST(n AS BIGINT) AS n FROM gone UNION ALL SELECT rank, ranks, eid, target, CAST(n AS BIGINT) FROM rest WHERE n > 0""")
+def _(spark, d):
+    """Counts that meet a plan's quotas by place: what goes to each target, element by element."""
+    parts, counts = _moved_counts(spark, d)
+    sets, k = cut(balance.safe_sets(parts.halo)), T.size(spark, d).events
+    named = sets.select("sbar", joined("ranks").alias("ranks")).distinct()
+    wanted = [("0,1", 0, 1, k // 50), ("1,2", 2, 1, k // 80), ("1,2,3", 2, 1, k // 90), ("1,2,3", 2, 3, k // 70)]
+    quotas = spark.createDataFrame(wanted, "ranks string, rank int, target int, quota long").join(named, "ranks").select("rank", "sbar", "target", "quota")
+    rows = counts.join(sets.select("eid", "sbar"), "eid").join(parts.owners, "eid").select("rank", "sbar", "eid", "n", (F.col("owner") == F.col("rank")).alias("is_core"))
+    return DF.split_counts(rows, quotas).join(named, "sbar").select("rank", "ranks", "eid", "target", "n")
+
+
 def _balance_facts(spark, d, moved: DataFrame, tol: float) -> DataFrame:
     """What must hold of a balanced assignment whatever the plan: every particle once, none on a rank where its element is not safe, and no rank above
     the greater of tolerance times the mean and what it had after forced moves."""
