@@ -76,6 +76,33 @@ def _gmsh(spark: SparkSession, mesh: M.Mesh, kind: int, path: str) -> None:
     text.write_lines(lines.unionByName(mesh.elem.select(F.lit(3).alias("part"), F.col("eid").alias("at"), own.alias("value"))), ["part", "at"], path)
 
 
+def _gmsh4(spark: SparkSession, mesh: M.Mesh, kind: int, path: str, tag) -> None:
+    """The mesh as Gmsh 4.1 blocks: nodes and elements of each class are a block of their own. tag gives the node tag of a vertex number."""
+    coords = [F.col(a).cast("double").cast("string") for a in mesh.axes] + [F.lit("0")] * (3 - mesh.dim)
+    lines = [(0, 0, 0, 0, "$MeshFormat\n4.1 0 8\n$EndMeshFormat\n$Nodes"), (2, 0, 0, 0, "$EndNodes\n$Elements"), (4, 0, 0, 0, "$EndElements")]
+    out = spark.createDataFrame(lines, "part int, block int, sub int, at long, value string")
+    number = lambda c: tag(F.col(c)).cast("string")
+    for part, rows, key, types, body in (
+        (1, mesh.vertex, "vid", "0", [(1, number("vid")), (2, F.concat_ws(" ", *coords))]), (3, mesh.elem, "eid", str(kind), [(1, F.concat_ws(" ", F.col("eid").cast("string"), *map(number, mesh.verts)))]),
+    ):
+        blocks = cut(rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")))
+        total = blocks.agg(F.count(F.lit(1)).alias("b"), F.sum("n").alias("n"))
+        out = out.unionByName(total.select(F.lit(part).alias("part"), F.lit(-1).alias("block"), F.lit(0).alias("sub"), F.lit(0).cast("long").alias("at"), F.concat_ws(" ", F.col("b").cast("string"), F.col("n").cast("string"), F.lit("1"), F.col("n").cast("string")).alias("value")))
+        head = F.concat_ws(" ", F.lit(str(mesh.dim)), F.col("class_id").cast("string"), F.lit(types), F.col("n").cast("string"))
+        out = out.unionByName(blocks.select(F.lit(part).alias("part"), F.col("class_id").alias("block"), F.lit(0).alias("sub"), F.lit(0).cast("long").alias("at"), head.alias("value")))
+        for sub, value in body:
+            out = out.unionByName(rows.select(F.lit(part).alias("part"), F.col("class_id").alias("block"), F.lit(sub).alias("sub"), F.col(key).alias("at"), value.alias("value")))
+    text.write_lines(out, ["part", "block", "sub", "at"], path)
+
+
+@query("source_gmsh4_triangles", f"WITH {E} SELECT row_number() OVER (ORDER BY class_id, eid) - 1 AS eid, v0 * 3 + 7 AS v0, v1 * 3 + 7 AS v1, v2 * 3 + 7 AS v2, class_id FROM e")
+def _(spark, d):
+    """Gmsh 4.1 with a block for each class of the events and gaps between the node tags."""
+    path = _path(spark, "plate4.msh")
+    _gmsh4(spark, T.mesh(spark, d), 2, path, lambda vid: vid * 3 + 7)
+    return text.read_mesh(spark, path).elem
+
+
 @query("source_gmsh_triangles", f"WITH {E} SELECT eid, v0, v1, v2, class_id FROM e")
 def _(spark, d):
     path = _path(spark, "plate.msh")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselark.functions import geometry as G, interp, scalar
 from tesselark.operators import balance, mesh as M, particles as PT, partition as PA
+from tesselark.operators.field_tiles import interpolated, tiled
 from tesselark.plans import tables as T
 from tesselark.plans.catalogue import HALO1, HALO2, NUM3, P3, QUERIES, SQL, TET_GEO, WEIGHTS, _held, _parts, _particles_3d, HELD, query
 from tesselark.plans.tables import E, ES, EV, HALF, O, P, RANKS, SIDE, V
@@ -320,6 +321,23 @@ def _(spark, d):
     return q.select("pid", F.round(f[0], 3).alias("fx"), F.round(f[1], 3).alias("fy"))
 
 
+TILES = f"""step AS (SELECT h / 4.0 AS w, n * 4 AS m FROM dims), fn AS (SELECT i, j, coalesce(f, 0) AS f FROM (SELECT i, j FROM range((SELECT m + 1 FROM step)) a(i), range((SELECT m + 1 FROM step)) b(j))
+  LEFT JOIN (SELECT CAST(floor(ox / w) AS BIGINT) AS i, CAST(floor(oy / w) AS BIGINT) AS j, CAST(sum(val) AS DOUBLE) AS f FROM p, step GROUP BY 1, 2) USING (i, j))"""
+
+
+@query("field_tiles", f"""WITH {P}, {TILES}, q AS (SELECT pid, tx / w AS x, ty / w AS y, m FROM p, step), c AS (SELECT pid, greatest(0, least(CAST(floor(x) AS BIGINT), m - 1)) AS i, greatest(0, least(CAST(floor(y) AS BIGINT), m - 1)) AS j, x, y FROM q),
+  s AS (SELECT pid, i, j, least(x - i, 1.0) AS s, least(y - j, 1.0) AS t FROM c)
+  SELECT pid, round(a.f * (1 - s) * (1 - t) + b.f * s * (1 - t) + k.f * (1 - s) * t + l.f * s * t, 3) AS f FROM s JOIN fn a ON a.i = s.i AND a.j = s.j JOIN fn b ON b.i = s.i + 1 AND b.j = s.j JOIN fn k ON k.i = s.i AND k.j = s.j + 1 JOIN fn l ON l.i = s.i + 1 AND l.j = s.j + 1""")
+def _(spark, d):
+    """A field of the events' values on a grid that grows with them, stored as tiles; each particle's target joins its tile."""
+    at, p = T.size(spark, d), T.particles(spark, d)
+    w, m = at.h / 4.0, at.n * 4
+    sums = p.groupBy(F.floor(F.col("ox") / w).alias("i0"), F.floor(F.col("oy") / w).alias("i1")).agg(F.sum("val").alias("f"))
+    nodes = spark.range((m + 1) * (m + 1)).select(F.expr(f"id div {m + 1}").alias("i0"), F.expr(f"id % {m + 1}").alias("i1")).join(sums, ["i0", "i1"], "left").fillna(0, ["f"])
+    field = tiled(nodes, [interp.Axis(0.0, w, m + 1, True)] * 2, tile=16)
+    return interpolated(p.select("pid", "tx", "ty"), field, [F.col("tx"), F.col("ty")]).select("pid", F.round("value", 3).alias("f"))
+
+
 # partitions
 
 OWNERS = f"{E}, {EV}, {O}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import Mesh
 from tesselark.operators.particles import distribute, per_element
-from tesselark.storage import cut, fetched, numbered
+from tesselark.storage import carried_forward, cut, fetched, numbered
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,13 +103,20 @@ def write_class_partition(spark: SparkSession, owners: dict[int, int], path: str
 
 
 def read_gmsh(spark: SparkSession, path: str) -> Mesh:
-    """A Gmsh 2 ASCII mesh of triangles, or of tetrahedra if it has any. Lines are told apart by the section markers before them."""
+    """A Gmsh ASCII mesh (version 2 or 4.1) of triangles, or of tetrahedra if it has any. Lines are told apart by the section markers before
+    them. Of version 4 an element's class is its geometric entity's tag, a vertex has its entity's tag and dimension; tags may have gaps."""
     rows = _lines(spark, path)
-    wanted = [f"${x}" for x in ("Nodes", "EndNodes", "Elements", "EndElements")]
+    wanted = [f"${x}" for x in ("MeshFormat", "Nodes", "EndNodes", "Elements", "EndElements")]
     marks = fetched(rows.where(F.col("f")[0].isin(wanted)), "section markers")
     spans = {r["f"][0][1:]: r["at"] for r in marks}
-    if "Nodes" not in spans or "Elements" not in spans:
-        raise ValueError("not a Gmsh 2 file")
+    if not {"Nodes", "EndNodes", "Elements", "EndElements"} <= set(spans):
+        raise ValueError("not a Gmsh file")
+    if "MeshFormat" in spans:
+        version = rows.where(F.col("at") == spans["MeshFormat"] + 1).first()["f"]
+        if len(version) > 1 and version[1] != "0":
+            raise ValueError("binary Gmsh files are not read")
+        if version[0].startswith("4"):
+            return _read_gmsh_blocks(rows, spans)
     nodes = rows.where((F.col("at") > spans["Nodes"]) & (F.col("at") < spans["EndNodes"]) & (F.size("f") == 4))
     elements = rows.where((F.col("at") > spans["Elements"]) & (F.col("at") < spans["EndElements"]) & (F.size("f") > 4))
     dim = 3 if not elements.where("int(f[1]) = 4").isEmpty() else 2
@@ -121,6 +128,38 @@ def read_gmsh(spark: SparkSession, path: str) -> Mesh:
     return Mesh(dim, vertex, elem)
 
 
+def _blocks(rows: DataFrame, start: int, end: int, lines_each: int) -> DataFrame:
+    """at, f of the lines of a section's blocks with head, an array of the block's header: line, dimension, tag, kind, count. Only lines that
+    look like a header (four whole numbers, the first a dimension) come to the driver; from the first, each leads to the next by its count."""
+    body = rows.where((F.col("at") > start + 1) & (F.col("at") < end))
+    looks = (F.size("f") == 4) & F.forall("f", lambda x: x.rlike("^[0-9]{1,18}$")) & F.col("f")[0].isin("0", "1", "2", "3")
+    known = {r["at"]: [int(x) for x in r["f"]] for r in fetched(body.where(looks), "lines like block headers")}
+    at, heads = start + 2, []
+    while at < end:
+        if at not in known:
+            raise ValueError(f"line {at} is no header of a block")
+        heads.append((at, *known[at]))
+        at += 1 + lines_each * known[at][3]
+    if at != end:
+        raise ValueError("the last block goes on beyond its section")
+    found = body.sparkSession.createDataFrame([(h[0], list(h)) for h in heads], "at long, _head array<long>")
+    return carried_forward(body.join(found, "at", "left"), ["at"], "_head", "head").where(F.col("at") > F.col("head")[0]).drop("_head")
+
+
+def _read_gmsh_blocks(rows: DataFrame, spans: dict[str, int]) -> Mesh:
+    nodes = cut(_blocks(rows, spans["Nodes"], spans["EndNodes"], 2))
+    place, n = F.col("at") - F.col("head")[0] - 1, F.col("head")[4]
+    tags = nodes.where(place < n).select((F.col("at") + n).alias("at"), F.col("f")[0].cast("long").alias("vid"), F.col("head")[2].cast("int").alias("class_id"), F.col("head")[1].cast("tinyint").alias("class_dim"))
+    coords = nodes.where(place >= n).select("at", *(F.col("f")[i].cast("double").alias(a) for i, a in enumerate("xyz")))
+    elements = cut(_blocks(rows, spans["Elements"], spans["EndElements"], 1))
+    dim = 3 if not elements.where(F.col("head")[3] == 4).isEmpty() else 2
+    kind, corners = (4, 4) if dim == 3 else (2, 3)
+    vertex = tags.join(coords, "at").select("vid", *"xyz"[:dim], "class_id", "class_dim")
+    own = numbered(elements.where(F.col("head")[3] == kind), ["at"], "eid")
+    elem = own.select("eid", *(F.col("f")[1 + i].cast("long").alias(f"v{i}") for i in range(corners)), F.col("head")[2].cast("int").alias("class_id"))
+    return Mesh(dim, vertex, elem)
+
+
 def read_mesh(spark: SparkSession, path: str) -> Mesh:
     """By extension: .msh (Gmsh), else a folder written by write_mesh."""
     kind = os.path.splitext(path)[1]

@@ -50,6 +50,21 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     out = ordered.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(F.broadcast(starts), "_part")
     return out.withColumn(name, F.col("_start") + F.col("_within")).drop("_part", "_start", "_within")
 
+
+def carried_forward(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the last value, by ``order`` (unique together), that is not null up to each row, by the same two steps as numbered(): the last one within
+    each range partition, and for rows before a partition's first value the last one of the partitions before."""
+    ordered = cut(df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order).withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    struct = F.struct(*(F.col(c) for c in order), F.col(value).alias("_value"))
+    ends = ordered.where(F.col(value).isNotNull()).groupBy("_part").agg(F.max(struct)["_value"].alias("_end"))
+    ends = ordered.select("_part").distinct().join(ends, "_part", "left")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ordered.withColumn("_own", F.last(value, ignorenulls=True).over(within)).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.coalesce("_own", "_start")).drop("_part", "_own", "_start")
+
+
 def place_within(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """df with consecutive numbers from 0 within each group, by ``order`` (unique within it). All rows are numbered by (group, order) in range
     partitions, and each group's first number is taken off, so no task sees a whole group."""
