@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselark.functions import geometry, interp, scalar
 from tesselark.operators import balance, diffusion as DF, grid, mesh as M, particles as PT, partition as PA, rank_bits as RB, scatter as SC, walk as W
+from tesselark.operators.crossings import crossing_log, path_deposits
 from tesselark.operators.part_walk import walk_in_parts
 from tesselark.operators.pic_parts import pic_parts
 from tesselark.operators.scatter import Gyro
@@ -550,6 +551,21 @@ def _(spark, d):
     return grid.near_entities(points.join(wanted, "id", "left_semi"), points, 40_000.0, ("x", "y"))
 
 
+_ends = lambda q: [x.replace("px", f"{q}x").replace("py", f"{q}y") for x in NUM]
+_b = list(enumerate(zip(_ends("o"), _ends("t"), strict=True)))
+CLIPPED = f"""{GEO}, {P}, w AS (SELECT pid, val, eid, {', '.join(f'CAST({o} AS DOUBLE) AS o{i}, CAST({t} AS DOUBLE) AS t{i}' for i, (o, t) in _b)} FROM p JOIN g ON greatest(x0, x1, x2) >= least(ox, tx) AND least(x0, x1, x2) <= greatest(ox, tx) AND greatest(y0, y1, y2) >= least(oy, ty) AND least(y0, y1, y2) <= greatest(oy, ty)),
+  cl AS (SELECT pid, val, eid, greatest(0.0, {', '.join(f'CASE WHEN t{i} > o{i} THEN o{i} / (o{i} - t{i}) ELSE 0.0 END' for i in range(3))}) AS lo, least(1.0, {', '.join(f'CASE WHEN t{i} < o{i} THEN o{i} / (o{i} - t{i}) ELSE 1.0 END' for i in range(3))}) AS hi FROM w
+    WHERE {' AND '.join(f'(t{i} <> o{i} OR o{i} >= 0)' for i in range(3))})"""
+
+
+@query("path_deposits", f"WITH {CLIPPED} SELECT eid AS elem_id, round(sum(val * (hi - lo)), 3) AS val FROM cl WHERE hi - lo > 1e-12 GROUP BY eid")
+def _(spark, d):
+    """Each event's value spread over the elements that its way crosses, by the length within each."""
+    p = T.particles(spark, d)
+    log = crossing_log(p, M.walk_table(T.mesh(spark, d)))
+    return path_deposits(log.where("t1 - t0 > 1e-12"), p, "val").select("elem_id", F.round("val", 3).alias("val"))
+
+
 @query("reflect_and_remove_at_wall", f"WITH {BOX2} SELECT pid, t <= 1 AS removed, round(CASE WHEN t <= 1 THEN ox + (tx - ox) * t ELSE tx END, 2) AS tx, CAST(CASE WHEN t <= 1 THEN ox - tx ELSE tx - ox END AS DOUBLE) AS dx FROM b")
 def _(spark, d):
     p = T.particles(spark, d).withColumns({"dx": F.col("tx") - F.col("ox"), "dy": F.col("ty") - F.col("oy")})
