@@ -38,7 +38,7 @@ def test_crossings_lie_on_the_wall(spark):
 
 def test_balance_keeps_every_particle_and_lowers_the_load(spark):
     """Of particles that stay in the domain, against the load once those have moved whose new element is not safe where they are."""
-    parts, ranked = catalogue._parts(spark), T.ranked(spark, DATA)
+    parts, ranked = catalogue._parts(spark, DATA), T.ranked(spark, DATA)
     out = balance.repartition(ranked, parts.halo, parts.owners, T.RANKS, tol=1.05)
     assert out.select("pid").distinct().count() == T.particles(spark, DATA).count()
     inside = ranked.where("new_elem >= 0").select("pid")
