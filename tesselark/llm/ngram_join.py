@@ -232,8 +232,8 @@ def index_rows(sets: DataFrame, boundary: int) -> DataFrame:
     shared = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"))
     own = Window.partitionBy("id")
     least = F.ceil(4 * F.col("n") / 5)
-    rows = rows.join(shared, "token").withColumn("cnt", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
-    rows = rows.join(heavy.select("id", "n", "bits"), "id").where((F.col("cnt") >= least) & (F.col("rank") <= F.col("cnt") - least + 1))
+    rows = rows.join(shared.hint("merge"), "token").withColumn("cnt", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
+    rows = rows.join(heavy.select("id", "n", "bits").hint("merge"), "id").where((F.col("cnt") >= least) & (F.col("rank") <= F.col("cnt") - least + 1))
     return rows.select("token", "id", "n", "bits", (F.col("n") - F.col("cnt") + F.col("rank")).cast("int").alias("pos"))
 
 
@@ -261,7 +261,7 @@ def heavy_links(index: DataFrame, sets: DataFrame, boundary: int, links: DataFra
     previous = None
     for turn in range(MAX_ROUNDS + 1):
         known = components(links)
-        rows = index.join(known, "id", "left").select("token", F.struct("id", "n", "bits", "pos", F.coalesce("component", "id").alias("c")).alias("x"))
+        rows = index.join(known.hint("merge"), "id", "left").select("token", F.struct("id", "n", "bits", "pos", F.coalesce("component", "id").alias("c")).alias("x"))
         order = F.col("x.id") if turn == 0 else F.xxhash64(F.lit(turn), "x.id")
         # lists and main are stored, so that they are joined to the rows by plain shuffles, whose long lists adaptive execution splits
         lists = written(rows.groupBy("token").agg(F.min_by("x", F.struct(order, "x.id")).alias("pivot"), F.min("x.c").alias("c0"), F.max("x.c").alias("c1")).where("c0 <> c1").drop("c0", "c1"))
@@ -303,10 +303,10 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     # a shingle that one set holds is that set's own; a set shares what is left of its prefix. Rows of a shingle are added up before they are shuffled
     kind = F.when(F.col("info").isNotNull(), 1).when(F.col("w").isNotNull(), 2).otherwise(0)
     weight = F.when(kind > 0, F.coalesce("w", F.lit(1))).when(F.col("key").isNull(), FREQUENT).otherwise(1)
-    counted = first.select(kind.alias("kind"), F.when(kind == 0, F.col("token")).alias("token"), F.when(kind > 0, F.col("key")).alias("owner"), "info.n", "info.s1", "info.s2", "key", weight.cast("long").alias("weight"))
-    counted = counted.groupBy("kind", "token", "owner", "n", "s1", "s2").agg(F.sum("weight").alias("sum"), F.min("key").alias("key")).where("kind > 0 or sum = 1")
+    counted = first.select(kind.cast("byte").alias("kind"), F.when(kind == 0, F.col("token")).otherwise(F.col("key")).alias("of"), "info.n", "info.s1", "info.s2", F.when(kind == 0, F.col("key")).alias("key"), weight.cast("int").alias("weight"))
+    counted = counted.groupBy("kind", "of", "n", "s1", "s2").agg(F.sum("weight").alias("sum"), F.min("key").alias("key")).where("kind > 0 or sum = 1")
     is_doc = F.col("kind") == 1
-    shares = counted.select(is_doc.alias("doc"), F.coalesce("owner", "key").alias("key"), F.when(is_doc, F.struct("n", "s1", "s2")).alias("info"), F.when(F.col("kind") > 0, F.col("sum")).otherwise(-1).alias("sum"))
+    shares = counted.select(is_doc.alias("doc"), F.when(F.col("kind") > 0, F.col("of")).otherwise(F.col("key")).alias("key"), F.when(is_doc, F.struct("n", "s1", "s2")).alias("info"), F.when(F.col("kind") > 0, F.col("sum")).otherwise(-1).alias("sum"))
     both = written(shares.groupBy("doc", "key").agg(F.max("info").alias("info"), F.sum("sum").alias("shared")))
     found = both.where("doc").select(F.col("key").alias("id"), "info.n", "info.s1", "info.s2")
     shared = both.where("not doc").select(F.col("key").alias("s1"), "shared")
@@ -319,8 +319,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     boundary = boundary_by_cost(histogram)
     least = F.greatest(F.lit(1), F.floor(F.ceil(4 * F.col("n") / 5) / EXTRA))
     remain = written(classes.where((F.col("n") > 0) & ((F.col("n") <= boundary) | (F.col("shared") >= least))).select(F.col("rep").alias("id"), "s1", "s2"))
-    # remain is a stored table: while it is small, Spark broadcasts it and no text is shuffled
-    sets = written(source.join(remain, "id").mapInArrow(_sets, "id long, n int, bits struct<w0:long,w1:long,w2:long,w3:long>, shingles array<long>"))
+    # joins of tables that grow with the documents are sort-merge joins at every size, so that what is shuffled grows in proportion
+    sets = written(source.join(remain.hint("merge"), "id").mapInArrow(_sets, "id long, n int, bits struct<w0:long,w1:long,w2:long,w3:long>, shingles array<long>"))
     if not both.where("doc and shared > 1").isEmpty():  # several rows of an id may have given its set in several tasks
         given, sets = sets, written(sets.dropDuplicates(["id"]))
         discard(given)
