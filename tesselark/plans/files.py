@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesselark.operators import mesh as M, particles as PT
 from tesselark.plans import tables as T
 from tesselark.plans.catalogue import HALO2, TET_SQL, _parts, query
-from tesselark.plans.tables import CLASSES, E, EVENTS, H3, N, O, P, RANKS, V
+from tesselark.plans.tables import CLASSES, E, ES, EVENTS, G, H, H3, HALF, N, O, P, RANKS, SIDE, V
 from tesselark.sources import picparts, text
 from tesselark.storage import checkpoint_dir, cut
 
@@ -168,3 +168,53 @@ def _(spark, d):
     stream = steps.particle_stream(spark, source, "pid long, elem_id long")
     steps.stream_steps(stream, lambda batch, number: PT.rebuild(batch.withColumn("new_elem", F.col("elem_id"))), out, state).awaitTermination()
     return PT.per_element(spark.read.parquet(out))
+
+
+#: Each user is a particle and each of its events the next position, at most 2 mm from a place on the plate; phase turns by the value.
+TRACK = f"""t AS (SELECT user_id AS pid, event_id AS step, ox + (val * 37) % 4001 - 2000 AS x, oy + (val * 101) % 4001 - 2000 AS y, val % 90 AS turn
+    FROM (SELECT *, (event_id * 7919 + user_id * 104729) % {T.LENGTH} AS ox, (event_id * 15485863 + user_id * 32452843) % {T.LENGTH} AS oy, CAST(round(value * 100) AS BIGINT) AS val FROM events))"""
+TRACKED = f"""WITH {V}, {E}, {HALF}, {SIDE}, {ES}, {G}, {TRACK},
+  near AS (SELECT DISTINCT pid, step, x, y, turn, g.* FROM t, range(2) a(p), range(2) b(q), range(2) c(k), g
+    WHERE g.eid = 2 * ((x // {H} - p) * {N} + (y // {H} - q)) + k AND x BETWEEN 0 AND {T.LENGTH} AND y BETWEEN 0 AND {T.LENGTH} AND x // {H} - p BETWEEN 0 AND {N} - 1 AND y // {H} - q BETWEEN 0 AND {N} - 1),
+  hit AS (SELECT * FROM near WHERE least((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0), (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1), (x0 - x2) * (y - y2) - (y0 - y2) * (x - x2)) >= 0
+    QUALIFY row_number() OVER (PARTITION BY step ORDER BY eid) = 1),
+  way AS (SELECT t.pid, t.step, t.x, t.y, t.turn, h.* EXCLUDE (pid, step, x, y, turn), max(h.eid IS NULL) OVER w AS gone, lag(h.eid) OVER w AS was, lag(t.x) OVER w AS px, lag(t.y) OVER w AS py
+    FROM t LEFT JOIN hit h ON h.step = t.step WINDOW w AS (PARTITION BY t.pid ORDER BY t.step)),
+  f AS (SELECT *, NOT gone AND was IS NOT NULL AND was <> eid AS moved,
+    (x1 - x0) * (py - y0) - (y1 - y0) * (px - x0) AS a0, (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) AS a1, (x0 - x2) * (py - y2) - (y0 - y2) * (px - x2) AS a2,
+    (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) AS b0, (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) AS b1, (x0 - x2) * (y - y2) - (y0 - y2) * (x - x2) AS b2 FROM way),
+  c AS (SELECT *, CASE WHEN moved AND a0 < 0 THEN a0 / (a0 - b0) ELSE -1 END AS c0, CASE WHEN moved AND a1 < 0 THEN a1 / (a1 - b1) ELSE -1 END AS c1, CASE WHEN moved AND a2 < 0 THEN a2 / (a2 - b2) ELSE -1 END AS c2 FROM f),
+  m AS (SELECT *, greatest(c0, c1, c2) AS share, CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS li FROM c),
+  n AS (SELECT m.*, CASE WHEN share >= 0 THEN es.sid END AS via, CASE WHEN share >= 0 THEN px + (x - px) * share END AS vx, CASE WHEN share >= 0 THEN py + (y - py) * share END AS vy FROM m LEFT JOIN es ON es.eid = m.eid AND es.li = m.li)
+  SELECT pid, step, CASE WHEN gone THEN -1 ELSE eid END AS elem_id, CAST(sum(turn) OVER w % 360 AS BIGINT) AS phase, CAST(sum(CAST(moved AS INTEGER)) OVER w AS BIGINT) AS moves,
+    last_value(via IGNORE NULLS) OVER w AS side, round(last_value(vx IGNORE NULLS) OVER w, 2) AS cx, round(last_value(vy IGNORE NULLS) OVER w, 2) AS cy, false AS late
+  FROM n WINDOW w AS (PARTITION BY pid ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def tracked_rows(spark: SparkSession, d: str) -> DataFrame:
+    p = T._places(spark, d).withColumn("val", F.round(F.col("value") * 100).cast("long"))
+    place = [(F.col(f"o{a}") + (F.col("val") * k) % 4001 - 2000).alias(a) for a, k in (("x", 37), ("y", 101))]
+    return p.select(F.col("user_id").alias("pid"), F.col("event_id").alias("step"), *place, (F.col("val") % 90).alias("turn"))
+
+
+def _rounded(out: DataFrame) -> DataFrame:
+    return out.withColumns({c: F.round(c, 2) for c in ("cx", "cy")})
+
+
+@query("stream_particle_state", TRACKED)
+def _(spark, d):
+    """The events come in three parts; the stream is restarted for each, and its keyed state goes on from the checkpoint."""
+    from tesselark.streaming.tracking import track_files
+
+    out, state, source = (_path(spark, x) for x in ("out", "state", "source"))
+    rows, third = tracked_rows(spark, d), max(1, -(-T.size(spark, d).events // 3))
+    parts = [rows.where((F.col("step") >= k * third) & (F.col("step") < (k + 1) * third) if k < 2 else F.col("step") >= k * third) for k in range(3)]
+    return _rounded(track_files(parts, T.mesh(spark, d), out, state, source))
+
+
+@query("track_positions", TRACKED)
+def _(spark, d):
+    """The same of the whole table at once, by windows."""
+    from tesselark.streaming.tracking import tracked
+
+    return _rounded(tracked(tracked_rows(spark, d), T.mesh(spark, d)))
