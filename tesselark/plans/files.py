@@ -218,3 +218,37 @@ def _(spark, d):
     from tesselark.streaming.tracking import tracked
 
     return _rounded(tracked(tracked_rows(spark, d), T.mesh(spark, d)))
+
+
+#: Vertices (dimension 0), sides (1) and elements (2) with their owners, and which of them each rank holds.
+PPM = f"""WITH {HALO2}, {HALF}, {SIDE}, {ES}, b AS (SELECT DISTINCT l2.rank, owner FROM l2 JOIN o USING (eid)), held AS (SELECT b.rank, o.eid FROM b JOIN o ON o.owner = b.owner),
+  part AS (SELECT 0 AS dim, eid, vid AS k FROM ev UNION ALL SELECT 1, eid, sid FROM es UNION ALL SELECT 2, eid, eid FROM e),
+  own AS (SELECT dim, k, min(owner) AS owner FROM part JOIN o USING (eid) GROUP BY dim, k), ranked AS (SELECT *, row_number() OVER (PARTITION BY dim, owner ORDER BY k) - 1 AS rl FROM own),
+  has AS (SELECT DISTINCT dim, rank, k FROM part JOIN held USING (eid)), num AS (SELECT h.*, owner, rl, row_number() OVER (PARTITION BY dim, rank ORDER BY k) - 1 AS lid FROM has h JOIN ranked USING (dim, k))"""
+
+
+def _stored_parts(spark: SparkSession, d: str) -> str:
+    from tesselark.operators.pic_parts import pic_parts
+    from tesselark.sources import ppm
+
+    ppm.register(spark)
+    parts, path = _parts(spark, d), _path(spark, "plate")
+    ppm.ppm_rows(spark, parts, pic_parts(parts.mesh, parts.halo)).write.format("ppm").option("ranks", RANKS).mode("overwrite").save(path)
+    return path
+
+
+@query("source_ppm_entities", f"""{PPM}, i AS (SELECT *, row_number() OVER (PARTITION BY dim, rank ORDER BY owner, rl) - 1 AS spot FROM num)
+  SELECT CAST(rank AS INTEGER) AS rank, CAST(dim AS INTEGER) AS dim, CAST(lid AS INTEGER) AS lid, CAST(spot AS INTEGER) AS comm_index FROM i""")
+def _(spark, d):
+    """Binary files of all ranks written and read back: each entity's place in the arrays that ranks exchange."""
+    back = spark.read.format("ppm").option("ranks", RANKS).load(_stored_parts(spark, d))
+    return back.select("rank", "dim", F.posexplode("comm_index").alias("lid", "comm_index"))
+
+
+@query("source_ppm_of_a_rank", f"""{PPM}, r AS (SELECT range AS q FROM range({RANKS})), c AS (SELECT dim, q, count(*) FILTER (WHERE rank = 2 AND owner = q) AS n, count(DISTINCT k) FILTER (WHERE owner = q) AS total, count(*) FILTER (WHERE owner = 2 AND rank = q AND q <> 2) AS n_some, count(DISTINCT k) FILTER (WHERE owner = 2) AS mine FROM num, r GROUP BY dim, q),
+  s AS (SELECT *, CASE WHEN n_some < mine THEN n_some ELSE 0 END AS sent FROM c)
+  SELECT CAST(dim AS INTEGER) AS dim, CAST(q AS INTEGER) AS part, CAST(sum(n) OVER w - n AS INTEGER) AS first, CAST(n = total AS INTEGER) + CAST(n <> 0 AS INTEGER) AS complete, CASE WHEN dim < 2 THEN CAST(sum(sent) OVER w - sent AS INTEGER) END AS bounded_first FROM s WINDOW w AS (PARTITION BY dim ORDER BY q)""")
+def _(spark, d):
+    """Only one rank's file is opened: where each part's entities begin, whether all of the part is there, and where those begin that the other holds of this rank's."""
+    back = spark.read.format("ppm").option("ranks", RANKS).option("only", "2").load(_stored_parts(spark, d)).where("dim < 3")
+    return back.select("dim", F.posexplode("complete").alias("part", "complete"), "offsets", "bounded_offsets").select("dim", "part", F.get("offsets", "part").alias("first"), "complete", F.get("bounded_offsets", "part").alias("bounded_first"))
