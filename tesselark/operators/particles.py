@@ -93,11 +93,18 @@ def capped_counts(counts: DataFrame, total: int) -> DataFrame:
     return wished.select("elem_id", (given + F.when(F.col("elem_id") == last, max(total - (wishes or 0), 0)).otherwise(0)).cast("long").alias("n"))
 
 
+def normal_draw(seed: int, *key: Column) -> Column:
+    """A standard normal number that the key and the seed decide, so that a task that is run again, or another partitioning, draws the same."""
+    share = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2.0 * F.ln(share(0))) * F.cos(2.0 * F.pi() * share(1))
+
+
 def source_elements_by_class(elem: DataFrame, owner: int, model_face: int, n_particles: int, seed: int = 0) -> DataFrame:
-    """elem_id, n: about evenly (normal, a quarter's deviation) over the owner's elements of class at most model_face."""
+    """elem_id, n: about evenly (normal, a quarter's deviation, decided by element and seed) over the owner's elements of class at most
+    model_face, in order of elements until n_particles are used up, the rest on the last. No such element: no rows. elem: eid, owner, class_id."""
     own = elem.where((F.col("owner") == owner) & (F.col("class_id") <= model_face)).select(F.col("eid").alias("elem_id"))
-    per = n_particles / max(own.count(), 1)
-    return capped_counts(own.withColumn("n", F.round(F.randn(seed) * (per / 4) + per).cast("long")), n_particles)
+    per = n_particles // max(own.count(), 1)
+    return capped_counts(own.withColumn("n", F.round(normal_draw(seed, F.col("elem_id")) * (per // 4) + per).cast("long")), n_particles)
 
 
 def uniform_in_triangle(particles: DataFrame, mesh: Mesh, r1: Column, r2: Column) -> DataFrame:

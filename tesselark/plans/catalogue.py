@@ -229,6 +229,13 @@ def _(spark, d):
     return PT.capped_counts(wanted, T.size(spark, d).events // 20)
 
 
+@query("source_elements_normal")
+def _(spark, d):
+    """As many particles as events on rank 2's elements of classes 0 to 3, by normal draws."""
+    elem = T.mesh(spark, d).elem.join(T.owners(spark, d), "eid")
+    return PT.source_elements_by_class(elem, 2, 3, T.size(spark, d).events, seed=7)
+
+
 @query("particle_push_constant", f"WITH {P} SELECT pid, ox + 3000 AS tx, oy - 1500 AS ty FROM p")
 def _(spark, d):
     return PT.push_constant(T.particles(spark, d), F.lit(500), [6, -3]).select("pid", "tx", "ty")
