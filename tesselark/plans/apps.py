@@ -35,15 +35,9 @@ def push_and_search_app(particles: DataFrame, mesh: M.Mesh, steps: int) -> DataF
     start = particles.select("pid", "elem_id", *(F.col(f"{p}{a}").cast("double").alias(f"{p}{a}") for p in "ot" for a in "xyz"))
     start = start.select("*", *((F.col(f"t{a}") - F.col(f"o{a}")).alias(f"d{a}") for a in "xyz"), F.lit(None).cast("long").alias("face"))
 
-    def stop(step: DataFrame) -> DataFrame:
-        """As stop_at_wall, and stop where the target is nearer than the crossing."""
-        way = sum(((F.col(f"p{a}") - F.col(f"o{a}")) * (F.col(f"t{a}") - F.col(f"o{a}")) for a in "yz"), (F.col("px") - F.col("ox")) * (F.col("tx") - F.col("ox")))
-        whole = sum(((F.col(f"t{a}") - F.col(f"o{a}")) ** 2 for a in "yz"), (F.col("tx") - F.col("ox")) ** 2)
-        return W.stop_at_wall(step.withColumn("done", F.col("done") | (way > whole)).withColumn("exposed", F.col("exposed") & (way <= whole)))
-
     def step(now: DataFrame, i: int) -> DataFrame:
         pushed = PT.push_along(now, 1.0)
-        found = W.trace(pushed, table, 3, crossing=True, handler=stop).select("pid", F.col("elem_id").alias("new_elem"), F.col("face").alias("wall"), *(F.col(f"p{a}").alias(f"q{a}") for a in "xyz"))
+        found = W.trace(pushed, table, 3, crossing=True, short=True).select("pid", F.col("elem_id").alias("new_elem"), F.col("face").alias("wall"), *(F.col(f"p{a}").alias(f"q{a}") for a in "xyz"))
         met = pushed.join(found, "pid").withColumns({"face": F.col("wall")} | {f"p{a}": F.col(f"q{a}") for a in "xyz"})
         met = PT.reflect_at_wall(met, 3).withColumn("elem_id", F.col("new_elem"))
         return PT.commit_positions(met, 3).where("elem_id >= 0").select(*now.columns)
