@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.operators.mesh import AXES, Mesh, barycentric, elem_geometry
-from tesselark.storage import cut
+from tesselark.storage import cut, small
 
 #: Boxes narrower than 2^LEAST are filed as if they were that wide; more than LEVELS levels cannot occur between it and the greatest double.
 LEAST, LEVELS = -60, 1100
@@ -57,8 +57,9 @@ def locate_levels(particles: DataFrame, mesh: Mesh, tol: float = 1e-10) -> DataF
     at = particles.select("pid", *mesh.axes, F.explode(F.array(*map(F.lit, levels))).alias("level"))
     at = at.select("*", *(F.floor(F.col(a) / F.pow(F.lit(2.0), F.col("level"))).alias(f"c_{a}") for a in mesh.axes))
     inside = F.least(*barycentric(mesh, [F.col(a) for a in mesh.axes])) >= -tol
-    found = at.join(filed, ["level", *(f"c_{a}" for a in mesh.axes)]).where(inside).groupBy("pid").agg(F.min("eid").alias("eid"))
-    return particles.join(found, "pid", "left")
+    # a look-up a level makes many rows of few bytes, whose size Spark guesses as that of the points: they must never be broadcast
+    found = at.hint("merge").join(small(filed), ["level", *(f"c_{a}" for a in mesh.axes)]).where(inside).groupBy("pid").agg(F.min("eid").alias("eid"))
+    return particles.hint("merge").join(found, "pid", "left")
 
 
 def element_points(mesh: Mesh, sides: bool = False) -> DataFrame:
@@ -94,6 +95,6 @@ def near_entities(left: DataFrame, right: DataFrame, depth: float, axes: tuple[s
         probes = small.withColumnRenamed("level", "own").withColumn("level", F.explode(above))
         probes, homes = _cells(probes, axes).select(*keys, F.col("id").alias("i"), F.col("points").alias("p")), _cells(large, axes).select(*keys, F.col("id").alias("j"), F.col("points").alias("q"))
         near = F.exists("p", lambda x: F.exists("q", lambda y: far(x, y) <= depth * depth))
-        return probes.join(homes, keys).where(near).select("i", "j")
+        return probes.hint("merge").join(homes, keys).where(near).select("i", "j")
 
     return met(a, b, True).unionByName(met(b, a, False).select(F.col("j").alias("i"), F.col("i").alias("j"))).select(F.col("i").alias("a"), F.col("j").alias("b")).distinct()

@@ -76,3 +76,11 @@ def test_empty_tables(spark, block):
     one = spark.createDataFrame([(1, 1.0, 1.0, 1.0)], "pid long, x double, y double, z double")
     assert grid.locate_levels(one, none).first()["eid"] is None
     assert grid.near_entities(grid.element_points(none), grid.element_points(none), 1.0).count() == 0
+
+
+def test_looked_up_points_are_not_broadcast(spark):
+    """Points from a small file, once for each level, go to no other machine as a whole: Spark takes them for as small as the file."""
+    from tesselark.plans import catalogue
+
+    plan = catalogue.QUERIES["locate_on_graded_mesh"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" in plan
