@@ -55,3 +55,15 @@ def test_distributions_place_every_particle(spark, name):
 def test_gyro_app_runs(spark):
     out = catalogue.QUERIES["mini_app_2d"](spark, DATA)
     assert out.count() == (T.size(spark, DATA).n + 1) ** 2
+
+
+@pytest.mark.parametrize("limit", [1500, 3500, 1_000_000])
+def test_recursive_walk_is_whole_under_any_row_limit(spark, limit):
+    """No hop, a few, or all fit into the recursion; the rest of the ways is walked all the same."""
+    name = "spark.sql.cteRecursionRowLimit"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(limit))
+    try:
+        assert rows(catalogue.QUERIES["walk2d_recursive"](spark, DATA)) == rows(catalogue.QUERIES["walk2d_fused"](spark, DATA))
+    finally:
+        spark.conf.set(name, was)
