@@ -85,4 +85,4 @@ def test_errors(spark):
     with pytest.raises(ValueError, match="parent"):
         TW.trace_in_tiles(spark.createDataFrame([(4, 3, 5, 5, 900_000, 5)], PLANE), walk, 2, strict=True)
     with pytest.raises(Exception, match="64 bits"):
-        TW.trace_in_tiles(spark.createDataFrame([(4, 0, 5, 4, 1 << 62, 5)], PLANE), walk, 2).count()
+        TW.trace_in_tiles(spark.createDataFrame([(4, 0, 5, 4, 2_500_000_000, 5)], PLANE), walk, 2, TW.CROSSING, TW.STOP).count()
