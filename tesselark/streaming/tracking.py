@@ -1,5 +1,5 @@
 """Particles whose state lives in a stream: each row of the stream is a particle's next position, and what is known of the particle (element, phase, last
-crossing) is carried over micro-batches in keyed state, one entry a pid.
+crossing) is carried over micro-batches in keyed state, one row a pid, by buckets of pids.
 
 A row's element is found first, by one left join with the mesh for each grid level that the mesh has (operators/grid.py), so the mesh may be
 of any size and is never part of the state. The way from the particle's last position to the new one enters the new element through the side that it meets
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DataType, IntegralType
 
 from tesselark.functions.geometry import barycentric_numerators_2d, barycentric_numerators_3d, tet_volume6, triangle_area2
 from tesselark.operators.grid import _levels, filed_elements
@@ -31,6 +32,8 @@ from tesselark.operators.part_walk import _numerators
 from tesselark.operators.walk import REMOVED
 from tesselark.storage import cut, small
 
+#: Particles are dealt into so many groups by a hash of pid; as many rows of a group's state go to the store at once.
+BUCKETS, STATE_ROWS = 1024, 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -78,84 +81,117 @@ def _flat(rows: DataFrame, mesh: Mesh) -> DataFrame:
     return located(rows.select("pid", F.col("step").cast("long").alias("step"), *point, F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn")), mesh).select("pid", "step", *mesh.axes, "turn", *(F.col(f"found.{n}").alias(n) for n in names))
 
 
-def _result_schema(rows: DataFrame, mesh: Mesh) -> str:
-    crossing = ", ".join(f"c{a} double" for a in mesh.axes)
-    return f"pid {rows.schema['pid'].dataType.simpleString()}, step long, elem_id long, phase long, moves long, side long, {crossing}, late boolean"
+def _key_of(pid: Column, kind: DataType) -> tuple[Column, str]:
+    """A pid as a value that is never null and keeps every digit in pandas, and its type: whole numbers as long, else the text that a cast turns back."""
+    key, default = ("long", 0) if isinstance(kind, IntegralType) else ("string", "")
+    return F.coalesce(pid.cast(key), F.lit(default)), key
 
 
 class Tracker(StatefulProcessor):
-    """One particle's state: step, position, element, phase, moves, last crossing. All rows of a particle in a micro-batch are held at once; a
-    trigger's maxFilesPerTrigger or maxBytesPerTrigger bounds them."""
+    """The state of a bucket of particles, a row each: step, position, element, phase, moves, last crossing. All rows of a bucket in a micro-batch, and its state, are
+    held at once and worked on as arrays, so a call costs a bucket and not a particle; a trigger's maxFilesPerTrigger or maxBytesPerTrigger bounds the rows."""
 
-    def __init__(self, dim: int, period: int):
-        self.dim, self.period = dim, period
+    def __init__(self, dim: int, period: int, key_type: str):
+        self.dim, self.period, self.key_type = dim, period, key_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         axes = AXES[: self.dim]
-        fields = ["step long", *(f"{a} double" for a in axes), "elem long", "phase long", "moves long", "side long", *(f"c{a} double" for a in axes)]
-        self.state = handle.getValueState("particle", ", ".join(fields))
+        fields = [f"key {self.key_type}", "none boolean", "step long", *(f"{a} double" for a in axes), "elem long", "phase long", "moves long", "side long", *(f"c{a} double" for a in axes)]
+        self.state = handle.getListState("particles", ", ".join(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         dim, axes = self.dim, list(AXES[: self.dim])
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["step", *axes, "turn"], na_position="first", kind="stable", ignore_index=True)
-        known = self.state.get()
-        last_step, at, elem, phase, moves, side, crossing = None, [np.nan] * dim, None, 0, 0, None, [None] * dim
-        if known is not None:
-            last_step, at, (elem, phase, moves, side), crossing = known[0], list(known[1 : dim + 1]), known[dim + 1 : dim + 5], list(known[dim + 5 :])
-        late = new["step"].isna() | (new["step"] <= last_step if last_step is not None else False)
-        yield self._frame(key, new[late], elem, phase, moves, side, crossing, True)
-        new = new[~late].reset_index(drop=True)
-        if not len(new):
+        new, old = pd.concat(list(rows), ignore_index=True), list(self.state.get())
+        known = list(zip(*old, strict=True)) or [()] * (2 * dim + 7)
+        keys = np.concatenate([np.array(known[0], dtype=np.int64 if self.key_type == "long" else object), new["key"].to_numpy()])
+        none = np.concatenate([np.array(known[1], dtype=bool), new["none"].to_numpy(dtype=bool)])
+        # particles of the bucket by number, and what is known of each; a side of -1 is none
+        _, where, number = np.unique(2 * pd.factorize(keys)[0] + none, return_index=True, return_inverse=True)
+        mine, of = number[: len(old)], number[len(old) :]
+        has, last_step, elem, phase, moves, side = (np.full(len(where), v) for v in (False, 0, REMOVED, 0, 0, -1))
+        at, crossing = np.full((len(where), dim), np.nan), np.full((len(where), dim), np.nan)
+        if old:
+            has[mine], last_step[mine], side[mine] = True, known[2], [-1 if x is None else x for x in known[dim + 6]]
+            at[mine], crossing[mine] = np.array(known[3 : dim + 3], dtype=np.float64).T, np.array(known[dim + 7 :], dtype=np.float64).T
+            elem[mine], phase[mine], moves[mine] = known[dim + 3 : dim + 6]
+        step, untimed = new["step"].to_numpy(), new["untimed"].to_numpy(dtype=bool)
+        late = untimed | (has[of] & (step <= last_step[of]))
+        told = lambda r: {"key": new["key"].to_numpy()[r], "none": new["none"].to_numpy(dtype=bool)[r], "step": pd.arrays.IntegerArray(step[r], untimed[r])}
+        r = np.flatnonzero(late)
+        if len(r):
+            k = of[r]
+            yield self._frame(told(r), elem[k], ~has[k], phase[k], moves[k], side[k], crossing[k], True)
+        r = np.flatnonzero(~late)
+        if not len(r):
             return
+        turn = new["turn"].to_numpy(dtype=np.int64)
+        r = r[np.lexsort([x[r] for x in (turn, *(new[a].to_numpy() for a in reversed(axes)), step, of)])]
+        k, each = of[r], np.arange(len(r))
+        first = np.concatenate([[True], k[1:] != k[:-1]])
+        start, opens = np.maximum.accumulate(np.where(first, each, 0)), k[first]
         # who was outside once stays outside
-        here = new["eid"].fillna(REMOVED).to_numpy().astype(np.int64)
-        gone = np.maximum.accumulate(here == REMOVED) | (elem == REMOVED)
+        here = new["eid"].to_numpy(dtype=np.int64)[r]
+        gone = np.maximum.accumulate(np.where((here == REMOVED) | (first & has[k] & (elem[k] == REMOVED)), each, -1)) >= start
         here[gone] = REMOVED
-        before = np.concatenate([[REMOVED if elem is None else elem], here[:-1]])
+        before = np.concatenate([[REMOVED], here[:-1]])
+        before[first] = elem[opens]
         changed = (here != before) & ~gone
-        changed[0] &= elem is not None
-        p = new[axes].to_numpy(dtype=np.float64)
-        origin = np.concatenate([np.array([at], dtype=np.float64), p[:-1]])
-        through, met = np.full(len(new), -1, np.int64), np.full((len(new), dim), np.nan)
+        changed[first] &= has[opens]
+        p = new[axes].to_numpy(dtype=np.float64)[r]
+        origin = np.concatenate([np.full((1, dim), np.nan), p[:-1]])
+        origin[first] = at[opens]
+        through, met = np.full(len(r), -1, np.int64), np.full((len(r), dim), np.nan)
         if changed.any():
-            corners = new.loc[changed, _corner_names(dim)].to_numpy(dtype=np.float64).reshape(-1, dim + 1, dim)
+            corners = new[_corner_names(dim)].to_numpy(dtype=np.float64)[r[changed]].reshape(-1, dim + 1, dim)
             o, t = origin[changed], p[changed]
             b0, b1 = _numerators(corners, o, dim), _numerators(corners, t, dim)
             enters = b0 < 0
             share = np.where(enters, b0 / np.where(enters, b0 - b1, 1.0), -1.0)
-            li = np.argmax(share, axis=1)
-            some = enters.any(axis=1)
-            ids = new.loc[changed, [f"s{i}" for i in range(dim + 1)]].to_numpy(dtype=np.int64)
-            each = np.arange(len(li))
-            through[changed] = np.where(some, ids[each, li], -1)
-            met[changed] = np.where(some[:, None], o + (t - o) * share[each, li][:, None], np.nan)
-        # the last crossing up to each row; 0 stands for the state's
-        place = np.maximum.accumulate(np.where(through >= 0, np.arange(1, len(new) + 1), 0))
-        side_of = pd.array(np.concatenate([[-1], through])[place], dtype="Int64")
-        side_of[place == 0] = pd.NA if side is None else side
-        first = [np.nan if c is None else c for c in crossing]
-        met = np.concatenate([[first], met])[place]
-        turns = (phase + np.cumsum(new["turn"].to_numpy(dtype=np.int64))) % self.period
-        count = moves + np.cumsum(changed)
-        self.state.update((int(new["step"].iloc[-1]), *map(float, p[-1]), int(here[-1]), int(turns[-1]), int(count[-1]), None if side_of[-1] is pd.NA else int(side_of[-1]), *(None if np.isnan(c) else float(c) for c in met[-1])))
-        yield self._frame(key, new, here, turns, count, side_of, list(met.T), False)
-
-    def _frame(self, key, rows: pd.DataFrame, elem, phase, moves, side, crossing, late: bool) -> pd.DataFrame:
-        n = len(rows)
-        whole = lambda v: pd.array([v] * n if np.isscalar(v) or v is None else v, dtype="Int64")
-        out = {"pid": pd.Series([key[0]] * n, dtype=object), "step": whole(rows["step"].to_numpy()) if n else whole([]), "elem_id": whole(elem), "phase": whole(phase), "moves": whole(moves), "side": whole(side)}
-        out |= {f"c{a}": pd.array([c] * n if np.isscalar(c) or c is None else c, dtype="Float64") for a, c in zip(AXES, crossing, strict=False)}
-        return pd.DataFrame(out | {"late": np.full(n, late)})
+            li, some, row = np.argmax(share, axis=1), enters.any(axis=1), np.arange(len(o))
+            through[changed] = np.where(some, new[[f"s{i}" for i in range(dim + 1)]].to_numpy(dtype=np.int64)[r[changed]][row, li], -1)
+            met[changed] = np.where(some[:, None], o + (t - o) * share[row, li][:, None], np.nan)
+        # the last crossing up to each row, if the particle has one here, else the state's
+        place = np.maximum.accumulate(np.where(through >= 0, each, -1))
+        own = place >= start
+        side_of, crossing_of = np.where(own, through[place], side[k]), np.where(own[:, None], met[place], crossing[k])
+        so_far = lambda x: np.cumsum(x) - (np.cumsum(x) - x)[start]
+        turns, count = (phase[k] + so_far(turn[r])) % self.period, moves[k] + so_far(changed.astype(np.int64))
+        ends = np.concatenate([first[1:], [True]])
+        has[opens], last_step[opens], at[opens], elem[opens], phase[opens] = True, step[r][ends], p[ends], here[ends], turns[ends]
+        moves[opens], side[opens], crossing[opens] = count[ends], side_of[ends], crossing_of[ends]
+        kept = [x[has] for x in (keys[where], none[where], last_step, *at.T, elem, phase, moves)]
+        rows = list(zip(*(x.tolist() for x in kept), (None if x < 0 else x for x in side[has].tolist()), *(x.tolist() for x in crossing[has].T), strict=True))
+        self.state.put(rows[:STATE_ROWS])
+        for i in range(STATE_ROWS, len(rows), STATE_ROWS):
+            self.state.appendList(rows[i : i + STATE_ROWS])
+        yield self._frame(told(r), here, np.zeros(len(r), bool), turns, count, side_of, crossing_of, False)
+
+    def _frame(self, told: dict, elem, unknown, phase, moves, side, crossing, late: bool) -> pd.DataFrame:
+        whole = lambda v, gaps: pd.arrays.IntegerArray(v.astype(np.int64), gaps)
+        out = told | {"elem_id": whole(elem, unknown), "phase": phase, "moves": moves, "side": whole(side, side < 0)}
+        out |= {f"c{a}": pd.arrays.FloatingArray(c.copy(), np.isnan(c)) for a, c in zip(AXES, crossing.T, strict=False)}
+        return pd.DataFrame(out | {"late": np.full(len(elem), late)})
 
     def close(self) -> None:
         pass
 
 
-def track(stream: DataFrame, mesh: Mesh, period: int = 360) -> DataFrame:
+def track(stream: DataFrame, mesh: Mesh, period: int = 360, buckets: int = BUCKETS) -> DataFrame:
     """The stream's rows with their particles' state, for writeStream in append mode. The state store must be RocksDB (see ROCKS,
-    spark.sql.streaming.stateStore.providerClass); its changes lie with the query's checkpoint, so a restarted query goes on where it stopped."""
-    rows = _flat(stream, mesh)
-    return rows.groupBy("pid").transformWithStateInPandas(Tracker(mesh.dim, period), outputStructType=_result_schema(stream, mesh), outputMode="append", timeMode="none")
+    spark.sql.streaming.stateStore.providerClass); its changes lie with the query's checkpoint, so a restarted query goes on where it stopped. buckets
+    must stay the same as long as a checkpoint is used; a task holds one bucket's rows and particles at a time."""
+    kind, rows = stream.schema["pid"].dataType, _flat(stream, mesh)
+    key, key_type = _key_of(F.col("pid"), kind)
+    # nothing that pandas would turn into doubles is null; a null coordinate comes before every number, as in tracked()
+    filled = {"eid": REMOVED, "step": 0} | {a: float("-inf") for a in mesh.axes} | {f"s{i}": -1 for i in range(mesh.dim + 1)}
+    rows = rows.select(
+        F.pmod(F.xxhash64("pid"), F.lit(buckets)).cast("int").alias("bucket"), key.alias("key"), F.col("pid").isNull().alias("none"), F.col("step").isNull().alias("untimed"),
+        *(F.coalesce(F.col(c), F.lit(filled[c])).alias(c) if c in filled else F.col(c) for c in rows.columns[1:]),
+    )
+    crossing = [f"c{a}" for a in mesh.axes]
+    schema = f"key {key_type}, none boolean, step long, elem_id long, phase long, moves long, side long, {', '.join(f'{c} double' for c in crossing)}, late boolean"
+    out = rows.groupBy("bucket").transformWithStateInPandas(Tracker(mesh.dim, period, key_type), outputStructType=schema, outputMode="append", timeMode="none")
+    return out.select(F.when(~F.col("none"), F.col("key")).cast(kind).alias("pid"), "step", "elem_id", "phase", "moves", "side", *crossing, "late")
 
 
 def tracked(rows: DataFrame, mesh: Mesh, period: int = 360) -> DataFrame:
@@ -187,7 +223,7 @@ def tracked(rows: DataFrame, mesh: Mesh, period: int = 360) -> DataFrame:
     return out.unionByName(untimed)
 
 
-def track_files(parts: list[DataFrame], mesh: Mesh, path: str, checkpoint: str, source: str, period: int = 360) -> DataFrame:
+def track_files(parts: list[DataFrame], mesh: Mesh, path: str, checkpoint: str, source: str, period: int = 360, buckets: int = BUCKETS) -> DataFrame:
     """Feeds tables one after the other through a stream that is started anew for each and goes on from its checkpoint; returns the stored rows. The
     state store's provider is set for these streams and set back."""
     spark = mesh.elem.sparkSession
@@ -199,7 +235,7 @@ def track_files(parts: list[DataFrame], mesh: Mesh, path: str, checkpoint: str,
         for part in parts:
             part.write.mode("append").parquet(source)
             if rows is None:
-                rows = track(spark.readStream.schema(part.schema).parquet(source), mesh, period)
+                rows = track(spark.readStream.schema(part.schema).parquet(source), mesh, period, buckets)
             rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
     finally:
         spark.conf.unset(name) if was is None else spark.conf.set(name, was)

@@ -96,3 +96,24 @@ def test_the_provider_is_set_back(spark, tmp_path):
     with pytest.raises(Exception):
         streamed([spark.range(1)], tri_lattice(spark, 1, 10), tmp_path)
     assert spark.conf.get(name, None) == was
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_many_particles_share_a_group_of_the_state(spark, tmp_path, buckets):
+    """One call of the processor takes every particle of a bucket: null and huge pids, late rows, ids that come and go."""
+    mesh = tri_lattice(spark, 4, 80)
+    spot = lambda k: F.expr(f"cast((id * {k} + id * id * 7) % 79 as double)")
+    pid = F.when(F.col("id") % 50 != 0, F.col("id") % 50 + (1 << 60))
+    rows = spark.range(900).select(pid.alias("pid"), F.expr("id div 50").alias("step"), spot(31).alias("x"), spot(17).alias("y"), (F.col("id") % 90).alias("turn"))
+    late = rows.where("step = 3").withColumn("turn", F.lit(1000))
+    got = streamed([rows.where("step < 5 and x > 9"), rows.where("step >= 5 and step < 11"), rows.where("step >= 11").union(late)], mesh, tmp_path, buckets=buckets)
+    want = tracking.tracked(rows.where("step >= 5 or x > 9"), mesh)
+    assert found(got.where("not late")) == found(want) and got.where("late").count() == 50
+    assert got.where("pid is null").count() > 10 and got.select("pid").distinct().count() == 50
+
+
+def test_pids_that_are_text(spark, tmp_path):
+    mesh = tri_lattice(spark, 2, 10)
+    rows = spark.createDataFrame([("a", 0, 1.0, 2.0, 1), ("", 0, 9.0, 2.0, 1), (None, 0, 2.0, 9.0, 1), ("a", 1, 9.0, 9.0, 2), ("", 1, 1.0, 1.0, 3), (None, 1, 9.0, 1.0, 4)], "pid string, step long, x double, y double, turn long")
+    got, want = streamed([rows.where("step = 0"), rows.where("step = 1")], mesh, tmp_path, buckets=1), tracking.tracked(rows, mesh)
+    assert found(got) == found(want) and got.where("moves = 1").count() == 3
