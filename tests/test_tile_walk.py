@@ -64,6 +64,37 @@ def test_jobs_do_not_grow_with_the_sides_crossed(spark, monkeypatch):
     assert steps[0][0] == steps[1][0] and steps[1][1] > 3 * steps[0][1]
 
 
+@pytest.mark.parametrize("how", [{"tol": 0.0}, {"crossing": True, "bounded": True, "handler": W.leave_at_wall, "tol": 1e-9}])
+def test_broadcasts_in_space_do_not_grow_with_the_sides_crossed(spark, monkeypatch, how):
+    """By coordinates and by segment: a finer mesh of tetrahedra is stored, and sent through the driver, no more often."""
+    done, cut, small = [], TW.cut, TW.small
+    monkeypatch.setattr(TW, "cut", lambda df: done.append("cut") or cut(df))
+    monkeypatch.setattr(TW, "small", lambda df: done.append("small") or small(df))
+    steps, spot = [], lambda k: F.expr(f"(id * {k} + id * id * 13) % 598 + 1")
+    for n in (2, 10):
+        done.clear()
+        mesh = M.tet_lattice(spark, n, 600)
+        p = spark.range(100).select("id", *(spot(k).alias(f"o{a}") for a, k in zip("xyz", (31, 57, 83), strict=True)), *(spot(k).alias(f"t{a}") for a, k in zip("xyz", (91, 17, 43), strict=True)))
+        found = M.locate(p.select(F.col("id").alias("pid"), *(F.col(f"o{a}").alias(a) for a in "xyz")), mesh, 300.0)
+        p = p.join(found.select(F.col("pid").alias("id"), F.col("eid").alias("elem_id")), "id").withColumnRenamed("id", "pid")
+        out = W.trace(p, M.walk_table(mesh), 3, **how)
+        steps.append((tuple(done), out.agg(F.max("hops")).first()[0]))
+    assert steps[0][0] == steps[1][0] and steps[1][1] > 2 * steps[0][1]
+
+
+def test_rounds_along_the_edge_of_two_tiles(spark, monkeypatch):
+    """A tile that also holds its neighbours' nearest elements does not hand a way to and fro: fewer rounds, the same ends."""
+    rounds, meet = [], TW.Tiles.meet
+    monkeypatch.setattr(TW.Tiles, "meet", lambda *a: rounds.append(1) or meet(*a))
+    monkeypatch.setattr(TW, "ELEMENTS_AT_ONCE", 300)
+    p, walk, got = T.particles(spark, DATA, 25), W.cut(M.walk_table(T.tri_lattice(spark, 25, T.LENGTH))), []
+    for layers in (0, TW.LAYERS):
+        monkeypatch.setattr(TW, "LAYERS", layers)
+        rounds.clear()
+        got.append((found(W.trace(p, walk, 2, tol=0.0, check_parents=False)), len(rounds)))
+    assert got[0][0] == got[1][0] and got[1][1] < got[0][1]
+
+
 @pytest.mark.parametrize("at_once", [20, 1 << 17])
 def test_awkward_particles(spark, at_once):
     """At rest, in an unknown element or none, outside the own element, without a place, without a pid."""
