@@ -46,13 +46,14 @@ def ring_points(mesh: Mesh, gyro: Gyro) -> DataFrame:
     return pts.select("vid", "ring", "pt", (F.col("x") + radius * F.cos(angle)).alias("x"), (F.col("y") + radius * F.sin(angle)).alias("y"))
 
 
-def ring_map(mesh: Mesh, pts: DataFrame, looplimit: int = 0) -> DataFrame:
+def ring_map(mesh: Mesh, pts: DataFrame, looplimit: int = 0, walk: DataFrame | None = None) -> DataFrame:
     """vid, ring, pt, to: the vertices of the element that each ring point lies in (one row a vertex; none outside). The walk starts
-    at the centroid of an element around the point's vertex."""
+    at the centroid of an element around the point's vertex. walk: the mesh's walk table where it is at hand."""
     start = first_adjacent(mesh).join(centroids(mesh).select("eid", F.col("x").alias("ox"), F.col("y").alias("oy")), "eid")
-    named = pts.join(start, "vid").select(F.struct("vid", "ring", "pt").alias("pid"), F.col("eid").alias("elem_id"), "ox", "oy", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    found = search_2d(named, walk_table(mesh), looplimit=looplimit).where("elem_id >= 0")
-    return found.select("pid.*", F.col("elem_id").alias("eid")).join(elem_vert(mesh).select("eid", F.col("vid").alias("to")), "eid").select("vid", "ring", "pt", "to")
+    # ring points are many rows for each vertex, and elem_vert several for each element, whose size Spark guesses as that of the vertices and elements: they must never be broadcast
+    named = pts.hint("merge").join(start, "vid").select(F.struct("vid", "ring", "pt").alias("pid"), F.col("eid").alias("elem_id"), "ox", "oy", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    found = search_2d(named, walk_table(mesh) if walk is None else walk, looplimit=looplimit).where("elem_id >= 0")
+    return found.select("pid.*", F.col("elem_id").alias("eid")).join(elem_vert(mesh).select("eid", F.col("vid").alias("to")).hint("merge"), "eid").select("vid", "ring", "pt", "to")
 
 
 def gyro_mappings(mesh: Mesh, gyro: Gyro, forward=lambda pts: pts, backward=lambda pts: pts) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +67,7 @@ def ring_weights(particles: DataFrame, mesh: Mesh, gyro: Gyro, radius: Column |
     width = gyro.rmax / gyro.rings
     down = F.greatest(F.lit(0), F.least(F.floor((radius if radius is not None else F.lit(width * 1.125)) / width).cast("int") - 1, F.lit(gyro.rings - 2)))
     counted = particles.select("elem_id", down.alias("down")).groupBy("elem_id", "down").agg(F.count(F.lit(1)).alias("n"))
-    at = elem_vert(mesh).join(counted, F.col("eid") == F.col("elem_id")).select("vid", "n", F.explode(F.array("down", F.col("down") + 1)).alias("ring"))
+    at = elem_vert(mesh).hint("merge").join(counted, F.col("eid") == F.col("elem_id")).select("vid", "n", F.explode(F.array("down", F.col("down") + 1)).alias("ring"))
     return at.groupBy("vid", "ring").agg(F.sum("n").alias("w"))
 
 

@@ -25,7 +25,7 @@ def gyro_app(particles: DataFrame, mesh: M.Mesh, steps: int, gyro: Gyro, degrees
         return PT.rebuild(PT.commit_positions(pushed).join(found, "pid")).select(*now.columns)
 
     last = run_steps(state, step, steps)
-    mapping, _ = SC.gyro_mappings(mesh, gyro)
+    mapping = SC.ring_map(mesh, SC.ring_points(mesh, gyro), walk=table)
     return SC.gyro_scatter(last, mesh, mapping, gyro).withColumn("w", F.round("w", 6))
 
 
